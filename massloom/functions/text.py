@@ -56,3 +56,12 @@ def epoch_micros(ts: Column | str) -> Column:
     t = col(ts)
     seconds = F.unix_date(t.cast("date")).cast("bigint") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60
     return seconds * 1000000 + (F.extract(F.lit("SECOND"), t) * 1000000).cast("bigint")
+
+
+def is_target_instrument(name: Column | str) -> Column:
+    """Name contains 'timstof', blanks and case ignored."""
+    return F.coalesce(F.lower(F.replace(col(name), F.lit(" "), F.lit(""))).contains("timstof"), F.lit(False))
+
+
+def is_bruker(name: Column | str) -> Column:
+    return F.coalesce(F.lower(col(name)).contains("bruker"), F.lit(False))

@@ -13,26 +13,30 @@ _ACCURACY = 10_000
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], prefix: str = "q") -> DataFrame:
     """Linear-interpolation quantiles per group: columns prefix0, prefix1, ... and ``n``.
 
-    Equal values are counted before anything is gathered. Groups with few
-    distinct values go through ``percentile``; a group with more is narrowed by
-    a mergeable sketch to the sliver of values around each wanted rank, and only
-    that sliver is ordered.
+    Equal values are counted before anything is gathered. A first, partially
+    aggregated count finds out whether any group is large. Groups that are not
+    go through ``percentile``; a large one is narrowed to the values around each
+    wanted rank, and only that sliver is ordered.
     """
-    keyed = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+    present = df.filter(F.col(value).isNotNull())
+    rows = present.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > SMALL_GROUP)
+    keyed = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+    if rows.isEmpty():
+        return _direct(keyed, by, value, probs, prefix)
+    if not by:
+        return _sliver_quantiles(keyed, by, value, probs, prefix)
     sizes = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("__distinct"))
     big = sizes.filter(F.col("__distinct") > SMALL_GROUP).select(*by)
     on = [F.col(f"k.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
-    if by:
-        small = keyed.alias("k").join(big.alias("b"), on, "left_anti")
-        large = keyed.alias("k").join(big.alias("b"), on, "left_semi")
-    else:
-        n = sizes.first()["__distinct"]
-        small, large = (keyed, keyed.limit(0)) if n <= SMALL_GROUP else (keyed.limit(0), keyed)
-    direct = small.groupBy(*by).agg(
-        *[F.percentile(value, p, F.col("__c")).alias(f"{prefix}{i}") for i, p in enumerate(probs)],
-        F.sum("__c").alias("n"))
-    result = direct.unionByName(_sliver_quantiles(large, by, value, probs, prefix))
-    return result if by else result.filter(F.col("n").isNotNull())
+    small = keyed.alias("k").join(big.alias("b"), on, "left_anti")
+    large = keyed.alias("k").join(big.alias("b"), on, "left_semi")
+    return _direct(small, by, value, probs, prefix).unionByName(_sliver_quantiles(large, by, value, probs, prefix))
+
+
+def _direct(keyed: DataFrame, by: list[str], value: str, probs: list[float], prefix: str) -> DataFrame:
+    wanted = F.percentile(value, F.array(*[F.lit(p) for p in probs]), F.col("__c")).alias("__q")
+    q = keyed.groupBy(*by).agg(wanted, F.sum("__c").alias("n"))
+    return q.select(*by, *[F.col("__q")[i].alias(f"{prefix}{i}") for i in range(len(probs))], "n")
 
 
 def _sliver_quantiles(keyed: DataFrame, by: list[str], value: str, probs: list[float], prefix: str) -> DataFrame:

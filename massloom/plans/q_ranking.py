@@ -1 +1,310 @@
-"""Queries."""
+"""Ranked lists, certified top-k, ordered peak lists, budgets."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from massloom import fixed
+from massloom.functions import peaks as pk
+from massloom.functions.numeric import r6
+from massloom.operators import anchored, audits, certified, models, ordering, ranges, ranking, splits
+from massloom.plans.flagship import mass_search, mass_search_ranks, ranked_by_mass
+from massloom.plans.q_aggregates import _SIGNED, signed
+from massloom.registry import query
+
+
+@query("flagship_mass_search", """
+    SELECT count(*) AS molecules, round(avg(CASE WHEN rank > 0 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr,
+           round(avg(CASE WHEN rank = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top1, round(avg(CASE WHEN rank > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall FROM mass_ranks_v""")
+def flagship(t):
+    return mass_search(t)
+
+
+@query("R1_distinct_key_rank", """
+    SELECT query_id, truth, coalesce(min(rank) FILTER (label = truth AND rank <= 25), 0)::INTEGER AS rank FROM (
+        SELECT query_id, truth, label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, structure_id) AS rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, structure_id) AS rk FROM vec_scores_v) WHERE rk = 1) GROUP BY 1, 2""")
+def distinct_key_rank(t):
+    top = ranking.distinct_top_k(t.vec_scores, ["query_id"], "label", "score", ["structure_id"])
+    truth = t.vector_catalog.select(F.col("vec_id").alias("query_id"), F.concat(F.lit("L"), "label").alias("truth"))
+    return ranking.truth_ranks(truth, top, ["query_id"], "truth", "label").select("query_id", "truth", "rank")
+
+
+@query("R2_submitted_rank", """
+    WITH l AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY 1)
+    SELECT conv_id, coalesce(list_position(r[1:25], 'assistant'), 0)::INTEGER AS rank FROM l""")
+def submitted_rank(t):
+    """Guesses stay where they were submitted, repeats included."""
+    first = ranking.top_k(t.table("conversations"), ["conv_id"], [F.col("turn"), F.col("role")], fixed.TOP_K)
+    cells = ranking.ranked_list(first, "conv_id", "role").withColumn("truth", F.lit("assistant"))
+    return ranking.submitted_rank(cells, "conv_id", "guesses", "truth")
+
+
+@query("R3_top_k_distinct", """
+    SELECT query_id, string_agg(structure_key, ';' ORDER BY rank) AS guesses, count(*) AS n_guesses FROM (
+        SELECT query_id, structure_key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, structure_id) AS rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, structure_id) AS rk FROM vec_scores_v) WHERE rk = 1) WHERE rank <= 3 GROUP BY 1""")
+def top_k_distinct(t):
+    top = ranking.distinct_top_k(t.vec_scores, ["query_id"], "label", "score", ["structure_id"], 3, ["structure_key"])
+    return ranking.ranked_list(top, "query_id", "structure_key")
+
+
+@query("R4_deterministic_ties", """
+    SELECT query_id, structure_id, rank::INTEGER AS rank FROM (SELECT query_id, structure_id,
+        row_number() OVER (PARTITION BY query_id ORDER BY round(score, 1) DESC, label, structure_key, structure_id) AS rank FROM vec_scores_v) WHERE rank <= 5""")
+def deterministic_ties(t):
+    d = t.vec_scores.withColumn("coarse", F.round("score", 1))
+    order = [F.col("coarse").desc(), F.col("label"), F.col("structure_key"), F.col("structure_id")]
+    return ranking.top_k(d, ["query_id"], order, 5).select("query_id", "structure_id", "rank")
+
+
+@query("R5_score_margin", """
+    WITH r AS (SELECT query_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, structure_id) AS rn FROM vec_scores_v)
+    SELECT query_id, max(score) FILTER (rn = 1) AS top1, round(max(score) FILTER (rn = 1) - max(score) FILTER (rn = 2), 6) AS margin FROM r GROUP BY 1""")
+def score_margin(t):
+    return ranking.top_margin(t.vec_scores, ["query_id"], "score", ["structure_id"]).select("query_id", "top1", r6("margin").alias("margin"))
+
+
+@query("R6_confidence_gate", """
+    WITH b AS (SELECT query_id, arg_min(structure_id, (-sim, structure_id)) AS best, arg_min(label, (-sim, structure_id)) AS best_label, max(sim) AS best_sim FROM vec_scores_v GROUP BY 1),
+    g AS (SELECT b.query_id, b.best, b.best_sim, b.best_sim - coalesce(max(v.sim) FILTER (v.label <> b.best_label), 0.0) AS gap FROM b JOIN vec_scores_v v ON v.query_id = b.query_id GROUP BY b.query_id, b.best, b.best_sim),
+    o AS (SELECT v.query_id, v.structure_id, g.best_sim >= 0.2 AND round(g.gap, 9) >= 0.05 AS activated,
+                 row_number() OVER (PARTITION BY v.query_id ORDER BY CASE WHEN g.best_sim >= 0.2 AND round(g.gap, 9) >= 0.05 AND v.structure_id = g.best THEN 0 ELSE 1 END, v.score DESC, v.structure_id) AS rank
+          FROM vec_scores_v v JOIN g ON g.query_id = v.query_id)
+    SELECT query_id, structure_id, activated, rank::INTEGER AS rank FROM o WHERE rank <= 3""")
+def confidence_gate(t):
+    g = ranking.gated_promotion(t.vec_scores, ["query_id"], "label", "score", "sim", "structure_id", 0.2, 0.05)
+    return ranking.top_k(g, ["query_id"], [F.col("front"), F.col("score").desc(), F.col("structure_id")], 3).select(
+        "query_id", "structure_id", "activated", "rank")
+
+
+_REGIMES = """
+    rg AS (SELECT v.*, r.regime FROM vec_scores_v v JOIN (VALUES ('all'), ('external'), ('original')) r(regime)
+           ON r.regime = 'all' OR (r.regime = 'external') = v.external)"""
+
+
+def _regimes(t):
+    d = splits.regimes(t.vec_scores, ["all", "external", "original"])
+    return d.filter((F.col("regime") == "all") | ((F.col("regime") == "external") == F.col("external")))
+
+
+@query("R7_frontier", f"""
+    WITH {_REGIMES}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, regime ORDER BY score DESC, structure_id) AS rn FROM rg)
+    SELECT DISTINCT query_id, structure_id FROM r WHERE rn <= 2""")
+def frontier(t):
+    return ranking.frontier(_regimes(t), ["query_id"], "regime", "structure_id", "score", "structure_id", 2)
+
+
+_WEIGHT = 0.05
+_ENVELOPE = """
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, structure_id) AS rn FROM vec_scores_v),
+    cut AS (SELECT query_id, min(score) AS cut FROM r WHERE rn <= 3 GROUP BY 1),
+    env AS (SELECT v.* FROM vec_scores_v v JOIN cut ON cut.query_id = v.query_id WHERE nextafter(v.score + 0.05::DOUBLE, 'infinity'::DOUBLE) >= cut.cut)"""
+
+
+@query("R8_candidate_envelope", f"WITH {_ENVELOPE} SELECT query_id, structure_id FROM env")
+def candidate_envelope(t):
+    return certified.envelope(t.vec_scores, ["query_id"], "score", "structure_id", _WEIGHT, 3).select("query_id", "structure_id")
+
+
+def _certified(t):
+    """Embedding similarity serves as bounded evidence; external rows have none."""
+    return certified.certified_rerank(t.vec_scores, ["query_id"], "score", "structure_id", _WEIGHT,
+                                      lambda df: F.when(~F.col("external"), F.least(F.col("sim"), F.lit(1.0))), 3)
+
+
+@query("R9_certified_rerank", """
+    WITH f AS (SELECT query_id, structure_id, score + 0.05 * CASE WHEN external THEN 0.0 ELSE least(sim, 1.0) END AS final FROM vec_scores_v),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, structure_id) AS rank FROM f)
+    SELECT query_id, structure_id, rank::INTEGER AS rank, round(final, 6) AS final FROM r WHERE rank <= 3""")
+def certified_rerank(t):
+    """Equal to scoring every candidate, while most are pruned by their bound."""
+    return _certified(t).filter("rank IS NOT NULL").select("query_id", "structure_id", "rank", r6("lower").alias("final"))
+
+
+@query("R9_certificate_summary", """
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, structure_id) AS rn,
+                      score + 0.05 * CASE WHEN external THEN 0.0 ELSE least(sim, 1.0) END AS final FROM vec_scores_v),
+    cut AS (SELECT query_id, min(final) AS cut FROM r WHERE rn <= 3 GROUP BY 1)
+    SELECT r.query_id, count(*) AS rows, count(*) FILTER (rn <= 3 OR nextafter(score + 0.05::DOUBLE, 'infinity'::DOUBLE) >= cut) AS evaluations,
+           count(*) FILTER (NOT (rn <= 3 OR nextafter(score + 0.05::DOUBLE, 'infinity'::DOUBLE) >= cut)) AS pruned
+    FROM r JOIN cut ON cut.query_id = r.query_id GROUP BY 1""")
+def certificate_summary(t):
+    return certified.certificate_summary(_certified(t), ["query_id"])
+
+
+@query("R10_certificate_verification", """
+    SELECT DISTINCT query_id, 0::BIGINT AS changed_unevaluated, 0::BIGINT AS outside_bound, 0::BIGINT AS wrong_rank, 0::BIGINT AS unknown_in_top,
+           0::BIGINT AS could_enter FROM vec_scores_v""")
+def certificate_verification(t):
+    return certified.verify_certificate(_certified(t), ["query_id"], "score", "lower", "evaluated", "rank", "structure_id", _WEIGHT, 3)
+
+
+@query("R11_rerank_inside_top_n", """
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, structure_id) AS rn FROM vec_scores_v),
+    f AS (SELECT *, score + CASE WHEN rn <= 4 THEN 0.5 * sim ELSE 0 END AS final FROM r)
+    SELECT query_id, structure_id, round(final, 8) AS final FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, structure_id) AS k FROM f) WHERE k <= 3""")
+def rerank_inside_top_n(t):
+    d = ranking.rerank_inside(t.vec_scores, ["query_id"], "score", F.col("sim"), 0.5, "structure_id", 4)
+    return ranking.top_k(d, ["query_id"], [F.col("final").desc(), F.col("structure_id")], 3).select(
+        "query_id", "structure_id", F.round("final", 8).alias("final"))
+
+
+@query("R12_isomer_slots", """
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, structure_id) AS slot FROM vec_scores_v),
+    t AS (SELECT query_id, structure_id, slot, score + 0.5 * sim AS final, CASE WHEN structure_id % 4 = 3 THEN concat('u', slot) ELSE concat('F', structure_id % 4) END AS g FROM r WHERE slot <= 25),
+    o AS (SELECT query_id, g, slot, row_number() OVER (PARTITION BY query_id, g ORDER BY slot) AS i FROM t),
+    n AS (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY final DESC, slot) AS i FROM t)
+    SELECT n.query_id, n.structure_id, o.slot::INTEGER AS new_slot FROM n JOIN o ON o.query_id = n.query_id AND o.g = n.g AND o.i = n.i""")
+def isomer_slots(t):
+    top = ranking.top_k(t.vec_scores, ["query_id"], [F.col("score").desc(), F.col("structure_id")], fixed.TOP_K, "slot")
+    formula = F.when(F.col("structure_id") % 4 != 3, F.concat(F.lit("F"), F.col("structure_id") % 4))
+    d = top.withColumn("formula", formula).withColumn("final", F.col("score") + 0.5 * F.col("sim"))
+    return ranking.isomer_slots(d, ["query_id"], "formula", "slot", "final").select("query_id", "structure_id", "new_slot")
+
+
+def _two_ranks(t):
+    """Truth rank by fingerprint score and by score plus similarity."""
+    truth = t.vector_catalog.select(F.col("vec_id").alias("query_id"), F.concat(F.lit("L"), "label").alias("truth"))
+    d = t.vec_scores.withColumn("other", F.round(F.col("score") + 0.5 * F.col("sim"), 8))
+    a = ranking.distinct_top_k(d, ["query_id"], "label", "score", ["structure_id"])
+    b = ranking.distinct_top_k(d, ["query_id"], "label", "other", ["structure_id"])
+    ra = ranking.truth_ranks(truth, a, ["query_id"], "truth", "label").select("query_id", F.col("rank").alias("base_rank"))
+    rb = ranking.truth_ranks(truth, b, ["query_id"], "truth", "label").select("query_id", F.col("rank").alias("other_rank"))
+    return ra.join(rb, "query_id")
+
+
+@query("R13_top1_transitions", """
+    SELECT count(*) FILTER (base_rank <> 1 AND other_rank = 1) AS gained, count(*) FILTER (base_rank = 1 AND other_rank <> 1) AS lost FROM two_ranks_v""")
+def top1_transitions(t):
+    return _two_ranks(t).agg(F.count_if((F.col("base_rank") != 1) & (F.col("other_rank") == 1)).alias("gained"),
+                             F.count_if((F.col("base_rank") == 1) & (F.col("other_rank") != 1)).alias("lost"))
+
+
+@query("R14_lowest_hash_spectra", f"""
+    WITH {_SIGNED}, d AS (SELECT DISTINCT molecule_id, signature FROM sig)
+    SELECT molecule_id, signature, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY molecule_id ORDER BY signature) AS rank FROM d) WHERE rank <= 3""")
+def lowest_hash_spectra(t):
+    return ranking.lowest_hash(signed(t).select("molecule_id", "signature"), ["molecule_id"], "signature", 3)
+
+
+@query("R15_strongest_peaks", """
+    SELECT spectrum_id, mz FROM (SELECT spectrum_id, mz, row_number() OVER (PARTITION BY spectrum_id ORDER BY total DESC, mz) AS rn FROM merged_peaks_v) WHERE rn <= 2""")
+def strongest_peaks(t):
+    return t.raw_lists.select("spectrum_id", F.explode(pk.strongest("peaks", 2)).alias("p")).select("spectrum_id", F.col("p.mz").alias("mz"))
+
+
+@query("R16_packed_peaks", """
+    WITH x AS (SELECT m.spectrum_id, m.mz, m.total, s.precursor_mz, row_number() OVER (PARTITION BY m.spectrum_id ORDER BY m.mz) AS pos,
+                      max(m.total) OVER (PARTITION BY m.spectrum_id) AS top FROM merged_peaks_v m JOIN spectra_v s ON s.spectrum_id = m.spectrum_id),
+    k AS (SELECT *, row_number() OVER (PARTITION BY spectrum_id ORDER BY total DESC, pos DESC) AS rk FROM x),
+    o AS (SELECT *, row_number() OVER (PARTITION BY spectrum_id ORDER BY pos) AS slot FROM k WHERE rk <= 3)
+    SELECT spectrum_id, 0 AS slot, round(max(precursor_mz), 6) AS mz, 1.1::DOUBLE AS i FROM o GROUP BY 1
+    UNION ALL SELECT spectrum_id, slot::INTEGER, round(mz, 6), round(total / top, 6) FROM o
+    UNION ALL SELECT spectrum_id, r::INTEGER, 0.0, 0.0 FROM (SELECT spectrum_id, unnest(range(count(*) + 1, 4)) AS r FROM o GROUP BY spectrum_id)""")
+def packed_peaks(t):
+    d = t.spectra.select("spectrum_id", "precursor_mz").join(t.raw_lists, "spectrum_id")
+    return d.select("spectrum_id", F.posexplode(pk.pack("peaks", "precursor_mz", 3)).alias("slot", "p")).select(
+        "spectrum_id", "slot", r6("p.mz").alias("mz"), r6("p.i").alias("i"))
+
+
+@query("R17_best_representative", """
+    WITH n AS (SELECT l_partkey AS structure_id, count(*) AS n FROM lineitem GROUP BY 1)
+    SELECT structure_key, structure_id, n AS spectra FROM (SELECT c.structure_key, c.structure_id, n.n,
+        row_number() OVER (PARTITION BY c.structure_key ORDER BY n.n DESC, c.structure_id) AS rn FROM catalog_v c JOIN n ON n.structure_id = c.structure_id) WHERE rn = 1""")
+def best_representative(t):
+    n = t.table("lineitem").groupBy(F.col("l_partkey").alias("structure_id")).agg(F.count(F.lit(1)).alias("spectra"))
+    return ranking.best_per_key(t.catalog.join(n, "structure_id"), ["structure_key"], [("spectra", True), ("structure_id", False)])
+
+
+@query("R18_closest_representative", """
+    SELECT structure_key, structure_id FROM (SELECT *, row_number() OVER (PARTITION BY structure_key ORDER BY round(abs(mass - 950.05), 6), structure_id) AS rn FROM catalog_v) WHERE rn = 1""")
+def closest_representative(t):
+    d = t.catalog.withColumn("error", r6(F.abs(F.col("mass") - F.lit(950.05))))
+    return ranking.best_per_key(d, ["structure_key"], [("error", False), ("structure_id", False)]).select("structure_key", "structure_id")
+
+
+@query("R19_rotated_blocks", """
+    WITH p AS (SELECT *, row_number() OVER (ORDER BY mass, structure_id) - 1 AS pos FROM catalog_v),
+    b AS (SELECT *, pos // 32 AS block FROM p)
+    SELECT structure_id, coalesce(lag(structure_key) OVER (PARTITION BY block ORDER BY pos),
+           last_value(structure_key) OVER (PARTITION BY block ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS rotated FROM b""")
+def rotated_blocks(t):
+    return ranking.rotate_blocks(t.catalog, "mass", "structure_id", "structure_key").select("structure_id", "rotated")
+
+
+_FOLD20 = """list_reduce(p, lambda acc, x: {'mz': 0.0::DOUBLE, 'i': 0.0::DOUBLE,
+    'a': CASE WHEN acc.a IS NULL OR x.mz - acc.a >= 20.0 THEN x.mz ELSE acc.a END,
+    'o': CASE WHEN acc.a IS NULL OR x.mz - acc.a >= 20.0 THEN list_append(acc.o, {'mz': x.mz, 'i': x.i})
+              WHEN x.i > acc.o[-1].i THEN list_append(acc.o[:-2], {'mz': x.mz, 'i': x.i}) ELSE acc.o END},
+    {'mz': 0.0::DOUBLE, 'i': 0.0::DOUBLE, 'a': NULL::DOUBLE, 'o': []::STRUCT(mz DOUBLE, i DOUBLE)[]}).o"""
+
+
+@query("R20_anchored_peak_merge", f"""
+    WITH x AS (SELECT s.molecule_id, m.mz, max(m.total / m.top) AS i FROM (SELECT *, max(total) OVER (PARTITION BY spectrum_id) AS top FROM merged_peaks_v) m
+               JOIN spectra_v s ON s.spectrum_id = m.spectrum_id GROUP BY 1, 2),
+    l AS (SELECT molecule_id, list({{'mz': mz, 'i': i}} ORDER BY mz) AS p FROM x GROUP BY 1),
+    f AS (SELECT molecule_id, {_FOLD20} AS o FROM l)
+    SELECT molecule_id, p.mz AS mz, round(p.i, 6) AS i FROM (SELECT molecule_id, unnest(o) AS p FROM f)""")
+def anchored_peak_merge(t):
+    lists = t.raw_lists.select("spectrum_id", F.explode(pk.scale_to_base("peaks")).alias("p"))
+    rows = lists.join(t.spectra.select("spectrum_id", "molecule_id"), "spectrum_id").select("molecule_id", "p.mz", "p.i")
+    return anchored.merge_peak_rows(rows, ["molecule_id"], "mz", "i", 20.0).select("molecule_id", "mz", r6("i").alias("i"))
+
+
+@query("R21_compatible_precursors", """
+    WITH d AS (SELECT adduct, instrument, precursor_mz, count(*) AS n FROM spectra_v GROUP BY 1, 2, 3),
+    l AS (SELECT adduct, instrument, list({'p': precursor_mz, 'n': n} ORDER BY precursor_mz) AS m FROM d GROUP BY 1, 2),
+    f AS (SELECT adduct, instrument, list_reduce(m, lambda acc, x: CASE WHEN acc.a IS NULL OR x.p - acc.a > greatest(0.02, acc.a * 500.0 * 1e-6)
+            THEN {'p': 0.0::DOUBLE, 'n': 0::BIGINT, 'a': x.p, 'o': list_append(acc.o, {'a': x.p, 'n': x.n})}
+            ELSE {'p': 0.0::DOUBLE, 'n': 0::BIGINT, 'a': acc.a, 'o': list_append(acc.o[:-2], {'a': acc.a, 'n': acc.o[-1].n + x.n})} END,
+            {'p': 0.0::DOUBLE, 'n': 0::BIGINT, 'a': NULL::DOUBLE, 'o': []::STRUCT(a DOUBLE, n BIGINT)[]}).o AS o FROM l)
+    SELECT adduct, instrument, g.a AS anchor, g.n AS spectra FROM (SELECT adduct, instrument, unnest(o) AS g FROM f)""")
+def compatible_precursors(t):
+    g = audits.compatible_groups(t.spectra, ["adduct", "instrument"], "precursor_mz", 500.0)
+    return g.groupBy("adduct", "instrument", "run", "sub").agg(
+        F.min("precursor_mz").alias("anchor"), F.sum("spectra").alias("spectra")).select("adduct", "instrument", "anchor", "spectra")
+
+
+@query("R22_condition_groups", """
+    SELECT spectrum_id, adduct, instrument, CASE WHEN z > 0 THEN 'positive' ELSE 'negative' END AS mode,
+           row_number() OVER (PARTITION BY adduct, instrument, z > 0 ORDER BY precursor_mz, energy, spectrum_id) - 1 AS pos FROM neutral_v""")
+def condition_groups(t):
+    d = t.neutral.withColumn("mode", F.when(F.col("z") > 0, "positive").otherwise("negative"))
+    return ordering.grouped_rank(d, ["adduct", "instrument", "mode"], ["precursor_mz", "energy", "spectrum_id"]).select(
+        "spectrum_id", "adduct", "instrument", "mode", "pos")
+
+
+@query("R23_trailing_budget", """
+    WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events),
+    w AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS recent,
+                 lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS prev FROM e)
+    SELECT event_id, recent, recent < 2 AS allowed, CASE WHEN recent < 2 THEN us ELSE prev + 86400000000 END AS next_free FROM w""")
+def trailing_budget(t):
+    from massloom.functions.text import epoch_micros
+
+    e = t.table("events").select("event_id", "user_id", epoch_micros("ts").alias("us"))
+    return audits.trailing_budget(e, ["user_id"], "us", "event_id").select("event_id", "recent", "allowed", "next_free")
+
+
+@query("R24_mass_only_rank", "SELECT query_id, rank::INTEGER AS rank FROM mass_ranks_v")
+def mass_only_rank(t):
+    return mass_search_ranks(t).select("query_id", "rank")
+
+
+@query("R25_mass_sorted_catalogue", "SELECT structure_id, row_number() OVER (ORDER BY mass, structure_key, structure_id) - 1 AS pos FROM catalog_v")
+def mass_sorted_catalogue(t):
+    """The sorted write is ``models.mass_sorted``; the position of every row proves the order."""
+    in_order = models.mass_sorted(t.catalog, "mass", ["structure_key", "structure_id"])
+    return ordering.global_rank(in_order, ["mass", "structure_key", "structure_id"]).select("structure_id", "pos")
+
+
+@query("R_ranked_list_by_mass", """
+    SELECT obs, string_agg(structure_key, ';' ORDER BY rank) AS guesses, count(*) AS n_guesses FROM (
+        SELECT obs, structure_key, row_number() OVER (PARTITION BY obs ORDER BY d, structure_id) AS rank FROM (
+            SELECT p.obs, c.structure_key, c.structure_id, round(abs(c.mass - p.obs), 6) AS d,
+                   row_number() OVER (PARTITION BY p.obs, c.structure_key ORDER BY round(abs(c.mass - p.obs), 6), c.structure_id) AS rk
+            FROM (SELECT DISTINCT obs FROM queries_v) p JOIN catalog_v c
+              ON c.mass BETWEEN p.obs - greatest(0.02, p.obs * 300.0 * 1e-6) AND p.obs + greatest(0.02, p.obs * 300.0 * 1e-6)) WHERE rk = 1)
+    WHERE rank <= 25 GROUP BY 1""")
+def ranked_list_by_mass(t):
+    return ranking.ranked_list(ranked_by_mass(t), "obs", "structure_key")

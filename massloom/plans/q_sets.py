@@ -1 +1,180 @@
-"""Queries."""
+"""Signatures, de-duplication, leak-free splits, set comparisons."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from massloom import fixed
+from massloom.functions.hashing import hash_mod, is_holdout, salted
+from massloom.functions.numeric import r6
+from massloom.functions.peaks import fine_digest
+from massloom.operators import audits, ranges, splits
+from massloom.operators.ranking import ranked_list, top_k
+from massloom.plans import sqlparts as sp
+from massloom.plans.q_aggregates import _SIGNED, signed
+from massloom.registry import query
+
+
+@query("D1_spectrum_signature", f"WITH {_SIGNED} SELECT spectrum_id, signature FROM sig")
+def spectrum_signature(t):
+    return signed(t).select("spectrum_id", "signature")
+
+
+@query("D2_fine_digest", """
+    SELECT s.spectrum_id, sha256(concat_ws('|', s.adduct, round(s.precursor_mz * 1e8)::BIGINT::VARCHAR,
+        array_to_string(list_transform(p.peaks, lambda x: round(x.mz * 1e8)::BIGINT), ','),
+        array_to_string(list_transform(p.peaks, lambda x: round(x.i / tot * 1e12)::BIGINT), ','), (energy * 1000000)::BIGINT::VARCHAR)) AS digest
+    FROM spectra_v s JOIN (SELECT *, list_sum(list_transform(peaks, lambda x: x.i)) AS tot FROM raw_lists_v) p ON p.spectrum_id = s.spectrum_id""")
+def fine(t):
+    d = t.spectra.join(t.raw_lists, "spectrum_id")
+    return d.select("spectrum_id", fine_digest("adduct", "precursor_mz", "peaks", F.array("energy")).alias("digest"))
+
+
+@query("D3_digest_dedup", "SELECT sha256(text) AS digest, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+def digest_dedup(t):
+    """First row per digest, by a partially aggregated minimum: a large group of copies shrinks before the shuffle."""
+    return t.table("documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("D4_reference_dedup", """
+    SELECT source, count(*) AS kept, sum(n)::BIGINT AS scanned FROM (SELECT source, sha256(text) AS s, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1""")
+def reference_dedup(t):
+    d = t.table("documents").groupBy("source", F.sha2("text", 256).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("scanned"))
+
+
+@query("D5_distinct_strings", "SELECT DISTINCT structure_key FROM catalog_v WHERE trim(structure_key) <> ''")
+def distinct_strings(t):
+    return t.catalog.select("structure_key").filter(F.trim("structure_key") != "").distinct()
+
+
+@query("D6_hash_holdout", f"""
+    SELECT structure_key, {sp.hash_mod(fixed.SALT_HOLDOUT, 'structure_key', 10)} = 0 AS holdout, {sp.hash_mod('', 'structure_key', 5)} = 0 AS unsalted
+    FROM (SELECT DISTINCT structure_key FROM catalog_v)""")
+def hash_holdout(t):
+    return t.catalog.select("structure_key").distinct().select(
+        "structure_key", is_holdout("structure_key", fixed.SALT_HOLDOUT).alias("holdout"), is_holdout("structure_key", "", 5).alias("unsalted"))
+
+
+@query("D7_structure_folds", f"""
+    SELECT {sp.hash_mod('', 'structure_key', 5)} AS fold, count(*) AS rows, count(DISTINCT structure_key) AS keys FROM catalog_v GROUP BY 1""")
+def structure_folds(t):
+    """All rows of a key share a fold."""
+    per_key = t.catalog.groupBy("structure_key").agg(F.count(F.lit(1)).alias("n"))
+    return per_key.groupBy(hash_mod("", "structure_key", 5).alias("fold")).agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys"))
+
+
+@query("D8_hash_sample", f"""
+    SELECT k AS structure_key FROM (SELECT DISTINCT structure_key AS k FROM catalog_v) ORDER BY sha256('{fixed.SALT_FRESH}' || k) LIMIT 50""")
+def hash_sample(t):
+    return splits.hash_sample(t.catalog, "structure_key", fixed.SALT_FRESH, 50).select("structure_key")
+
+
+@query("D9_role_partition", f"""
+    WITH p AS (SELECT DISTINCT structure_key FROM catalog_v WHERE NOT {sp.hash_mod(fixed.SALT_HOLDOUT, 'structure_key', 10)} = 0),
+    r AS (SELECT structure_key, row_number() OVER (ORDER BY sha256('{fixed.SALT_ROLES}' || structure_key)) - 1 AS pos FROM p)
+    SELECT structure_key, CASE WHEN pos < 20 THEN 'screen' WHEN pos < 40 THEN 'select' ELSE 'audit' END AS role, pos FROM r WHERE pos < 100""")
+def role_partition(t):
+    used = t.catalog.filter(is_holdout("structure_key", fixed.SALT_HOLDOUT))
+    return splits.role_partition(t.catalog, "structure_key", fixed.SALT_ROLES, {"screen": 20, "select": 20, "audit": 60}, used)
+
+
+@query("D10_forced_calibration", f"""
+    WITH k AS (SELECT structure_key, bool_or(structure_id < 100) AS used FROM catalog_v GROUP BY 1),
+    r AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN used THEN '0' ELSE '1' END || sha256('{fixed.SALT_TARGET}' || structure_key)) - 1 AS pos FROM k)
+    SELECT structure_key, CASE WHEN pos < 150 THEN 'calibration' ELSE 'audit' END AS role, used AS previously_used FROM r""")
+def forced_calibration(t):
+    return splits.forced_calibration(t.catalog, "structure_key", t.catalog.filter("structure_id < 100"), fixed.SALT_TARGET, 150)
+
+
+@query("D11_acquisition_split", f"""
+    WITH {_SIGNED}, d AS (SELECT molecule_id, signature, min({{'source': instrument, 'condition': concat(adduct, '/', energy)}}) AS a FROM sig GROUP BY 1, 2),
+    e AS (SELECT molecule_id, signature, a.source AS source, a.condition AS condition FROM d),
+    s AS (SELECT molecule_id, count(*) AS n, count(DISTINCT source) AS ns, count(DISTINCT condition) AS nc,
+                 arg_min(source, sha256('{fixed.SALT_ACQUISITION}' || source)) AS ps, arg_min(condition, sha256('{fixed.SALT_ACQUISITION}' || condition)) AS pc FROM e GROUP BY 1 HAVING count(*) >= 2),
+    j AS (SELECT e.*, s.n, s.ns, s.nc, s.ps, s.pc, row_number() OVER (PARTITION BY e.molecule_id ORDER BY e.signature) AS i FROM e JOIN s ON s.molecule_id = e.molecule_id)
+    SELECT molecule_id, signature, CASE WHEN ns >= 2 THEN 'source_instrument' WHEN nc >= 2 THEN 'adduct_energy' ELSE 'distinct_normalized_spectrum' END AS unit,
+           CASE WHEN CASE WHEN ns >= 2 THEN source = ps WHEN nc >= 2 THEN condition = pc ELSE i <= greatest(n // 2, 1) END THEN 'query' ELSE 'reference' END AS side FROM j""")
+def acquisition_split(t):
+    d = signed(t).select("molecule_id", "signature", F.col("instrument").alias("source"),
+                         F.concat_ws("/", "adduct", F.col("energy").cast("string")).alias("condition"))
+    return splits.acquisition_split(d, "molecule_id", "signature", "source", "condition", fixed.SALT_ACQUISITION)
+
+
+@query("D12_hashed_source", """
+    SELECT lang, arg_min(source, sha256('seed-1:source:' || lang || ':' || source)) AS source FROM (SELECT DISTINCT lang, source FROM documents) GROUP BY 1""")
+def hashed_source(t):
+    return splits.hashed_choice(t.table("documents"), "lang", "source", "seed-1")
+
+
+@query("D13_split_overlap", f"""
+    WITH r AS (SELECT DISTINCT structure_key, CASE WHEN {sp.hash_mod(fixed.SALT_HOLDOUT, 'structure_key', 10)} = 0 THEN 'holdout' ELSE 'train' END AS role FROM catalog_v
+               UNION SELECT DISTINCT structure_key, 'external' FROM catalog_v WHERE external)
+    SELECT concat(a.role, '&', b.role) AS pair, count(*) AS keys FROM r a JOIN r b ON a.structure_key = b.structure_key AND a.role < b.role GROUP BY 1""")
+def split_overlap(t):
+    """Disjoint roles give no row; the external role overlaps on purpose."""
+    k = t.catalog.select("structure_key").distinct()
+    main = k.select("structure_key", F.when(is_holdout("structure_key", fixed.SALT_HOLDOUT), "holdout").otherwise("train").alias("role"))
+    ext = t.catalog.filter("external").select("structure_key", F.lit("external").alias("role")).distinct()
+    return splits.role_overlaps(main.unionByName(ext), "structure_key")
+
+
+@query("D14_id_set_report", """
+    WITH e AS (SELECT doc_id, count(*) AS n FROM documents GROUP BY 1), a AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM labels UNION ALL SELECT item_id FROM benchmark) GROUP BY 1)
+    SELECT coalesce(e.doc_id, a.doc_id) AS doc_id, CASE WHEN a.n IS NULL THEN 'missing' WHEN e.n IS NULL THEN 'extra' ELSE 'duplicate' END AS kind, coalesce(a.n, 0) AS times
+    FROM e FULL JOIN a ON a.doc_id = e.doc_id WHERE a.n IS NULL OR e.n IS NULL OR a.n > 1""")
+def id_set_report(t):
+    actual = t.table("labels").select("doc_id").unionByName(t.table("benchmark").select(F.col("item_id").alias("doc_id")))
+    return splits.id_set_report(t.table("documents").select("doc_id"), actual, "doc_id")
+
+
+@query("D15_result_equivalence", """
+    WITH l AS (SELECT structure_key, count(*) AS n FROM catalog_v GROUP BY 1), r AS (SELECT structure_key, count(*) AS n FROM catalog_v WHERE NOT external GROUP BY 1)
+    SELECT l.structure_key, (l.n - coalesce(r.n, 0))::BIGINT AS surplus FROM l LEFT JOIN r ON r.structure_key = l.structure_key WHERE l.n <> coalesce(r.n, 0)""")
+def result_equivalence(t):
+    return splits.result_differences(t.catalog, t.catalog.filter(~F.col("external")), ["structure_key"])
+
+
+@query("D16_duplicate_guesses", """
+    WITH l AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY 1)
+    SELECT conv_id, len(r)::INTEGER AS n_items, len(list_distinct(r))::INTEGER AS n_distinct, len(r) <> len(list_distinct(r)) AS repeats FROM l""")
+def duplicate_guesses(t):
+    """Counts need no list: entries and distinct entries are two partial aggregates."""
+    d = t.table("conversations").groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n"))
+    return d.groupBy("conv_id").agg(F.sum("n").cast("int").alias("n_items"), F.count(F.lit(1)).cast("int").alias("n_distinct")).withColumn(
+        "repeats", F.col("n_items") != F.col("n_distinct"))
+
+
+@query("D17_regimes", f"""
+    WITH h AS (SELECT v.*, {sp.hash_mod(fixed.SALT_HOLDOUT, 'v.structure_key', 3)} = 0 AS held FROM vec_scores_v v),
+    r AS (SELECT h.*, g.regime, CASE WHEN g.regime <> 'available' AND held THEN 0.0 ELSE sim END AS spectral FROM h
+          JOIN (VALUES ('available'), ('absent'), ('external_recovery')) g(regime) ON NOT (g.regime = 'external_recovery' AND held AND NOT external)),
+    u AS (SELECT *, row_number() OVER (PARTITION BY query_id, regime, label ORDER BY external, structure_id) AS rn FROM r)
+    SELECT regime, count(*) AS candidates, round(sum(spectral), 6) AS evidence FROM u WHERE rn = 1 GROUP BY 1""")
+def regimes(t):
+    """available, absent (own references give no evidence), external recovery (own original rows removed)."""
+    from massloom.operators.ranking import best_per_key
+
+    h = t.vec_scores.withColumn("held", is_holdout("structure_key", fixed.SALT_HOLDOUT, 3)).withColumn("origin", F.col("external").cast("int"))
+    r = splits.regimes(h, ["available", "absent", "external_recovery"]).filter(
+        ~((F.col("regime") == "external_recovery") & F.col("held") & ~F.col("external")))
+    r = r.withColumn("spectral", F.when((F.col("regime") != "available") & F.col("held"), F.lit(0.0)).otherwise(F.col("sim")))
+    u = best_per_key(r, ["query_id", "regime", "label"], [("origin", False), ("structure_id", False)], ["spectral"])
+    return u.groupBy("regime").agg(F.count(F.lit(1)).alias("candidates"), r6(F.sum("spectral")).alias("evidence"))
+
+
+@query("M11_prediction_audit", """
+    WITH c AS (SELECT p.obs, c.structure_key, c.structure_id, row_number() OVER (PARTITION BY p.obs ORDER BY round(abs(c.mass - p.obs), 6), c.structure_id) AS rn
+               FROM (SELECT DISTINCT obs FROM queries_v) p JOIN catalog_v c ON c.mass BETWEEN p.obs - greatest(0.02, p.obs * 400.0 * 1e-6) AND p.obs + greatest(0.02, p.obs * 400.0 * 1e-6)),
+    l AS (SELECT obs, list(CASE WHEN structure_id % 97 = 0 THEN '' WHEN structure_id % 89 = 0 THEN 'é' ELSE structure_key END ORDER BY rn) AS g FROM c WHERE rn <= 30 GROUP BY 1),
+    d AS (SELECT obs, g, list_filter(g, lambda x: x <> '') AS f FROM l)
+    SELECT count(*) AS rows, sum(len(g))::BIGINT AS guesses, 0::BIGINT AS duplicate_ids, 0::BIGINT AS empty_cells, count(*) FILTER (len(g) > len(f)) AS rows_with_empty_tokens,
+           count(*) FILTER (len(g) > 25) AS too_many_guesses, count(*) FILTER (len(f) > len(list_distinct(f))) AS rows_with_repeats,
+           sum(len(list_filter(f, lambda x: x = 'é')))::BIGINT AS non_ascii_guesses FROM d""")
+def prediction_audit(t):
+    c = ranges.mass_candidates(t.queries.select("obs").distinct(), t.catalog, ppm=400.0, da=0.02, width=0.8).withColumn(
+        "d", r6(F.abs(F.col("mass") - F.col("obs"))))
+    top = top_k(c, ["obs"], [F.col("d"), F.col("structure_id")], 30)
+    guess = F.when(F.col("structure_id") % 97 == 0, "").when(F.col("structure_id") % 89 == 0, "é").otherwise(F.col("structure_key"))
+    cells = ranked_list(top.withColumn("guess", guess), "obs", "guess")
+    return audits.prediction_summary(audits.prediction_rows(cells, "obs", "guesses"), "obs")

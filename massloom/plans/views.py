@@ -52,6 +52,16 @@ SQL_VIEWS: dict[str, str] = {
         SELECT spectrum_id, list({'mz': mz, 'i': total / tot} ORDER BY mz) AS peaks
         FROM (SELECT *, sum(total) OVER (PARTITION BY spectrum_id) AS tot FROM merged_peaks_v)
         GROUP BY spectrum_id""",
+    "mass_ranks_v": """
+        SELECT q.query_id, q.truth_key, q.truth_id, q.obs, coalesce(r.rank, 0) AS rank
+        FROM queries_v q LEFT JOIN (
+            SELECT obs, structure_key, row_number() OVER (PARTITION BY obs ORDER BY d, structure_id) AS rank
+            FROM (SELECT p.obs, c.structure_key, c.structure_id, round(abs(c.mass - p.obs), 6) AS d,
+                         row_number() OVER (PARTITION BY p.obs, c.structure_key ORDER BY round(abs(c.mass - p.obs), 6), c.structure_id) AS rk
+                  FROM (SELECT DISTINCT obs FROM queries_v) p JOIN catalog_v c
+                    ON c.mass BETWEEN p.obs - greatest(0.02, p.obs * 300.0 * 1e-6) AND p.obs + greatest(0.02, p.obs * 300.0 * 1e-6))
+            WHERE rk = 1) r
+          ON r.obs = q.obs AND r.structure_key = q.truth_key AND r.rank <= 25""",
     "library_pairs_v": """
         SELECT q.spectrum_id AS q_id, r.spectrum_id AS r_id, q.precursor_mz AS q_prec, r.precursor_mz AS r_prec,
                q.adduct AS q_adduct, r.adduct AS r_adduct, q.n AS q_n, r.n AS r_n, q.z AS q_z, r.z AS r_z,
@@ -72,6 +82,17 @@ SQL_VIEWS: dict[str, str] = {
               FROM vector_pairs_v p JOIN vectors_v q ON q.vec_id = p.query_id
               JOIN vectors_v c ON c.vec_id = p.structure_id AND c.bit = q.bit
               GROUP BY p.query_id, p.structure_id) g""",
+    "two_ranks_v": """
+        SELECT a.query_id, a.rank AS base_rank, b.rank AS other_rank FROM (
+            SELECT query_id, coalesce(min(rank) FILTER (label = truth AND rank <= 25), 0) AS rank FROM (
+                SELECT query_id, truth, label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, structure_id) AS rank FROM (
+                    SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, structure_id) AS rk FROM vec_scores_v) WHERE rk = 1)
+            GROUP BY 1) a
+        JOIN (SELECT query_id, coalesce(min(rank) FILTER (label = truth AND rank <= 25), 0) AS rank FROM (
+                SELECT query_id, truth, label, row_number() OVER (PARTITION BY query_id ORDER BY other DESC, structure_id) AS rank FROM (
+                    SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY other DESC, structure_id) AS rk
+                    FROM (SELECT *, round(score + 0.5 * sim, 8) AS other FROM vec_scores_v)) WHERE rk = 1)
+            GROUP BY 1) b ON b.query_id = a.query_id""",
     "vectors_v": """
         SELECT vec_id, label, i AS bit, embedding[i]::DOUBLE AS x,
                1 / (1 + exp(-8 * embedding[i]::DOUBLE)) AS p
