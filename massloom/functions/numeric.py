@@ -1,6 +1,8 @@
 """Small numeric expressions shared by every operator."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once; a repeated sub-expression inside array functions is not shared otherwise."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def r6(c: Column | str) -> Column:
     return F.round(col(c), 6)
 

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massloom import fixed
-from massloom.functions.numeric import col, finite
+from massloom.functions.numeric import col, finite, let
 
 
 def peak(mz: Column, i: Column) -> Column:
@@ -26,15 +26,17 @@ def base_peak(peaks: Column | str) -> Column:
 
 def normalise(peaks: Column | str) -> Column:
     """Intensities divided by their sum."""
-    p = col(peaks)
-    return F.transform(p, lambda x: peak(x["mz"], x["i"] / total(p)))
+    return let(col(peaks), lambda p: let(total(p), lambda s: F.transform(p, lambda x: peak(x["mz"], x["i"] / s))))
 
 
 def merge_equal(peaks: Column | str) -> Column:
     """Positive peaks ordered by m/z, intensities of equal m/z added."""
-    p = F.array_sort(F.filter(col(peaks), lambda x: x["i"] > 0))
-    masses = F.array_distinct(F.transform(p, lambda x: x["mz"]))
-    return F.transform(masses, lambda m: peak(m, total(F.filter(p, lambda x: x["mz"] == m))))
+    def merged(p: Column) -> Column:
+        masses = F.array_distinct(F.transform(p, lambda x: x["mz"]))
+        added = F.transform(masses, lambda m: peak(m, total(F.filter(p, lambda x: x["mz"] == m))))
+        return F.when(F.size(masses) == F.size(p), p).otherwise(added)
+
+    return let(F.array_sort(F.filter(col(peaks), lambda x: x["i"] > 0)), merged)
 
 
 def collect_peaks(df: DataFrame, key: str, normalised: bool = True) -> DataFrame:
@@ -66,8 +68,7 @@ def below(peaks: Column | str, precursor: Column | str, margin: float) -> Column
 
 
 def relative_floor(peaks: Column | str, floor: float) -> Column:
-    p = col(peaks)
-    return F.filter(p, lambda x: x["i"] >= F.lit(floor) * base_peak(p))
+    return let(col(peaks), lambda p: let(F.lit(floor) * base_peak(p), lambda m: F.filter(p, lambda x: x["i"] >= m)))
 
 
 def neutral_loss(peaks: Column | str, precursor: Column | str) -> Column:
@@ -97,7 +98,7 @@ def pack(peaks: Column | str, precursor: Column | str, n: int = 100) -> Column:
     kept = F.slice(F.array_sort(indexed), 1, n)
     ordered = F.array_sort(F.transform(kept, lambda x: F.struct((-x["j"]).alias("j"), x["mz"].alias("mz"),
                                                                (-x["k"]).alias("i"))))
-    scaled = F.transform(ordered, lambda x: peak(x["mz"], x["i"] / base_peak(p)))
+    scaled = let(base_peak(p), lambda m: F.transform(ordered, lambda x: peak(x["mz"], x["i"] / m)))
     head = F.array(peak(col(precursor), F.lit(1.1)))
     pad = F.array_repeat(peak(F.lit(0.0), F.lit(0.0)), F.greatest(F.lit(n) - F.size(scaled), F.lit(0)))
     return F.concat(head, scaled, pad)
@@ -131,8 +132,7 @@ def anchored_merge(peaks: Column | str, tolerance: float = 0.005) -> Column:
 
 
 def scale_to_base(peaks: Column | str) -> Column:
-    p = col(peaks)
-    return F.transform(p, lambda x: peak(x["mz"], x["i"] / base_peak(p)))
+    return let(col(peaks), lambda p: let(base_peak(p), lambda m: F.transform(p, lambda x: peak(x["mz"], x["i"] / m))))
 
 
 def fixed_point(c: Column, digits: int) -> Column:
@@ -142,21 +142,19 @@ def fixed_point(c: Column, digits: int) -> Column:
 
 def signature(adduct: Column | str, precursor: Column | str, peaks: Column | str) -> Column:
     """Digest that ignores peak order and intensity scale (precursor and m/z 1e-4, intensity 1e-6)."""
-    p = F.array_sort(normalise(peaks))
-    return F.sha2(F.concat_ws(
+    return let(F.array_sort(normalise(peaks)), lambda p: F.sha2(F.concat_ws(
         "|", col(adduct), fixed_point(col(precursor), 4),
         F.array_join(F.transform(p, lambda x: fixed_point(x["mz"], 4)), ","),
-        F.array_join(F.transform(p, lambda x: fixed_point(x["i"], 6)), ",")), 256)
+        F.array_join(F.transform(p, lambda x: fixed_point(x["i"], 6)), ",")), 256))
 
 
 def fine_digest(adduct: Column | str, precursor: Column | str, peaks: Column | str, energies: Column | str) -> Column:
     """As ``signature`` at 1e-8 / 1e-12 and including the collision energies."""
-    p = F.array_sort(normalise(peaks))
-    return F.sha2(F.concat_ws(
+    return let(F.array_sort(normalise(peaks)), lambda p: F.sha2(F.concat_ws(
         "|", col(adduct), fixed_point(col(precursor), 8),
         F.array_join(F.transform(p, lambda x: fixed_point(x["mz"], 8)), ","),
         F.array_join(F.transform(p, lambda x: fixed_point(x["i"], 12)), ","),
-        F.array_join(F.transform(col(energies), lambda e: fixed_point(e.cast("double"), 6)), ",")), 256)
+        F.array_join(F.transform(col(energies), lambda e: fixed_point(e.cast("double"), 6)), ",")), 256))
 
 
 TOKEN_FIELDS = (

@@ -116,7 +116,7 @@ def prediction_rows(df: DataFrame, query: str, cell: str) -> DataFrame:
     """Per-row format audit of ``;``-joined guesses."""
     raw = F.split(F.coalesce(F.col(cell), F.lit("")), ";")
     empty_cell = F.col(cell).isNull() | (F.trim(F.col(cell)) == "")
-    tokens = F.transform(raw, F.trim)
+    tokens = F.transform(raw, lambda x: F.trim(x))
     filled = F.filter(tokens, lambda t: t != "")
     return df.select(
         query, empty_cell.alias("empty_cell"),

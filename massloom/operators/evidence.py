@@ -19,20 +19,21 @@ def states(composition: str):
 def subformula_masses(formulas: DataFrame, key: str, composition: str, max_states: float = 2e6) -> DataFrame:
     """(key, mass): distinct masses of all sub-compositions of each distinct formula within budget.
 
-    The budget is tested on a column before anything is generated. Elements are
-    added one at a time with duplicates removed in between, so the intermediate
-    size is the number of distinct partial masses.
+    The budget is tested on a column before anything is generated. Each element
+    multiplies the rows in place by its possible counts, so the only exchange is
+    the final removal of duplicates.
     """
-    within = formulas.filter(states(composition) <= max_states).select(key, composition).distinct()
-    atoms = within.select(key, F.posexplode(composition).alias("i", "a")).select(
-        key, F.col("a.element").alias("element"), F.col("a.count").alias("count"))
-    out = within.select(key, F.lit(0.0).alias("mass"))
-    for element in sorted(fixed.FORMULA_ELEMENTS):
-        n = atoms.filter(F.col("element") == element).select(key, "count")
-        steps = F.sequence(F.lit(0), F.coalesce("count", F.lit(0)))
-        out = out.join(n, key, "left").withColumn("k", F.explode(steps)).select(
-            key, (F.col("mass") + F.col("k") * F.lit(fixed.ELEMENT_MASS[element])).alias("mass"))
-    return out.distinct()
+    def count(element: str):
+        hit = F.filter(composition, lambda a: a["element"] == element)
+        return F.coalesce(F.get(hit, 0)["count"], F.lit(0)).alias(f"n_{element}")
+
+    elements = sorted(fixed.FORMULA_ELEMENTS)
+    out = formulas.filter(states(composition) <= max_states).select(
+        key, *[count(e) for e in elements]).distinct().withColumn("mass", F.lit(0.0))
+    for e in elements:
+        out = out.withColumn("k", F.explode(F.sequence(F.lit(0), F.col(f"n_{e}")))).withColumn(
+            "mass", F.col("mass") + F.col("k") * F.lit(fixed.ELEMENT_MASS[e]))
+    return out.select(key, "mass").distinct()
 
 
 def fragment_peaks(spectra: DataFrame, keys: list[str], relative_floor: float = 0.01, ppm: float = 5.0,

@@ -69,7 +69,7 @@ def read_mgf(spark: SparkSession, path: str) -> DataFrame:
     are parsed in parallel by column expressions.
     """
     raw = spark.read.option("lineSep", "END IONS").text(path)
-    lines = F.filter(F.transform(F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n"), F.trim),
+    lines = F.filter(F.transform(F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n"), lambda x: F.trim(x)),
                      lambda x: (x != "") & ~x.rlike("^[#;]"))
     d = raw.select(lines.alias("lines")).filter(F.size("lines") > 0)
     begins = F.size(F.filter("lines", lambda x: F.upper(x) == "BEGIN IONS"))
