@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +19,14 @@ def rank_with_adapter(df: DataFrame, query: list[str], inputs: list[str], adapte
     The function maps column batches to scores; Spark orders them and validates
     that each query got exactly min(k, n) distinct rows of its own.
     """
-    udf = F.pandas_udf(adapter, "double")
-    scored = df.withColumn("adapter_score", udf(*inputs))
-    finite = F.col("adapter_score").isNotNull() & ~F.isnan("adapter_score")
-    checked = scored.withColumn("adapter_score", F.when(finite, F.col("adapter_score")).otherwise(
-        F.raise_error(F.lit("adapter returned a nonfinite score")).cast("double")))
-    return top_k(checked, query, [F.col("adapter_score").desc(), F.col(pos)], k)
+    def checked(*columns: pd.Series) -> pd.Series:
+        scores = adapter(*columns)
+        if len(scores) != len(columns[0]) or not np.isfinite(scores.to_numpy(dtype=float)).all():
+            raise ValueError("adapter must return one finite score per candidate")
+        return scores
+
+    scored = df.withColumn("adapter_score", F.pandas_udf(checked, "double")(*inputs))
+    return top_k(scored, query, [F.col("adapter_score").desc(), F.col(pos)], k)
 
 
 def adapter_violations(ranked: DataFrame, candidates: DataFrame, query: list[str], pos: str, k: int = fixed.TOP_K) -> DataFrame:

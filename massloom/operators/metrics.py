@@ -30,8 +30,11 @@ def paired_bootstrap(units: DataFrame, unit: str, delta: str, repeats: int = 200
     draws = units.sparkSession.range(repeats * n).select(
         F.expr(f"id div {n}").alias("r"),
         draw(F.concat_ws(":", F.lit(seed), F.expr(f"id div {n}"), F.col("id") % n), F.lit(n)).alias("pos"))
-    means = draws.join(placed, "pos").groupBy("r").agg(F.avg(delta).alias("m"))
-    return _interval(units, delta, means)
+    # The identity sample rides along as r = -1, so the point estimate needs no second pass.
+    own = placed.select(F.lit(-1).cast("bigint").alias("r"), delta)
+    means = draws.join(placed, "pos").select("r", delta).unionByName(own).groupBy("r").agg(
+        F.avg(delta).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _interval(means)
 
 
 def poisson_bootstrap(units: DataFrame, unit: str, delta: str, repeats: int = 2000, seed: str = "26091603") -> DataFrame:
@@ -46,17 +49,21 @@ def poisson_bootstrap(units: DataFrame, unit: str, delta: str, repeats: int = 20
         cum += p
         weight = weight + F.when(F.col("u") >= F.lit(cum), 1).otherwise(0)
         p /= count + 1
-    w = (units.select(unit, delta, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("r"))
-         .withColumn("u", u).withColumn("w", weight))
-    means = w.groupBy("r").agg((F.sum(F.col("w") * F.col(delta)) / F.sum("w")).alias("m"))
-    return _interval(units, delta, means)
-
-
-def _interval(units: DataFrame, delta: str, means: DataFrame) -> DataFrame:
-    # One mean per repeat: a fixed, small number of rows.
-    ci = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("ci")).scalar()
-    return (units.agg(F.count(F.lit(1)).alias("units"), F.avg(delta).alias("delta")).withColumn("ci", ci)
-            .select("units", "delta", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi")))
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # One row per unit is spread out before it multiplies; r = -1 keeps weight 1 for the point estimate.
+    w = (units.select(unit, delta).repartition(tasks, unit)
+         .select(unit, delta, F.explode(F.sequence(F.lit(-1), F.lit(repeats - 1))).alias("r"))
+         .withColumn("u", F.when(F.col("r") >= 0, u)).withColumn("w", F.when(F.col("r") < 0, 1).otherwise(weight)))
+    means = w.groupBy("r").agg((F.sum(F.col("w") * F.col(delta)) / F.sum("w")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _interval(means)
+
+
+def _interval(means: DataFrame) -> DataFrame:
+    """Point estimate from r = -1 and the interval from one mean per repeat (a fixed, small number of rows)."""
+    drawn = F.when(F.col("r") >= 0, F.col("m"))
+    return means.agg(
+        F.max(F.when(F.col("r") < 0, F.col("n"))).alias("units"), F.max(F.when(F.col("r") < 0, F.col("m"))).alias("delta"),
+        F.percentile(drawn, 0.025).alias("lo"), F.percentile(drawn, 0.975).alias("hi"))
 
 
 def grid(df: DataFrame, configs: list[dict]) -> DataFrame:

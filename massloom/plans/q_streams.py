@@ -1 +1,108 @@
-"""Queries."""
+"""Streaming queries: each runs to the end of its input and is compared with the batch result."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from massloom.functions.numeric import r6
+from massloom.operators import audits
+from massloom.operators.ranges import mass_candidates, mass_shortlist
+from massloom.operators.ranking import distinct_top_k
+from massloom.plans.flagship import DA, PPM
+from massloom.plans.q_rows import _WATER
+from massloom.registry import query
+from massloom.session import shared_dir
+from massloom.streaming import jobs
+
+
+def _stream(t, df, name: str, parts: int = 4):
+    """Writes a derived table as several files and opens it as a stream."""
+    src = shared_dir(t.spark, f"{name}-in")
+    df.repartition(parts).write.parquet(src)
+    out, state = shared_dir(t.spark, f"{name}-out"), shared_dir(t.spark, f"{name}-state")
+    return jobs.read_stream(t.spark, t.spark.read.parquet(src).schema, src), out, state
+
+
+def _library(t):
+    """Reference spectra with observed neutral mass, catalogue mass and a validity flag."""
+    c = t.catalog.select(F.col("structure_id").alias("truth_id"), "mass")
+    n = 1 + F.col("query_id") % 2
+    shift = F.when(F.col("query_id") % 3 == 0, F.lit(18.010564684) / n).otherwise(F.lit(0.0))
+    return t.queries.join(c, "truth_id").select("query_id", "truth_key", "mass", (F.col("obs") - shift).alias("neutral"),
+                                                (F.col("query_id") % 13 != 0).alias("valid"))
+
+
+_LIB = _WATER.replace("SELECT q.query_id, 1", "SELECT q.query_id, q.truth_key, q.query_id % 13 <> 0 AS valid, 1")
+
+
+@query("X1_incremental_ingestion", f"""
+    WITH {_LIB} SELECT CASE WHEN NOT valid THEN 'invalid_spectrum_or_adduct' WHEN NOT abs(neutral - mass) <= greatest(0.003, mass * 50.0 * 1e-6) THEN 'precursor_inconsistent' ELSE 'accepted' END AS reason,
+        count(*) AS rows FROM w GROUP BY 1""")
+def incremental_ingestion(t):
+    s, out, state = _stream(t, _library(t), "ingest")
+    jobs.ingest(s, lambda df: audits.admit(df, F.col("valid"), "mass", "neutral"), out, state)
+    return t.spark.read.parquet(f"{out}/counters").groupBy("reason").agg(F.sum("count").alias("rows"))
+
+
+@query("X1_ingested_rows", f"""
+    WITH {_LIB} SELECT query_id, round(neutral, 6) AS neutral FROM w WHERE valid AND abs(neutral - mass) <= greatest(0.003, mass * 50.0 * 1e-6)""")
+def ingested_rows(t):
+    s, out, state = _stream(t, _library(t), "ingest")
+    jobs.ingest(s, lambda df: audits.admit(df, F.col("valid"), "mass", "neutral"), out, state)
+    return t.spark.read.parquet(f"{out}/rows").select("query_id", r6("neutral").alias("neutral"))
+
+
+@query("X2_online_sketch", """
+    WITH d AS (SELECT lang, source, sha256(text) AS digest, n_chars FROM documents),
+    s AS (SELECT lang, source, count(*) AS count, sum(n_chars)::BIGINT AS chars FROM d GROUP BY 1, 2),
+    l AS (SELECT lang, source, list_sort(list(DISTINCT digest))[1:3] AS low FROM d GROUP BY 1, 2)
+    SELECT s.lang, s.source, s.count, s.chars, array_to_string(l.low, ',') AS lowest FROM s JOIN l ON l.lang = s.lang AND l.source = s.source""")
+def online_sketch(t):
+    d = t.table("documents").select("lang", "source", F.sha2("text", 256).alias("digest"), "n_chars")
+    s, out, state = _stream(t, d, "sketch")
+    key = ["lang", "source"]
+    jobs.sketch_stream(s, key, "digest", {"chars": F.col("n_chars")}, out, state)
+    sums, low = jobs.sketch_read(t.spark, key, "digest", ["chars"], out)
+    text = F.array_join(F.array_sort(F.collect_list("digest")), ",")
+    return sums.join(low.groupBy(*key).agg(text.alias("lowest")), key)
+
+
+@query("X3_streaming_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+def streaming_dedup(t):
+    """First event per (user, type): the delay spans the whole input, so the stream equals a batch distinct."""
+    e = t.table("events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    s, out, state = _stream(t, e, "dedup")
+    jobs.dedup_stream(s, "ts", "60 days", ["user_id", "event_type"], out, state)
+    return t.spark.read.parquet(out).select("user_id", "event_type")
+
+
+@query("X4_sliding_budget", """
+    WITH e AS (SELECT event_type, epoch_us(ts) AS us FROM events),
+    w AS (SELECT event_type, unnest(range(us // 3600000000 - 23, us // 3600000000 + 1)) AS h FROM e)
+    SELECT event_type, h * 3600 AS start_s, count(*) AS events FROM w GROUP BY 1, 2""")
+def sliding_budget(t):
+    e = t.table("events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    s, out, state = _stream(t, e, "budget")
+    jobs.sliding_counts(s, "ts", ["event_type"], out, state, delay="60 days")
+    return jobs.latest_windows(t.spark, out, ["event_type"]).select(
+        "event_type", F.unix_seconds("start").alias("start_s"), F.col("count").alias("events"))
+
+
+@query("X5_query_microbatches", """
+    WITH r AS (SELECT obs, structure_key, row_number() OVER (PARTITION BY obs ORDER BY d, structure_id) AS rank FROM (
+        SELECT p.obs, c.structure_key, c.structure_id, round(abs(c.mass - p.obs), 6) AS d,
+               row_number() OVER (PARTITION BY p.obs, c.structure_key ORDER BY round(abs(c.mass - p.obs), 6), c.structure_id) AS rk
+        FROM (SELECT DISTINCT obs FROM queries_v) p JOIN catalog_v c
+          ON c.mass BETWEEN p.obs - greatest(0.02, p.obs * 300.0 * 1e-6) AND p.obs + greatest(0.02, p.obs * 300.0 * 1e-6)) WHERE rk = 1)
+    SELECT q.query_id, r.structure_key, r.rank::INTEGER AS rank FROM queries_v q JOIN r ON r.obs = q.obs WHERE r.rank <= 3""")
+def query_microbatches(t):
+    catalog = mass_shortlist(t.catalog, 3)
+
+    def rank(batch):
+        pairs = mass_candidates(batch.select("obs").distinct(), catalog, ppm=PPM, da=DA, width=0.6).withColumn(
+            "closeness", -F.round(F.abs(F.col("mass") - F.col("obs")), 6))
+        top = distinct_top_k(pairs, ["obs"], "structure_key", "closeness", ["structure_id"], 3)
+        return batch.join(top, "obs").select("query_id", "structure_key", "rank")
+
+    s, out, state = _stream(t, t.queries.select("query_id", "obs"), "match")
+    jobs.match_stream(s, rank, out, state)
+    return t.spark.read.parquet(out).select("query_id", "structure_key", "rank")

@@ -138,16 +138,24 @@ def resolve_field(df: DataFrame, field: str, columns: dict[str, str] | None = No
 
 
 def read_template(spark: SparkSession, path: str, id_column: str, guess_column: str) -> DataFrame:
-    """Two-column template in file order; blank or repeated ids fail."""
+    """Two-column template with each id's 0-based ``row``; blank or repeated ids fail.
+
+    Rows are numbered in file order: by file name, then block, then position.
+    """
+    from massloom.operators.ordering import global_rank
+
     df = spark.read.option("header", True).csv(path)
     if sorted(df.columns) != sorted([id_column, guess_column]):
         raise ValueError("template must have exactly the id and the guess column")
-    ids = df.select(F.monotonically_increasing_id().alias("row"), id_column)
-    bad = ids.filter(F.col(id_column).isNull() | (F.trim(id_column) == "")).limit(1).count()
-    repeated = ids.groupBy(id_column).count().filter("count > 1").limit(1).count()
-    if bad or repeated or ids.limit(1).count() == 0:
+    ids = df.select(id_column, F.col("_metadata.file_name").alias("__f"), F.col("_metadata.file_block_start").alias("__b"),
+                    F.monotonically_increasing_id().alias("__i"))
+    ranked = global_rank(ids, ["__f", "__b", "__i"], "row").select(id_column, "row")
+    blank = F.coalesce(F.trim(id_column), F.lit("")) == ""
+    seen = ranked.groupBy(id_column).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.count(F.lit(1)).alias("ids"), F.max("n").alias("most"), F.count_if(blank).alias("blank")).first()
+    if not seen["ids"] or seen["most"] > 1 or seen["blank"]:
         raise ValueError("template ids must be present, unique and non-blank")
-    return ids
+    return ranked
 
 
 def whitelist(df: DataFrame, columns: list[str] = fixed.QUERY_COLUMNS) -> DataFrame:
