@@ -1,12 +1,13 @@
 """User-supplied scoring and preparation functions, with their contracts checked."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from massloom import fixed
 from massloom.operators.ranking import top_k
@@ -19,14 +20,16 @@ def rank_with_adapter(df: DataFrame, query: list[str], inputs: list[str], adapte
     The function maps column batches to scores; Spark orders them and validates
     that each query got exactly min(k, n) distinct rows of its own.
     """
-    def checked(*columns: pd.Series) -> pd.Series:
-        scores = adapter(*columns)
-        if len(scores) != len(columns[0]) or not np.isfinite(scores.to_numpy(dtype=float)).all():
-            raise ValueError("adapter must return one finite score per candidate")
-        return scores
-
-    scored = df.withColumn("adapter_score", F.pandas_udf(checked, "double")(*inputs))
-    return top_k(scored, query, [F.col("adapter_score").desc(), F.col(pos)], k)
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            s = adapter(*[b[c] for c in inputs])
+            if len(s) != len(b) or not np.isfinite(s.to_numpy(dtype=float)).all():
+                raise ValueError("adapter must return one finite score per candidate")
+            yield b[[*query, pos]].assign(adapter_score=s.to_numpy(dtype=float))
+
+    narrow = df.select(*query, pos, *inputs)
+    schema = T.StructType([*narrow.select(*query, pos).schema.fields, T.StructField("adapter_score", T.DoubleType())])
+    return top_k(narrow.mapInPandas(score, schema), query, [F.col("adapter_score").desc(), F.col(pos)], k)
 
 
 def adapter_violations(ranked: DataFrame, candidates: DataFrame, query: list[str], pos: str, k: int = fixed.TOP_K) -> DataFrame:
