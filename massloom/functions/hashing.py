@@ -24,8 +24,3 @@ def is_holdout(key: Column | str, salt: str, modulus: int = 10) -> Column:
 def draw(text: Column, n: Column) -> Column:
     """Uniform integer in [0, n) from 60 digest bits."""
     return (F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint") % n).cast("bigint")
-
-
-def uniform(text: Column) -> Column:
-    """Uniform double in [0, 1) from 52 digest bits."""
-    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))

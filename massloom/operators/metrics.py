@@ -1,10 +1,12 @@
 """Rank metrics and paired comparisons."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from massloom.functions.hashing import draw, uniform
+from massloom.functions.hashing import draw
 from massloom.functions.numeric import reciprocal
 from massloom.operators.ordering import global_rank
 from massloom.operators.quantiles import exact_quantiles
@@ -43,17 +45,21 @@ def poisson_bootstrap(units: DataFrame, unit: str, delta: str, repeats: int = 20
     Each unit emits its weights where it lives; only ``repeats`` partial sums per
     task are exchanged. Use this form when units are many.
     """
-    u = uniform(F.concat_ws(":", F.lit(seed), F.col("r"), F.col(unit)))
-    p, cum, weight = 0.36787944117144233, 0.0, F.lit(0)
+    # A weight is the number of cumulative probabilities at or below the draw. Thirteen digest
+    # digits and the probabilities at the same scale compare as text of equal width.
+    p, cumulative, weight = 0.36787944117144233, 0.0, None
     for count in range(12):
-        cum += p
-        weight = weight + F.when(F.col("u") >= F.lit(cum), 1).otherwise(0)
+        cumulative += p
+        below = F.col("h") < f"{math.ceil(cumulative * 2**52):013x}"
+        weight = F.when(below, count) if weight is None else weight.when(below, count)
         p /= count + 1
+    weight = weight.otherwise(12)
+    digits = F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("r"), F.col(unit)), 256), 1, 13)
     tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # One row per unit is spread out before it multiplies; r = -1 keeps weight 1 for the point estimate.
     w = (units.select(unit, delta).repartition(tasks, unit)
          .select(unit, delta, F.explode(F.sequence(F.lit(-1), F.lit(repeats - 1))).alias("r"))
-         .withColumn("u", F.when(F.col("r") >= 0, u)).withColumn("w", F.when(F.col("r") < 0, 1).otherwise(weight)))
+         .withColumn("h", digits).withColumn("w", F.when(F.col("r") < 0, 1).otherwise(weight)))
     means = w.groupBy("r").agg((F.sum(F.col("w") * F.col(delta)) / F.sum("w")).alias("m"), F.count(F.lit(1)).alias("n"))
     return _interval(means)
 

@@ -69,6 +69,25 @@ def mass_shortlist(catalog: DataFrame, k: int, mass: str = "mass", key: str = "s
     return top_k(one, [mass], [F.col(ident)], k, "__rn").drop("__rn")
 
 
+def nearest_keys(points: DataFrame, catalog: DataFrame, k: int, ppm: float, da: float, obs: str = "obs",
+                 mass: str = "mass", key: str = "structure_key", ident: str = "structure_id",
+                 width: float | None = None) -> DataFrame:
+    """(obs, key, ident, distance): every row that a list of the k nearest distinct keys can need.
+
+    Points meet distinct masses first, where the distance (to 1e-6) is computed
+    and where farther masses are dropped once a nearer one already supplies k
+    keys. Only then do the surviving masses bring in their shortlisted rows.
+    """
+    short = mass_shortlist(catalog, k, mass, key, ident)
+    masses = short.groupBy(mass).agg(F.count(F.lit(1)).alias("__keys"))
+    near = mass_candidates(points, masses, obs, mass, ppm, da, width).withColumn(
+        "distance", F.round(F.abs(F.col(mass) - F.col(obs)), 6))
+    full = F.min(F.when(F.col("__keys") >= k, F.col("distance")))
+    reach = near.groupBy(obs).agg(full.alias("__reach"))
+    kept = near.join(reach, obs).filter(F.col("__reach").isNull() | (F.col("distance") <= F.col("__reach")))
+    return kept.select(obs, mass, "distance").join(short, mass).select(obs, key, ident, "distance")
+
+
 def hard_negatives(catalog: DataFrame, k: int = 7, ppm: float = fixed.CANDIDATE_TOLERANCE[0],
                    da: float = fixed.CANDIDATE_TOLERANCE[1], mass: str = "mass", key: str = "structure_key",
                    ident: str = "structure_id") -> DataFrame:

@@ -28,10 +28,20 @@ def best_per_key(df: DataFrame, by: list[str], order: list[tuple[str, bool]], ca
 
 
 def distinct_top_k(df: DataFrame, query: list[str], key: str, score: str, pos: list[str], k: int = fixed.TOP_K,
-                   carry: list[str] = ()) -> DataFrame:
-    """Top k by descending score; later aliases of a key already seen take no rank."""
-    best = best_per_key(df, [*query, key], [(score, True), *[(p, False) for p in pos]], list(carry))
+                   carry: list[str] = (), bounded: bool = False) -> DataFrame:
+    """Top k by descending score; later aliases of a key already seen take no rank.
+
+    The default reduces each (query, key) map-side and can take a query of any
+    size. ``bounded`` states that no query has many rows; then both steps are
+    windows over one exchange.
+    """
     order = [F.col(score).desc(), *[F.col(p).asc() for p in pos]]
+    if bounded:
+        rows = df.select(*query, key, score, *pos, *carry).repartition(*query)
+        first = F.row_number().over(W.partitionBy(*query, key).orderBy(*order))
+        best = rows.withColumn("__first", first).filter("__first = 1").drop("__first")
+    else:
+        best = best_per_key(df, [*query, key], [(score, True), *[(p, False) for p in pos]], list(carry))
     return top_k(best, query, order, k)
 
 

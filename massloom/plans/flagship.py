@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from massloom import fixed
 from massloom.functions.numeric import r6
+from massloom.operators import ranges
 from massloom.operators.metrics import rank_metrics
-from massloom.operators.ranges import mass_candidates, mass_shortlist
 from massloom.operators.ranking import distinct_top_k, truth_ranks
 from massloom.plans.views import Tables
 
@@ -18,12 +18,12 @@ def ranked_by_mass(t: Tables, k: int = fixed.TOP_K) -> DataFrame:
     """Top k distinct keys for each distinct observed mass, by distance (1e-6) then id.
 
     Observations repeat across queries and masses repeat across the catalogue;
-    both sides are reduced to what can matter before they meet.
+    both sides are reduced to what can matter before they meet. A point's rows
+    are then few: at most k per distinct mass in its window.
     """
-    points = t.queries.select("obs").distinct()
-    pairs = mass_candidates(points, mass_shortlist(t.catalog, k), ppm=PPM, da=DA, width=0.6)
-    scored = pairs.withColumn("closeness", -F.round(F.abs(F.col("mass") - F.col("obs")), 6))
-    return distinct_top_k(scored, ["obs"], "structure_key", "closeness", ["structure_id"], k)
+    rows = ranges.nearest_keys(t.queries.select("obs").distinct(), t.catalog, k, PPM, DA, width=0.6)
+    scored = rows.withColumn("closeness", -F.col("distance"))
+    return distinct_top_k(scored, ["obs"], "structure_key", "closeness", ["structure_id"], k, bounded=True)
 
 
 def mass_search_ranks(t: Tables) -> DataFrame:

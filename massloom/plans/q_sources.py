@@ -63,6 +63,8 @@ def mgf_blocks(t):
                         F.concat(F.lit("PEPMASS="), F.col("precursor_mz"), F.lit(" 100.0")),
                         F.concat(F.lit("ADDUCT="), F.col("adduct")), F.array_join(lines, "\n"), F.lit("END IONS\n"))
     _records(t).select(block.alias("value")).write.text(path)
+    if not readers.unbalanced_mgf(t.spark, path).isEmpty():
+        raise ValueError("a peak-list file ends inside a block")
     d = readers.read_mgf(t.spark, path)
     ok = F.when(F.col("problem").isNull(), True).otherwise(F.raise_error(F.col("problem")).cast("boolean"))
     return _summary(d.filter(ok).select(

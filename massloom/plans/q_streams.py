@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from massloom.functions.numeric import r6
 from massloom.operators import audits
-from massloom.operators.ranges import mass_candidates, mass_shortlist
+from massloom.operators.ranges import nearest_keys
 from massloom.operators.ranking import distinct_top_k
 from massloom.plans.flagship import DA, PPM
 from massloom.plans.q_rows import _WATER
@@ -95,12 +95,9 @@ def sliding_budget(t):
           ON c.mass BETWEEN p.obs - greatest(0.02, p.obs * 300.0 * 1e-6) AND p.obs + greatest(0.02, p.obs * 300.0 * 1e-6)) WHERE rk = 1)
     SELECT q.query_id, r.structure_key, r.rank::INTEGER AS rank FROM queries_v q JOIN r ON r.obs = q.obs WHERE r.rank <= 3""")
 def query_microbatches(t):
-    catalog = mass_shortlist(t.catalog, 3)
-
     def rank(batch):
-        pairs = mass_candidates(batch.select("obs").distinct(), catalog, ppm=PPM, da=DA, width=0.6).withColumn(
-            "closeness", -F.round(F.abs(F.col("mass") - F.col("obs")), 6))
-        top = distinct_top_k(pairs, ["obs"], "structure_key", "closeness", ["structure_id"], 3)
+        rows = nearest_keys(batch.select("obs").distinct(), t.catalog, 3, PPM, DA, width=0.6).withColumn("closeness", -F.col("distance"))
+        top = distinct_top_k(rows, ["obs"], "structure_key", "closeness", ["structure_id"], 3, bounded=True)
         return batch.join(top, "obs").select("query_id", "structure_key", "rank")
 
     s, out, state = _stream(t, t.queries.select("query_id", "obs"), "match")

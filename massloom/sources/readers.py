@@ -88,6 +88,14 @@ def read_mgf(spark: SparkSession, path: str) -> DataFrame:
                     peaks.alias("peaks"), problem.alias("problem"))
 
 
+def unbalanced_mgf(spark: SparkSession, path: str) -> DataFrame:
+    """Files whose BEGIN and END lines differ in number: a truncated last block shows here, not in ``read_mgf``."""
+    line = F.upper(F.trim("value"))
+    d = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), line.alias("line"))
+    return d.groupBy("file").agg(F.count_if(F.col("line") == "BEGIN IONS").alias("begins"),
+                                 F.count_if(F.col("line") == "END IONS").alias("ends")).filter(F.col("begins") != F.col("ends"))
+
+
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     absent = [c for c in columns if c not in df.columns]
     if absent:
