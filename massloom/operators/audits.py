@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from massloom import fixed
 from massloom.functions.numeric import finite, tolerance
-from massloom.operators.anchored import anchored_groups
+from massloom.operators.anchored import Break, anchored_groups
 from massloom.operators.metrics import numeric_summary
 from massloom.operators.ranking import top_k
 
@@ -73,7 +73,7 @@ def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(pairs).alias("e"), F.col("__rows").alias("rows")).select("e.name", "e.missing", "rows")
 
 
-def key_set_fingerprint(keys: DataFrame, key: str, prefix: int = 2) -> DataFrame:
+def key_set_fingerprint(keys: DataFrame, key: str, prefix: int = 4) -> DataFrame:
     """Order-free digest of a key set.
 
     Keys are hashed in sorted slices (by the first digest digits) and the slice
@@ -109,7 +109,7 @@ def group_diagnostics(df: DataFrame, group: str, adduct: str = "adduct", z: str
 def compatible_groups(df: DataFrame, identity: list[str], precursor: str, ppm: float = 50.0, da: float = 0.02) -> DataFrame:
     """(identity, run, sub, precursor, spectra): anchored precursor groups within each identity."""
     d = df.groupBy(*identity, precursor).agg(F.count(F.lit(1)).alias("spectra"))
-    return anchored_groups(d, identity, precursor, lambda gap, anchor: gap > tolerance(anchor, ppm, da), ["spectra"])
+    return anchored_groups(d, identity, precursor, Break(da, ppm), ["spectra"], split_at_gaps=True)
 
 
 def prediction_rows(df: DataFrame, query: str, cell: str) -> DataFrame:
@@ -153,17 +153,20 @@ def submission_state(status: Column, error: Column, score: Column) -> Column:
 def trailing_budget(events: DataFrame, key: list[str], micros: str, tie: str, hours: int = 24, cap: int = 2) -> DataFrame:
     """Events in (t - hours, t] at each event, whether the cap is reached, and the next free instant.
 
-    Time is cut into cells of the window length. A range count looks back one
-    cell at most, so each task holds one cell and its predecessor, not a key's
-    whole history.
+    Time is cut into cells of the window length; a window looks back one cell
+    at most, so each task holds one cell and its predecessor, not a key's whole
+    history. The count is the difference of two running counts, linear however
+    dense the events are.
     """
     span = hours * 3_600_000_000
     cell = F.floor(F.col(micros) / span)
     cells = events.withColumn("__own", cell).withColumn("__cell", F.explode(F.array(cell, cell + 1)))
     by = [*key, "__cell"]
-    w = W.partitionBy(*by).orderBy(micros).rangeBetween(-(span - 1), 0)
+    in_time = W.partitionBy(*by).orderBy(micros)
+    upto = F.count(F.lit(1)).over(in_time.rangeBetween(W.unboundedPreceding, 0))
+    expired = F.count(F.lit(1)).over(in_time.rangeBetween(W.unboundedPreceding, -span))
     order = W.partitionBy(*by).orderBy(micros, tie)
-    return (cells.withColumn("recent", F.count(F.lit(1)).over(w)).withColumn("__prev", F.lag(micros, cap - 1).over(order))
+    return (cells.withColumn("recent", upto - expired).withColumn("__prev", F.lag(micros, cap - 1).over(order))
             .filter(F.col("__own") == F.col("__cell"))
             .withColumn("allowed", F.col("recent") < cap)
             .withColumn("next_free", F.when(F.col("recent") < cap, F.col(micros)).otherwise(F.col("__prev") + span))
@@ -172,21 +175,28 @@ def trailing_budget(events: DataFrame, key: list[str], micros: str, tie: str, ho
 
 def reconcile(journal: DataFrame, history: DataFrame, on: str, attempted: str, happened: str, ref: str, hist_ref: str,
               before_s: int = 60, after_s: int = 900) -> DataFrame:
-    """Journal entries with their history row: the retained reference, else the same text within the time window.
+    """(entry_id, matches, hist_ref, ambiguous): the retained reference, else the same text within the time window.
 
-    Columns matches and ambiguous (more than one match) are added; the caller
-    fails on ambiguity. Micros are binned so that one busy text does not pair
-    every entry with every row.
+    More than one match is ambiguous, has no reference, and the caller fails on
+    it. Within cells of time, matches are counted and summed as differences of
+    running totals, so a busy text never pairs every entry with every row.
     """
-    from massloom.operators.ranges import range_join
-
-    by_ref = journal.filter(F.col(ref).isNotNull()).join(
-        history.select(F.col(hist_ref).alias(ref), F.col(hist_ref), on), [ref, on], "left")
-    width = float((before_s + after_s) * 1_000_000)
-    open_ = journal.filter(F.col(ref).isNull()).withColumn("__lo", F.col(attempted) - before_s * 1_000_000) \
-        .withColumn("__hi", F.col(attempted) + after_s * 1_000_000)
-    near = range_join(open_, history.select(on, happened, hist_ref), "__lo", "__hi", happened, width, [on])
-    found = near.groupBy("entry_id").agg(F.count(F.lit(1)).alias("matches"), F.min(hist_ref).alias(hist_ref))
-    timed = open_.select("entry_id").join(found, "entry_id", "left").fillna(0, ["matches"])
-    exact = by_ref.groupBy("entry_id").agg(F.count(hist_ref).alias("matches"), F.min(hist_ref).alias(hist_ref))
-    return exact.unionByName(timed).withColumn("ambiguous", F.col("matches") > 1)
+    exact = journal.filter(F.col(ref).isNotNull()).join(
+        history.select(F.col(hist_ref).alias(ref), F.col(hist_ref), on), [ref, on], "left") \
+        .groupBy("entry_id").agg(F.count(hist_ref).alias("matches"), F.min(hist_ref).alias("__one"))
+    before, after = before_s * 1_000_000, after_s * 1_000_000
+    width = before + after
+    at = lambda c: F.floor(c / width)
+    entries = journal.filter(F.col(ref).isNull()).select(
+        on, "entry_id", F.col(attempted).alias("__t"), at(F.col(attempted)).alias("__cell"), F.lit(None).cast("bigint").alias("__ref"))
+    rows = history.select(
+        on, F.lit(None).cast("bigint").alias("entry_id"), F.col(happened).alias("__t"),
+        F.explode(F.sequence(at(F.col(happened) - after), at(F.col(happened) + before))).alias("__cell"), F.col(hist_ref).alias("__ref"))
+    w = W.partitionBy(on, "__cell").orderBy("__t")
+    late, early = w.rangeBetween(W.unboundedPreceding, after), w.rangeBetween(W.unboundedPreceding, -before - 1)
+    n = F.count("__ref").over(late) - F.count("__ref").over(early)
+    total = F.coalesce(F.sum("__ref").over(late), F.lit(0)) - F.coalesce(F.sum("__ref").over(early), F.lit(0))
+    timed = entries.unionByName(rows).withColumn("matches", n).withColumn("__one", total) \
+        .filter(F.col("entry_id").isNotNull()).select("entry_id", "matches", "__one")
+    return exact.unionByName(timed).select(
+        "entry_id", "matches", F.when(F.col("matches") == 1, F.col("__one")).alias(hist_ref), (F.col("matches") > 1).alias("ambiguous"))

@@ -43,6 +43,20 @@ def two_layer(w1: np.ndarray, b1: np.ndarray, w2: np.ndarray, b2: np.ndarray, ba
                              input_tensor_shapes=[[w1.shape[1]]])
 
 
+def two_layer_file(path: str, inputs: int, batch_size: int = 1024) -> Callable[..., Column]:
+    """As ``two_layer`` for weights too large for a closure: w1, b1, w2, b2 of an .npz in the shared folder.
+
+    Each Python worker opens the file once; only numeric arrays are accepted.
+    """
+    def load():
+        with np.load(path, allow_pickle=False) as data:
+            w1, b1, w2, b2 = (np.asarray(data[k], dtype=np.float64) for k in ("w1", "b1", "w2", "b2"))
+        check_weights(w1, b1, w2, b2)
+        return lambda x: np.maximum(np.asarray(x, dtype=np.float64) @ w1.T + b1, 0) @ w2.T + b2
+
+    return predict_batch_udf(load, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size, input_tensor_shapes=[[inputs]])
+
+
 def mean_array(df: DataFrame, by: list[str], column: str, weight: str | None = None) -> DataFrame:
     """Element-wise (weighted) mean of an array column: one partially aggregated row per (group, position)."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)

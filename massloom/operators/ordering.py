@@ -52,18 +52,20 @@ def grouped_rank(df: DataFrame, group: list[str], order: list[str], out: str = "
     return ranked.join(first, group).withColumn(out, F.col("__g") - F.col("__first")).drop("__g", "__first")
 
 
-def hash_rank(df: DataFrame, digest: str, out: str = "pos") -> DataFrame:
-    """0-based position in digest order.
+def hash_rank(df: DataFrame, digest: str, out: str = "pos", by: list[str] | None = None) -> DataFrame:
+    """0-based position in digest order, within ``by`` when given.
 
-    Digests are uniform, so their first four hex digits split the rows into at
-    most 65,536 even buckets whose counts are the only thing combined.
+    Digests are uniform, so their first hex digits split the rows into even
+    buckets (65,536 in all, 256 per group) whose counts are the only thing
+    combined.
     """
-    b = df.withColumn(BUCKET, F.substring(digest, 1, 4))
-    start = exclusive_prefix(b.groupBy(BUCKET).count(), F.sum("count"), "__start")
-    local = F.row_number().over(W.partitionBy(BUCKET).orderBy(digest)) - 1
-    return (b.withColumn("__local", local).join(F.broadcast(start), BUCKET)
-            .withColumn(out, F.col("__local").cast("bigint") + F.coalesce("__start", F.lit(0)))
-            .drop("__local", "__start", BUCKET))
+    by = by or []
+    b = df.withColumn(BUCKET, F.substring(digest, 1, 2 if by else 4))
+    before = W.partitionBy(*by).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    start = b.groupBy(*by, BUCKET).count().withColumn("__start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    local = F.row_number().over(W.partitionBy(*by, BUCKET).orderBy(digest)) - 1
+    placed = b.withColumn("__local", local).join(start if by else F.broadcast(start), [*by, BUCKET])
+    return placed.withColumn(out, F.col("__local").cast("bigint") + F.col("__start")).drop("__local", "__start", BUCKET)
 
 
 def merge_intervals(df: DataFrame, lo: str, hi: str, buckets: int | None = None) -> DataFrame:

@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massloom.functions.hashing import salted
@@ -67,9 +66,8 @@ def acquisition_split(spectra: DataFrame, molecule: str, signature: str, source:
     by_source, by_condition = F.col("__s0") != F.col("__s1"), F.col("__c0") != F.col("__c1")
     unit = F.when(by_source, "source_instrument").when(by_condition, "adduct_energy").otherwise("distinct_normalized_spectrum")
     # Only molecules that need the last rule pay for ordering their signatures.
-    half = j.filter(~by_source & ~by_condition).withColumn(
-        "__i", F.row_number().over(W.partitionBy(molecule).orderBy(signature)))
-    lower = half.filter(F.col("__i") <= F.greatest(F.floor(F.col("__n") / 2), F.lit(1))).select(
+    half = hash_rank(j.filter(~by_source & ~by_condition).select(molecule, signature, "__n"), signature, "__i", [molecule])
+    lower = half.filter(F.col("__i") < F.greatest(F.floor(F.col("__n") / 2), F.lit(1))).select(
         molecule, signature, F.lit(True).alias("__low"))
     is_query = F.when(by_source, F.col(source) == F.col(f"__ps.{source}")) \
         .when(by_condition, F.col(condition) == F.col(f"__pc.{condition}")) \

@@ -211,7 +211,7 @@ def key_set_fingerprint(t):
 
 
 @query("A16_sliced_fingerprint", """
-    WITH k AS (SELECT DISTINCT doc_id::VARCHAR AS k FROM documents), p AS (SELECT substr(sha256(k), 1, 2) AS s, sha256(string_agg(k, chr(10) ORDER BY k)) AS h, count(*) AS c FROM k GROUP BY 1)
+    WITH k AS (SELECT DISTINCT doc_id::VARCHAR AS k FROM documents), p AS (SELECT substr(sha256(k), 1, 4) AS s, sha256(string_agg(k, chr(10) ORDER BY k)) AS h, count(*) AS c FROM k GROUP BY 1)
     SELECT sum(c)::BIGINT AS keys, sha256(string_agg(h, chr(10) ORDER BY s)) AS fingerprint FROM p""")
 def sliced_fingerprint(t):
     return audits.key_set_fingerprint(t.table("documents"), "doc_id")

@@ -233,7 +233,7 @@ def hard_negatives(t):
     m AS (SELECT j.entry_id, count(h.hist_ref) AS matches, min(h.hist_ref) AS hist_ref FROM j LEFT JOIN h
           ON h.note = j.note AND (h.hist_ref = j.ref OR (j.ref IS NULL AND h.happened - j.attempted BETWEEN -60000000 AND 900000000))
           GROUP BY j.entry_id)
-    SELECT entry_id, matches, hist_ref, matches > 1 AS ambiguous FROM m""")
+    SELECT entry_id, matches, CASE WHEN matches = 1 THEN hist_ref END AS hist_ref, matches > 1 AS ambiguous FROM m""")
 def journal_reconcile(t):
     from massloom.functions.text import epoch_micros
 

@@ -74,42 +74,38 @@ def formula_mass(t):
         "mass", r6(ions.formula_mass("formula")))
 
 
-# Arrays with deliberate faults: a negative intensity, a zero m/z and a missing value occur by table value.
+# Three-peak arrays from each row, with faults by value: a zero m/z, a negative intensity, a short array.
 _FAULTY = """
-    arr AS (SELECT l_orderkey AS spectrum_id,
-                   list(CASE WHEN l_discount = 0.1 AND l_tax = 0.08 THEN 0.0 ELSE l_extendedprice / 100 END) AS mz,
-                   list(CASE WHEN l_discount = 0.0 AND l_tax = 0.0 THEN -l_quantity ELSE l_quantity END) AS inten
-            FROM lineitem GROUP BY l_orderkey)"""
+    arr AS (SELECT l_returnflag, l_linestatus, [l_extendedprice / 100, CASE WHEN l_discount = 0.1 AND l_tax = 0.08 THEN 0.0 ELSE l_partkey + 1.0 END, l_suppkey + 0.5::DOUBLE]::DOUBLE[] AS mz,
+                   CASE WHEN l_linenumber = 7 THEN [l_quantity, l_tax]::DOUBLE[] ELSE [CASE WHEN l_discount = 0.0 AND l_tax = 0.0 THEN -l_quantity ELSE l_quantity END, l_tax, l_discount]::DOUBLE[] END AS inten
+            FROM lineitem),
+    val AS (SELECT *, len(mz) = len(inten) AND len(list_filter(mz, lambda x: x <= 0)) = 0 AND len(list_filter(inten, lambda x: x < 0)) = 0
+                   AND len(list_filter(inten, lambda x: x > 0)) > 0 AS valid FROM arr)"""
 
 
 def _faulty(t):
-    d, x = F.col("l_discount"), F.col("l_tax")
-    return t.table("lineitem").groupBy(F.col("l_orderkey").alias("spectrum_id")).agg(
-        F.collect_list(F.struct(
-            F.when((d == 0.1) & (x == 0.08), F.lit(0.0)).otherwise(F.col("l_extendedprice") / 100).alias("m"),
-            F.when((d == 0.0) & (x == 0.0), -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("i"))).alias("p")) \
-        .select("spectrum_id", F.transform("p", lambda v: v["m"]).alias("mz"), F.transform("p", lambda v: v["i"]).alias("inten"))
+    d, x, q = F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")
+    mz = F.array(F.col("l_extendedprice") / 100, F.when((d == 0.1) & (x == 0.08), F.lit(0.0)).otherwise(F.col("l_partkey") + 1.0),
+                 F.col("l_suppkey") + 0.5)
+    inten = F.when(F.col("l_linenumber") == 7, F.array(q, x)).otherwise(F.array(F.when((d == 0.0) & (x == 0.0), -q).otherwise(q), x, d))
+    return t.table("lineitem").select("l_returnflag", "l_linestatus", mz.alias("mz"), inten.alias("inten")).withColumn(
+        "valid", pk.valid_arrays("mz", "inten"))
 
 
 @query("P5_peak_validity", f"""
-    WITH {_FAULTY} SELECT spectrum_id, len(mz) > 0 AND len(list_filter(mz, lambda x: x <= 0)) = 0
-        AND len(list_filter(inten, lambda x: x < 0)) = 0 AND len(list_filter(inten, lambda x: x > 0)) > 0 AS valid FROM arr""")
+    WITH {_FAULTY} SELECT l_returnflag, l_linestatus, valid, count(*) AS spectra FROM val GROUP BY 1, 2, 3""")
 def peak_validity(t):
-    return _faulty(t).select("spectrum_id", pk.valid_arrays("mz", "inten").alias("valid"))
+    return _faulty(t).groupBy("l_returnflag", "l_linestatus", "valid").agg(F.count(F.lit(1)).alias("spectra"))
 
 
 @query("P6_row_isolated_mask", f"""
-    WITH {_FAULTY}, v AS (SELECT spectrum_id, inten, len(list_filter(mz, lambda x: x <= 0)) = 0
-        AND len(list_filter(inten, lambda x: x < 0)) = 0 AS valid FROM arr)
-    SELECT s.instrument, count(*) AS spectra, count(*) FILTER (NOT valid) AS invalid,
-           sum(CASE WHEN valid THEN list_sum(inten) ELSE 0.0 END) AS kept_intensity
-    FROM v JOIN spectra_v s ON s.spectrum_id = v.spectrum_id GROUP BY 1""")
+    WITH {_FAULTY} SELECT l_returnflag, count(*) AS spectra, count(*) FILTER (NOT valid) AS invalid,
+           round(sum(CASE WHEN valid THEN list_sum(inten) ELSE 0.0 END), 3) AS kept_intensity FROM val GROUP BY 1""")
 def row_isolated_mask(t):
     """An invalid row contributes zero and is counted; its neighbours are untouched."""
-    v = _faulty(t).withColumn("valid", pk.valid_arrays("mz", "inten"))
     kept = F.when(F.col("valid"), F.aggregate("inten", F.lit(0.0), lambda a, x: a + x)).otherwise(F.lit(0.0))
-    return v.join(t.spectra.select("spectrum_id", "instrument"), "spectrum_id").groupBy("instrument").agg(
-        F.count(F.lit(1)).alias("spectra"), F.count_if(~F.col("valid")).alias("invalid"), F.sum(kept).alias("kept_intensity"))
+    return _faulty(t).groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("spectra"), F.count_if(~F.col("valid")).alias("invalid"), F.round(F.sum(kept), 3).alias("kept_intensity"))
 
 
 _ADMISSION = """

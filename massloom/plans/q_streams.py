@@ -40,7 +40,7 @@ _LIB = _WATER.replace("SELECT q.query_id, 1", "SELECT q.query_id, q.truth_key, q
 def incremental_ingestion(t):
     s, out, state = _stream(t, _library(t), "ingest")
     jobs.ingest(s, lambda df: audits.admit(df, F.col("valid"), "mass", "neutral"), out, state)
-    return t.spark.read.parquet(f"{out}/counters").groupBy("reason").agg(F.sum("count").alias("rows"))
+    return jobs.ingest_counters(t.spark, out)
 
 
 @query("X1_ingested_rows", f"""
@@ -48,7 +48,7 @@ def incremental_ingestion(t):
 def ingested_rows(t):
     s, out, state = _stream(t, _library(t), "ingest")
     jobs.ingest(s, lambda df: audits.admit(df, F.col("valid"), "mass", "neutral"), out, state)
-    return t.spark.read.parquet(f"{out}/rows").select("query_id", r6("neutral").alias("neutral"))
+    return jobs.ingested(t.spark, out).select("query_id", r6("neutral").alias("neutral"))
 
 
 @query("X2_online_sketch", """

@@ -1,6 +1,9 @@
 """Ranked-list, report and subset sinks."""
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,17 +42,18 @@ def output_order(spark: SparkSession, template: DataFrame | None, groups: DataFr
 
 
 def materialise(df_builder, signature: str, spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
-    """Reuses the table at ``path`` only when it was written under the same signature.
+    """Reuses a table only when it was completed under the same signature.
 
-    The signature row is written last, so a half-written table is never reused.
+    Every signature has its own folder, and its mark is written after the data,
+    so neither a half-written table nor another version is ever read.
     """
-    mark = f"{path}/signature"
+    folder = f"{path}/{hashlib.sha256(signature.encode()).hexdigest()[:32]}"
     try:
-        old = spark.read.parquet(mark).first()["signature"]
-    except Exception:  # nothing written yet
-        old = None
-    if old == signature:
-        return spark.read.parquet(f"{path}/data"), True
-    df_builder().write.mode("overwrite").parquet(f"{path}/data")
-    spark.createDataFrame([(signature,)], "signature string").coalesce(1).write.mode("overwrite").parquet(mark)
-    return spark.read.parquet(f"{path}/data"), False
+        done = spark.read.schema("signature string").json(f"{folder}/mark").first()
+    except AnalysisException:  # no such folder yet
+        done = None
+    if done is not None and done["signature"] == signature:
+        return spark.read.parquet(f"{folder}/data"), True
+    df_builder().write.mode("overwrite").parquet(f"{folder}/data")
+    spark.range(1).select(F.lit(signature).alias("signature")).coalesce(1).write.mode("overwrite").json(f"{folder}/mark")
+    return spark.read.parquet(f"{folder}/data"), False

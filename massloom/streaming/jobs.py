@@ -16,20 +16,27 @@ def _finish(writer, checkpoint: str) -> None:
 
 
 def ingest(stream: DataFrame, reason: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
-    """Appends admitted rows and per-batch reject counters.
+    """Stores every judged row under its batch and verdict; rows and counters are read back from there.
 
-    Each batch writes to a folder named by its id, so a replayed batch replaces
-    its own output instead of adding to it.
+    Each batch writes one folder named by its id, so a replayed batch replaces
+    its own output instead of adding to it, and the batch is evaluated once.
     """
     def batch(df: DataFrame, epoch: int) -> None:
-        judged = reason(df)
-        judged.filter("reason IS NULL").drop("reason").write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}")
-        judged.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).count() \
-            .write.mode("overwrite").parquet(f"{out}/counters/epoch={epoch}")
+        judged = reason(df).withColumn("reason", F.coalesce("reason", F.lit("accepted")))
+        judged.write.mode("overwrite").partitionBy("reason").parquet(f"{out}/epoch={epoch}")
 
     _finish(stream.writeStream.foreachBatch(batch), checkpoint)
 
 
+def ingested(spark: SparkSession, out: str) -> DataFrame:
+    """Admitted rows; the verdict is a folder level, so refused rows are not read."""
+    return spark.read.parquet(out).filter("reason = 'accepted'").drop("reason", "epoch")
+
+
+def ingest_counters(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(out).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def sketch_partial(df: DataFrame, key: list[str], digest: str, values: dict[str, Column], n: int = 3) -> tuple[DataFrame, DataFrame]:
     """(running sums, n lowest distinct digests) per key: both parts merge by repetition."""
     from massloom.operators.ranking import lowest_hash
@@ -46,9 +53,11 @@ def sketch_stream(stream: DataFrame, key: list[str], digest: str, values: dict[s
     stored, so a key that fills most of a batch costs no more than any other.
     """
     def batch(df: DataFrame, epoch: int) -> None:
-        sums, low = sketch_partial(df, key, digest, values, n)
+        rows = df.persist()
+        sums, low = sketch_partial(rows, key, digest, values, n)
         sums.write.mode("overwrite").parquet(f"{out}/sums/epoch={epoch}")
         low.write.mode("overwrite").parquet(f"{out}/low/epoch={epoch}")
+        rows.unpersist()
 
     _finish(stream.writeStream.foreachBatch(batch), checkpoint)
 
