@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from massloom.functions.numeric import r6
+from massloom.functions.text import epoch_micros
 from massloom.operators import audits
 from massloom.operators.ranges import nearest_keys
 from massloom.operators.ranking import distinct_top_k
@@ -69,7 +70,7 @@ def online_sketch(t):
 @query("X3_streaming_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def streaming_dedup(t):
     """First event per (user, type): the delay spans the whole input, so the stream equals a batch distinct."""
-    e = t.table("events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    e = t.table("events").select("user_id", "event_type", F.timestamp_micros(epoch_micros("ts")).alias("ts"))
     s, out, state = _stream(t, e, "dedup")
     jobs.dedup_stream(s, "ts", "60 days", ["user_id", "event_type"], out, state)
     return t.spark.read.parquet(out).select("user_id", "event_type")
@@ -80,7 +81,7 @@ def streaming_dedup(t):
     w AS (SELECT event_type, unnest(range(us // 3600000000 - 23, us // 3600000000 + 1)) AS h FROM e)
     SELECT event_type, h * 3600 AS start_s, count(*) AS events FROM w GROUP BY 1, 2""")
 def sliding_budget(t):
-    e = t.table("events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    e = t.table("events").select("event_type", F.timestamp_micros(epoch_micros("ts")).alias("ts"))
     s, out, state = _stream(t, e, "budget")
     jobs.sliding_counts(s, "ts", ["event_type"], out, state, delay="60 days")
     return jobs.latest_windows(t.spark, out, ["event_type"]).select(
