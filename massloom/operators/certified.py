@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from massloom import fixed
 from massloom.functions.numeric import bounded_evidence, next_up
 from massloom.operators.ranking import top_k
+from massloom.session import durable
 
 
 def _kth(df: DataFrame, query: list[str], score: str, pos: str, k: int, out: str) -> DataFrame:
@@ -31,8 +32,11 @@ def certified_rerank(df: DataFrame, query: list[str], base: str, pos: str, weigh
     Two rounds of evaluation: the k best by base, then every row whose upper
     bound still reaches the k-th lower bound. ``evidence`` builds the (possibly
     costly) column and is applied to the surviving rows only. Null evidence is
-    none, not bad. Rows never evaluated keep their base as a lower bound.
+    none, not bad. Rows never evaluated keep their base as a lower bound. The
+    scored candidates are used in every round, so they are checkpointed once
+    instead of being scored again.
     """
+    df = durable(df)
     w = F.lit(float(weight))
     first = top_k(df, query, [F.col(base).desc(), F.col(pos)], k).drop("rank")
     if weight == 0:
@@ -63,6 +67,7 @@ def certificate_summary(df: DataFrame, query: list[str]) -> DataFrame:
 def verify_certificate(df: DataFrame, query: list[str], base: str, lower: str, evaluated: str, rank: str, pos: str,
                        weight: float, k: int = fixed.TOP_K) -> DataFrame:
     """Counts every way a claimed certificate can be wrong; all zeros means it holds."""
+    df = durable(df)
     w, eps = F.lit(float(weight)), 1e-12
     b, lo, ev, rk = F.col(base), F.col(lower), F.col(evaluated), F.col(rank)
     expected = top_k(df, query, [lo.desc(), F.col(pos)], k, "__expected").select(*query, pos, "__expected")

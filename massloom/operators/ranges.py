@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from massloom import fixed
 from massloom.functions.numeric import tolerance
 from massloom.operators.ordering import global_running_sum, merge_intervals
+from massloom.session import durable
 
 BIN = "__bin"
 
@@ -82,9 +83,9 @@ def nearest_keys(points: DataFrame, catalog: DataFrame, k: int, ppm: float, da:
     masses = short.groupBy(mass).agg(F.count(F.lit(1)).alias("__keys"))
     near = mass_candidates(points, masses, obs, mass, ppm, da, width).withColumn(
         "distance", F.round(F.abs(F.col(mass) - F.col(obs)), 6))
-    full = F.min(F.when(F.col("__keys") >= k, F.col("distance")))
-    reach = near.groupBy(obs).agg(full.alias("__reach"))
-    kept = near.join(reach, obs).filter(F.col("__reach").isNull() | (F.col("distance") <= F.col("__reach")))
+    # A point's group here is the distinct masses of one window.
+    reach = F.min(F.when(F.col("__keys") >= k, F.col("distance"))).over(W.partitionBy(obs))
+    kept = near.withColumn("__reach", reach).filter(F.col("__reach").isNull() | (F.col("distance") <= F.col("__reach")))
     return kept.select(obs, mass, "distance").join(short, mass).select(obs, key, ident, "distance")
 
 
@@ -189,7 +190,8 @@ def tiered_candidates(queries: DataFrame, catalog: DataFrame, k: int = fixed.NEA
                       tight: tuple[float, float] = fixed.CANDIDATE_TOLERANCE,
                       wide: tuple[float, float] = fixed.EXPANDED_TOLERANCE) -> DataFrame:
     """Candidates from the first non-empty tier, with the tier's name in ``mode``."""
-    tiers = candidate_tiers(queries, catalog, obs, mass, tight, wide)
+    # One small row per distinct observation, used by both branches below.
+    tiers = durable(candidate_tiers(queries, catalog, obs, mass, tight, wide))
     tol = F.when(F.col("tier") == 1, tolerance(obs, *tight)).otherwise(tolerance(obs, *wide))
     window = tiers.filter("tier < 3").withColumn("__lo", F.col(obs) - tol).withColumn("__hi", F.col(obs) + tol)
     width = max(2 * wide[1], 2 * 1000 * wide[0] * 1e-6)

@@ -77,19 +77,18 @@ def gated_promotion(df: DataFrame, query: list[str], key: str, base: str, spectr
                     threshold: float = fixed.GATE_THRESHOLD, margin: float = fixed.GATE_MARGIN) -> DataFrame:
     """Puts one unambiguous spectral match first and keeps the base order otherwise.
 
-    The runner-up must carry a different key. Two small aggregates decide (best
-    row, best score per key); the rows themselves only gain an order column.
+    The runner-up must carry a different key. The best row of each key, and then
+    the two best keys, decide; the rows themselves only gain an order column.
     """
-    best = best_per_key(df, query, [(spectral, True), (pos, False)], [key]).select(
-        *query, F.col(spectral).alias("best_similarity"), F.col(pos).alias("__best_pos"), F.col(key).alias("__best_key"))
-    per_key = df.groupBy(*query, key).agg(F.max(spectral).alias("__s"))
-    two = top_k(per_key, query, [F.col("__s").desc(), F.col(key)], 2)
-    runner = two.join(best.select(*query, "__best_key"), query).filter(F.col(key) != F.col("__best_key")) \
-        .groupBy(*query).agg(F.max("__s").alias("__second"))
-    gate = best.join(runner, query, "left").withColumn(
-        "gap", F.col("best_similarity") - F.coalesce("__second", F.lit(0.0))).withColumn(
-        "activated", (F.col("best_similarity") >= threshold) & (F.round("gap", 9) >= margin))
-    return df.join(gate.drop("__best_key", "__second"), query).withColumn(
+    per_key = best_per_key(df, [*query, key], [(spectral, True), (pos, False)])
+    two = top_k(per_key, query, [F.col(spectral).desc(), F.col(pos)], 2, "__r")
+    first = F.col("__r") == 1
+    gate = two.groupBy(*query).agg(
+        F.max(F.when(first, F.col(spectral))).alias("best_similarity"), F.max(F.when(first, F.col(pos))).alias("__best_pos"),
+        F.coalesce(F.max(F.when(~first, F.col(spectral))), F.lit(0.0)).alias("__second")).withColumn(
+        "gap", F.col("best_similarity") - F.col("__second")).withColumn(
+        "activated", (F.col("best_similarity") >= threshold) & (F.round("gap", 9) >= margin)).drop("__second")
+    return df.join(gate, query).withColumn(
         "front", F.when(F.col("activated") & (F.col(pos) == F.col("__best_pos")), 0).otherwise(1)).drop("__best_pos")
 
 

@@ -28,10 +28,10 @@ def mrr_at_25(t):
 
 
 @query("M2_ambiguous_subset", f"""
-    WITH n AS (SELECT query_id, count(*) AS n FROM vec_scores_v GROUP BY 1), r AS (SELECT t.query_id, base_rank AS rank FROM two_ranks_v t JOIN n ON n.query_id = t.query_id WHERE n.n > 9)
+    WITH n AS (SELECT query_id, count(*) AS n FROM vec_scores_v GROUP BY 1), r AS (SELECT t.query_id, base_rank AS rank FROM two_ranks_v t JOIN n ON n.query_id = t.query_id WHERE n.n > 1)
     SELECT {_METRICS} FROM r""")
 def ambiguous_subset(t):
-    n = t.vec_scores.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 9").select("query_id")
+    n = t.vec_scores.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("query_id")
     return _rounded(_two_ranks(t).join(n, "query_id").withColumnRenamed("base_rank", "rank").agg(*metrics.rank_metrics()))
 
 

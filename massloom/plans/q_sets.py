@@ -80,11 +80,13 @@ def role_partition(t):
 
 
 @query("D10_forced_calibration", f"""
-    WITH k AS (SELECT structure_key, bool_or(structure_id < 100) AS used FROM catalog_v GROUP BY 1),
+    WITH k AS (SELECT structure_key, {sp.hash_mod(fixed.SALT_HOLDOUT, 'structure_key', 10)} = 0 AS used FROM catalog_v GROUP BY 1),
     r AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN used THEN '0' ELSE '1' END || sha256('{fixed.SALT_TARGET}' || structure_key)) - 1 AS pos FROM k)
     SELECT structure_key, CASE WHEN pos < 150 THEN 'calibration' ELSE 'audit' END AS role, used AS previously_used FROM r""")
 def forced_calibration(t):
-    return splits.forced_calibration(t.catalog, "structure_key", t.catalog.filter("structure_id < 100"), fixed.SALT_TARGET, 150)
+    """The hold-out keys count as examined before."""
+    used = t.catalog.filter(is_holdout("structure_key", fixed.SALT_HOLDOUT))
+    return splits.forced_calibration(t.catalog, "structure_key", used, fixed.SALT_TARGET, 150)
 
 
 @query("D11_acquisition_split", f"""
