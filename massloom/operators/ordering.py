@@ -19,10 +19,11 @@ def order_buckets(df: DataFrame, order: list[Column | str], buckets: int | None
     """Adds ``__bucket``: ascending range partitions of the sort key.
 
     Include enough columns to tell tied rows apart; ties on the whole key share
-    a bucket.
+    a bucket. Without ``buckets`` adaptive execution sizes the partitions, which
+    stay contiguous and in order when it merges small ones.
     """
-    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return durable(df.repartitionByRange(n, *order).withColumn(BUCKET, F.spark_partition_id()))
+    ranged = df.repartitionByRange(buckets, *order) if buckets else df.repartitionByRange(*order)
+    return durable(ranged.withColumn(BUCKET, F.spark_partition_id()))
 
 
 def exclusive_prefix(summary: DataFrame, agg: Column, out: str) -> DataFrame:

@@ -11,7 +11,10 @@ from massloom.session import get_spark  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return get_spark("tests", cores="8", shuffle=8)
+    session = get_spark("tests", cores="8", shuffle=8)
+    # Small inputs keep all their partitions, so that scans across several buckets are exercised.
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    return session
 
 
 @pytest.fixture(scope="session")
