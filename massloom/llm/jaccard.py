@@ -10,7 +10,8 @@ implied by found ones, so components are exact.
 2. Index: a set's first n - ceil(0.8 n) + 1 shingles in that order. Linked sets
    share one of them. A shingle without a second set is left out, one bucket of
    the hash range at a time; very common ones pass unseen, so no bucket gathers
-   a hot list.
+   a hot list. Lists with the same members count once: any shared shingle gives
+   a valid bound for a pair.
 3. Lists are cut into blocks by size class. Each block names one pivot; every
    set of the block and its neighbours meets the pivot unless sizes and
    positions rule the pair out (block skipping by position).
@@ -28,12 +29,13 @@ expected number of clashes is 0.03.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massloom.llm.arrays import mix, shingle_sets, small_batches, text_buffer
-from massloom.llm.buckets import bucket_edges, pack, unpack
+from massloom.llm.buckets import bucket_edges, pack, pack_ids, unpack, unpack_ids
 from massloom.llm.components import components
 from massloom.llm.storage import BLOCK_BYTES, block_ids, bounded_batches, bucket_count, stored
 
@@ -41,6 +43,8 @@ CELLS = 1 << 19
 SLICES = 64
 FILTER_BITS = 1 << 24
 TOKEN_BITS = 48
+CHUNK = 2048
+STREAM = 4000
 
 
 def _keys(s: np.ndarray) -> tuple[int, int]:
@@ -103,7 +107,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 def _index_pass(sketch, heavy: int, buckets: int, width: int, percent: int):
     """Prefix entries, packed by bucket: shingles, owners, positions and the owners' table."""
-    schema = pa.schema([("bucket", pa.int32()), ("sure", pa.bool_()), ("tokens", pa.binary()), ("entries", pa.binary()), ("sets", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("sure", pa.bool_()), ("tokens", pa.binary()), ("owners", pa.binary()), ("places", pa.binary()), ("sets", pa.binary())])
 
     def run(batches):
         counts, ids = sketch.value, block_ids()
@@ -138,27 +142,31 @@ def _index_pass(sketch, heavy: int, buckets: int, width: int, percent: int):
                     continue
                 used, local = np.unique(o[at], return_inverse=True)
                 low = 0 if sure else int(edges[bucket])
-                entries = local.astype("<u4").tobytes() + q[at].astype("<u4").tobytes()
+                entries = pack_ids(local), pack_ids(q[at].astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([sure]),
-                                                  pa.array([pack(t[at], low, 64 - TOKEN_BITS)], pa.binary()), pa.array([entries], pa.binary()),
+                                                  pa.array([pack(t[at], low, 64 - TOKEN_BITS)], pa.binary()), *[pa.array([e], pa.binary()) for e in entries],
                                                   pa.array([table[used].astype("<u8").tobytes()], pa.binary())], schema=schema)
 
-    return run, "bucket int, sure boolean, tokens binary, entries binary, sets binary"
+    return run, "bucket int, sure boolean, tokens binary, owners binary, places binary, sets binary"
 
 
-def _shared_entries(buckets: int):
-    """Entries of a bucket whose shingle belongs to two sets at least."""
-    schema = pa.schema([("token", pa.int64()), ("x", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+def _lists(buckets: int):
+    """Lists of a bucket with two sets at least, one row for each chunk of at most CHUNK entries.
+
+    A list is named by its members where it fits one chunk, so the many lists of
+    one group of copies become one when equal rows are dropped; a longer one is
+    named by its shingle.
+    """
+    schema = pa.schema([("l", pa.int64()), ("s", pa.int64()), ("x", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("pos", pa.list_(pa.int32()))])
 
     def run(key, table):
-        bucket = key[0].as_py()
-        low = np.uint64(int(bucket_edges(buckets)[bucket]) >> 0)
+        low = np.uint64(int(bucket_edges(buckets)[key[0].as_py()]))
         token, x, n, pos, sure = [], [], [], [], []
         for i in range(table.num_rows):
             known = table["sure"][i].as_py()
             t = unpack(table["tokens"][i].as_py())
             t = (t << np.uint64(64 - TOKEN_BITS)) + (np.uint64(0) if known else low)
-            o, q = np.frombuffer(table["entries"][i].as_py(), "<u4").reshape(2, -1)
+            o, q = unpack_ids(table["owners"][i].as_py()), unpack_ids(table["places"][i].as_py())
             sets = np.frombuffer(table["sets"][i].as_py(), "<u8").reshape(-1, 3)
             token.append(t >> np.uint64(64 - TOKEN_BITS))
             x.append(sets[o, 0])
@@ -166,17 +174,30 @@ def _shared_entries(buckets: int):
             pos.append(q.astype(np.int32))
             sure.append(np.full(len(t), known))
         token, x, n, pos, sure = map(np.concatenate, (token, x, n, pos, sure))
-        order = np.lexsort((x, token))
+        order = np.lexsort((x, token, sure))
         token, x, n, pos, sure = token[order], x[order], n[order], pos[order], sure[order]
-        same = (token[1:] == token[:-1]) & (x[1:] == x[:-1]) & (sure[1:] == sure[:-1])
-        one = np.append(True, ~same)
+        other = (token[1:] != token[:-1]) | (sure[1:] != sure[:-1])
+        one = np.append(True, other | (x[1:] != x[:-1]))
         token, x, n, pos, sure = token[one], x[one], n[one], pos[one], sure[one]
-        tie = token[1:] == token[:-1]
-        keep = sure | np.append(False, tie) | np.append(tie, False)
-        return pa.Table.from_arrays([pa.array(token[keep].astype(np.int64)), pa.array(x[keep].astype(np.int64)), pa.array(n[keep]), pa.array(pos[keep])],
-                                    schema=schema)
-
-    return run, "token long, x long, n int, pos int"
+        start = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (sure[1:] != sure[:-1])))
+        size = np.diff(np.append(start, len(token)))
+        wanted = (size > 1) | sure[start]
+        start, size = start[wanted], size[wanted]
+        h1, h2 = mix(x), mix(x ^ np.uint64(0x5DEECE66D))
+        out, seen = [[], [], [], [], []], set()
+        for a, m in zip(start.tolist(), size.tolist()):
+            named = sure[a] or m > CHUNK
+            for at in range(a, a + m, CHUNK):
+                e = slice(at, min(a + m, at + CHUNK))
+                l = np.uint64(token[a]) if named else h1[e].sum(dtype=np.uint64)
+                s = h2[e].sum(dtype=np.uint64)
+                if (l, s) not in seen:
+                    seen.add((l, s))
+                    for column, v in zip(out, (l, s, x[e].astype(np.int64), n[e], pos[e])):
+                        column.append(v)
+        return pa.Table.from_arrays([_signed(out[0]), _signed(out[1]), *[pa.array(c, f.type) for c, f in zip(out[2:], list(schema)[2:])]], schema=schema)
+
+    return run, "l long, s long, x array<long>, n array<int>, pos array<int>"
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -220,45 +241,50 @@ def _token_pass(width: int):
     return run, "x long, n int, tokens binary"
 
 
-def _candidate_tokens(docs: DataFrame, owners: DataFrame, pairs: DataFrame, width: int, before: DataFrame | None = None) -> DataFrame:
-    """(x, n, tokens) of every set named in ``pairs`` and not in ``before``."""
+def _overlaps(docs: DataFrame, owners: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(x, nx, p, np, o): exact intersection sizes of the pairs (x, p).
+
+    A set is made from its text where it is needed, sent once to its pairs, and
+    meets p's set in a sorted stream: p first, then its partners. A p with many
+    partners is dealt out over several streams.
+    """
     spark = docs.sparkSession
-    named = pairs.select("x").unionByName(pairs.select(F.col("p").alias("x"))).distinct()
-    if before is not None:
-        named = named.join(before.select("x"), "x", "left_anti")
-    ids = owners.join(named, "x").select("doc_id")
-    bits = spark.sparkContext.broadcast(_wanted_filter(ids))
+    streams = pairs.groupBy("p").agg(F.ceil(F.count("*") / F.lit(STREAM)).cast("int").alias("k"))
+    partner = pairs.join(streams, "p").select(F.col("x").alias("s"), F.col("p").alias("t"), F.pmod(F.hash("x"), F.col("k")).alias("part"), F.lit(1).alias("role"))
+    head = streams.select(F.col("p").alias("s"), F.col("p").alias("t"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.lit(0).alias("role"))
+    wanted = stored(partner.unionByName(head).groupBy("s").agg(F.collect_list(F.struct("t", "part", "role")).alias("to")), "wanted")
+    bits = spark.sparkContext.broadcast(_wanted_filter(owners.join(wanted.select(F.col("s").alias("x")), "x").select("doc_id")))
 
     @F.pandas_udf("boolean")
-    def wanted(h):
+    def hit(h):
         bit = h.to_numpy() % FILTER_BITS
-        return __import__("pandas").Series((bits.value[bit // 32] >> (bit % 32).astype(np.uint32)) & 1 == 1)
+        return pd.Series((bits.value[bit // 32] >> (bit % 32).astype(np.uint32)) & 1 == 1)
 
     run, schema = _token_pass(width)
-    rows = docs.where(wanted(F.xxhash64("doc_id"))).mapInArrow(run, schema)
-    return stored(rows.join(named, "x", "left_semi").dropDuplicates(["x"]), "sets")
+    sets = docs.where(hit(F.xxhash64("doc_id"))).mapInArrow(run, schema).join(wanted, F.col("x") == F.col("s"))
+    sent = sets.select(F.explode("to").alias("to"), "s", "n", "tokens").select("to.t", "to.part", "to.role", "s", "n", "tokens")
+    sent = sent.repartition("t", "part").sortWithinPartitions("t", "part", "role", "s")
+    out = pa.schema([("x", pa.int64()), ("nx", pa.int32()), ("p", pa.int64()), ("np", pa.int32()), ("o", pa.int32())])
 
-
-def _overlaps(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(x, nx, p, np, o): exact intersection sizes."""
-    schema = pa.schema([("x", pa.int64()), ("nx", pa.int32()), ("p", pa.int64()), ("np", pa.int32()), ("o", pa.int32())])
-
-    def run(batches):
+    def count(batches):
+        head, last, other, size = None, None, None, 0
         for b in batches:
-            last, other, out = None, None, []
-            for p, xt, pt in zip(b.column("p").to_pylist(), b.column("xt"), b.column("pt")):
-                if p != last:
-                    last, other = p, unpack(pt.as_py())
-                mine = unpack(xt.as_py())
-                at = np.searchsorted(other, mine)
-                at[at == len(other)] = 0
-                out.append(int((other[at] == mine).sum()))
-            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("nx"), b.column("p"), b.column("np"), pa.array(out, pa.int32())], schema=schema)
-
-    left = tokens.select("x", F.col("n").alias("nx"), F.col("tokens").alias("xt"))
-    right = tokens.select(F.col("x").alias("p"), F.col("n").alias("np"), F.col("tokens").alias("pt"))
-    return pairs.join(left, "x").join(right, "p").select("x", "nx", "p", "np", "xt", "pt").mapInArrow(
-        run, "x long, nx int, p long, np int, o int")
+            made = [[], [], [], [], []]
+            t, role, s, n = (b.column(c).to_pylist() for c in ("t", "role", "s", "n"))
+            for i, data in enumerate(b.column("tokens")):
+                if role[i] == 0:
+                    if t[i] != head:
+                        head, other, size = t[i], unpack(data.as_py()), n[i]
+                elif (t[i], s[i]) != last:  # equal sets may come from several documents
+                    last = (t[i], s[i])
+                    mine = unpack(data.as_py())
+                    at = np.searchsorted(other, mine)
+                    at[at == len(other)] = 0
+                    for column, v in zip(made, (s[i], n[i], t[i], size, int((other[at] == mine).sum()))):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, out)], schema=out)
+
+    return sent.mapInArrow(count, "x long, nx int, p long, np int, o int")
 
 
 def _links(overlaps: DataFrame, percent: int) -> DataFrame:
@@ -281,8 +307,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     buckets = bucket_count(spark, total * (100 - percent) / 100 * 16)
     run, schema = _index_pass(sketch, heavy, buckets, width, percent)
-    shared, out_schema = _shared_entries(buckets)
-    index = stored(docs.mapInArrow(run, schema).groupBy("bucket").applyInArrow(shared, out_schema), "index")
+    lists, out_schema = _lists(buckets)
+    lists = docs.mapInArrow(run, schema).groupBy("bucket").applyInArrow(lists, out_schema).dropDuplicates(["l", "s"])
+    index = stored(lists.select(F.col("l").alias("token"), F.inline(F.arrays_zip("x", "n", "pos"))), "index")
     index = index.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
 
     pivots = index.groupBy("token", "c").agg(F.min(F.struct("x", "n", "pos")).alias("v"), F.count("*").alias("many")).select(
@@ -292,15 +319,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # The two sizes classes of a block see each other's pivot; each pair is looked at once.
     pairs = stored(star.select("x", "p").distinct(), "pairs")
     owners = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).select(F.col("k1").alias("x"), "doc_id")
-    tokens = _candidate_tokens(docs, owners, pairs, width)
-    answered = stored(_overlaps(pairs, tokens), "overlaps")
+    answered = stored(_overlaps(docs, owners, pairs, width), "overlaps")
     links = _links(answered, percent)
     labels = stored(components(links), "labels")
 
     rest = stored(_unsettled(index, pivots, answered, labels, percent), "rest")
-    more = _candidate_tokens(docs, owners, rest, width, before=tokens)
-    links = links.unionByName(_links(_overlaps(rest, tokens.unionByName(more)), percent))
-    final = components(links)
+    final = labels
+    if not rest.isEmpty():
+        final = components(links.unionByName(_links(_overlaps(docs, owners, rest, width), percent)))
 
     member = sets.join(final.select(F.col("node").alias("k1"), "component"), "k1", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "k1")).alias("label"))

@@ -3,10 +3,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from massloom.llm import cotraining, line_crf
+from massloom.llm.chat import CONTROL, canonical_rows, format_turns, read_loss, read_turns
 from massloom.llm.jaccard import ngram_jaccard_join
+from massloom.llm.onebit_ann import nearest
+from massloom.llm.packing import concatenate_and_cut, tokenized
+from massloom.llm.pii import pseudonymise
+from massloom.llm.sentencepiece_viterbi import decode, encode
 from massloom.llm.suffix_dedup import suffix_dedup
+from massloom.llm.warc import archive_plan, register
+from massloom.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +46,101 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 5-word shingles, similarity 0.8."""
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
+
+
+@query("op1_sentencepiece")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again; a word mark in a text comes back as a space."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = decode(encode(docs, path), path)
+    return coded.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+                        F.char_length("text").cast("long").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op3_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 ids."""
+    docs = _table(spark, sf_dir, "documents")
+    return concatenate_and_cut(tokenized(docs, public_tokenizers.path("word_bpe_49k.json")), 4096)
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+o AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS owner FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (1 + ((('0x' || substr(h, ((i // 8) * 10 + 1)::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31))::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM o"""
+
+
+@query("op2_warc", _WARC_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written and read back; payloads are checked against their digests."""
+    register(spark)
+    path = shared_dir(spark, "warc")
+    archive_plan(_table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
+    back = spark.read.format("warc").option("verify", "true").load(path)
+    return back.where(F.col("record_type").isin("response", "revisit")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_onebit_neighbours")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors of every query vector (ids divisible by 50) among all vectors."""
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def _chat_sql() -> str:
+    rest = "|".join(c[1:].replace("|", "[|]").replace("[", "[[]", 1) if c[1:].startswith("[") else c[1:].replace("|", "[|]").replace("]", "[]]") for c in CONTROL)
+    esc = lambda x: f"regexp_replace({x}, '([<\\[])(\\\\*)({rest})', '\\1\\\\\\2\\3', 'g')"
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+             coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+             sum(24 + length(role) + length({esc('text')}))::BIGINT AS formatted_chars
+      FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
+
+@query("op6_chat_format", _chat_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and what is read back from the output."""
+    probe = "</s>[INST] ok [/INST]"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    made = format_turns(canonical_rows(rows.unionByName(extra)))
+    back = made.select("conv_id", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss")).alias("learned"), "formatted")
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
+                       F.char_length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+                       F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op7_line_crf")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of all documents and the verdict of the line labels."""
+    docs = _table(spark, sf_dir, "documents")
+    return line_crf.judge(docs, line_crf.train(docs, _table(spark, sf_dir, "labels")))
+
+
+@query("op8_cotraining")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents from both views."""
+    docs = _table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.train(docs, _table(spark, sf_dir, "labels")))
+
+
+#: A fixed key, so that results can be compared; a user passes one of their own.
+EXAMPLE_KEY = "example key"
+
+
+@query("op10_pii_feistel")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their validated personal values replaced."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = pseudonymise(docs, EXAMPLE_KEY)
+    of = lambda *kinds: F.size(F.filter("pseudonyms", lambda x: x["kind"].isin(*kinds))).cast("long")
+    return made.select("doc_id", "text", F.size("pseudonyms").cast("long").alias("n_values"), of("iso", "dot", "slash").alias("n_dates"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from massloom.session import shared_dir
 
 #: Text bytes an operator looks at in one go.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -19,7 +19,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of a few megabytes whatever the length of the texts."""
+    """Arrow batches of about two megabytes whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
 
