@@ -67,9 +67,12 @@ def _record_paths(v: Column) -> Column:
     def keys(json: Column) -> Column:
         return F.coalesce(F.json_object_keys(json), F.array())
 
+    def inside(name: str) -> Column:
+        items = F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
+        return F.transform(F.flatten(F.transform(items, lambda item: keys(F.to_json(item)))), lambda k: F.concat(F.lit(f"{name}[]."), k))
+
     top = keys(F.to_json(v))
-    listed = [F.transform(F.flatten(F.transform(F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.array().cast("array<variant>")),
-                                                lambda item: keys(F.to_json(item)))), lambda k, name=name: F.concat(F.lit(f"{name}[]."), k)) for name in LISTS]
+    listed = [inside(name) for name in LISTS]
     plain = F.filter(top, lambda k: ~k.isin(*LISTS))
     return F.array_sort(F.array_distinct(F.concat(plain, *listed)))
 
@@ -79,22 +82,22 @@ def _role(r: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])[F.lower(r)], r)
 
 
+def _listed_turns(v: Column, name: str, role: str, text: str) -> Column:
+    items = F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
+    return F.transform(items, lambda i: F.struct(_role(F.try_variant_get(i, f"$.{role}", "string")).alias("role"),
+                                                 F.coalesce(F.try_variant_get(i, f"$.{text}", "string"), F.lit("")).alias("text")))
+
+
+def _field_turn(v: Column, role: str, *fields: str) -> Column:
+    """One turn of the non-empty fields; an empty system turn is none."""
+    texts = F.array(*[F.try_variant_get(v, f"$.{f}", "string") for f in fields])
+    joined = F.array_join(F.filter(texts, lambda t: t.isNotNull() & (t != "")), "\n")
+    turn = F.array(F.struct(F.lit(role).alias("role"), joined.alias("text")))
+    return F.when(joined != "", turn).otherwise(F.array().cast(TURN)) if role == "system" else turn
+
+
 def _turns_of(layout: str, v: Column) -> Column:
-    parts = []
-    for source in LAYOUTS[layout][1]:
-        if source[0] in LISTS:
-            name, role, text = source
-            items = F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
-            parts.append(F.transform(items, lambda i, role=role, text=text: F.struct(
-                _role(F.try_variant_get(i, f"$.{role}", "string")).alias("role"),
-                F.coalesce(F.try_variant_get(i, f"$.{text}", "string"), F.lit("")).alias("text"))))
-        else:
-            role, *fields = source
-            texts = [F.try_variant_get(v, f"$.{f}", "string") for f in fields]
-            joined = F.array_join(F.filter(F.array(*texts), lambda t: t.isNotNull() & (t != "")), "\n")
-            turn = F.array(F.struct(F.lit(role).alias("role"), joined.alias("text")))
-            parts.append(F.when(joined != "", turn).otherwise(F.array().cast(TURN)) if role == "system" else turn)
-    return F.concat(*parts)
+    return F.concat(*[_listed_turns(v, *source) if source[0] in LISTS else _field_turn(v, *source) for source in LAYOUTS[layout][1]])
 
 
 def canonical_records(df: DataFrame, json_col: str = "record", keep: tuple[str, ...] = ()) -> DataFrame:
