@@ -1 +1 @@
-"""Column expressions: chemistry of ions, peak arrays, similarity, hashing, text."""
+"""Column expressions: ions, peak arrays, similarity, hashing, text."""

@@ -25,8 +25,8 @@ def base_peak(peaks: Column | str) -> Column:
 
 
 def normalise(peaks: Column | str) -> Column:
-    """Intensities divided by their sum."""
-    return let(col(peaks), lambda p: let(total(p), lambda s: F.transform(p, lambda x: peak(x["mz"], x["i"] / s))))
+    """Intensities divided by their sum; null when the sum is not positive."""
+    return let(col(peaks), lambda p: let(total(p), lambda s: F.when(s > 0, F.transform(p, lambda x: peak(x["mz"], F.try_divide(x["i"], s))))))
 
 
 def merge_equal(peaks: Column | str) -> Column:
@@ -98,7 +98,7 @@ def pack(peaks: Column | str, precursor: Column | str, n: int = 100) -> Column:
     kept = F.slice(F.array_sort(indexed), 1, n)
     ordered = F.array_sort(F.transform(kept, lambda x: F.struct((-x["j"]).alias("j"), x["mz"].alias("mz"),
                                                                (-x["k"]).alias("i"))))
-    scaled = let(base_peak(p), lambda m: F.transform(ordered, lambda x: peak(x["mz"], x["i"] / m)))
+    scaled = let(base_peak(p), lambda m: F.transform(ordered, lambda x: peak(x["mz"], F.try_divide(x["i"], m))))
     head = F.array(peak(col(precursor), F.lit(1.1)))
     pad = F.array_repeat(peak(F.lit(0.0), F.lit(0.0)), F.greatest(F.lit(n) - F.size(scaled), F.lit(0)))
     return F.concat(head, scaled, pad)
@@ -132,7 +132,7 @@ def anchored_merge(peaks: Column | str, tolerance: float = 0.005) -> Column:
 
 
 def scale_to_base(peaks: Column | str) -> Column:
-    return let(col(peaks), lambda p: let(base_peak(p), lambda m: F.transform(p, lambda x: peak(x["mz"], x["i"] / m))))
+    return let(col(peaks), lambda p: let(base_peak(p), lambda m: F.transform(p, lambda x: peak(x["mz"], F.try_divide(x["i"], m)))))
 
 
 def fixed_point(c: Column, digits: int) -> Column:
@@ -141,20 +141,23 @@ def fixed_point(c: Column, digits: int) -> Column:
 
 
 def signature(adduct: Column | str, precursor: Column | str, peaks: Column | str) -> Column:
-    """Digest that ignores peak order and intensity scale (precursor and m/z 1e-4, intensity 1e-6)."""
-    return let(F.array_sort(normalise(peaks)), lambda p: F.sha2(F.concat_ws(
+    """Digest that ignores peak order and intensity scale (precursor and m/z 1e-4, intensity 1e-6).
+
+    Null where no intensity is positive.
+    """
+    return let(F.array_sort(normalise(peaks)), lambda p: F.when(p.isNotNull(), F.sha2(F.concat_ws(
         "|", col(adduct), fixed_point(col(precursor), 4),
         F.array_join(F.transform(p, lambda x: fixed_point(x["mz"], 4)), ","),
-        F.array_join(F.transform(p, lambda x: fixed_point(x["i"], 6)), ",")), 256))
+        F.array_join(F.transform(p, lambda x: fixed_point(x["i"], 6)), ",")), 256)))
 
 
 def fine_digest(adduct: Column | str, precursor: Column | str, peaks: Column | str, energies: Column | str) -> Column:
     """As ``signature`` at 1e-8 / 1e-12 and including the collision energies."""
-    return let(F.array_sort(normalise(peaks)), lambda p: F.sha2(F.concat_ws(
+    return let(F.array_sort(normalise(peaks)), lambda p: F.when(p.isNotNull(), F.sha2(F.concat_ws(
         "|", col(adduct), fixed_point(col(precursor), 8),
         F.array_join(F.transform(p, lambda x: fixed_point(x["mz"], 8)), ","),
         F.array_join(F.transform(p, lambda x: fixed_point(x["i"], 12)), ","),
-        F.array_join(F.transform(col(energies), lambda e: fixed_point(e.cast("double"), 6)), ",")), 256))
+        F.array_join(F.transform(col(energies), lambda e: fixed_point(e.cast("double"), 6)), ",")), 256)))
 
 
 TOKEN_FIELDS = (

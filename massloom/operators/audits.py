@@ -73,22 +73,19 @@ def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(pairs).alias("e"), F.col("__rows").alias("rows")).select("e.name", "e.missing", "rows")
 
 
-def key_set_fingerprint(keys: DataFrame, key: str, prefix: int = 4) -> DataFrame:
+def key_set_fingerprint(keys: DataFrame, key: str) -> DataFrame:
     """Order-free digest of a key set.
 
-    Keys are hashed in sorted slices (by the first digest digits) and the slice
-    digests are hashed in order, so no task sees the whole set. ``prefix`` = 0
-    gives the plain digest of all sorted keys joined by newlines, for sets known
-    to be small.
+    Keys are hashed in sorted slices (by the first four digest digits) and the
+    65,536 slice digests at most are hashed in order, so no task sees the whole
+    set and one definition holds for every size.
     """
     d = keys.select(F.col(key).cast("string").alias("k")).distinct()
-    slice_ = F.substring(F.sha2("k", 256), 1, prefix) if prefix else F.lit("")
-    parts = d.groupBy(slice_.alias("s")).agg(
+    parts = d.groupBy(F.substring(F.sha2("k", 256), 1, 4).alias("s")).agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list("k")), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("c"))
     joined = F.array_sort(F.collect_list(F.struct("s", "h")))
     whole = F.sha2(F.array_join(F.transform(joined, lambda x: x["h"]), "\n"), 256)
-    digest = whole if prefix else F.first("h")
-    return parts.agg(F.sum("c").alias("keys"), digest.alias("fingerprint"))
+    return parts.agg(F.sum("c").alias("keys"), whole.alias("fingerprint"))
 
 
 def group_diagnostics(df: DataFrame, group: str, adduct: str = "adduct", z: str = "z", precursor: str = "precursor_mz",

@@ -1,84 +1,39 @@
-"""Exact quantiles that never hold a hot group in one task."""
+"""Exact quantiles by position in the order of counted values."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Groups up to this many distinct values use the built-in exact aggregate.
-SMALL_GROUP = 1_000_000
-_ACCURACY = 10_000
+from massloom.operators.ordering import global_running_sum
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], prefix: str = "q") -> DataFrame:
     """Linear-interpolation quantiles per group: columns prefix0, prefix1, ... and ``n``.
 
-    Equal values are counted before anything is gathered. A first, partially
-    aggregated count finds out whether any group is large. Groups that are not
-    go through ``percentile``; a large one is narrowed to the values around each
-    wanted rank, and only that sliver is ordered.
+    One plan for groups of every size: equal values are counted, the counts are
+    summed along the global order of (group, value), and the values at the two
+    ranks around each quantile are picked by partial aggregates. Null values
+    don't count; null groups do.
     """
-    present = df.filter(F.col(value).isNotNull())
-    rows = present.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > SMALL_GROUP)
-    keyed = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
-    if rows.isEmpty():
-        return _direct(keyed, by, value, probs, prefix)
-    if not by:
-        return _sliver_quantiles(keyed, by, value, probs, prefix)
-    sizes = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("__distinct"))
-    big = sizes.filter(F.col("__distinct") > SMALL_GROUP).select(*by)
-    on = [F.col(f"k.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
-    small = keyed.alias("k").join(big.alias("b"), on, "left_anti")
-    large = keyed.alias("k").join(big.alias("b"), on, "left_semi")
-    return _direct(small, by, value, probs, prefix).unionByName(_sliver_quantiles(large, by, value, probs, prefix))
-
-
-def _direct(keyed: DataFrame, by: list[str], value: str, probs: list[float], prefix: str) -> DataFrame:
-    wanted = F.percentile(value, F.array(*[F.lit(p) for p in probs]), F.col("__c")).alias("__q")
-    q = keyed.groupBy(*by).agg(wanted, F.sum("__c").alias("n"))
-    return q.select(*by, *[F.col("__q")[i].alias(f"{prefix}{i}") for i in range(len(probs))], "n")
-
-
-def _sliver_quantiles(keyed: DataFrame, by: list[str], value: str, probs: list[float], prefix: str) -> DataFrame:
-    """Quantiles of counted values through sketch bounds, exact counts below, and a sort of the remainder."""
     key = by or ["__all"]
-    k = keyed if by else keyed.withColumn("__all", F.lit(1))
-    n = k.groupBy(*key).agg(F.sum("__c").alias("n"), F.count(F.lit(1)).alias("__m"))
-    ranked = k.join(n, key)
-    out = n.select(*key, "n")
+    keyed = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+    keyed = keyed if by else keyed.withColumn("__all", F.lit(1))
+    run = global_running_sum(keyed, [*key, value], F.col("__c"), "__end").withColumn("__start", F.col("__end") - F.col("__c"))
+    size = run.groupBy(*key).agg(F.min("__start").alias("__base"), F.sum("__c").alias("n")).select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], "__base", "n")
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
+    placed = run.join(size, same).drop(*[f"__k{i}" for i in range(len(key))])
+    start, end = F.col("__start") - F.col("__base"), F.col("__end") - F.col("__base")
+
+    def at(rank):
+        return F.min(F.when((start <= rank) & (rank < end), F.col(value)))
+
+    out = []
     for i, p in enumerate(probs):
         rank = F.lit(p) * (F.col("n") - 1)
-        # Value range that brackets ranks floor and ceil, from a sketch over weighted histogram cells.
-        lo_hi = _bracket(k, key, value, p)
-        inside = ranked.join(lo_hi, key)
-        below = inside.groupBy(*key).agg(
-            F.sum(F.when(F.col(value) < F.col("__lo"), F.col("__c")).otherwise(0)).alias("__below"))
-        w = W.partitionBy(*key).orderBy(value)
-        run = inside.filter(F.col(value).between(F.col("__lo"), F.col("__hi"))).join(below, key) \
-            .withColumn("__end", F.col("__below") + F.sum("__c").over(w)) \
-            .withColumn("__start", F.col("__end") - F.col("__c"))
-        lower = F.min(F.when((F.col("__start") <= F.floor(rank)) & (F.floor(rank) < F.col("__end")), F.col(value)))
-        upper = F.min(F.when((F.col("__start") <= F.ceil(rank)) & (F.ceil(rank) < F.col("__end")), F.col(value)))
-        frac = F.max(rank - F.floor(rank))
-        q = run.groupBy(*key).agg((lower + (upper - lower) * frac).alias(f"{prefix}{i}"))
-        out = out.join(q, key, "left")
-    return out.select(*by, *[f"{prefix}{i}" for i in range(len(probs))], "n")
-
-
-def _bracket(k: DataFrame, key: list[str], value: str, p: float) -> DataFrame:
-    """Two values that enclose the p-quantile: exact cumulative weights over 4,096 equal-count cells."""
-    cells = 4096
-    edges = k.groupBy(*key).agg(F.percentile_approx(
-        value, [i / cells for i in range(cells + 1)], _ACCURACY).alias("__edges"))
-    cell = F.expr(f"size(filter(__edges, e -> e <= {value}))")
-    w = W.partitionBy(*key).orderBy("__cell")
-    weights = (k.join(edges, key).withColumn("__cell", cell).groupBy(*key, "__cell")
-               .agg(F.sum("__c").alias("__w"), F.min(value).alias("__first"), F.max(value).alias("__last"))
-               .withColumn("__end", F.sum("__w").over(w))
-               .withColumn("__n", F.sum("__w").over(W.partitionBy(*key))))
-    rank = F.lit(p) * (F.col("__n") - 1)
-    hit = (F.col("__end") > F.floor(rank)) & (F.col("__end") - F.col("__w") <= F.ceil(rank))
-    return weights.filter(hit).groupBy(*key).agg(F.min("__first").alias("__lo"), F.max("__last").alias("__hi"))
+        low, high = at(F.floor(rank)), at(F.ceil(rank))
+        out.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(f"{prefix}{i}"))
+    return placed.groupBy(*key).agg(*out, F.first("n").alias("n")).select(*by, *[f"{prefix}{i}" for i in range(len(probs))], "n")
 
 
 def group_median(df: DataFrame, by: list[str], value: str, out: str = "median") -> DataFrame:

@@ -215,14 +215,11 @@ def group_windows(spectra: DataFrame, group: str = "molecule_id", neutral: str =
         (F.greatest(F.col("highest") - F.col("center"), F.col("center") - F.col("lowest")) <= tol).alias("consistent"))
 
 
-def nearest_error(values: DataFrame, masses: DataFrame, key: list[str], value: str, mass: str, width: float,
-                  reach: float) -> DataFrame:
-    """Smallest |value - mass| within ``reach`` for each value row, null when none; ``key`` names the mass list."""
-    v = values.withColumn("__lo", F.col(value) - reach).withColumn("__hi", F.col(value) + reach)
-    d = masses.select(*key, F.col(mass).alias("__mass")).distinct()
-    near = range_join(v, d, "__lo", "__hi", "__mass", width, key)
-    err = near.groupBy(*key, value).agg(F.min(F.abs(F.col(value) - F.col("__mass"))).alias("error"))
-    return values.join(err, [*key, value], "left")
+def nearest_error(values: DataFrame, masses: DataFrame, value: str, mass: str) -> DataFrame:
+    """Smallest |value - mass| for each value row, however far it is; null only where there is no mass at all."""
+    own = masses.select(F.col(mass).alias("__mass")).filter("__mass is not null").distinct().withColumn("__n", F.lit(1).cast("bigint"))
+    near = nearest_masses(values.select(value).filter(F.col(value).isNotNull()), own, 1, value, "__mass", "__n")
+    return values.join(near.select(value, F.abs(F.col(value) - F.col("__mass")).alias("error")), value, "left")
 
 
 def max_in_window(peaks: DataFrame, hypotheses: DataFrame, key: list[str], mass: str, tol: str, width: float,

@@ -181,12 +181,12 @@ def greedy_assignment(t):
 
 
 @query("J12_nearest_mass_error", """
-    WITH v AS (SELECT DISTINCT obs FROM queries_v)
-    SELECT v.obs, round(min(abs(v.obs - c.mass)), 6) AS error FROM v
-    LEFT JOIN catalog_v c ON c.mass BETWEEN v.obs - 0.03 AND v.obs + 0.03 GROUP BY v.obs""")
+    WITH v AS (SELECT DISTINCT obs FROM queries_v), m AS (SELECT DISTINCT mass FROM catalog_v),
+    lo AS (SELECT v.obs, m.mass FROM v ASOF LEFT JOIN m ON v.obs >= m.mass), hi AS (SELECT v.obs, m.mass FROM v ASOF LEFT JOIN m ON v.obs <= m.mass)
+    SELECT lo.obs, round(least(abs(lo.obs - lo.mass), abs(hi.obs - hi.mass)), 6) AS error FROM lo JOIN hi ON hi.obs = lo.obs""")
 def nearest_mass_error(t):
     values = t.queries.select("obs").distinct()
-    return ranges.nearest_error(values, t.catalog, [], "obs", "mass", 0.06, 0.03).select("obs", r6("error").alias("error"))
+    return ranges.nearest_error(values, t.catalog, "obs", "mass").select("obs", r6("error").alias("error"))
 
 
 @query("J13_max_hypothesis_in_window", """

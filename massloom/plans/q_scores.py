@@ -48,10 +48,10 @@ _BITS = """
     bits AS (SELECT p.query_id, p.structure_id, max(p.obs) AS obs, max(p.mass) AS mass, sum(CASE WHEN c.x > 0 THEN q.p ELSE 0 END) AS dot, sum(q.p) AS tot,
                     sum(CASE WHEN c.x > 0 THEN 1 ELSE 0 END) AS nb, sqrt(sum(q.p * q.p)) AS norm,
                     sum(CASE WHEN c.x > 0 THEN ln(least(greatest(q.p, 1e-7), 1 - 1e-7)) - ln(1 - least(greatest(q.p, 1e-7), 1 - 1e-7)) ELSE 0 END) AS bern,
-                    sum(CASE WHEN c.x > 0 AND c.bit <= 16 THEN least(greatest(8 * q.x, -16.0), 16.0) ELSE 0 END) / sqrt(16.0) AS h1,
-                    sum(CASE WHEN c.x > 0 AND c.bit BETWEEN 17 AND 32 THEN least(greatest(8 * q.x, -16.0), 16.0) ELSE 0 END) / sqrt(16.0) AS h2,
-                    sum(CASE WHEN c.x > 0 AND c.bit > 32 THEN least(greatest(8 * q.x, -16.0), 16.0) ELSE 0 END) / sqrt(32.0) AS h3
-             FROM vector_pairs_v p JOIN vectors_v q ON q.vec_id = p.query_id JOIN vectors_v c ON c.vec_id = p.structure_id AND c.bit = q.bit GROUP BY 1, 2)"""
+                    sum(CASE WHEN c.x > 0 AND c.bit <= 16 THEN least(greatest(HEAD_SCALE * q.x, -LOGIT_CLIP), LOGIT_CLIP) ELSE 0 END) / sqrt(16.0) AS h1,
+                    sum(CASE WHEN c.x > 0 AND c.bit BETWEEN 17 AND 32 THEN least(greatest(HEAD_SCALE * q.x, -LOGIT_CLIP), LOGIT_CLIP) ELSE 0 END) / sqrt(16.0) AS h2,
+                    sum(CASE WHEN c.x > 0 AND c.bit > 32 THEN least(greatest(HEAD_SCALE * q.x, -LOGIT_CLIP), LOGIT_CLIP) ELSE 0 END) / sqrt(32.0) AS h3
+             FROM vector_pairs_v p JOIN vectors_v q ON q.vec_id = p.query_id JOIN vectors_v c ON c.vec_id = p.structure_id AND c.bit = q.bit GROUP BY 1, 2)""".replace("HEAD_SCALE", "80.0::DOUBLE").replace("LOGIT_CLIP", f"{fixed.LOGIT_CLIP}::DOUBLE")
 HEADS = (16, 16, 32)
 
 
@@ -104,7 +104,7 @@ def student_mass_prior(t):
 
 
 def _heads(t):
-    z = F.transform("q_x", lambda v: 8 * v)
+    z = F.transform("q_x", lambda v: 80 * v)  # steep enough to reach the clip
     h = sim.head_evidence(z, "bits", HEADS)
     return t.vector_pairs.select("query_id", "structure_id", "mass", "obs", *[c.alias(f"h{i + 1}") for i, c in enumerate(h)])
 
@@ -235,20 +235,24 @@ def forward_bonus(t):
 # Compositions from part columns: C, H, N, O counts.
 _FORMULA = """
     fo AS (SELECT DISTINCT concat('C', c, 'H', h, 'N', n, 'O', o) AS formula, c, h, n, o FROM (
-        SELECT p_size % 7 + 2 AS c, 2 * (p_size % 7) + 4 AS h, p_partkey % 3 AS n, p_size % 3 + 1 AS o FROM part)),
+        SELECT CASE WHEN p_partkey % 97 = 0 THEN 300 ELSE p_size % 7 + 2 END AS c, CASE WHEN p_partkey % 97 = 0 THEN 600 ELSE 2 * (p_size % 7) + 4 END AS h,
+               CASE WHEN p_partkey % 97 = 0 THEN 5 ELSE p_partkey % 3 END AS n, CASE WHEN p_partkey % 97 = 0 THEN 5 ELSE p_size % 3 + 1 END AS o FROM part)),
     sub AS (SELECT DISTINCT formula, i.x * 12.0::DOUBLE AS cm, j.x AS hx, k.x AS nx, l.x AS ox FROM fo, (SELECT unnest(range(0, 9)) AS x) i, (SELECT unnest(range(0, 17)) AS x) j,
-            (SELECT unnest(range(0, 3)) AS x) k, (SELECT unnest(range(0, 4)) AS x) l WHERE i.x <= c AND j.x <= h AND k.x <= n AND l.x <= o AND (c + 1) * (h + 1) * (n + 1) * (o + 1) <= 1500),
+            (SELECT unnest(range(0, 3)) AS x) k, (SELECT unnest(range(0, 4)) AS x) l WHERE i.x <= c AND j.x <= h AND k.x <= n AND l.x <= o AND (c + 1) * (h + 1) * (n + 1) * (o + 1) <= 2000000),
     sm AS (SELECT DISTINCT formula, ((cm + hx * 1.00782503223::DOUBLE) + nx * 14.00307400443::DOUBLE) + ox * 15.99491461957::DOUBLE AS mass FROM sub)"""
 
 
 def _formulas(t):
-    c, h, n, o = F.col("p_size") % 7 + 2, 2 * (F.col("p_size") % 7) + 4, F.col("p_partkey") % 3, F.col("p_size") % 3 + 1
+    """Small formulas, and for some parts one beyond the state budget."""
+    big = F.col("p_partkey") % 97 == 0
+    c, h, n, o = (F.when(big, many).otherwise(few) for many, few in (
+        (300, F.col("p_size") % 7 + 2), (600, 2 * (F.col("p_size") % 7) + 4), (5, F.col("p_partkey") % 3), (5, F.col("p_size") % 3 + 1)))
     atoms = F.array(*[F.struct(F.lit(e).alias("element"), v.cast("int").alias("count")) for e, v in (("C", c), ("H", h), ("N", n), ("O", o))])
     name = F.concat(F.lit("C"), c, F.lit("H"), h, F.lit("N"), n, F.lit("O"), o)
     return t.table("part").select(F.col("p_partkey").alias("structure_id"), name.alias("formula"), atoms.alias("atoms"))
 
 
-MAX_STATES = 1500.0
+MAX_STATES = 2_000_000.0
 
 
 @query("F19_subformula_masses", f"""
@@ -275,21 +279,31 @@ def _query_peaks(t, da):
 
 @query("F20_formula_evidence", f"""
     WITH {_FORMULA}, {_FPEAKS.replace('TOL', '0.2')},
-    fp2 AS (SELECT w.query_id, concat('C', p_size % 7 + 2, 'H', 2 * (p_size % 7) + 4, 'N', p_partkey % 3, 'O', p_size % 3 + 1) AS formula, w.neutral, w.tol, w.weight FROM fw w JOIN part ON p_partkey = w.truth_id),
-    ok AS (SELECT fp2.* FROM fp2 JOIN fo ON fo.formula = fp2.formula WHERE (c + 1) * (h + 1) * (n + 1) * (o + 1) <= 1500),
+    fm AS (SELECT p_partkey, concat('C', c, 'H', h, 'N', n, 'O', o) AS formula, (c + 1)::BIGINT * (h + 1) * (n + 1) * (o + 1) <= 2000000 AS within FROM (
+        SELECT p_partkey, CASE WHEN p_partkey % 97 = 0 THEN 300 ELSE p_size % 7 + 2 END AS c, CASE WHEN p_partkey % 97 = 0 THEN 600 ELSE 2 * (p_size % 7) + 4 END AS h,
+               CASE WHEN p_partkey % 97 = 0 THEN 5 ELSE p_partkey % 3 END AS n, CASE WHEN p_partkey % 97 = 0 THEN 5 ELSE p_size % 3 + 1 END AS o FROM part)),
+    ids AS (SELECT fq.query_id, fm.formula, fm.within, EXISTS (SELECT 1 FROM fw WHERE fw.query_id = fq.query_id) AS usable FROM fq JOIN fm ON fm.p_partkey = fq.truth_id),
+    ok AS (SELECT w.query_id, ids.formula, w.neutral, w.tol, w.weight FROM fw w JOIN ids ON ids.query_id = w.query_id WHERE ids.within),
     sh AS (SELECT ok.*, x.d, ok.neutral + x.d AS target FROM ok, (VALUES (0.0::DOUBLE), (-0.2345678::DOUBLE), (0.1234567::DOUBLE), (0.3456789::DOUBLE)) x(d)),
     ms AS (SELECT sh.query_id, sh.formula, sh.d, sum(sh.weight) AS share FROM sh WHERE target > 0 AND EXISTS (SELECT 1 FROM sm WHERE sm.formula = sh.formula AND sm.mass BETWEEN sh.target - sh.tol AND sh.target + sh.tol) GROUP BY 1, 2, 3),
-    ag AS (SELECT ids.query_id, ids.formula, coalesce(sum(share) FILTER (d = 0), 0) AS explained, coalesce(sum(share) FILTER (d <> 0), 0) / 3 AS chance
-           FROM (SELECT DISTINCT query_id, formula FROM ok) ids LEFT JOIN ms ON ms.query_id = ids.query_id AND ms.formula = ids.formula GROUP BY 1, 2)
-    SELECT query_id, formula, round(explained, 6) AS explained, round(chance, 6) AS chance, round(least(greatest(explained - chance, 0), 1), 6) AS excess FROM ag""")
+    ag AS (SELECT ids.query_id, ids.formula, CASE WHEN NOT within THEN 'formula_budget_exceeded' WHEN NOT usable THEN 'no_usable_peaks' ELSE 'scored' END AS status,
+                  coalesce(sum(share) FILTER (d = 0), 0) AS explained, coalesce(sum(share) FILTER (d <> 0), 0) / 3 AS chance
+           FROM ids LEFT JOIN ms ON ms.query_id = ids.query_id AND ms.formula = ids.formula GROUP BY 1, 2, 3)
+    SELECT query_id, formula, status, CASE WHEN status = 'scored' THEN round(explained, 6) END AS explained, CASE WHEN status = 'scored' THEN round(chance, 6) END AS chance,
+           CASE WHEN status = 'scored' THEN round(least(greatest(explained - chance, 0), 1), 6) END AS excess FROM ag""")
 def formula_evidence(t):
-    """Spectra whose formula exceeds the state budget are reported elsewhere as over budget, not scored."""
+    """One row for every supported spectrum and its formula, whatever its status."""
     f = _formulas(t)
-    within = f.filter(evidence.states("atoms") <= MAX_STATES).select("structure_id", "formula")
-    peaks = _query_peaks(t, 0.2).join(within, "structure_id").drop("structure_id")
+    within = evidence.states("atoms") <= MAX_STATES
+    asked = t.spectra.filter(F.col("adduct").isin(*fixed.FORWARD_ADDUCTS)).select(F.col("spectrum_id").alias("query_id")) \
+        .join(t.queries.select("query_id", F.col("truth_id").alias("structure_id")), "query_id") \
+        .join(f.select("structure_id", "formula", within.alias("within")), "structure_id").drop("structure_id")
+    peaks = _query_peaks(t, 0.2).join(f.filter(within).select("structure_id", "formula"), "structure_id").drop("structure_id")
     masses = evidence.subformula_masses(f.select("formula", "atoms").distinct(), "formula", "atoms", MAX_STATES)
-    return evidence.formula_evidence(peaks, masses, ["query_id"], ["formula"]).select(
-        "query_id", "formula", r6("explained").alias("explained"), r6("chance").alias("chance"), r6("excess").alias("excess"))
+    scored = evidence.formula_evidence(peaks, masses, ["query_id"], ["formula"])
+    status = F.when(~F.col("within"), "formula_budget_exceeded").when(F.col("excess").isNull(), "no_usable_peaks").otherwise("scored")
+    return asked.join(scored, ["query_id", "formula"], "left").select(
+        "query_id", "formula", status.alias("status"), r6("explained").alias("explained"), r6("chance").alias("chance"), r6("excess").alias("excess"))
 
 
 # Fragments: the lineitems of a part, with a cut count and hydrogen inventories.

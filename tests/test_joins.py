@@ -118,12 +118,15 @@ def test_nearest_keys_is_enough_for_the_list(spark):
         assert [i for _, i in sorted(got.get(o, []))] == want[:4]
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 50])
-def test_quantiles_both_ways(spark, monkeypatch, limit):
-    """A low limit sends the large group through the narrowing path."""
+def test_nearest_error_has_no_reach(spark):
+    values = spark.createDataFrame([(14.0,), (25.0,), (None,)], "v double")
+    got = {r.v: r.error for r in ranges.nearest_error(values, spark.createDataFrame([(10.0,), (20.0,)], "m double"), "v", "m").collect()}
+    assert got == {14.0: 4.0, 25.0: 5.0, None: None}
+
+
+def test_quantiles(spark):
     import numpy as np
 
-    monkeypatch.setattr(quantiles, "SMALL_GROUP", limit)
     rng = random.Random(4)
     data = {"hot": [round(rng.gauss(0, 1), 4) for _ in range(3001)], "few": [1.0, 2.0], "same": [7.0] * 200}
     d = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs], "g string, v double")
