@@ -269,17 +269,23 @@ def _visible_sql(c: str) -> str:
         x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?(?:</{tag}\\s*>|\\z)', chr(1), 'g')"
     x = f"regexp_replace({x}, '(?s)<!--.*?-->', chr(1), 'g')"
     x = f"regexp_replace({x}, '<[!/?A-Za-z][^>]*>', chr(1), 'g')"
-    for name, char in text.ENTITIES:
-        lit = char.replace("'", "''")
-        x = f"replace({x}, '{name}', '{lit}')"
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\'\'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{char}')"
     return (f"array_to_string(list_filter(list_transform(string_split({x}, chr(1)), lambda s: "
             "regexp_replace(s, '^[\\s\\x{a0}]+|[\\s\\x{a0}]+$', '', 'g')), lambda s: s <> ''), chr(10))")
 
 
+# References and what a browser shows for them; the twin knows only the second column.
+REFERENCES = "&#8217;&rsquo;&eacute;&#x1F600;&hellip;&#128;&copy &notit; &Auml;&unknown;&#xD800;&amp;lt;"
+SHOWN = "’’é😀…€© ¬it; Ä&unknown;\ufffd&lt;"
+
+
 @query("P19_visible_text", f"""
-    SELECT page_id, length(v)::INTEGER AS chars, md5(v) AS digest FROM (SELECT page_id, {_visible_sql('html')} AS v FROM pages)""")
+    SELECT page_id, length(v)::INTEGER AS chars, md5(v) AS digest FROM (SELECT page_id, concat({_visible_sql('html')}, chr(10), '{SHOWN}') AS v FROM pages)""")
 def visible_text(t):
-    return t.table("pages").select("page_id", text.visible_text("html").alias("v")).select(
+    """Every page, with references of all kinds added at its end."""
+    html = F.concat("html", F.lit(f"<p>{REFERENCES}</p>"))
+    return t.table("pages").select("page_id", text.visible_text(html).alias("v")).select(
         "page_id", F.length("v").alias("chars"), F.md5("v").alias("digest"))
 
 

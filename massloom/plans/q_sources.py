@@ -12,9 +12,22 @@ from massloom.session import shared_dir
 from massloom.sources import readers, sinks
 
 
-@query("S1_file_discovery")
+def _monthly(t):
+    """Orders as one folder per month, each with one small file of known bytes."""
+    path = shared_dir(t.spark, "monthly")
+    rows = t.table("orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", "o_custkey")
+    rows.repartition("month").sortWithinPartitions("month", "o_orderkey", "o_custkey").write.partitionBy("month").csv(path)
+    return path
+
+
+_MONTHLY = "m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey AS k, o_custkey AS c, concat(o_orderkey, ',', o_custkey) AS line FROM orders)"
+
+
+@query("S1_file_discovery", f"WITH {_MONTHLY} SELECT concat('month=', month) AS folder, 'csv' AS suffix, sum(strlen(line) + 1)::BIGINT AS length FROM m GROUP BY month")
 def file_discovery(t):
-    return readers.discover(t.spark, t.dir).select("name", "suffix", "length")
+    """Data files below a folder of folders; marker files are left out."""
+    found = readers.discover(t.spark, _monthly(t))
+    return found.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "suffix", "length")
 
 
 _RECORDS = "SELECT s.spectrum_id, s.adduct, round(s.precursor_mz, 6) AS precursor_mz, len(p.peaks)::INTEGER AS n_peaks, round(list_sum(list_transform(p.peaks, lambda x: x.i)), 6) AS total FROM spectra_v s JOIN raw_lists_v p ON p.spectrum_id = s.spectrum_id"
@@ -62,7 +75,9 @@ def mgf_blocks(t):
     block = F.concat_ws("\n", F.lit("BEGIN IONS"), F.concat(F.lit("COMPOUND_ID="), F.col("spectrum_id")),
                         F.concat(F.lit("PEPMASS="), F.col("precursor_mz"), F.lit(" 100.0")),
                         F.concat(F.lit("ADDUCT="), F.col("adduct")), F.array_join(lines, "\n"), F.lit("END IONS\n"))
-    _records(t).select(block.alias("value")).write.text(path)
+    # Every fifth block shows what a reader must bear: a lower-case end, END IONS inside a title, a repeated key.
+    odd = F.regexp_replace(F.regexp_replace(block, "END IONS\n", "end ions\n"), "ADDUCT=", "ADDUCT=[unknown]\nTITLE=weekEND IONSource\nADDUCT=")
+    _records(t).select(F.when(F.col("spectrum_id") % 5 == 0, odd).otherwise(block).alias("value")).write.text(path)
     if not readers.unbalanced_mgf(t.spark, path).isEmpty():
         raise ValueError("a peak-list file ends inside a block")
     d = readers.read_mgf(t.spark, path)
@@ -177,15 +192,24 @@ def parquet_subset(t):
     return t.spark.read.parquet(path).select("l_orderkey", "l_partkey", "l_quantity")
 
 
-@query("S14_content_digest")
+@query("S14_content_digest", f"""
+    WITH {_MONTHLY}, f AS (SELECT concat('month=', month) AS p, sha256(string_agg(concat(line, chr(10)), '' ORDER BY k, c)) AS d, sum(strlen(line) + 1) AS n FROM m GROUP BY month),
+    s AS (SELECT substr(sha256(p), 1, 4) AS s, sha256(string_agg(concat(p, chr(0), d), chr(10) ORDER BY p)) AS h, count(*) AS c, sum(n) AS b FROM f GROUP BY 1)
+    SELECT sha256(string_agg(h, chr(10) ORDER BY s)) AS digest, sum(c)::BIGINT AS files, sum(b)::BIGINT AS bytes FROM s""")
 def content_digest(t):
-    files = readers.content_digest(t.spark, t.dir, "*.parquet")
-    return readers.folder_digest(files, t.dir)
+    """Digest of a written folder; file names of a job are random, so a file goes by its folder."""
+    path = _monthly(t)
+    files = readers.content_digest(t.spark, path, "part-*")
+    return readers.folder_digest(files.withColumn("path", F.regexp_replace("path", "/[^/]*$", "")), path)
 
 
-@query("S15_file_inventory")
+@query("S15_file_inventory", f"""
+    WITH {_MONTHLY}, f AS (SELECT concat('month=', month) AS folder, sum(strlen(line) + 1)::BIGINT AS length FROM m GROUP BY month)
+    SELECT folder, 'csv' AS suffix, length, (SELECT count(*) FROM f) > 50 AS truncated FROM f ORDER BY folder LIMIT 50""")
 def file_inventory(t):
-    return readers.inventory(t.spark, t.dir, 200).select(F.element_at(F.split("path", "/"), -1).alias("name"), "suffix", "length", "truncated")
+    """The first 50 files of a folder in path order."""
+    found = readers.inventory(t.spark, _monthly(t), 50)
+    return found.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "suffix", "length", "truncated")
 
 
 @query("S16_signature_reuse", "SELECT count(*) AS rows, FALSE AS first_reused, TRUE AS second_reused, FALSE AS changed_reused FROM documents")

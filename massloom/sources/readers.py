@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom import fixed
+from massloom.operators.ordering import global_running_sum
 
 
 def discover(spark: SparkSession, path: str) -> DataFrame:
@@ -33,11 +34,19 @@ def content_digest(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
 
 
 def folder_digest(files: DataFrame, root: str) -> DataFrame:
-    """One digest over (relative path, file digest) in path order, with file and byte counts."""
-    rel = F.substring_index("path", root.rstrip("/") + "/", -1)
-    items = F.array_sort(F.collect_list(F.struct(rel.alias("p"), F.col("digest").alias("d"))))
+    """One digest over (relative path, file digest), with file and byte counts.
+
+    Files fall into slices by the first four digits of their path's digest; a
+    slice is hashed in path order and the slice digests in slice order, so the
+    paths of a large folder never meet in one task.
+    """
+    rel = F.element_at(F.split("path", "\\Q" + root.rstrip("/").split("://")[-1].removeprefix("file:") + "/\\E"), -1)
+    d = files.select(rel.alias("p"), F.col("digest").alias("d"), "length")
+    items = F.array_sort(F.collect_list(F.struct("p", "d")))
     text = F.array_join(F.transform(items, lambda x: F.concat_ws("\u0000", x["p"], x["d"])), "\n")
-    return files.agg(F.sha2(text, 256).alias("digest"), F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    parts = d.groupBy(F.substring(F.sha2("p", 256), 1, 4).alias("s")).agg(F.sha2(text, 256).alias("h"), F.count(F.lit(1)).alias("c"), F.sum("length").alias("b"))
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("s", "h"))), lambda x: x["h"])
+    return parts.agg(F.sha2(F.array_join(joined, "\n"), 256).alias("digest"), F.sum("c").alias("files"), F.sum("b").alias("bytes"))
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -64,32 +73,41 @@ def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFram
 def read_mgf(spark: SparkSession, path: str) -> DataFrame:
     """Peak-list text: one row per BEGIN IONS / END IONS block.
 
-    Returns headers (map of lower-cased keys), peaks and ``problem`` (null when the
-    block is well formed). The separator splits files at block ends, so blocks
-    are parsed in parallel by column expressions.
+    Returns headers (map of lower-cased keys, the last value of a repeated key),
+    peaks and ``problem`` (null when the block is well formed). Only a line that
+    is END IONS in any case ends a block. Lines are numbered by a running count
+    of such lines over the global order of lines, so blocks of one large file
+    are gathered in parallel; what follows the last END IONS of a file is a
+    block of its own, reported as unclosed where it holds more than comments.
     """
-    raw = spark.read.option("lineSep", "END IONS").text(path)
-    lines = F.filter(F.transform(F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n"), lambda x: F.trim(x)),
-                     lambda x: (x != "") & ~x.rlike("^[#;]"))
-    d = raw.select(lines.alias("lines")).filter(F.size("lines") > 0)
+    line = F.trim(F.regexp_replace("value", "^\ufeff", ""))
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), line.alias("line"))
+    ends = (F.upper("line") == "END IONS").cast("int")
+    numbered = global_running_sum(raw, ["file", "start", "at"], ends, "block").withColumn("block", F.col("block") - F.when(F.upper("line") == "END IONS", 1).otherwise(0))
+    kept = numbered.filter((F.col("line") != "") & ~F.col("line").rlike("^[#;]"))
+    d = kept.groupBy("file", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "at", "line"))), lambda x: x["line"]).alias("lines"))
     begins = F.size(F.filter("lines", lambda x: F.upper(x) == "BEGIN IONS"))
-    body = F.filter("lines", lambda x: F.upper(x) != "BEGIN IONS")
-    pairs = F.filter(body, lambda x: x.contains("="))
-    key = lambda x: F.lower(F.substring_index(x, "=", 1))
-    value = lambda x: F.when(key(x) == "pepmass", F.element_at(F.split(
-        F.trim(F.regexp_extract(x, "^[^=]*=(.*)$", 1)), r"\s+"), 1)).otherwise(F.regexp_extract(x, "^[^=]*=(.*)$", 1))
+    closed = F.exists("lines", lambda x: F.upper(x) == "END IONS")
+    body = F.filter("lines", lambda x: ~F.upper(x).isin("BEGIN IONS", "END IONS"))
+    pairs = F.transform(F.filter(body, lambda x: x.contains("=")), lambda x: F.struct(
+        F.lower(F.substring_index(x, "=", 1)).alias("k"), F.regexp_extract(x, "^[^=]*=(.*)$", 1).alias("v")))
+    d = d.withColumn("pairs", pairs)
+    last = F.filter("pairs", lambda x, i: ~F.exists(F.slice("pairs", i + 2, F.size("pairs")), lambda y: y["k"] == x["k"]))
+    value = lambda x: F.when(x["k"] == "pepmass", F.element_at(F.split(F.trim(x["v"]), r"\s+"), 1)).otherwise(x["v"])
     numbers = F.transform(F.filter(body, lambda x: ~x.contains("=")), lambda x: F.split(x, r"\s+"))
     number = lambda v: v.try_cast("double")
     peaks = F.transform(numbers, lambda v: F.struct(number(v[0]).alias("mz"), number(F.get(v, 1)).alias("i")))
     malformed = F.exists(peaks, lambda p: p["mz"].isNull() | p["i"].isNull())
-    problem = F.when(begins > 1, "nested BEGIN IONS").when(begins == 0, "END IONS without BEGIN IONS") \
+    problem = F.when(~closed, "block without END IONS").when(begins > 1, "nested BEGIN IONS").when(begins == 0, "END IONS without BEGIN IONS") \
         .when(malformed, "malformed peak line")
-    return d.select(F.map_from_entries(F.transform(pairs, lambda x: F.struct(key(x), value(x)))).alias("headers"),
+    return d.select(F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], value(x)))).alias("headers"),
                     peaks.alias("peaks"), problem.alias("problem"))
 
 
 def unbalanced_mgf(spark: SparkSession, path: str) -> DataFrame:
-    """Files whose BEGIN and END lines differ in number: a truncated last block shows here, not in ``read_mgf``."""
+    """Files whose BEGIN and END lines differ in number."""
     line = F.upper(F.trim("value"))
     d = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), line.alias("line"))
     return d.groupBy("file").agg(F.count_if(F.col("line") == "BEGIN IONS").alias("begins"),

@@ -121,7 +121,11 @@ def test_mgf_blocks_and_faults(spark):
     assert [(p.mz, p.i) for p in r.peaks] == [(31.0, 1.0), (32.5, 2.0)]
     nested = ["BEGIN IONS", "1 1", "BEGIN IONS", "END IONS"]
     assert readers.read_mgf(spark, write_text(spark, nested)).first().problem == "nested BEGIN IONS"
+    odd = ["begin ions", "TITLE=weekEND IONSource", "ADDUCT=a", "ADDUCT=b", "1 1", " end ions "]
+    r = readers.read_mgf(spark, write_text(spark, odd)).first()
+    assert r.headers == {"title": "weekEND IONSource", "adduct": "b"} and r.problem is None and len(r.peaks) == 1
     unclosed = ["BEGIN IONS", "1 1", "END IONS", "BEGIN IONS", "2 2"]
+    assert sorted(str(x.problem) for x in readers.read_mgf(spark, write_text(spark, unclosed)).collect()) == ["None", "block without END IONS"]
     bad = readers.unbalanced_mgf(spark, write_text(spark, unclosed)).first()
     assert (bad.begins, bad.ends) == (2, 1)
     assert readers.unbalanced_mgf(spark, write_text(spark, good)).count() == 0
