@@ -54,12 +54,16 @@ def poisson_bootstrap(units: DataFrame, unit: str, delta: str, repeats: int = 20
         weight = F.when(below, count) if weight is None else weight.when(below, count)
         p /= count + 1
     weight = weight.otherwise(12)
-    digits = F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("r"), F.col(unit)), 256), 1, 13)
+    # One digest serves four repeats, thirteen digits each.
+    digest = F.sha2(F.concat_ws(":", F.lit(seed), F.col("q"), F.col(unit)), 256)
+    drawn = F.filter(F.transform(F.array(*[F.lit(j) for j in range(4)]), lambda j: F.struct(
+        (F.col("q") * 4 + j).cast("int").alias("r"), F.substr(F.col("digest"), j * 13 + 1, F.lit(13)).alias("h"))), lambda x: x["r"] < repeats)
+    own = F.array(F.struct(F.lit(-1).alias("r"), F.lit("").alias("h")))
     tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # One row per unit is spread out before it multiplies; r = -1 keeps weight 1 for the point estimate.
     w = (units.select(unit, delta).repartition(tasks, unit)
-         .select(unit, delta, F.explode(F.sequence(F.lit(-1), F.lit(repeats - 1))).alias("r"))
-         .withColumn("h", digits).withColumn("w", F.when(F.col("r") < 0, 1).otherwise(weight)))
+         .select(unit, delta, F.explode(F.sequence(F.lit(-1), F.lit((repeats - 1) // 4))).alias("q")).withColumn("digest", digest)
+         .select(delta, F.inline(F.when(F.col("q") < 0, own).otherwise(drawn))).withColumn("w", F.when(F.col("r") < 0, 1).otherwise(weight)))
     means = w.groupBy("r").agg((F.sum(F.col("w") * F.col(delta)) / F.sum("w")).alias("m"), F.count(F.lit(1)).alias("n"))
     return _interval(means)
 

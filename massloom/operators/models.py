@@ -16,11 +16,15 @@ from massloom.functions.numeric import logit, sigmoid
 
 
 def check_weights(w1: np.ndarray, b1: np.ndarray, w2: np.ndarray, b2: np.ndarray) -> None:
-    h = len(b1)
-    if w1.ndim != 2 or w1.shape[0] != h or w2.shape != (len(b2), h):
-        raise ValueError("malformed model shapes")
-    if not all(np.isfinite(a).all() for a in (w1, b1, w2, b2)):
-        raise ValueError("nonfinite model weights")
+    """Raises with the names of all requirements that the arrays break."""
+    required = {
+        "w1 is hidden x inputs": w1.ndim == 2 and b1.shape == w1.shape[:1],
+        "w2 is outputs x hidden": w2.ndim == 2 and b2.shape == w2.shape[:1] and w2.shape[1:] == b1.shape,
+        "all values are finite": bool(np.isfinite(np.concatenate([np.ravel(a) for a in (w1, b1, w2, b2)])).all()),
+    }
+    broken = [text for text, holds in required.items() if not holds]
+    if broken:
+        raise ValueError("weights: not so: " + "; ".join(broken))
 
 
 def two_layer(w1: np.ndarray, b1: np.ndarray, w2: np.ndarray, b2: np.ndarray, batch_size: int = 1024) -> Callable[..., Column]:
@@ -34,8 +38,8 @@ def two_layer(w1: np.ndarray, b1: np.ndarray, w2: np.ndarray, b2: np.ndarray, ba
     def load():
         def predict(x: np.ndarray) -> np.ndarray:
             x = np.asarray(x, dtype=np.float64)
-            if x.shape[-1] != w1.shape[1] or not np.isfinite(x).all():
-                raise ValueError("incorrect or nonfinite feature input")
+            if not np.isfinite(x).all():
+                raise ValueError("a feature vector holds a value that is no number")
             return np.maximum(x @ w1.T + b1, 0) @ w2.T + b2
         return predict
 
@@ -43,20 +47,6 @@ def two_layer(w1: np.ndarray, b1: np.ndarray, w2: np.ndarray, b2: np.ndarray, ba
                              input_tensor_shapes=[[w1.shape[1]]])
 
 
-def two_layer_file(path: str, inputs: int, batch_size: int = 1024) -> Callable[..., Column]:
-    """As ``two_layer`` for weights too large for a closure: w1, b1, w2, b2 of an .npz in the shared folder.
-
-    Each Python worker opens the file once; only numeric arrays are accepted.
-    """
-    def load():
-        with np.load(path, allow_pickle=False) as data:
-            w1, b1, w2, b2 = (np.asarray(data[k], dtype=np.float64) for k in ("w1", "b1", "w2", "b2"))
-        check_weights(w1, b1, w2, b2)
-        return lambda x: np.maximum(np.asarray(x, dtype=np.float64) @ w1.T + b1, 0) @ w2.T + b2
-
-    return predict_batch_udf(load, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size, input_tensor_shapes=[[inputs]])
-
-
 def mean_array(df: DataFrame, by: list[str], column: str, weight: str | None = None) -> DataFrame:
     """Element-wise (weighted) mean of an array column: one partially aggregated row per (group, position)."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)

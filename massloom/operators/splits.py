@@ -110,8 +110,3 @@ def result_differences(left: DataFrame, right: DataFrame, fields: list[str]) ->
 def regimes(candidates: DataFrame, names: list[str]) -> DataFrame:
     """Each candidate row once per regime (a literal handful)."""
     return candidates.withColumn("regime", F.explode(F.array(*[F.lit(n) for n in names])))
-
-
-def duplicate_items(df: DataFrame, items: Column) -> DataFrame:
-    """Adds whether a list repeats an item and how many entries are repeats."""
-    return df.withColumn("n_items", F.size(items)).withColumn("n_distinct", F.size(F.array_distinct(items)))

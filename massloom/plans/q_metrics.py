@@ -85,7 +85,7 @@ for _k in range(12):
 
 
 @query("M4_poisson_bootstrap", f"""
-    WITH {_UNITS}, u AS (SELECT r.r, delta, ('0x' || substr(sha256('26091603:' || r.r || ':' || molecule_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM dl, (SELECT unnest(range(0, {REPEATS})) AS r) r),
+    WITH {_UNITS}, u AS (SELECT r.r, delta, ('0x' || substr(sha256('26091603:' || (r.r // 4) || ':' || molecule_id), ((r.r % 4) * 13 + 1)::INT, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM dl, (SELECT unnest(range(0, {REPEATS})) AS r) r),
     w AS (SELECT r, delta, {' + '.join(f'CASE WHEN u >= {c!r}::DOUBLE THEN 1 ELSE 0 END' for c in _CUM)} AS w FROM u),
     m AS (SELECT r, sum(w * delta) / sum(w) AS m FROM w GROUP BY 1)
     SELECT (SELECT count(*) FROM dl) AS units, (SELECT round(avg(delta), 6) FROM dl) AS delta, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")

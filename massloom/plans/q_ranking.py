@@ -133,10 +133,18 @@ def certificate_summary(t):
 
 
 @query("R10_certificate_verification", """
-    SELECT DISTINCT query_id, 0::BIGINT AS changed_unevaluated, 0::BIGINT AS outside_bound, 0::BIGINT AS wrong_rank, 0::BIGINT AS unknown_in_top,
-           0::BIGINT AS could_enter FROM vec_scores_v""")
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, structure_id) AS rn,
+                      score + 0.05 * CASE WHEN external THEN 0.0 ELSE least(sim, 1.0) END AS final FROM vec_scores_v),
+    cut AS (SELECT query_id, min(final) AS cut FROM r WHERE rn <= 3 GROUP BY 1),
+    e AS (SELECT r.query_id, count(*) AS n, count(*) FILTER (rn <= 3 OR nextafter(score + 0.05::DOUBLE, 'infinity'::DOUBLE) >= cut) AS evaluated FROM r JOIN cut ON cut.query_id = r.query_id GROUP BY 1)
+    SELECT query_id, 0::BIGINT AS changed_unevaluated, CASE WHEN query_id % 5 = 1 THEN evaluated ELSE 0 END::BIGINT AS outside_bound,
+           CASE WHEN query_id % 5 = 0 THEN least(n, 3) ELSE 0 END::BIGINT AS wrong_rank, 0::BIGINT AS unknown_in_top, 0::BIGINT AS could_enter FROM e""")
 def certificate_verification(t):
-    return certified.verify_certificate(_certified(t), ["query_id"], "score", "lower", "evaluated", "rank", "structure_id", _WEIGHT, 3)
+    """Some certificates are broken on purpose: ranks left out, or evaluated scores raised beyond their bound."""
+    made = _certified(t)
+    made = made.withColumn("rank", F.when(F.col("query_id") % 5 != 0, F.col("rank"))).withColumn(
+        "lower", F.col("lower") + F.when(F.col("evaluated") & (F.col("query_id") % 5 == 1), 1.0).otherwise(0.0))
+    return certified.verify_certificate(made, ["query_id"], "score", "lower", "evaluated", "rank", "structure_id", _WEIGHT, 3)
 
 
 @query("R11_rerank_inside_top_n", """
