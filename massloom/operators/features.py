@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massloom import fixed
@@ -12,9 +13,9 @@ CHANNELS = ("fragment", "loss")
 def histogram(spectra: DataFrame, keys: list[str], peaks: str = "peaks", precursor: str = "precursor_mz") -> DataFrame:
     """(keys, channel, bin, value, moment): root-intensity histogram of unit bins and its fractional moment.
 
-    Both measures are divided by the L2 norm of the channel's raw bins. One
-    explode, one aggregation; norms come from a second aggregate over the few
-    occupied bins.
+    Both measures are divided by the L2 norm of the channel's raw bins, summed
+    in a window of at most 2,048 bins. A window and an aggregate on the keys
+    share one partitioning, so rows of a spectrum move once at most.
     """
     p = F.filter(F.col(peaks), lambda x: (x["i"] > 0) & (x["mz"] < F.col(precursor) - F.lit(fixed.REFERENCE_MARGIN)))
     both = F.flatten(F.array(
@@ -25,9 +26,9 @@ def histogram(spectra: DataFrame, keys: list[str], peaks: str = "peaks", precurs
         *keys, "e.channel", F.floor("e.v").cast("int").alias("bin"), F.col("e.v").alias("v"), F.col("e.w").alias("w"))
     bins = rows.filter((F.col("bin") >= 0) & (F.col("bin") < fixed.BINS)).groupBy(*keys, "channel", "bin").agg(
         F.sum("w").alias("raw"), F.sum(F.col("w") * (F.col("v") - F.col("bin"))).alias("raw_moment"))
-    norms = bins.groupBy(*keys, "channel").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    scale = F.greatest("norm", F.lit(1e-12))
-    return bins.join(norms, [*keys, "channel"]).select(
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(*keys, "channel")))
+    scale = F.greatest(norm, F.lit(1e-12))
+    return bins.select(
         *keys, "channel", "bin", (F.col("raw") / scale).alias("value"), (F.col("raw_moment") / scale).alias("moment"))
 
 
