@@ -16,11 +16,11 @@ from massloom.streaming import jobs
 
 
 def _stream(t, df, name: str, parts: int = 4):
-    """Writes a derived table as several files and opens it as a stream."""
+    """Writes a derived table as several files and opens it as a stream of two batches at least."""
     src = shared_dir(t.spark, f"{name}-in")
     df.repartition(parts).write.parquet(src)
     out, state = shared_dir(t.spark, f"{name}-out"), shared_dir(t.spark, f"{name}-state")
-    return jobs.read_stream(t.spark, t.spark.read.parquet(src).schema, src), out, state
+    return jobs.read_stream(t.spark, t.spark.read.parquet(src).schema, src, files_per_batch=max(1, parts // 2)), out, state
 
 
 def _library(t):
@@ -69,10 +69,9 @@ def online_sketch(t):
 
 @query("X3_streaming_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def streaming_dedup(t):
-    """First event per (user, type): the delay spans the whole input, so the stream equals a batch distinct."""
-    e = t.table("events").select("user_id", "event_type", F.timestamp_micros(epoch_micros("ts")).alias("ts"))
-    s, out, state = _stream(t, e, "dedup")
-    jobs.dedup_stream(s, "ts", "60 days", ["user_id", "event_type"], out, state)
+    """First event per (user, type) over batches of any age: equal to a batch distinct."""
+    s, out, state = _stream(t, t.table("events").select("user_id", "event_type"), "dedup")
+    jobs.dedup_stream(s, ["user_id", "event_type"], out, state)
     return t.spark.read.parquet(out).select("user_id", "event_type")
 
 
@@ -83,9 +82,8 @@ def streaming_dedup(t):
 def sliding_budget(t):
     e = t.table("events").select("event_type", F.timestamp_micros(epoch_micros("ts")).alias("ts"))
     s, out, state = _stream(t, e, "budget")
-    jobs.sliding_counts(s, "ts", ["event_type"], out, state, delay="60 days")
-    return jobs.latest_windows(t.spark, out, ["event_type"]).select(
-        "event_type", F.unix_seconds("start").alias("start_s"), F.col("count").alias("events"))
+    jobs.sliding_counts(s, "ts", ["event_type"], out, state)
+    return jobs.sliding_windows(t.spark, out, ["event_type"]).select("event_type", "start_s", F.col("count").alias("events"))
 
 
 @query("X5_query_microbatches", """

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_stream(spark: SparkSession, schema, path: str, pattern: str = "*.parquet") -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
+def read_stream(spark: SparkSession, schema, path: str, pattern: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
+    """Files of a folder as a stream; a backlog is worked off in batches of bounded size."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def _finish(writer, checkpoint: str) -> None:
@@ -70,30 +71,46 @@ def sketch_read(spark: SparkSession, key: list[str], digest: str, values: list[s
     return sums, lowest_hash(spark.read.parquet(f"{out}/low"), key, digest, n)
 
 
-def dedup_stream(stream: DataFrame, time: str, delay: str, keys: list[str], out: str, checkpoint: str) -> None:
-    """First row per signature within the watermark delay."""
-    d = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
-    _finish(d.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint)
+def _epochs_before(spark: SparkSession, out: str, epoch: int, schema) -> DataFrame:
+    """Rows stored by earlier batches; none before the first."""
+    if epoch == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(out).filter(F.col("epoch") < epoch).drop("epoch")
 
 
-def sliding_counts(stream: DataFrame, time: str, by: list[str], out: str, checkpoint: str, length: str = "24 hours",
-                   slide: str = "1 hour", delay: str = "1 hour") -> None:
-    """Events per sliding window; each batch's changed windows are stored under the batch id.
+def dedup_stream(stream: DataFrame, keys: list[str], out: str, checkpoint: str) -> None:
+    """The keys' first appearances, whatever the time between them.
 
-    Update mode emits a window whenever it changes; the latest epoch wins on
-    read, so the last windows need no later event to appear.
+    What was seen is the stored output itself, so there is no state that could
+    expire and no delay to choose. A batch is first reduced to its own keys; a
+    replayed batch meets the earlier ones only and replaces its own output.
     """
-    counted = stream.withWatermark(time, delay).groupBy(F.window(time, length, slide).alias("w"), *by).count()
+    def batch(df: DataFrame, epoch: int) -> None:
+        own = df.select(*keys).distinct()
+        seen = _epochs_before(df.sparkSession, out, epoch, own.schema)
+        same = [own[k].eqNullSafe(seen[k]) for k in keys]
+        own.join(seen, same, "left_anti").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    _finish(stream.writeStream.foreachBatch(batch), checkpoint)
+
 
+def sliding_counts(stream: DataFrame, time: str, by: list[str], out: str, checkpoint: str) -> None:
+    """Events per hour, one partial count per batch; ``sliding_windows`` combines them.
+
+    An event is counted once, in its hour, however late it comes.
+    """
     def batch(df: DataFrame, epoch: int) -> None:
-        df.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "count") \
-            .write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        hour = F.floor(F.unix_seconds(time) / 3600).alias("hour")
+        df.groupBy(*by, hour).agg(F.count(F.lit(1)).alias("count")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    _finish(counted.writeStream.outputMode("update").foreachBatch(batch), checkpoint)
+    _finish(stream.writeStream.foreachBatch(batch), checkpoint)
 
 
-def latest_windows(spark: SparkSession, out: str, by: list[str]) -> DataFrame:
-    return spark.read.parquet(out).groupBy(*by, "start", "end").agg(F.max_by("count", "epoch").alias("count"))
+def sliding_windows(spark: SparkSession, out: str, by: list[str], hours: int = 24) -> DataFrame:
+    """(by, start_s, count) for every window of ``hours`` that holds an event, moving by one hour."""
+    hourly = spark.read.parquet(out).groupBy(*by, "hour").agg(F.sum("count").alias("count"))
+    starts = F.explode(F.sequence(F.col("hour") - (hours - 1), F.col("hour"))).alias("start")
+    return hourly.select(*by, starts, "count").groupBy(*by, (F.col("start") * 3600).alias("start_s")).agg(F.sum("count").alias("count"))
 
 
 def match_stream(stream: DataFrame, rank: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
