@@ -16,9 +16,9 @@ implied by found ones, so components are exact.
    set of the block and its neighbours meets the pivot unless sizes and
    positions rule the pair out (block skipping by position).
 4. What is left are sets of one list that are not yet in one component. Their
-   overlap is first bounded from the answers of the pivot (|X n Z| is at most
-   |X n P| + |Z| - |Z n P|): a set highly similar to P inherits P's answers, and
-   only pairs that this can't settle are counted.
+   overlap is derived from the pivot's answers: a set highly similar to P
+   inherits them, differing only by its shingles beyond P. Only pairs that this
+   can't settle are counted.
 
 Null or empty texts and texts without words have no set and link with nothing.
 Repeated rows are copies. Rows with a null id keep their sets but give no id to
@@ -242,7 +242,7 @@ def _token_pass(width: int):
 
 
 def _overlaps(docs: DataFrame, owners: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(x, nx, p, np, o): exact intersection sizes of the pairs (x, p).
+    """(x, nx, p, np, o, added): exact intersection sizes of the pairs (x, p), and where half of x or more lies in p, the rest of x.
 
     A set is made from its text where it is needed, sent once to its pairs, and
     meets p's set in a sorted stream: p first, then its partners. A p with many
@@ -264,12 +264,12 @@ def _overlaps(docs: DataFrame, owners: DataFrame, pairs: DataFrame, width: int)
     sets = docs.where(hit(F.xxhash64("doc_id"))).mapInArrow(run, schema).join(wanted, F.col("x") == F.col("s"))
     sent = sets.select(F.explode("to").alias("to"), "s", "n", "tokens").select("to.t", "to.part", "to.role", "s", "n", "tokens")
     sent = sent.repartition("t", "part").sortWithinPartitions("t", "part", "role", "s")
-    out = pa.schema([("x", pa.int64()), ("nx", pa.int32()), ("p", pa.int64()), ("np", pa.int32()), ("o", pa.int32())])
+    out = pa.schema([("x", pa.int64()), ("nx", pa.int32()), ("p", pa.int64()), ("np", pa.int32()), ("o", pa.int32()), ("added", pa.list_(pa.int64()))])
 
     def count(batches):
         head, last, other, size = None, None, None, 0
         for b in batches:
-            made = [[], [], [], [], []]
+            made = [[], [], [], [], [], []]
             t, role, s, n = (b.column(c).to_pylist() for c in ("t", "role", "s", "n"))
             for i, data in enumerate(b.column("tokens")):
                 if role[i] == 0:
@@ -280,11 +280,13 @@ def _overlaps(docs: DataFrame, owners: DataFrame, pairs: DataFrame, width: int)
                     mine = unpack(data.as_py())
                     at = np.searchsorted(other, mine)
                     at[at == len(other)] = 0
-                    for column, v in zip(made, (s[i], n[i], t[i], size, int((other[at] == mine).sum()))):
+                    new = mine[other[at] != mine]
+                    o = n[i] - len(new)
+                    for column, v in zip(made, (s[i], n[i], t[i], size, o, new.astype(np.int64) if 2 * o >= n[i] else None)):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, out)], schema=out)
 
-    return sent.mapInArrow(count, "x long, nx int, p long, np int, o int")
+    return sent.mapInArrow(count, "x long, nx int, p long, np int, o int, added array<long>")
 
 
 def _links(overlaps: DataFrame, percent: int) -> DataFrame:
@@ -312,7 +314,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     index = stored(lists.select(F.col("l").alias("token"), F.inline(F.arrays_zip("x", "n", "pos"))), "index")
     index = index.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
 
-    pivots = index.groupBy("token", "c").agg(F.min(F.struct("x", "n", "pos")).alias("v"), F.count("*").alias("many")).select(
+    # The set with the fewest rarer shingles is the most typical one of its block.
+    pivots = index.groupBy("token", "c").agg(F.min(F.struct("pos", "x", "n")).alias("v")).select(
         "token", F.col("c").alias("pc"), F.col("v.x").alias("p"), F.col("v.n").alias("np"), F.col("v.pos").alias("pp"))
     near = pivots.select("*", F.explode(F.array(F.col("pc") - 1, F.col("pc"), F.col("pc") + 1)).alias("c"))
     star = index.join(near, ["token", "c"]).where(F.col("x") != F.col("p")).where(_may_link("n", "pos", "np", "pp", percent))
@@ -336,29 +339,59 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _unsettled(index: DataFrame, pivots: DataFrame, answered: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one list, in different components, that the pivots' answers don't rule out."""
+    """Pairs of one list, in different components, that the pivots' answers don't rule out.
+
+    For sets X and Z that met the same pivot P, X n Z holds at most
+    min(|X n P|, |Z n P|) shingles of P. What is missing to a link must be
+    shared beyond P. So where both lie mostly in P and something is missing,
+    only sets with a common shingle beyond P are paired, and a group of copies
+    around P is never paired up. The other cases meet in their list, bounded by
+    sizes, positions and |X n P| + |Z - P|.
+    """
     comp = labels.select(F.col("node").alias("x"), "component")
     entry = index.join(comp, "x", "left").withColumn("component", F.coalesce("component", "x"))
-    head = pivots.join(comp.withColumnRenamed("x", "p"), "p", "left").select(
-        "token", F.col("pc").alias("c"), "p", "np", F.coalesce("component", "p").alias("home"))
+    around = F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1))
     # Lists with one component in neighbouring blocks are settled as a whole.
     spread = entry.groupBy("token", "c").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    wide = spread.select("token", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"), "lo", "hi").groupBy("token", "c").agg(
+    wide = spread.select("token", around.alias("c"), "lo", "hi").groupBy("token", "c").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token", "c")
-    entry = entry.join(wide, ["token", "c"], "left_semi").join(head, ["token", "c"])
+    home = comp.select(F.col("x").alias("p"), F.col("component").alias("home"))
+    blocks = pivots.join(wide, (F.col("pc") == wide["c"]) & (pivots["token"] == wide["token"]), "left_semi").join(home, "p", "left").select(
+        "token", F.col("pc").alias("b"), "p", "np", F.coalesce("home", "p").alias("home"))
+    visits = entry.withColumn("b", around)
     known = answered.select("x", "p", "o")
-    entry = entry.join(known, ["x", "p"], "left").withColumn(
+    seen = visits.join(blocks, ["token", "b"]).join(known, ["x", "p"], "left").withColumn(
         "o", F.when(F.col("x") == F.col("p"), F.col("n")).otherwise(F.col("o")))
-    entry = stored(entry.select("token", "c", "x", "n", "pos", "component", "p", "home", "o"), "entries")
-    # One side: everything outside the home component of its own block, or of a neighbouring one.
-    homes = head.select("token", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"), "home", F.col("c").alias("oc"))
-    minor = entry.drop("home").join(homes, ["token", "c"]).where("component <> home").select(
-        "token", F.col("oc").alias("c"), F.col("x").alias("x1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"),
-        F.col("component").alias("c1"), F.col("p").alias("p1"), F.col("o").alias("o1"))
-    met = minor.join(entry, ["token", "c"]).where((F.col("c1") != F.col("component")) & _may_link("n1", "pos1", "n", "pos", percent))
-    same = (F.col("p") == F.col("p1")) & F.col("o").isNotNull() & F.col("o1").isNotNull()
+    seen = seen.withColumn("near", F.coalesce(2 * F.col("o") >= F.col("n"), F.lit(False)))
+    seen = stored(seen.select("token", "b", "c", "x", "n", "pos", "component", "p", "np", "home", "o", "near"), "visits")
+    member = seen.where("b = c")
+    minor = seen.where("component <> home or b <> c").select(
+        "token", "b", F.col("x").alias("x1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("component").alias("c1"),
+        F.col("o").alias("o1"), F.col("near").alias("near1"))
+    apart = (F.col("c1") != F.col("component")) & _may_link("n1", "pos1", "n", "pos", percent)
+    least = _needed(F.col("n"), F.col("n1"), percent)
     bound = F.least(F.col("o1") + F.col("n") - F.col("o"), F.col("o") + F.col("n1") - F.col("o1"))
-    open_ = met.where(F.when(same, bound >= _needed(F.col("n"), F.col("n1"), percent)).otherwise(True))
-    pairs = open_.select(F.greatest("x", "x1").alias("x"), F.least("x", "x1").alias("p")).distinct()
+    far = apart & F.coalesce(bound >= least, F.lit(True))
+    inside = apart & (F.least("o", "o1") >= least) & ((F.col("n") < F.col("np")) | (F.col("n1") < F.col("np")))
+    on = ["token", "b"]
+    met = [minor.where("not near1").join(member, on).where(far), minor.where("near1").join(member.where("not near"), on).where(far),
+           minor.where("near1").join(member.where("near and n < np"), on).where(inside),
+           minor.join(seen.select("token", "b", "np").distinct().withColumnRenamed("np", "nq"), on).where("near1 and n1 < nq").drop("nq").join(
+               member.where("near"), on).where(inside)]
+    pairs = [m.select(F.greatest("x", "x1").alias("x"), F.least("x", "x1").alias("p")) for m in met]
+
+    beyond = answered.where("added is not null").select("x", "p", F.explode("added").alias("e"))
+    sets = seen.where("near").select("p", "x", "n", "o", "component", (F.col("b") == F.col("c")).alias("member"),
+                                     ((F.col("component") != F.col("home")) | (F.col("b") != F.col("c"))).alias("minor")).distinct()
+    extra = beyond.join(sets, ["x", "p"])
+    left = extra.where("minor").select("p", "e", F.col("x").alias("x1"), F.col("n").alias("n1"), F.col("o").alias("o1"), F.col("component").alias("c1")).distinct()
+    right = extra.where("member").select("p", "e", "x", "n", "o", "component").distinct()
+    shared = left.join(right, ["p", "e"]).where((F.col("c1") != F.col("component")) & (100 * F.least("n", "n1") >= percent * F.greatest("n", "n1")))
+    shared = shared.groupBy("p", "x", "x1").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("n1").alias("n1"), F.first("o").alias("o"),
+                                                F.first("o1").alias("o1")).where(F.col("both") + F.least("o", "o1") >= least)
+    pairs.append(shared.select(F.greatest("x", "x1").alias("x"), F.least("x", "x1").alias("p")))
+    every = pairs[0]
+    for more in pairs[1:]:
+        every = every.unionByName(more)
     asked = answered.select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p"))
-    return pairs.join(asked, ["x", "p"], "left_anti")
+    return every.distinct().join(asked, ["x", "p"], "left_anti")
