@@ -118,10 +118,11 @@ def _index_pass(sketch, heavy: int, buckets: int, width: int, percent: int):
                 key = (*_keys(s), len(s))
                 if not len(s) or key in seen:
                     continue
-                i = seen[key] = len(seen)
                 p = prefix_length(len(s), percent)
                 c = counts[(s >> np.uint64(45)).astype(np.int64)]
                 order = np.argsort(c, kind="stable")[:p]  # ties in hash order, as s is sorted
+                i = len(seen)
+                seen[key] = int(c[order].mean())  # how common its rarest shingles are
                 tokens.append(s[order])
                 owner.append(np.full(len(order), i, np.uint32))
                 place.append(np.arange(len(order), dtype=np.uint32))
@@ -130,7 +131,7 @@ def _index_pass(sketch, heavy: int, buckets: int, width: int, percent: int):
             t, o, q = np.concatenate(tokens), np.concatenate(owner), np.concatenate(place)
             order = np.argsort(t, kind="stable")
             t, o, q = t[order], o[order], q[order]
-            table = np.array([k for k in seen], dtype=np.uint64)
+            table = np.array([(*k, v) for k, v in seen.items()], dtype=np.uint64)
             often = counts[(t >> np.uint64(45)).astype(np.int64)] >= heavy
             cut = np.append(np.searchsorted(t, edges), len(t))
             spread = int(mix(np.array([block], np.uint64))[0] % np.uint64(buckets))
@@ -157,34 +158,36 @@ def _lists(buckets: int):
     one group of copies become one when equal rows are dropped; a longer one is
     named by its shingle.
     """
-    schema = pa.schema([("l", pa.int64()), ("s", pa.int64()), ("x", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("pos", pa.list_(pa.int32()))])
+    schema = pa.schema([("l", pa.int64()), ("s", pa.int64()), ("x", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("pos", pa.list_(pa.int32())),
+                        ("typ", pa.list_(pa.int64()))])
 
     def run(key, table):
         low = np.uint64(int(bucket_edges(buckets)[key[0].as_py()]))
-        token, x, n, pos, sure = [], [], [], [], []
+        token, x, n, pos, typ, sure = [], [], [], [], [], []
         for i in range(table.num_rows):
             known = table["sure"][i].as_py()
             t = unpack(table["tokens"][i].as_py())
             t = (t << np.uint64(64 - TOKEN_BITS)) + (np.uint64(0) if known else low)
             o, q = unpack_ids(table["owners"][i].as_py()), unpack_ids(table["places"][i].as_py())
-            sets = np.frombuffer(table["sets"][i].as_py(), "<u8").reshape(-1, 3)
+            sets = np.frombuffer(table["sets"][i].as_py(), "<u8").reshape(-1, 4)
             token.append(t >> np.uint64(64 - TOKEN_BITS))
             x.append(sets[o, 0])
             n.append(sets[o, 2].astype(np.int32))
             pos.append(q.astype(np.int32))
+            typ.append(sets[o, 3].astype(np.int64))
             sure.append(np.full(len(t), known))
-        token, x, n, pos, sure = map(np.concatenate, (token, x, n, pos, sure))
+        token, x, n, pos, typ, sure = map(np.concatenate, (token, x, n, pos, typ, sure))
         order = np.lexsort((x, token, sure))
-        token, x, n, pos, sure = token[order], x[order], n[order], pos[order], sure[order]
+        token, x, n, pos, typ, sure = (v[order] for v in (token, x, n, pos, typ, sure))
         other = (token[1:] != token[:-1]) | (sure[1:] != sure[:-1])
         one = np.append(True, other | (x[1:] != x[:-1]))
-        token, x, n, pos, sure = token[one], x[one], n[one], pos[one], sure[one]
+        token, x, n, pos, typ, sure = (v[one] for v in (token, x, n, pos, typ, sure))
         start = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (sure[1:] != sure[:-1])))
         size = np.diff(np.append(start, len(token)))
         wanted = (size > 1) | sure[start]
         start, size = start[wanted], size[wanted]
         h1, h2 = mix(x), mix(x ^ np.uint64(0x5DEECE66D))
-        out, seen = [[], [], [], [], []], set()
+        out, seen = [[], [], [], [], [], []], set()
         for a, m in zip(start.tolist(), size.tolist()):
             named = sure[a] or m > CHUNK
             for at in range(a, a + m, CHUNK):
@@ -193,11 +196,11 @@ def _lists(buckets: int):
                 s = h2[e].sum(dtype=np.uint64)
                 if (l, s) not in seen:
                     seen.add((l, s))
-                    for column, v in zip(out, (l, s, x[e].astype(np.int64), n[e], pos[e])):
+                    for column, v in zip(out, (l, s, x[e].astype(np.int64), n[e], pos[e], typ[e])):
                         column.append(v)
         return pa.Table.from_arrays([_signed(out[0]), _signed(out[1]), *[pa.array(c, f.type) for c, f in zip(out[2:], list(schema)[2:])]], schema=schema)
 
-    return run, "l long, s long, x array<long>, n array<int>, pos array<int>"
+    return run, "l long, s long, x array<long>, n array<int>, pos array<int>, typ array<long>"
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -205,11 +208,16 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((percent * (a + b)) / F.lit(100.0 + percent)).cast("int")
 
 
+def _room(n1, p1, n2, p2) -> Column:
+    """Most shingles that two sets share, from the positions of one that they do."""
+    n1, p1, n2, p2 = (F.col(c) for c in (n1, p1, n2, p2))
+    return F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
+
+
 def _may_link(n1, p1, n2, p2, percent: int) -> Column:
     """Sizes and the positions of one shared prefix shingle leave room for a link."""
-    n1, p1, n2, p2 = (F.col(c) for c in (n1, p1, n2, p2))
-    room = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (room >= _needed(n1, n2, percent))
+    a, b = F.col(n1), F.col(n2)
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (_room(n1, p1, n2, p2) >= _needed(a, b, percent))
 
 
 def _wanted_filter(ids: DataFrame) -> np.ndarray:
@@ -311,15 +319,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     run, schema = _index_pass(sketch, heavy, buckets, width, percent)
     lists, out_schema = _lists(buckets)
     lists = docs.mapInArrow(run, schema).groupBy("bucket").applyInArrow(lists, out_schema).dropDuplicates(["l", "s"])
-    index = stored(lists.select(F.col("l").alias("token"), F.inline(F.arrays_zip("x", "n", "pos"))), "index")
+    index = stored(lists.select(F.col("l").alias("token"), F.inline(F.arrays_zip("x", "n", "pos", "typ"))), "index")
     index = index.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
 
-    # The set with the fewest rarer shingles is the most typical one of its block.
-    pivots = index.groupBy("token", "c").agg(F.min(F.struct("pos", "x", "n")).alias("v")).select(
+    # The set whose rarest shingles are the most common is the most typical one, the same in all lists of a group.
+    pivots = index.groupBy("token", "c").agg(F.max(F.struct("typ", "x", "n", "pos")).alias("v")).select(
         "token", F.col("c").alias("pc"), F.col("v.x").alias("p"), F.col("v.n").alias("np"), F.col("v.pos").alias("pp"))
     near = pivots.select("*", F.explode(F.array(F.col("pc") - 1, F.col("pc"), F.col("pc") + 1)).alias("c"))
-    star = index.join(near, ["token", "c"]).where(F.col("x") != F.col("p")).where(_may_link("n", "pos", "np", "pp", percent))
-    # The two sizes classes of a block see each other's pivot; each pair is looked at once.
+    # Every set meets the pivots of its own and the neighbouring blocks, unless positions leave less than half of it to share.
+    star = index.join(near, ["token", "c"]).where(F.col("x") != F.col("p")).where(2 * _room("n", "pos", "np", "pp") >= F.col("n"))
     pairs = stored(star.select("x", "p").distinct(), "pairs")
     owners = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).select(F.col("k1").alias("x"), "doc_id")
     answered = stored(_overlaps(docs, owners, pairs, width), "overlaps")
