@@ -13,6 +13,7 @@ tokenizer gives it.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from massloom.llm.memo import Memo
 from massloom.llm.storage import bounded_batches, stored
 
-MEMO = 400_000
+MEMO = 600_000
 MEMO_CHARS = 64
 
 
@@ -38,6 +39,8 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        if array("I", [1]).tobytes() != b"\1\0\0\0":
+            raise OSError("ids are stored as little-endian 32-bit numbers, which this machine's arrays are not")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
@@ -45,7 +48,8 @@ class WordTokenizer:
         self.memo = Memo(lambda w: self._ids([w])[0] if w else b"", MEMO, MEMO_CHARS)
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)  # ids only, no offsets
+        return [array("I", e.ids).tobytes() for e in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]

@@ -24,6 +24,7 @@ bytes where the model has byte pieces, else the unknown id.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from massloom.llm.memo import Memo
 from massloom.llm.storage import bounded_batches
 
 MARK = "▁"
-MEMO = 400_000
+MEMO = 600_000
 MEMO_CHARS = 64
 UNKNOWN_PENALTY = 10.0
 
@@ -71,6 +72,8 @@ class Model:
     def __init__(self, data: bytes):
         import sentencepiece
 
+        if array("I", [1]).tobytes() != b"\1\0\0\0":
+            raise OSError("ids are stored as little-endian 32-bit numbers, which this machine's arrays are not")
         sp = self.processor = sentencepiece.SentencePieceProcessor(model_proto=data)
         top = list(_fields(data))
         trainer = dict(_fields(next((v for k, v in top if k == 2), b"")))
@@ -141,26 +144,31 @@ class Model:
         origin = 0  # boundary of the first retained character
         best: dict[int, tuple[float, int, str]] = {0: (0.0, -1, "")}
         n = 0
+        score, lengths, bpe, follows = self.score, self.lengths, self.bpe, self.pair
         for c in chars:
             recent += c
             n += 1
             top = None
-            for length in self.lengths.get(recent[-2:], (1,)):
+            for length in lengths.get(recent[-2:], (1,)):
                 start = n - length
                 if start < origin:
                     break
-                before = best.get(start)
-                if before is None:
-                    continue
                 piece = recent[-length:]
-                v = self.score.get(piece)
+                v = score.get(piece)
                 if v is None:
                     if length > 1:
                         continue
                     v = self.no_piece
-                if self.bpe:
-                    if length > 1 and not self.stands(piece) or before[2] and not self.may_follow(before[2], piece):
+                before = best.get(start)
+                if before is None:
+                    continue
+                if bpe:
+                    if length > 1 and not self.stands(piece):
                         continue
+                    if before[2]:
+                        known = follows.get((before[2], piece))
+                        if not (self.may_follow(before[2], piece) if known is None else known):
+                            continue
                     top = (0.0, start, piece)
                     break
                 total = before[0] + v
@@ -210,7 +218,7 @@ class Model:
         for p in pieces:
             if self.byte_ids or p in self.ids or ids[-1:] != [self.unk]:  # neighbouring unknown characters share one id
                 ids += self.ids_of(p)
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
@@ -225,7 +233,7 @@ class Model:
         return b"".join(map(self.memo.__getitem__, chunks))
 
     def decode(self, ids: bytes) -> str:
-        text = b"".join([self.bytes[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+        text = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 

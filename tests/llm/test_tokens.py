@@ -45,7 +45,7 @@ def test_unigram_search_has_the_best_score(piece):
     letters = "abcd"
     names = sorted({"".join(rng.choice(list(letters), rng.integers(2, 5))) for _ in range(60)} | set(letters))
     model = Model.__new__(Model)
-    model.bpe, model.score = False, {p: -float(rng.integers(1, 100)) for p in names}
+    model.bpe, model.pair, model.score = False, {}, {p: -float(rng.integers(1, 100)) for p in names}
     model.longest = max(map(len, names))
     tails = {}
     for p in names:
