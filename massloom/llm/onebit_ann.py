@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from massloom.llm.storage import block_ids, stored
 
 BLOCK_ROWS = 4096
-QUERY_BLOCK_ROWS = 512
+QUERY_BLOCK_ROWS = 4096
 EPSILON = 4.0
 
 
@@ -132,14 +132,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     run, schema = _blocks(dim, BLOCK_ROWS)
     index = stored(rows.select("id", "v").mapInArrow(run, schema), "codes")
     run, schema = _blocks(dim, QUERY_BLOCK_ROWS)
-    asked = stored(rows.where("asks").select("id", "v").coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2))
-                   .mapInArrow(run, schema), "queries").select(
+    few = max(1, -(-rows.where("asks").count() // QUERY_BLOCK_ROWS))  # full blocks, whatever the table's partitions
+    asked = stored(rows.where("asks").select("id", "v").repartition(few).mapInArrow(run, schema), "queries").select(
         F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
-    # Every block of codes is sent once to each block of queries and meets it by its number.
-    numbers = asked.agg(F.sort_array(F.collect_list("qblock")).alias("all"))
-    sent = index.withColumn("one", F.lit(1)).join(F.broadcast(numbers.withColumn("one", F.lit(1))), "one").select(
-        "*", F.explode("all").alias("qblock")).drop("all", "one")
+    # Every block of codes is sent once to each block of queries and meets it by its number. Query
+    # blocks are copied to a few streams where there are fewer of them than tasks.
+    numbers = asked.agg(F.sort_array(F.collect_list("qblock")).alias("all"), F.lit(1).alias("one"))  # ids only, one per 4096 queries
+    streams = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, asked.count()))
+    asked = asked.withColumn("stream", F.explode(F.array(*[F.lit(i) for i in range(streams)])))
+    sent = index.withColumn("one", F.lit(1)).join(F.broadcast(numbers), "one").select(
+        "*", F.explode("all").alias("qblock"), F.pmod(F.hash("block"), F.lit(streams)).alias("stream")).drop("all", "one")
     run, schema = _meet(dim, k, epsilon)
-    found = sent.repartition(F.col("qblock"), F.col("block")).join(F.broadcast(asked), "qblock").mapInArrow(run, schema)
+    found = sent.join(asked.hint("shuffle_hash"), ["qblock", "stream"]).mapInArrow(run, schema)
     place = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
