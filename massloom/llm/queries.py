@@ -36,13 +36,39 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op4_suffix_dedup")
+_SUFFIX_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), n AS (SELECT doc_id, b, octet_length(b)::BIGINT AS n_bytes, hex(b) AS h FROM d),
+w AS (SELECT doc_id, unnest(range(0, greatest(n_bytes - 99, 0))) AS p FROM n),
+k AS (SELECT w.doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS k FROM w JOIN n USING (doc_id)),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1 AS again FROM k),
+i AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM r WHERE again)),
+g AS (SELECT doc_id, island, min(p) AS lo, max(p) + 100 AS hi FROM i GROUP BY 1, 2),
+e AS (SELECT doc_id, list({'lo': lo, 'hi': hi} ORDER BY lo) AS s FROM g GROUP BY 1)
+SELECT n.doc_id, n_bytes, coalesce(list_sum(list_transform(s, lambda x: x.hi - x.lo)), 0)::BIGINT AS n_removed, coalesce(len(s), 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN s IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(s) + 1),
+           lambda j: substr(h, (CASE WHEN j = 0 THEN 0 ELSE 2 * s[j].hi END + 1)::BIGINT, (CASE WHEN j = len(s) THEN 2 * n_bytes ELSE 2 * s[j + 1].lo END - CASE WHEN j = 0 THEN 0 ELSE 2 * s[j].hi END)::BIGINT)), '') END)) AS kept_sha256
+FROM n LEFT JOIN e ON e.doc_id = n.doc_id"""
+
+
+@query("op4_suffix_dedup", _SUFFIX_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes under repeated 100-byte strings, removed from every document."""
     return suffix_dedup(_table(spark, sf_dir, "documents")).drop("text")
 
 
-@query("op9_ngram_jaccard")
+_JACCARD_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s),
+t AS (SELECT doc_id, unnest(g) AS t FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2"""
+
+
+@query("op9_ngram_jaccard", _JACCARD_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 5-word shingles, similarity 0.8."""
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
