@@ -45,6 +45,7 @@ FILTER_BITS = 1 << 24
 TOKEN_BITS = 48
 CHUNK = 2048
 STREAM = 4000
+MOST_IN_CELLS = 40_000  # beyond, a cell may exceed a byte and no bound is taken
 
 
 def _keys(s: np.ndarray) -> tuple[int, int]:
@@ -55,9 +56,16 @@ def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).astype(np.int64))
 
 
+def _cells(s: np.ndarray) -> bytes | None:
+    """How many items fall into each of 512 hash cells: min sums bound an overlap from above."""
+    if not len(s) or len(s) > MOST_IN_CELLS:
+        return None
+    return np.bincount(((s >> np.uint64(20)) & np.uint64(511)).astype(np.int64), minlength=512).clip(0, 255).astype(np.uint8).tobytes()
+
+
 def _signature_pass(width: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
-                        ("slice", pa.int32()), ("counts", pa.binary())])
+                        ("cells", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
         counts = np.zeros(CELLS, np.uint32)
@@ -68,16 +76,17 @@ def _signature_pass(width: int):
             keys = [_keys(s) for s in sets]
             none = pa.nulls(len(sets))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed([k[0] for k in keys]),
-                                              _signed([k[1] for k in keys]), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+                                              _signed([k[1] for k in keys]), pa.array([_cells(s) for s in sets], pa.binary()),
+                                              none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         step = CELLS // SLICES
         for i in range(SLICES):
             part = counts[i * step:(i + 1) * step]
             at = np.flatnonzero(part).astype("<u4")
             if len(at):
                 blob = at.tobytes() + part[at].astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.array([i], pa.int32()), pa.array([blob], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([blob], pa.binary())], schema=schema)
 
-    return run, "doc_id long, n long, k1 long, k2 long, slice int, counts binary"
+    return run, "doc_id long, n long, k1 long, k2 long, cells binary, slice int, counts binary"
 
 
 def _sum_slice(key, table):
@@ -249,8 +258,27 @@ def _token_pass(width: int):
     return run, "x long, n int, tokens binary"
 
 
+def _cell_bounds(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds ``m``, an upper bound of the overlap of each pair (x, n, p, np)."""
+    named = pairs.select("x").unionByName(pairs.select(F.col("p").alias("x"))).distinct()
+    cells = stored(sets.where("n > 0").select(F.col("k1").alias("x"), "cells").join(named, "x", "left_semi").dropDuplicates(["x"]), "cells")
+    other = cells.select(F.col("x").alias("p"), F.col("cells").alias("pcells"))
+    schema = pa.schema([("x", pa.int64()), ("n", pa.int32()), ("p", pa.int64()), ("np", pa.int32()), ("m", pa.int32())])
+
+    def run(batches):
+        for b in batches:
+            n, size = b.column("n").to_numpy(), b.column("np").to_numpy()
+            m = np.minimum(n, size).astype(np.int32)
+            for i, (u, v) in enumerate(zip(b.column("cells"), b.column("pcells"))):
+                if u.is_valid and v.is_valid:
+                    m[i] = np.minimum(np.frombuffer(u.as_py(), np.uint8), np.frombuffer(v.as_py(), np.uint8)).sum()
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("n"), b.column("p"), b.column("np"), pa.array(m)], schema=schema)
+
+    return pairs.join(cells, "x").join(other, "p").select("x", "n", "p", "np", "cells", "pcells").mapInArrow(run, "x long, n int, p long, np int, m int")
+
+
 def _overlaps(docs: DataFrame, owners: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(x, nx, p, np, o, added): exact intersection sizes of the pairs (x, p), and where half of x or more lies in p, the rest of x.
+    """(x, nx, p, np, o, added): exact intersection sizes of the pairs (x, p), and where three quarters of x or more lie in p, the rest of x.
 
     A set is made from its text where it is needed, sent once to its pairs, and
     meets p's set in a sorted stream: p first, then its partners. A p with many
@@ -290,7 +318,7 @@ def _overlaps(docs: DataFrame, owners: DataFrame, pairs: DataFrame, width: int)
                     at[at == len(other)] = 0
                     new = mine[other[at] != mine]
                     o = n[i] - len(new)
-                    for column, v in zip(made, (s[i], n[i], t[i], size, o, new.astype(np.int64) if 2 * o >= n[i] else None)):
+                    for column, v in zip(made, (s[i], n[i], t[i], size, o, new.astype(np.int64) if 4 * o >= 3 * n[i] else None)):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, out)], schema=out)
 
@@ -309,7 +337,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     run, schema = _signature_pass(width)
     signatures = stored(docs.mapInArrow(run, schema), "signatures")
-    sets = signatures.where("slice is null").select("doc_id", "n", "k1", "k2")
+    sets = signatures.where("slice is null").select("doc_id", "n", "k1", "k2", "cells")
     total = sets.where("n > 0").agg(F.sum("n")).first()[0] or 0
     counts = _sketch(signatures)
     sketch = spark.sparkContext.broadcast(counts)
@@ -326,12 +354,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pivots = index.groupBy("token", "c").agg(F.max(F.struct("typ", "x", "n", "pos")).alias("v")).select(
         "token", F.col("c").alias("pc"), F.col("v.x").alias("p"), F.col("v.n").alias("np"), F.col("v.pos").alias("pp"))
     near = pivots.select("*", F.explode(F.array(F.col("pc") - 1, F.col("pc"), F.col("pc") + 1)).alias("c"))
-    # Every set meets the pivots of its own and the neighbouring blocks, unless positions leave less than half of it to share.
-    star = index.join(near, ["token", "c"]).where(F.col("x") != F.col("p")).where(2 * _room("n", "pos", "np", "pp") >= F.col("n"))
-    pairs = stored(star.select("x", "p").distinct(), "pairs")
+    # Every set meets the pivots of its own and the neighbouring blocks, unless positions or cell
+    # counts leave less than three quarters of it to share: such a set is far from the pivot.
+    star = index.join(near, ["token", "c"]).where(F.col("x") != F.col("p")).where(4 * _room("n", "pos", "np", "pp") >= 3 * F.col("n"))
+    bounded = stored(_cell_bounds(star.select("x", "n", "p", "np").distinct(), sets), "bounds")
+    pairs = bounded.where("4 * m >= 3 * n").select("x", "p")
     owners = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).select(F.col("k1").alias("x"), "doc_id")
-    answered = stored(_overlaps(docs, owners, pairs, width), "overlaps")
-    links = _links(answered, percent)
+    exact = stored(_overlaps(docs, owners, pairs, width), "overlaps")
+    links = _links(exact, percent)
+    answered = exact.withColumn("most", F.lit(False)).unionByName(
+        bounded.where("4 * m < 3 * n").select("x", F.col("n").alias("nx"), "p", "np", F.col("m").alias("o"), F.lit(True).alias("most")), allowMissingColumns=True)
     labels = stored(components(links), "labels")
 
     rest = stored(_unsettled(index, pivots, answered, labels, percent), "rest")
@@ -365,21 +397,24 @@ def _unsettled(index: DataFrame, pivots: DataFrame, answered: DataFrame, labels:
         F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token", "c")
     home = comp.select(F.col("x").alias("p"), F.col("component").alias("home"))
     blocks = pivots.join(wide, (F.col("pc") == wide["c"]) & (pivots["token"] == wide["token"]), "left_semi").join(home, "p", "left").select(
-        "token", F.col("pc").alias("b"), "p", "np", F.coalesce("home", "p").alias("home"))
+        "token", F.col("pc").alias("b"), "p", "np", "pp", F.coalesce("home", "p").alias("home"))
     visits = entry.withColumn("b", around)
-    known = answered.select("x", "p", "o")
-    seen = visits.join(blocks, ["token", "b"]).join(known, ["x", "p"], "left").withColumn(
-        "o", F.when(F.col("x") == F.col("p"), F.col("n")).otherwise(F.col("o")))
-    seen = seen.withColumn("near", F.coalesce(2 * F.col("o") >= F.col("n"), F.lit(False)))
-    seen = stored(seen.select("token", "b", "c", "x", "n", "pos", "component", "p", "np", "home", "o", "near"), "visits")
+    known = answered.select("x", "p", "o", "most")
+    # Overlaps with the pivot: exact, or the most that cells (or else positions) allow.
+    own = F.col("x") == F.col("p")
+    seen = visits.join(blocks, ["token", "b"]).join(known, ["x", "p"], "left").withColumn("most", ~own & F.coalesce("most", F.lit(True))).withColumn(
+        "o", F.when(own, F.col("n")).otherwise(F.coalesce("o", _room("n", "pos", "np", "pp"))))
+    seen = seen.withColumn("near", ~F.col("most") & (4 * F.col("o") >= 3 * F.col("n")))
+    seen = stored(seen.select("token", "b", "c", "x", "n", "pos", "component", "p", "np", "home", "o", "most", "near"), "visits")
     member = seen.where("b = c")
     minor = seen.where("component <> home or b <> c").select(
         "token", "b", F.col("x").alias("x1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("component").alias("c1"),
-        F.col("o").alias("o1"), F.col("near").alias("near1"))
+        F.col("o").alias("o1"), F.col("most").alias("most1"), F.col("near").alias("near1"))
     apart = (F.col("c1") != F.col("component")) & _may_link("n1", "pos1", "n", "pos", percent)
     least = _needed(F.col("n"), F.col("n1"), percent)
-    bound = F.least(F.col("o1") + F.col("n") - F.col("o"), F.col("o") + F.col("n1") - F.col("o1"))
-    far = apart & F.coalesce(bound >= least, F.lit(True))
+    # What both share in P is at most what either does; the rest of a set is known where its own overlap is exact.
+    far = apart & (F.col("most") | (F.col("o1") + F.col("n") - F.col("o") >= least)) & (
+        F.col("most1") | (F.col("o") + F.col("n1") - F.col("o1") >= least))
     inside = apart & (F.least("o", "o1") >= least) & ((F.col("n") < F.col("np")) | (F.col("n1") < F.col("np")))
     on = ["token", "b"]
     met = [minor.where("not near1").join(member, on).where(far), minor.where("near1").join(member.where("not near"), on).where(far),
