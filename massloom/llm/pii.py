@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from massloom.functions.numeric import let  # binds a value, so that a body that names it often computes it once
+
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", 73_049  # 17 * 4297 days up to 2099-12-31
 
@@ -54,58 +56,66 @@ def _word(key: str, *parts: Column) -> Column:
 
 def permute_pair(x: Column, a: int, b: int, key: str) -> Column:
     """A permutation of 0 ... a*b-1: alternating additions in the two parts."""
-    start = F.struct(F.floor(x / F.lit(b)).cast("long").alias("l"), (x % b).cast("long").alias("r"))
-
     def turn(s, i):
         left = (s["l"] + _word(key, i, F.lit("l"), s["r"])) % a
-        return F.struct(left.alias("l"), ((s["r"] + _word(key, i, F.lit("r"), left)) % b).alias("r"))
+        return let(left, lambda v: F.struct(v.alias("l"), ((s["r"] + _word(key, i, F.lit("r"), v)) % b).alias("r")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, turn, lambda s: s["l"] * b + s["r"])
+    return let(x.cast("long"), lambda v: F.aggregate(
+        F.sequence(F.lit(1), F.lit(ROUNDS // 2)), F.struct(F.floor(v / F.lit(b)).cast("long").alias("l"), (v % b).cast("long").alias("r")),
+        turn, lambda s: s["l"] * b + s["r"]))
 
 
-def _shift(s: Column, h: Column) -> Column:
+def _shift(s: Column, mask: Column) -> Column:
     """Every letter and digit moved within its own alphabet by hash bytes."""
-    def move(c, j):
-        by = F.conv(F.substr(h, (j * 2) % 60 + 1, F.lit(2)), 16, 10).cast("int")
+    def move(c, by):
         out = c
         for alphabet in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
             at = F.position(c, F.lit(alphabet))
             out = F.when((c != "") & (at > 0), F.substr(F.lit(alphabet), (at - 1 + by) % len(alphabet) + 1, F.lit(1))).otherwise(out)
         return out
 
-    return F.array_join(F.transform(F.split(s, ""), move), "")
+    def step(h):
+        return F.array_join(F.transform(F.split(s, ""), lambda c, j: let(F.conv(F.substr(h, (j * 2) % 60 + 1, F.lit(2)), 16, 10).cast("int"), lambda by: move(c, by))), "")
+
+    return let(mask, step)
 
 
 def permute_text(s: Column, key: str) -> Column:
     """A permutation of all strings of one shape: two halves shift each other in turn."""
-    half = F.floor(F.char_length(s) / 2).cast("int")
-    start = F.struct(F.substr(s, F.lit(1), half).alias("l"), F.substr(s, half + 1).alias("r"))
-
     def turn(x, i):
         mask = F.sha2(F.concat_ws("|", F.lit(key), i.cast("string"), x["r"]), 256)
         return F.struct(x["r"].alias("l"), _shift(x["l"], mask).alias("r"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda x: F.concat(x["l"], x["r"]))
+    def run(v):
+        half = F.floor(F.char_length(v) / 2).cast("int")
+        start = F.struct(F.substr(v, F.lit(1), half).alias("l"), F.substr(v, half + 1).alias("r"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda x: F.concat(x["l"], x["r"]))
+
+    return let(s, run)
 
 
 def _pour(shape: Column, digits: Column) -> Column:
     """``digits`` in the places of the digits of ``shape``."""
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    def run(d):
+        def step(s, c):
+            digit = c.rlike("^[0-9]$")
+            return F.struct(F.concat(s["out"], F.when(digit, F.substr(d, s["at"], F.lit(1))).otherwise(c)).alias("out"),
+                            (s["at"] + digit.cast("int")).alias("at"))
+
+        return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step, lambda s: s["out"])
 
-    def step(s, c):
-        digit = c.rlike("^[0-9]$")
-        return F.struct(F.concat(s["out"], F.when(digit, F.substr(digits, s["at"], F.lit(1))).otherwise(c)).alias("out"),
-                        (s["at"] + digit.cast("int")).alias("at"))
+    return let(digits, run)
 
-    return F.aggregate(F.split(shape, ""), start, step, lambda s: s["out"])
 
+def luhn_sum(digits: Column) -> Column:
+    def run(d):
+        def step(acc, i):
+            x = F.substr(d, F.char_length(d) - i + 1, F.lit(1)).cast("int")
+            return acc + let(x, lambda v: F.when(i % 2 == 0, F.when(v > 4, 2 * v - 9).otherwise(2 * v)).otherwise(v))
 
-def luhn_sum(d: Column) -> Column:
-    def step(acc, i):
-        x = F.substr(d, F.char_length(d) - i + 1, F.lit(1)).cast("int")
-        return acc + F.when(i % 2 == 0, F.when(x > 4, 2 * x - 9).otherwise(2 * x)).otherwise(x)
+        return F.aggregate(F.sequence(F.lit(1), F.char_length(d)), F.lit(0), step)
 
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(d)), F.lit(0), step)
+    return let(digits, run)
 
 
 def _mod97(s: Column) -> Column:
@@ -138,12 +148,16 @@ def _pseudonyms(m: Column, key: str) -> dict[str, Column]:
     plain = F.replace(m, F.lit(" "), F.lit(""))
     body = F.substr(plain, F.lit(5))
     inner = _pour(body, permute_text(_digits(body), key + "/iban"))
-    check = F.lpad((98 - _mod97(F.concat(inner, F.substr(plain, F.lit(1), F.lit(2)), F.lit("00")))).cast("string"), 2, "0")
-    moved = F.concat(F.substr(plain, F.lit(1), F.lit(2)), check, inner)
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
-    spaced = F.aggregate(F.split(m, ""), start, lambda s, c: F.struct(
-        F.concat(s["out"], F.when(c == " ", c).when(c == "", c).otherwise(F.substr(moved, s["at"], F.lit(1)))).alias("out"),
-        (s["at"] + ((c != " ") & (c != "")).cast("int")).alias("at")), lambda s: s["out"])
+    def check(text):
+        return F.lpad((98 - _mod97(F.concat(text, F.substr(plain, F.lit(1), F.lit(2)), F.lit("00")))).cast("string"), 2, "0")
+
+    def spread(moved):
+        start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+        return F.aggregate(F.split(m, ""), start, lambda s, c: F.struct(
+            F.concat(s["out"], F.when(c == " ", c).when(c == "", c).otherwise(F.substr(moved, s["at"], F.lit(1)))).alias("out"),
+            (s["at"] + ((c != " ") & (c != "")).cast("int")).alias("at")), lambda s: s["out"])
+
+    spaced = let(let(inner, lambda t: F.concat(F.substr(plain, F.lit(1), F.lit(2)), check(t), t)), spread)
     got["iban"] = F.when(_mod97(F.concat(body, F.substr(plain, F.lit(1), F.lit(4)))) == 1, spaced)
 
     part = lambda sep, i: F.split_part(m, F.lit(sep), F.lit(i))
@@ -152,11 +166,14 @@ def _pseudonyms(m: Column, key: str) -> dict[str, Column]:
 
     def dated(sep: str, day_first: bool):
         a, b = part(sep, 1), part(sep, 2)
-        new = _date(_day(part(sep, 3), b if day_first else a, a if day_first else b), key)
         names = ("d", "M") if day_first else ("M", "d")
-        # A leading zero stays where there was one; a number without one is written as short as it can be.
-        piece = [F.when(two(i + 1, sep), F.date_format(new, p * 2)).otherwise(F.date_format(new, p)) for i, p in enumerate(names)]
-        return F.when(new.isNotNull(), F.concat_ws(sep, *piece, F.date_format(new, "yyyy")))
+
+        def written(new):
+            # A leading zero stays where there was one; a number without one is written as short as it can be.
+            piece = [F.when(two(i + 1, sep), F.date_format(new, p * 2)).otherwise(F.date_format(new, p)) for i, p in enumerate(names)]
+            return F.when(new.isNotNull(), F.concat_ws(sep, *piece, F.date_format(new, "yyyy")))
+
+        return let(_date(_day(part(sep, 3), b if day_first else a, a if day_first else b), key), written)
 
     got["dot"] = dated(".", True)
     got["slash"] = F.coalesce(dated("/", False), dated("/", True))
@@ -165,8 +182,8 @@ def _pseudonyms(m: Column, key: str) -> dict[str, Column]:
     area, exchange, line = (F.substr(national, F.lit(a), F.lit(k)).cast("long") for a, k in ((1, 3), (4, 3), (7, 4)))
     known = national.isNotNull() & (area >= 200) & (exchange >= 200)
     index = permute_pair(((area - 200) * 800 + exchange - 200) * 10_000 + line, 80_000, 80_000, key + "/phone")
-    ours = F.concat((F.floor(index / 8_000_000) + 200).cast("string"), (F.floor(index / 10_000) % 800 + 200).cast("string"),
-                    F.lpad((index % 10_000).cast("string"), 4, "0"))
+    ours = let(index, lambda v: F.concat((F.floor(v / 8_000_000) + 200).cast("string"), (F.floor(v / 10_000) % 800 + 200).cast("string"),
+                                         F.lpad((v % 10_000).cast("string"), 4, "0")))
     kept = n - F.when(known, 10).otherwise(F.greatest(n - 2, F.lit(0)))
     fresh = F.when(known, ours).otherwise(permute_text(F.substr(d, kept + 1), key + "/phone"))
     got["phone"] = F.when(m.startswith("+") | known, _pour(m, F.concat(F.substr(d, F.lit(1), kept), fresh)))
@@ -174,20 +191,23 @@ def _pseudonyms(m: Column, key: str) -> dict[str, Column]:
     a, g, s = (F.substr(d, F.lit(i), F.lit(k)).cast("long") for i, k in ((1, 3), (4, 2), (6, 4)))
     valid = (a > 0) & (a != 666) & (a < 900) & (g > 0) & (s > 0)
     x = permute_pair(F.when(a > 666, a - 2).otherwise(a - 1) * 989_901 + (g - 1) * 9_999 + s - 1, 898, 989_901, key + "/ssn")
-    na = F.floor(x / 989_901)
-    na = F.when(na >= 665, na + 2).otherwise(na + 1)
-    rest = x % 989_901
-    got["ssn"] = F.when(valid, F.concat_ws("-", F.lpad(na.cast("string"), 3, "0"), F.lpad((F.floor(rest / 9_999) + 1).cast("string"), 2, "0"),
-                                           F.lpad((rest % 9_999 + 1).cast("string"), 4, "0")))
+
+    def social(v):
+        na, rest = F.floor(v / 989_901), v % 989_901
+        na = F.when(na >= 665, na + 2).otherwise(na + 1)
+        return F.concat_ws("-", F.lpad(na.cast("string"), 3, "0"), F.lpad((F.floor(rest / 9_999) + 1).cast("string"), 2, "0"),
+                           F.lpad((rest % 9_999 + 1).cast("string"), 4, "0"))
+
+    got["ssn"] = F.when(valid, let(x, social))
 
     octets = F.transform(F.split(m, r"\."), lambda o: o.cast("long"))
     packed = F.aggregate(octets, F.lit(0).cast("long"), lambda acc, o: acc * 256 + o)
-    y = permute_pair(packed, 65_536, 65_536, key + "/ip")
-    got["ip"] = F.concat_ws(".", *[(F.shiftright(y, k).bitwiseAND(255)).cast("string") for k in (24, 16, 8, 0)])
+    got["ip"] = let(permute_pair(packed, 65_536, 65_536, key + "/ip"), lambda y: F.concat_ws(
+        ".", *[(F.shiftright(y, k).bitwiseAND(255)).cast("string") for k in (24, 16, 8, 0)]))
 
     payload = F.concat(F.substr(d, F.lit(1), F.lit(1)), permute_text(F.substr(d, F.lit(2), n - 2), key + "/card"))
-    digit = ((10 - luhn_sum(F.concat(payload, F.lit("0"))) % 10) % 10).cast("string")
-    got["card"] = F.when((n >= 13) & (luhn_sum(d) % 10 == 0) & d.rlike("[1-9]"), _pour(m, F.concat(payload, digit)))
+    checked = let(payload, lambda v: F.concat(v, ((10 - luhn_sum(F.concat(v, F.lit("0"))) % 10) % 10).cast("string")))
+    got["card"] = F.when((n >= 13) & (luhn_sum(d) % 10 == 0) & d.rlike("[1-9]"), _pour(m, checked))
 
     return got
 
