@@ -14,6 +14,11 @@ equal values stay linked across documents and different ones stay apart:
 - social security numbers in their valid ranges, and IPv4 addresses;
 - e-mail addresses: letters and digits before the @.
 
+Values may stand side by side: a number ends where another value begins (a
+date, an address, a phone, security or card number), an account number has its
+country's length, and where a check digit fails, shorter ends are tried. Only
+plain digits after a foreign phone number can't be told from its last group.
+
 Separators, brackets and what surrounds a value stay, so the length of a text
 is the same but for dates without leading zeros and IPv4 addresses. A null text
 stays null, an empty one empty; repeated rows get the same text. A string that
@@ -30,7 +35,7 @@ ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", 73_049  # 17 * 4297 days up to 2099-12-31
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: Kind: pattern. Earlier ones win where two start at one place.
+#: Kind: pattern of a value that stands alone. Earlier ones win where two fit.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
@@ -42,7 +47,36 @@ PATTERNS = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Characters of an account number by country.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_FOURS = r"(?<!\d)\d{4}(?:[ -]\d{4}){3}"
+_ALIGNED = rf"{_FOURS}(?:(?:[ -]\d{{4}}){{4}}){{0,16}}(?!\d|[ -]\d{{4}}(?!\d))"  # no group of four is left over behind it
+_OTHER_CARDS = rf"(?<!\d)\d{{4}}[ -]\d{{6}}[ -]\d{{4,5}}(?!\d)|(?<!\d)\d{{13,19}}(?!\d)"
+_CARDS = rf"{_FOURS}(?!\d)|{_OTHER_CARDS}"
+_DATED = "|".join(PATTERNS[k] for k in ("email", "iso", "slash", "dot", "ip"))
+_LOCAL = PATTERNS["phone"].split("|", 1)[1]
+#: What a number may not run into: other values, and at its end parts of words, times and fractions.
+_PLACED = f"{_DATED}|{_LOCAL}|{PATTERNS['ssn']}"
+_NEXT = f"{_PLACED}|{_CARDS}"
+_END = r"(?![\w%@]|[/:,]\d)"
+_COUNTRIES = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in _IBAN_LENGTHS.items())
+_DIGIT = rf"(?:\d|[ ().-]{{1,2}}(?!{_DATED})\d)"
+_STEP = r"(?:\d|(?! ?\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?![\d-]))[ ().-]{{1,2}}(?!{})\d)"
+# A group of four behind eight digits may still be the phone's own, before a card; behind ten it is the card's.
+_FOREIGN = rf"(?<![\w+])\+\d{_DIGIT}{{7}}{_STEP.format(f'{_PLACED}|{_ALIGNED}|{_OTHER_CARDS}')}{{0,2}}{_STEP.format(_NEXT)}{{0,5}}"
+_LOOSE = rf"(?<!\d)\d(?:\d|[ -](?!{_NEXT})\d){{12,18}}"
+#: Kind: pattern of a value in a text, the most certain shape first.
+_SCAN = PATTERNS | {
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:(?:{_COUNTRIES})(?![A-Za-z0-9])|[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}(?![A-Za-z0-9])"
+            rf"|[A-Z]{{2}}\d{{2}}(?:[A-Z0-9]| (?!{_PLACED})[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))",
+    "phone": rf"(?<![\w+])\+1{_DIGIT}{{10}}(?!\d)|{_FOREIGN}{_END}|{_FOREIGN}(?!\d)|{_LOCAL}",
+    "card": rf"{_FOURS}(?:[ -](?!{_PLACED}|{_OTHER_CARDS})\d{{4}}){{1,3}}(?!\w|[/:.,-]\d|[ -]\d{{4}}(?!\d))|{_FOURS}(?:[ -](?!{_NEXT})\d{{1,3}}(?!\w|[/:.,-]\d))?(?!\d)|{_CARDS}|{_LOOSE}{_END}|{_LOOSE}(?!\d)",
+}
+PATTERN = "|".join(f"(?:{p})" for p in _SCAN.values())
 
 
 def _digits(s: Column) -> Column:
@@ -212,13 +246,41 @@ def _pseudonyms(m: Column, key: str) -> dict[str, Column]:
     return got
 
 
+def _first_valid(candidates: Column, valid) -> Column:
+    return F.get(F.filter(candidates, lambda c: (c != "") & valid(c)), F.lit(0))
+
+
+def _card_in(m: Column) -> Column:
+    """The part of a match that is a card number: four fours in up to seven, else the longest start; shorter ones only behind a group of four or more."""
+    def ending(k):
+        return F.regexp_extract(m, rf"^\d(?:[ -]?\d){{{k - 1}}}(?!\d)", 0)
+
+    n = F.char_length(_digits(m))
+    fours = [F.regexp_extract(m, rf"^(?:\d{{4}}[ -]){{{k}}}({_FOURS})(?!\d)", 1) for k in range(4)]
+    rest = [F.when((n == k) | m.rlike(r"^\d{4}"), ending(k)).otherwise("") for k in range(19, 12, -1)]
+    return _first_valid(F.array(*fours, *rest), lambda c: luhn_sum(_digits(c)) % 10 == 0)
+
+
+def _iban_in(m: Column) -> Column:
+    """The start of a match, in whole words, that is an account number; the longest one."""
+    def valid(c):
+        plain = F.replace(c, F.lit(" "), F.lit(""))
+        return (F.char_length(plain) >= 15) & (_mod97(F.concat(F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(4)))) == 1)
+
+    words = F.split(m, " ")
+    return _first_valid(F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda j: F.array_join(F.slice(words, F.lit(1), j), " ")), valid)
+
+
 def _replaced(m: Column, key: str) -> Column:
-    """(kind, new) of one match; new is null where the value isn't valid."""
+    """(kind, old, new) of one match; old is the part of it that is a value, and new is null where there is none."""
     made = _pseudonyms(m, key)
     out = None
     for kind, pattern in PATTERNS.items():  # the match stands alone here, so its surroundings no longer matter
-        hit = m.rlike(f"^(?:{pattern})$")
-        value = F.struct(F.lit(kind).alias("kind"), made[kind].alias("new"))
+        hit = m.rlike(rf"^(?:{pattern}|\d{{4}}(?:[ -]\d{{4}}){{4,6}})$" if kind == "card" else f"^(?:{pattern})$")
+        value = F.struct(F.lit(kind).alias("kind"), m.alias("old"), made[kind].alias("new"))
+        if kind in ("iban", "card"):
+            value = let(F.coalesce(_iban_in(m) if kind == "iban" else _card_in(m), m), lambda c, kind=kind: F.struct(
+                F.lit(kind).alias("kind"), c.alias("old"), _pseudonyms(c, key)[kind].alias("new")))
         out = F.when(hit, value) if out is None else out.when(hit, value)
     return out
 
@@ -227,12 +289,15 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """``docs`` with ``text_col`` rewritten, and ``pseudonyms``: (kind, old, new) of every value found, in order."""
     text = F.col(f"`{text_col}`")
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    made = F.transform(found, lambda m: F.struct(m.alias("old"), _replaced(m, key).alias("r")))
-    made = F.transform(made, lambda x: F.struct(x["r"]["kind"].alias("kind"), x["old"].alias("old"), x["r"]["new"].alias("new")))
-    empty = F.array().cast("array<struct<kind:string,old:string,new:string>>")
+    made = F.transform(found, lambda m: F.struct(m.alias("match"), _replaced(m, key).alias("r")))
+    made = F.transform(made, lambda x: F.struct(x["match"].alias("match"), x["r"]["kind"].alias("kind"), x["r"]["old"].alias("old"), x["r"]["new"].alias("new")))
+    empty = F.array().cast("array<struct<match:string,kind:string,old:string,new:string>>")
     rows = docs.withColumn("__made", F.when(text.rlike("[0-9@]"), made).otherwise(empty))
     gaps = F.split(text, PATTERN, -1)
-    news = F.transform("__made", lambda x: F.coalesce(x["new"], x["old"]))
+    at = lambda x: F.position(x["old"], x["match"])
+    news = F.transform("__made", lambda x: F.coalesce(F.concat(
+        F.substr(x["match"], F.lit(1), at(x) - 1), x["new"], F.substr(x["match"], at(x) + F.char_length(x["old"]))), x["match"]))
     joined = F.array_join(F.zip_with(gaps, F.concat(news, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     rows = rows.withColumn(text_col, F.when(F.size("__made") > 0, joined).otherwise(text))
-    return rows.withColumn("pseudonyms", F.filter("__made", lambda x: x["new"].isNotNull())).drop("__made")
+    values = F.transform(F.filter("__made", lambda x: x["new"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["old"].alias("old"), x["new"].alias("new")))
+    return rows.withColumn("pseudonyms", values).drop("__made")

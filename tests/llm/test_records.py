@@ -188,6 +188,34 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert len(got[200].pseudonyms) == 100 and len({p.new for p in got[200].pseudonyms}) == 2
 
 
+PHONES = ["+1 (826) 555-4081", "+44 20 7946 0958", "+49 30 123456", "(386) 555-3733", "386-555-3733"]
+NUMBERS = ["190.137.223.204", "1985-02-28", "28.02.1985", "12/05/2020", "078-05-1120", "joe@mail.example.com"]
+CARDS = ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "3782 822463 10005", "378282246310005"]
+IBANS = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82WEST12345698765432", "NO9386011117947"]
+
+
+def test_neighbouring_values_are_all_found(spark):
+    """Values of all kinds side by side; then cards, account numbers and phones before words, times and short numbers."""
+    every = PHONES + NUMBERS + CARDS + IBANS
+    rows = [(f"{a} {b}", [a, b]) for a in every for b in every]
+    rows += [(f"{v} {tail}", [v]) for v in CARDS + IBANS for tail in ("12/27", "12:30", "IS OK", "x 5", "PAID IN FULL")]
+    rows += [("4111 1111 1111 1111 1227", CARDS[:1]), ("1234 4111 1111 1111 1111 x", CARDS[:1]), ("+49 30 123456 4111 1111 1111 1111 1227", ["+49 30 123456", CARDS[0]])]
+    rows += [(f"3 {v}", [v]) for v in CARDS] + [(f"{v} {tail}", [v]) for v in PHONES for tail in ("12:30", "12/27", "12km", "5%")]
+    rows += [("4111 1111 1111 1111 123", ["4111 1111 1111 1111"]), ("41111111 11111111 12 x", ["41111111 11111111"]), ("6304 0000 0000 0001 180", ["6304 0000 0000 0001 180"]),
+             ("+1 (826) 555-4081 22", ["+1 (826) 555-4081"]), ("FY20 REPORT FOR MANAGERS 386-555-3733", ["386-555-3733"])]
+    data = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudonymise(data, "key").collect()}
+    wrong = [(t, [p.old for p in got[i].pseudonyms]) for i, (t, want) in enumerate(rows) if [p.old for p in got[i].pseudonyms] != want]
+    assert not wrong, (len(wrong), wrong[:10])
+    alone = {p.old: p.new for r in got.values() for p in r.pseudonyms}
+    for i, (text, want) in enumerate(rows):
+        for v in want:
+            text = text.replace(v, "\0" + str(want.index(v)) + "\1", 1)
+        for k, v in enumerate(want):
+            text = text.replace("\0" + str(k) + "\1", alone[v])
+        assert got[i].text == text
+
+
 def luhn(number):
     s = [int(c) for c in re.sub(r"\D", "", number)][::-1]
     return sum(s[::2]) + sum(x * 2 - 9 * (x > 4) for x in s[1::2])
