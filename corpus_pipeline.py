@@ -15,6 +15,7 @@ from massloom.llm.jaccard import ngram_jaccard_join
 from massloom.llm.packing import concatenate_and_cut, tokenized
 from massloom.llm.pii import pseudonymise
 from massloom.llm.queries import EXAMPLE_KEY
+from massloom.llm.storage import stored
 from massloom.llm.suffix_dedup import suffix_dedup
 from massloom.session import shared_dir
 
@@ -32,9 +33,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group stays, and every one without an id."""
-    stays = ngram_jaccard_join(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each near-duplicate group stays, that with the smallest id; null ids come last. Repeated rows are copies."""
+    # Ids may repeat or be null, so rows get keys of their own, written down for every later read.
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed-rows")
+    groups = ngram_jaccard_join(rows, "__row").select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    stays = groups.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(order)["row"].alias("__row"))
+    return rows.join(stays, "__row", "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,25 @@ def test_twins(spark, sf):
         columns = [d[0] for d in rel.description]
         assert sorted(columns) == sorted(df.columns)
         assert sorted(map(repr, (tuple(r) for r in rel.fetchall()))) == sorted(map(repr, (tuple(r) for r in df.select(*columns).collect())))
+
+
+def test_near_duplicates_equal_brute_force(spark, sf):
+    """Copies, near copies, repeated rows, null ids and shared ids against plain Python."""
+    def words(name, n, changed=0):
+        return " ".join(f"{name}{i}" if i >= changed else f"{name}{i}changed" for i in range(n))
+
+    rows = [(5, words("a", 60)), (3, words("a", 60)), (3, words("a", 60)), (4, words("a", 60, 2)), (None, words("a", 60)), (None, words("b", 40)), (None, words("b", 40)),
+            (7, words("c", 50)), (7, words("c", 50)), (7, words("c", 50)), (8, words("d", 70)), (9, words("d", 70)), (8, words("e", 30)), (9, words("e", 30, 1)), (9, words("f", 20)),
+            (2, words("g", 90)), (None, words("g", 90, 1)), (2, words("h", 90)), (1, words("h", 90, 1)), (None, words("i", 9)), (10, ""), (10, ""), (None, None), (11, words("j", 3))]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    group[i] = group[j] = min(group[i], group[j])
+    want = [rows[min((i for i in range(len(rows)) if group[i] == g), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))] for g in set(group)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
