@@ -355,15 +355,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "token", F.col("c").alias("pc"), F.col("v.x").alias("p"), F.col("v.n").alias("np"), F.col("v.pos").alias("pp"))
     near = pivots.select("*", F.explode(F.array(F.col("pc") - 1, F.col("pc"), F.col("pc") + 1)).alias("c"))
     # Every set meets the pivots of its own and the neighbouring blocks, unless positions or cell
-    # counts leave less than three quarters of it to share: such a set is far from the pivot.
-    star = index.join(near, ["token", "c"]).where(F.col("x") != F.col("p")).where(4 * _room("n", "pos", "np", "pp") >= 3 * F.col("n"))
+    # counts leave less than three quarters of it to share (less where less may link): such a set is far from the pivot.
+    least = min(75, percent)
+    star = index.join(near, ["token", "c"]).where(F.col("x") != F.col("p")).where(100 * _room("n", "pos", "np", "pp") >= least * F.col("n"))
     bounded = stored(_cell_bounds(star.select("x", "n", "p", "np").distinct(), sets), "bounds")
-    pairs = bounded.where("4 * m >= 3 * n").select("x", "p")
+    pairs = bounded.where(f"100 * m >= {least} * n").select("x", "p")
     owners = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).select(F.col("k1").alias("x"), "doc_id")
     exact = stored(_overlaps(docs, owners, pairs, width), "overlaps")
     links = _links(exact, percent)
     answered = exact.withColumn("most", F.lit(False)).unionByName(
-        bounded.where("4 * m < 3 * n").select("x", F.col("n").alias("nx"), "p", "np", F.col("m").alias("o"), F.lit(True).alias("most")), allowMissingColumns=True)
+        bounded.where(f"100 * m < {least} * n").select("x", F.col("n").alias("nx"), "p", "np", F.col("m").alias("o"), F.lit(True).alias("most")), allowMissingColumns=True)
     labels = stored(components(links), "labels")
 
     rest = stored(_unsettled(index, pivots, answered, labels, percent), "rest")

@@ -63,3 +63,17 @@ def test_components_equal_brute_force(spark, seed):
                 root[max(x, y)] = min(x, y)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == {i: (len(sets[i]), find(i)) for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("percent", [40, 50, 60])
+def test_low_percents_equal_brute_force(spark, percent):
+    """Links that share less than three quarters of a set."""
+    texts = []
+    for k, (own, both) in enumerate([(30, 70), (40, 60), (20, 80), (45, 55), (55, 45), (10, 90)]):
+        shared = [f"s{k}x{i}" for i in range(both + 4)]
+        texts += [shared + [f"a{k}x{i}" for i in range(own)], [f"b{k}x{i}" for i in range(own)] + shared]
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    linked = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    want = {i: min(j for j in range(len(sets)) if linked(sets[i], sets[j])) for i in range(len(sets))}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_jaccard_join(docs, percent=percent).collect()} == want
