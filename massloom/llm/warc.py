@@ -144,17 +144,17 @@ class _Part(InputPartition):
 
 
 def members(stream, size: int):
-    """(position, length of the data or None, opener) of every gzip member of a file."""
+    """(position, length, length of the data) of gzip members with their length, up to the first without: (position, None, None)."""
     at = 0
     while at < size:
         stream.seek(at)
         head = stream.read(24)
-        if head[:4] == MEMBER[:4] and head[12:14] == b"sl":
-            total, length = struct.unpack("<II", head[16:24])
-            yield at, total, length
-            at += total
-        else:
+        total, length = struct.unpack("<II", head[16:24]) if head[:4] == MEMBER[:4] and head[12:14] == b"sl" and len(head) == 24 else (0, 0)
+        if total <= 24:
+            yield at, None, None
             return
+        yield at, total, length
+        at += total
 
 
 def headers(read) -> tuple[str, dict] | None:
@@ -179,6 +179,19 @@ def headers(read) -> tuple[str, dict] | None:
             fields[last] = value.strip()
 
 
+class _Span:
+    """``size`` bytes of a file from ``at`` on, read in small blocks as they are asked for."""
+
+    def __init__(self, f, at: int, size: int):
+        self.f, self.at, self.end = f, at, at + size
+
+    def read(self, n: int) -> bytes:
+        self.f.seek(self.at)
+        data = self.f.read(min(n, 4096, self.end - self.at))
+        self.at += len(data)
+        return data
+
+
 class _Inflate(io.RawIOBase):
     """Inflates a gzip file of one or many members as it is read."""
 
@@ -268,27 +281,35 @@ class WarcReader(DataSourceReader):
         where, _ = _filesystem(self.path)
         for path, size in partition.files:
             with where.open_input_file(path) as f:
-                magic = f.read(24)
-                f.seek(0)
-                if magic[:4] == MEMBER[:4] and magic[12:14] == b"sl":
-                    for at, total, _ in members(f, size):
-                        f.seek(at)
-                        lines = io.BufferedReader(_Inflate(io.BytesIO(f.read(min(total, 4096)))), 1024)
+                for at, total, _ in members(f, size):
+                    if total is None:
+                        yield from self._rest(f, at, path)
+                    else:
+                        lines = io.BufferedReader(_Inflate(_Span(f, at, total)), 1024)
                         yield from self._one(lines, lambda at=at, total=total: self._whole(f, at, total))
-                else:
-                    lines = io.BufferedReader(_Inflate(f) if magic[:2] == b"\x1f\x8b" else _Raw(f), 1 << 16)
-                    while True:
-                        found = headers(lines.readline)
-                        if found is None:
-                            break
-                        yield from self._record(found[1], lines, None)
+
+    def _rest(self, f, at: int, path: str):
+        """All records from a position on, whatever their members look like."""
+        f.seek(at)
+        magic = f.read(24)
+        if at and magic[:2] != b"\x1f\x8b" and not magic.lstrip(b"\r\n").startswith(b"WARC/"):
+            if magic.strip(b"\0"):
+                raise ValueError(f"{path} holds no record at {at}")
+            return  # padding
+        f.seek(at)
+        lines = io.BufferedReader(_Inflate(f) if magic[:2] == b"\x1f\x8b" else _Raw(f), 1 << 16)
+        while True:
+            found = headers(lines.readline)
+            if found is None:
+                break
+            yield from self._record(found[1], lines, None)
 
     def _whole(self, f, at: int, total: int):
         f.seek(at)
         return io.BufferedReader(io.BytesIO(zlib.decompress(f.read(total), 31)))
 
     def _one(self, lines, reopen):
-        """A record alone in its member: the first kilobytes give the headers."""
+        """A record alone in its member, inflated as far as its headers go."""
         found = headers(lines.readline)
         if found is not None and self._wanted(found[1]):
             whole = reopen()

@@ -3,6 +3,7 @@ import base64
 import gzip
 import hashlib
 import json
+import random
 import re
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql.datasource import EqualTo, GreaterThan, IsNotNull
 from massloom.llm import chat
 from massloom.llm.onebit_ann import nearest
 from massloom.llm.pii import permute_pair, permute_text, pseudonymise
-from massloom.llm.warc import MANIFEST, WarcReader, archive_plan, register
+from massloom.llm.warc import MANIFEST, WarcReader, _member, archive_plan, record, register
 from massloom.session import shared_dir
 
 PAGES = [(1, "http://a", "<p>one</p>"), (2, None, "<p>one</p>"), (3, "http://c\r\nX: y", None), (4, "u", ""), (5, "u", "é" * 5000),
@@ -76,6 +77,25 @@ def test_warc_reads_plain_and_foreign_files(spark, tmp_path):
     assert [(r.record_id, bytes(r.payload)) for r in got] == [("<urn:x>", b"hello")] * 3
 
 
+def test_warc_long_headers_and_joined_files(spark, tmp_path):
+    """Headers beyond the first kilobytes count for filters; members without their length don't end a file."""
+    register(spark)
+    r = random.Random(3)
+    urls = ["http://a/" + "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n)) for n in (5, 20_000, 6, 7)]
+    made = [record(i, u, b"payload %d" % i, 9, f"DIGEST{i}", None) for i, u in enumerate(urls)]
+    (tmp_path / "a.warc.gz").write_bytes(_member(made[0]) + _member(made[1]) + gzip.compress(made[2]) + _member(made[3]))
+    (tmp_path / "b.warc.gz").write_bytes(_member(record(9, "http://b", b"x", 1, "B", None)) + bytes(64))
+    df = spark.read.format("warc").load(str(tmp_path))
+    assert sorted(x.page_id for x in df.collect()) == [0, 1, 2, 3, 9]
+    assert sorted(x.page_id for x in df.where("payload_digest is not null").collect()) == [0, 1, 2, 3, 9]
+    for i, u in enumerate(urls):
+        assert [x.page_id for x in df.where(F.col("target_uri") == u).collect()] == [i]
+        assert [bytes(x.payload) for x in df.where(F.col("payload_digest") == f"DIGEST{i}").collect()] == [b"payload %d" % i]
+    (tmp_path / "b.warc.gz").write_bytes(_member(record(9, "http://b", b"x", 1, "B", None)) + b"broken")
+    with pytest.raises(Exception, match="holds no record"):
+        df.collect()
+
+
 def test_warc_ignores_files_of_lost_attempts(spark, archive):
     from pathlib import Path
 
