@@ -65,7 +65,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SQL can't express trained models and tokenizers; tests compare with brute force.
+#: SQL can't express trained models and tokenizers; tests compare the near-duplicate stage with brute force, the others by columns and row counts.
 ORACLE_SQL = None
 
 
