@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.llm import cotraining, line_crf
+from massloom.llm.bounded_ring import assigned
 from massloom.llm.chat import CONTROL, canonical_rows, format_turns, read_loss, read_turns
+from massloom.llm.importance import importance, resample
 from massloom.llm.jaccard import ngram_jaccard_join
 from massloom.llm.onebit_ann import nearest
 from massloom.llm.packing import concatenate_and_cut, tokenized
@@ -170,3 +172,60 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = pseudonymise(docs, EXAMPLE_KEY)
     of = lambda *kinds: F.size(F.filter("pseudonyms", lambda x: x["kind"].isin(*kinds))).cast("long")
     return made.select("doc_id", "text", F.size("pseudonyms").cast("long").alias("n_values"), of("iso", "dot", "slash").alias("n_dates"))
+
+
+def _crc_sql(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes: eight shifts a byte."""
+    return f"""xor(list_reduce(flatten(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda e: [('0x' || e)::UINTEGER, 0, 0, 0, 0, 0, 0, 0]::UINTEGER[])),
+    lambda c, e: xor(xor(c, e) >> 1, 3988292384::UINTEGER * (xor(c, e) & 1)), 4294967295::UINTEGER), 4294967295::UINTEGER)::BIGINT"""
+
+
+_IMPORTANCE_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+bw AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+f AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+bf AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM bw),
+c AS (SELECT f, {_crc_sql("f")} % 10000 AS bucket FROM (SELECT f FROM f UNION SELECT f FROM bf)),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN c USING (f) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM bf JOIN c USING (f) GROUP BY 1),
+g AS (SELECT b.bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT count(*) FROM f) + 10000))::DOUBLE / ((coalesce(s, 0) + 1) * ((SELECT count(*) FROM bf) + 10000))::DOUBLE))::BIGINT AS gain
+      FROM range(10000) b(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+m AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS total FROM f JOIN c USING (f) JOIN g USING (bucket) GROUP BY 1),
+x AS (SELECT w.doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight,
+             floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise FROM w LEFT JOIN m USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank FROM x WHERE words >= 20)
+SELECT x.doc_id, n_features, weight, weight + noise AS score, CASE WHEN rank <= 25 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (doc_id)"""
+
+
+@query("op12_importance_resampling", _IMPORTANCE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents with 20 words or more, drawn towards the benchmark texts."""
+    return resample(importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), buckets=10_000, longest=2), percent=25, least_words=20, seed="7")
+
+
+_RING_SQL = f"""
+WITH RECURSIVE node AS (SELECT s, ('0x' || substr(sha256('shard:' || s || ':' || v), 1, 15))::BIGINT AS till FROM range(24) a(s), range(128) b(v)),
+ring AS (SELECT row_number() OVER (ORDER BY till, s) - 1 AS arc, till, s FROM node),
+arcs AS (SELECT arc, s FROM ring UNION ALL SELECT 3072, s FROM ring WHERE arc = 0),
+pref AS (SELECT arc, s, row_number() OVER (PARTITION BY arc ORDER BY far) - 1 AS round FROM (SELECT a.arc, r.s, min((r.arc - a.arc + 3072) % 3072) AS far FROM arcs a, ring r GROUP BY 1, 2)),
+doc AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 8 AS size, {_crc_sql("coalesce(text, '')")} AS text_crc32, ('0x' || substr(sha256('key:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place FROM documents),
+key AS (SELECT doc.*, coalesce(ring.arc, 3072) AS arc FROM doc ASOF LEFT JOIN ring ON doc.place <= ring.till),
+put AS (SELECT *, row_number() OVER (PARTITION BY arc ORDER BY place, doc_id, size, text_crc32) - 1 AS i FROM key),
+r AS (SELECT -1 AS round, arc, s, count(*)::BIGINT AS rem, 0::BIGINT AS lo, 0::BIGINT AS n, NULL::BIGINT AS slot FROM put, (SELECT NULL::BIGINT AS s) GROUP BY 1, 2, 3
+      UNION ALL SELECT -1, NULL, s, (SELECT count(*) FROM documents) // 24 + (s < (SELECT count(*) FROM documents) % 24)::INT, 0, 0, NULL FROM range(24) a(s)
+      UNION ALL
+      SELECT u.* FROM (
+        WITH cur AS (SELECT * FROM r WHERE n = 0 OR arc IS NULL OR rem > 0),
+        o AS (SELECT c.round + 1 AS round, c.arc, c.rem, c.lo, p.s, f.rem AS free, coalesce(sum(c.rem) OVER (PARTITION BY p.s ORDER BY c.arc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+              FROM r c JOIN pref p ON p.arc = c.arc AND p.round = c.round + 1 JOIN r f ON f.arc IS NULL AND f.s = p.s WHERE c.rem > 0 AND c.arc IS NOT NULL),
+        t AS (SELECT *, greatest(least(free - before, rem), 0)::BIGINT AS got FROM o)
+        SELECT round, arc, s, rem - got, lo + got, got, free - least(before, free) FROM t
+        UNION ALL SELECT f.round + 1, NULL, f.s, f.rem - coalesce(g.got, 0), 0, 0, NULL FROM r f LEFT JOIN (SELECT s, sum(got)::BIGINT AS got FROM t GROUP BY 1) g ON g.s = f.s WHERE f.arc IS NULL AND f.round < 23) u),
+cap AS (SELECT s, rem FROM r WHERE round = -1 AND arc IS NULL)
+SELECT doc_id, size, text_crc32, 'rows' AS law, x.s::INT AS shard, (cap.rem - x.slot + i - (x.lo - x.n))::BIGINT AS slot, NULL::INT AS grown_shard, h.s::INT AS home_shard
+FROM put JOIN r x ON x.arc = put.arc AND x.n > 0 AND i >= x.lo - x.n AND i < x.lo JOIN cap ON cap.s = x.s JOIN arcs h ON h.arc = put.arc"""
+
+
+@query("op13_bounded_ring", _RING_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents on 24 shards by a ring with bounded loads: counts at most one apart."""
+    return assigned(_table(spark, sf_dir, "documents"), 24)
