@@ -14,6 +14,7 @@ from massloom.llm.importance import importance, resample
 from massloom.llm.jaccard import ngram_jaccard_join
 from massloom.llm.onebit_ann import nearest
 from massloom.llm.packing import concatenate_and_cut, tokenized
+from massloom.llm.phrases import collocations, frequent_phrases
 from massloom.llm.pii import pseudonymise
 from massloom.llm.sentencepiece_viterbi import decode, encode
 from massloom.llm.suffix_dedup import suffix_dedup
@@ -229,3 +230,25 @@ FROM put JOIN r x ON x.arc = put.arc AND x.n > 0 AND i >= x.lo - x.n AND i < x.l
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 24 shards by a ring with bounded loads: counts at most one apart."""
     return assigned(_table(spark, sf_dir, "documents"), 24)
+
+
+_PHRASE_SQL = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(x, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(p) AS x FROM p)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+g AS (SELECT lang, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS phrase FROM w),
+f AS (SELECT lang, phrase, count(*)::BIGINT AS f FROM g GROUP BY 1, 2 HAVING count(*) >= 10),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE contains(phrase, ' ')),
+k AS (SELECT lang, phrase, a, w, unnest(range(1, len(w))) AS k FROM c),
+s AS (SELECT k.*, l.f AS l, r.f AS r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score FROM k
+      JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+m AS (SELECT lang, phrase, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, inside, max(a) AS longer FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS inside FROM c WHERE len(w) = 3) GROUP BY 1, 2),
+t AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m LEFT JOIN i ON i.lang = m.lang AND i.inside = m.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+@query("op11_phrase_collocations", _PHRASE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest collocations of two or three words of every language."""
+    return collocations(frequent_phrases(_table(spark, sf_dir, "documents"), support=10, longest=3), top=2000, longest=3)
