@@ -25,8 +25,8 @@ def base_peak(peaks: Column | str) -> Column:
 
 
 def normalise(peaks: Column | str) -> Column:
-    """Intensities divided by their sum; null when the sum is not positive."""
-    return let(col(peaks), lambda p: let(total(p), lambda s: F.when(s > 0, F.transform(p, lambda x: peak(x["mz"], F.try_divide(x["i"], s))))))
+    """Intensities divided by their sum; an empty list stays empty, peaks without a positive sum give null."""
+    return let(col(peaks), lambda p: let(total(p), lambda s: F.when((s > 0) | (F.size(p) == 0), F.transform(p, lambda x: peak(x["mz"], F.try_divide(x["i"], s))))))
 
 
 def merge_equal(peaks: Column | str) -> Column:
