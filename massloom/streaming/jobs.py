@@ -38,62 +38,6 @@ def ingest_counters(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def sketch_partial(df: DataFrame, key: list[str], digest: str, values: dict[str, Column], n: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(running sums, n lowest distinct digests) per key: both parts merge by repetition."""
-    from massloom.operators.ranking import lowest_hash
-
-    sums = df.groupBy(*key).agg(F.count(F.lit(1)).alias("count"), *[F.sum(c).alias(k) for k, c in values.items()])
-    return sums, lowest_hash(df.select(*key, digest), key, digest, n).select(*key, digest)
-
-
-def sketch_stream(stream: DataFrame, key: list[str], digest: str, values: dict[str, Column], out: str, checkpoint: str,
-                  n: int = 3) -> None:
-    """Per-batch partial sketches; ``sketch_read`` merges them.
-
-    A batch reduces each key to one sum row and n digests before anything is
-    stored, so a key that fills most of a batch costs no more than any other.
-    """
-    def batch(df: DataFrame, epoch: int) -> None:
-        rows = df.persist()
-        sums, low = sketch_partial(rows, key, digest, values, n)
-        sums.write.mode("overwrite").parquet(f"{out}/sums/epoch={epoch}")
-        low.write.mode("overwrite").parquet(f"{out}/low/epoch={epoch}")
-        rows.unpersist()
-
-    _finish(stream.writeStream.foreachBatch(batch), checkpoint)
-
-
-def sketch_read(spark: SparkSession, key: list[str], digest: str, values: list[str], out: str, n: int = 3) -> tuple[DataFrame, DataFrame]:
-    from massloom.operators.ranking import lowest_hash
-
-    sums = spark.read.parquet(f"{out}/sums").groupBy(*key).agg(
-        F.sum("count").alias("count"), *[F.sum(v).alias(v) for v in values])
-    return sums, lowest_hash(spark.read.parquet(f"{out}/low"), key, digest, n)
-
-
-def _epochs_before(spark: SparkSession, out: str, epoch: int, schema) -> DataFrame:
-    """Rows stored by earlier batches; none before the first."""
-    if epoch == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(out).filter(F.col("epoch") < epoch).drop("epoch")
-
-
-def dedup_stream(stream: DataFrame, keys: list[str], out: str, checkpoint: str) -> None:
-    """The keys' first appearances, whatever the time between them.
-
-    What was seen is the stored output itself, so there is no state that could
-    expire and no delay to choose. A batch is first reduced to its own keys; a
-    replayed batch meets the earlier ones only and replaces its own output.
-    """
-    def batch(df: DataFrame, epoch: int) -> None:
-        own = df.select(*keys).distinct()
-        seen = _epochs_before(df.sparkSession, out, epoch, own.schema)
-        same = [own[k].eqNullSafe(seen[k]) for k in keys]
-        own.join(seen, same, "left_anti").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    _finish(stream.writeStream.foreachBatch(batch), checkpoint)
-
-
 def sliding_counts(stream: DataFrame, time: str, by: list[str], out: str, checkpoint: str) -> None:
     """Events per hour, one partial count per batch; ``sliding_windows`` combines them.
 

@@ -9,7 +9,6 @@ from massloom.functions import hashing, ions, text
 from massloom.operators import audits, evidence, ordering, splits
 from massloom.session import shared_dir
 from massloom.sources import readers
-from massloom.streaming import jobs
 
 
 def test_parsed_adducts_agree_with_the_verified_table(spark):
@@ -150,14 +149,3 @@ def test_prediction_audit_rows(spark):
     r = {x.id: x for x in audits.prediction_rows(d, "id", "g").collect()}
     assert (r["1"].tokens, r["1"].empty_tokens, r["1"].repeated_tokens, r["1"].non_ascii) == (4, 1, 1, 1)
     assert r["2"].empty_cell and r["3"].too_many and r["3"].repeated_tokens == 0
-
-
-def test_sketch_resumes_without_counting_twice(spark):
-    src, out, state = (shared_dir(spark, n) for n in ("in", "out", "state"))
-    rows = lambda lo, hi: spark.createDataFrame([("k", f"d{i % 7}", 1) for i in range(lo, hi)], "k string, digest string, v int")
-    schema = rows(0, 1).schema
-    for lo, hi in ((0, 10), (10, 25)):
-        rows(lo, hi).write.mode("append").parquet(src)
-        jobs.sketch_stream(jobs.read_stream(spark, schema, src), ["k"], "digest", {"s": F.col("v")}, out, state)
-    sums, low = jobs.sketch_read(spark, ["k"], "digest", ["s"], out)
-    assert sums.first()["count"] == 25 and sorted(r.digest for r in low.collect()) == ["d0", "d1", "d2"]
