@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from massloom import fixed
+from massloom.functions import peaks as pk
 from massloom.functions.numeric import r6
 from massloom.operators import certified, hooks, models, ordering
 from massloom.plans.q_aggregates import _BINS, _SIGNED, _hist, signed
@@ -181,8 +182,15 @@ def mergeable_sketch(t):
 
 
 @query("U6_record_explosion", """
-    SELECT conv_id, turn, length(text)::INTEGER AS chars FROM conversations""")
+    SELECT s.molecule_id, s.spectrum_id, s.adduct, round(s.precursor_mz, 6) AS precursor_mz, len(p.peaks)::INTEGER AS n_peaks, round(list_sum(list_transform(p.peaks, lambda x: x.i)), 6) AS total
+    FROM spectra_v s JOIN raw_lists_v p ON p.spectrum_id = s.spectrum_id""")
 def record_explosion(t):
-    """One text record per conversation turn, produced from a packed array column."""
-    packed = t.table("conversations").select("conv_id", F.array(F.struct("turn", "text")).alias("records"))
-    return packed.select("conv_id", F.inline("records")).select("conv_id", "turn", F.length("text").alias("chars"))
+    """Text cells of a molecule's spectra, 64 ids at most in one, taken apart by a table function whose columns are named in the call."""
+    from massloom.plans.q_sources import _peak_text, _records, _sound
+    from massloom.sources import peaklist
+
+    peaklist.register(t.spark)
+    cells = _records(t).groupBy("molecule_id", F.floor(F.col("spectrum_id") / 64)).agg(F.array_join(F.collect_list(_peak_text()), "# next\n").alias("text"))
+    found = t.spark.sql("SELECT molecule_id, r.* FROM {cells}, LATERAL peak_records(text, 'compound_id, adduct, pepmass') r", cells=cells)
+    return _sound(found).select("molecule_id", F.col("compound_id").cast("bigint").alias("spectrum_id"), "adduct",
+                                r6(F.col("pepmass").cast("double")).alias("precursor_mz"), F.size("peaks").alias("n_peaks"), r6(pk.total("peaks")).alias("total"))

@@ -67,24 +67,37 @@ def parquet_projection(t):
     return d.select(F.col("o_orderkey").alias("spectrum_id"), (F.col("o_totalprice") / 100).alias("precursor_mz"))
 
 
-@query("S5_mgf_blocks", _RECORDS)
-def mgf_blocks(t):
-    """Peak-list text written and read back; a malformed block would fail the job."""
-    path = shared_dir(t.spark, "mgf")
+def _peak_text():
+    """A spectrum as a text block. Every fifth shows what a reader must bear: a lower-case end, END IONS inside a title, a repeated key."""
     lines = F.transform("peaks", lambda p: F.concat_ws(" ", p["mz"].cast("string"), p["i"].cast("string")))
     block = F.concat_ws("\n", F.lit("BEGIN IONS"), F.concat(F.lit("COMPOUND_ID="), F.col("spectrum_id")),
                         F.concat(F.lit("PEPMASS="), F.col("precursor_mz"), F.lit(" 100.0")),
                         F.concat(F.lit("ADDUCT="), F.col("adduct")), F.array_join(lines, "\n"), F.lit("END IONS\n"))
-    # Every fifth block shows what a reader must bear: a lower-case end, END IONS inside a title, a repeated key.
     odd = F.regexp_replace(F.regexp_replace(block, "END IONS\n", "end ions\n"), "ADDUCT=", "ADDUCT=[unknown]\nTITLE=weekEND IONSource\nADDUCT=")
-    _records(t).select(F.when(F.col("spectrum_id") % 5 == 0, odd).otherwise(block).alias("value")).write.text(path)
-    if not readers.unbalanced_mgf(t.spark, path).isEmpty():
-        raise ValueError("a peak-list file ends inside a block")
-    d = readers.read_mgf(t.spark, path)
-    ok = F.when(F.col("problem").isNull(), True).otherwise(F.raise_error(F.col("problem")).cast("boolean"))
-    return _summary(d.filter(ok).select(
-        F.col("headers")["compound_id"].cast("bigint").alias("spectrum_id"), F.col("headers")["adduct"].alias("adduct"),
-        F.col("headers")["pepmass"].cast("double").alias("precursor_mz"), "peaks"))
+    return F.when(F.col("spectrum_id") % 5 == 0, odd).otherwise(block)
+
+
+def _sound(df):
+    """Fails the job on a malformed block."""
+    return df.filter(F.when(F.col("problem").isNull(), True).otherwise(F.raise_error(F.col("problem")).cast("boolean")))
+
+
+@query("S5_mgf_blocks", _RECORDS)
+def mgf_blocks(t):
+    """Peak-list text written and read back by ranges of bytes."""
+    path = shared_dir(t.spark, "mgf")
+    _records(t).select(_peak_text().alias("value")).write.text(path)
+    d = _sound(readers.read_mgf(t.spark, path, split_bytes=1 << 20))
+    return _summary(d.select(F.col("headers")["compound_id"].cast("bigint").alias("spectrum_id"), "adduct", F.col("pepmass").alias("precursor_mz"), "peaks"))
+
+
+@query("S5_mgf_filtered", _RECORDS + " WHERE s.adduct IN ('[M+H]+', '[M-H]-') AND s.precursor_mz >= 500 AND s.precursor_mz < 1500")
+def mgf_filtered(t):
+    """Filters on headers are judged inside the source, before peaks are parsed."""
+    path = shared_dir(t.spark, "mgf")
+    _records(t).select(_peak_text().alias("value")).write.text(path)
+    d = readers.read_mgf(t.spark, path).where(F.col("adduct").isin("[M+H]+", "[M-H]-") & (F.col("pepmass") >= 500) & (F.col("pepmass") < 1500))
+    return _summary(_sound(d).select(F.col("headers")["compound_id"].cast("bigint").alias("spectrum_id"), "adduct", F.col("pepmass").alias("precursor_mz"), "peaks"))
 
 
 _SNAP = """

@@ -5,7 +5,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom import fixed
-from massloom.operators.ordering import global_running_sum
 
 
 def discover(spark: SparkSession, path: str) -> DataFrame:
@@ -70,40 +69,18 @@ def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     return spark.read.parquet(path).select(*columns)
 
 
-def read_mgf(spark: SparkSession, path: str) -> DataFrame:
+def read_mgf(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
     """Peak-list text: one row per BEGIN IONS / END IONS block.
 
-    Returns headers (map of lower-cased keys, the last value of a repeated key),
-    peaks and ``problem`` (null when the block is well formed). Only a line that
-    is END IONS in any case ends a block. Lines are numbered by a running count
-    of such lines over the global order of lines, so blocks of one large file
-    are gathered in parallel; what follows the last END IONS of a file is a
-    block of its own, reported as unclosed where it holds more than comments.
+    Returns file, start, headers (map of lower-cased keys, the last value of a
+    repeated key), the headers pepmass and adduct as columns whose filters reach
+    the source, peaks, and ``problem`` (null when the block is well formed).
     """
-    line = F.trim(F.regexp_replace("value", "^\ufeff", ""))
-    raw = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("at"), line.alias("line"))
-    ends = (F.upper("line") == "END IONS").cast("int")
-    numbered = global_running_sum(raw, ["file", "start", "at"], ends, "block").withColumn("block", F.col("block") - F.when(F.upper("line") == "END IONS", 1).otherwise(0))
-    kept = numbered.filter((F.col("line") != "") & ~F.col("line").rlike("^[#;]"))
-    d = kept.groupBy("file", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "at", "line"))), lambda x: x["line"]).alias("lines"))
-    begins = F.size(F.filter("lines", lambda x: F.upper(x) == "BEGIN IONS"))
-    closed = F.exists("lines", lambda x: F.upper(x) == "END IONS")
-    body = F.filter("lines", lambda x: ~F.upper(x).isin("BEGIN IONS", "END IONS"))
-    pairs = F.transform(F.filter(body, lambda x: x.contains("=")), lambda x: F.struct(
-        F.lower(F.substring_index(x, "=", 1)).alias("k"), F.regexp_extract(x, "^[^=]*=(.*)$", 1).alias("v")))
-    d = d.withColumn("pairs", pairs)
-    last = F.filter("pairs", lambda x, i: ~F.exists(F.slice("pairs", i + 2, F.size("pairs")), lambda y: y["k"] == x["k"]))
-    value = lambda x: F.when(x["k"] == "pepmass", F.element_at(F.split(F.trim(x["v"]), r"\s+"), 1)).otherwise(x["v"])
-    numbers = F.transform(F.filter(body, lambda x: ~x.contains("=")), lambda x: F.split(x, r"\s+"))
-    number = lambda v: v.try_cast("double")
-    peaks = F.transform(numbers, lambda v: F.struct(number(v[0]).alias("mz"), number(F.get(v, 1)).alias("i")))
-    malformed = F.exists(peaks, lambda p: p["mz"].isNull() | p["i"].isNull())
-    problem = F.when(~closed, "block without END IONS").when(begins > 1, "nested BEGIN IONS").when(begins == 0, "END IONS without BEGIN IONS") \
-        .when(malformed, "malformed peak line")
-    return d.select(F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], value(x)))).alias("headers"),
-                    peaks.alias("peaks"), problem.alias("problem"))
+    from massloom.sources import peaklist
+
+    peaklist.register(spark)
+    reader = spark.read.format("peaklist")
+    return (reader.option("splitBytes", split_bytes) if split_bytes else reader).load(path)
 
 
 def unbalanced_mgf(spark: SparkSession, path: str) -> DataFrame:
