@@ -7,9 +7,12 @@ every frequent phrase.
 
 1. Each shard is mined completely, level by level: phrases of k words are
    counted where both phrases of k - 1 words inside are frequent in the shard.
-   A shard is no task: its tasks send counted hashes, which Spark adds up.
-2. The union of the locally frequent phrases is a bit map of fixed size. A clash
-   in it lets a phrase be counted in vain and loses none.
+   A shard is no task: its tasks send counted hashes, packed by hash range, and
+   one task adds up one range.
+2. The locally frequent phrases are united. A phrase leaves the union if even
+   the most it can have in the other shards keeps it below the support. The
+   union is a bit map of fixed size: a clash in it lets a phrase be counted in
+   vain and loses none.
 3. All candidates are counted over all shards, by their words, not by hashes.
 
 More shards lower the local support to nothing, so their number stays small
@@ -32,13 +35,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massloom.llm.arrays import FOLDED_VALUES, Prefix, combine, mix, small_batches, text_buffer
-from massloom.llm.storage import stored
+from massloom.llm.buckets import bucket_edges, pack, pack_ids, unpack, unpack_ids
+from massloom.llm.storage import bucket_count, stored
 
 SHARDS = 4
-MAP_BITS = 27
-#: Words whose phrases are counted together before they are sent; ids of so many words take 21 bits.
-RUN = (1 << 21) - 64
-BATCH_BYTES = 12 << 20
+MAP_BITS = 26
+#: Phrases counted together before they are sent.
+HELD = 2 << 20
+#: Words whose phrases are counted together by their words; ids of so many words take 21 bits.
+RUN = 1 << 20
+BATCH_BYTES = 4 << 20
+HASH_BYTES = 1 << 20
 
 _CUT = np.zeros(256, bool)
 _CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -46,8 +53,6 @@ _GAP = _CUT.copy()
 _GAP[[0x20, 0x09]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Moves the cells of one shard away from those of another.
-_SHARD_STEP = 0x2F0B4A9
 
 
 @contextmanager
@@ -87,15 +92,24 @@ class Words:
         return (np.arange(a, b) + n <= len(self.starts)) & (self.piece[a:b] == self.piece[last])
 
     def hashes(self) -> np.ndarray:
-        return Prefix(self.buf, FOLDED_VALUES).spans(self.starts, self.ends)
+        out, at = [np.zeros(0, np.uint64)], 0
+        while at < len(self.starts):  # a slice of the text at a time: prefix sums take many times its size
+            low = self.starts[at]
+            stop = max(at + 1, int(np.searchsorted(self.ends, low + HASH_BYTES, "right")))
+            out.append(Prefix(self.buf[low:self.ends[stop - 1]], FOLDED_VALUES).spans(self.starts[at:stop] - low, self.ends[at:stop] - low))
+            at = stop
+        return np.concatenate(out)
 
     def spaced(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         """Lower-cased bytes of words a .. b-1, each with a space behind it, and where each begins."""
         lens = self.ends[a:b] - self.starts[a:b]
         at = np.concatenate([[0], np.cumsum(lens + 1)])
         out = np.full(at[-1], 0x20, np.uint8)
-        within = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-        out[np.repeat(at[:-1], lens) + within] = _LOWER[self.buf[np.repeat(self.starts[a:b], lens) + within]]
+        for x in range(0, b - a, 1 << 16):  # some words at a time: positions of bytes take many times their size
+            y = min(x + (1 << 16), b - a)
+            n = lens[x:y]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(at[x:y], n) + within] = _LOWER[self.buf[np.repeat(self.starts[a + x:a + y], n) + within]]
         return out, at
 
 
@@ -119,16 +133,25 @@ def _keys(words: np.ndarray, lang: np.ndarray, n: int) -> np.ndarray:
     return mix((combine(words, n) if n > 1 else words) + lang[:len(words) - n + 1])
 
 
-def _mine(n: int, bits):
-    """Counts of phrases of ``n`` words by shard; ``bits`` is a broadcast map of the level below."""
-    schema = pa.schema([("shard", pa.int32()), ("h", pa.int64()), ("n", pa.int64())])
+MINED = "bucket int, shard int, words bigint, hashes binary, counts binary"
+
+
+def _mine(n: int, maps, buckets: int):
+    """Packed counts of phrases of ``n`` words by shard and hash range; ``maps`` has the shards' phrases of the level below."""
+    schema = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("words", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+    edges = bucket_edges(buckets)
 
     def flush(held):
         shard = np.concatenate([s for s, _ in held])
         keys = np.concatenate([k for _, k in held])
         for s in np.unique(shard).tolist():
             h, count = np.unique(keys[shard == s], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), s, np.int32)), pa.array(h.view(np.int64)), pa.array(count.astype(np.int64))], schema=schema)
+            cut = np.append(np.searchsorted(h, edges), len(h))
+            full = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
+            parts = [slice(cut[b], cut[b + 1]) for b in full]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(full, pa.int32()), pa.array([s] * len(full), pa.int32()), pa.array([int(count[p].sum()) for p in parts], pa.int64()),
+                pa.array([pack(h[p], int(edges[b]), 0) for b, p in zip(full, parts)], pa.binary()), pa.array([pack_ids(count[p]) for p in parts], pa.binary())], schema=schema)
 
     def run(batches):
         held, size = [], 0
@@ -139,12 +162,15 @@ def _mine(n: int, bits):
             words = w.hashes()
             keys = _keys(words, lang, n)
             ok = w.whole(0, len(keys), n)
-            if n > 1:
-                below = _marked(bits.value, _cells(_keys(words, lang, n - 1)) ^ (shard[:len(words) - n + 2].astype(np.int64) * _SHARD_STEP & (1 << MAP_BITS) - 1)) if len(keys) else ok
-                ok &= below[:-1] & below[1:] if len(keys) else ok
+            if n > 1 and len(keys):
+                cells, below = _cells(_keys(words, lang, n - 1)), np.zeros(len(keys) + 1, bool)
+                for s in np.unique(shard).tolist():
+                    mine = np.flatnonzero(shard[:len(below)] == s)
+                    below[mine] = _marked(maps.value[s], cells[mine])
+                ok &= below[:-1] & below[1:]
             held.append((shard[:len(keys)][ok], keys[ok]))
             size += int(ok.sum())
-            if size >= RUN:
+            if size >= HELD:
                 yield from flush(held)
                 held, size = [], 0
         if size:
@@ -153,17 +179,51 @@ def _mine(n: int, bits):
     return run
 
 
-def _bit_map(cells: DataFrame, kinds: int) -> list[np.ndarray]:
-    """Bit maps by kind from rows (kind, cell). At most 2**MAP_BITS / 64 words of each reach the driver, whatever the corpus."""
-    word = F.shiftright("cell", 6).cast("int").alias("word")
-    bit = F.expr("shiftleft(1L, cast(cell & 63 as int))")
-    table = cells.groupBy("kind", word).agg(F.bit_or(bit).alias("bits")).toArrow()
-    kind, at, bits = (table.column(c).to_numpy() for c in ("kind", "word", "bits"))
-    out = []
-    for k in range(kinds):
-        full = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-        full[at[kind == k]] = bits[kind == k].view(np.uint64)
-        out.append(full.view(np.uint8))
+def _frequent(least: dict[int, int], support: int, buckets: int):
+    """Adds up one hash range: bit maps of each shard's frequent phrases (kind = shard) and of the candidates of all (kind = -1)."""
+    schema = pa.schema([("kind", pa.int32()), ("at", pa.int64()), ("bits", pa.binary())])
+    edges = [(b << 64) // buckets for b in range(buckets + 1)]
+
+    def run(key, table):
+        low, high = edges[key[0].as_py()], edges[key[0].as_py() + 1] - 1
+        first = low >> (64 - MAP_BITS) & ~7
+        size = (high >> (64 - MAP_BITS) & ~7) + 8 - first
+        shard = table["shard"].to_numpy()
+        hashes, count_of, rows = [], [], []
+        for s in np.unique(shard).tolist():
+            at = np.flatnonzero(shard == s).tolist()
+            h = np.concatenate([unpack(table["hashes"][i].as_py()) for i in at])
+            n = np.concatenate([unpack_ids(table["counts"][i].as_py()) for i in at])
+            order = np.argsort(h)
+            h, n = h[order], n[order]
+            new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            h, n = h[new], np.add.reduceat(n, new)
+            keep = n >= least[s]
+            h = h[keep] + np.uint64(low)
+            rows.append((s, h))
+            hashes.append(h)
+            count_of.append(n[keep] - (least[s] - 1))
+        # The most a phrase can have: its counts where it is frequent, and just too little everywhere else.
+        h, back = np.unique(np.concatenate(hashes), return_inverse=True)
+        most = np.bincount(back, weights=np.concatenate(count_of), minlength=len(h)) + sum(x - 1 for x in least.values())
+        rows.append((-1, h[most >= support]))
+        out = []
+        for kind, h in rows:
+            bits = np.zeros(size, bool)
+            bits[_cells(h) - first] = True
+            if len(h):
+                out.append((kind, first >> 3, np.packbits(bits, bitorder="little").tobytes()))
+        return pa.Table.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return run
+
+
+def _maps(slices: DataFrame, kinds: list[int]) -> dict[int, np.ndarray]:
+    """Bit maps by kind. At most 2**MAP_BITS bits of each reach the driver, whatever the corpus."""
+    out = {k: np.zeros(1 << (MAP_BITS - 3), np.uint8) for k in kinds}
+    for r in slices.where(F.col("kind").isin(kinds)).toLocalIterator():
+        part = np.frombuffer(r["bits"], np.uint8)
+        out[r["kind"]][r["at"]:r["at"] + len(part)] |= part
     return out
 
 
@@ -219,25 +279,24 @@ def frequent_phrases(docs: DataFrame, support: int = 10, longest: int = 3, shard
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                        F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int").alias("shard"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = bucket_count(spark, size)
     union = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    bits, total = None, {}
+    maps, least = None, {}
     with _batches(spark, BATCH_BYTES):
         for n in range(1, longest + 1):
-            local = stored(rows.mapInArrow(_mine(n, bits), "shard int, h long, n long").groupBy("shard", "h").agg(F.sum("n").alias("n")), f"level-{n}")
-            if n == 1:
-                total = {r["shard"]: r["n"] for r in local.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row per shard
-            # n >= support * share, in whole numbers: the smallest count that a shard's share of the support allows.
-            least = {s: -(-support * k // sum(total.values())) for s, k in total.items()}
-            bound = F.element_at(F.create_map(*[F.lit(x) for pair in least.items() for x in pair]), F.col("shard")) if least else F.lit(1)
-            cell = F.shiftrightunsigned("h", 64 - MAP_BITS)
-            own = cell.bitwiseXOR((F.col("shard").cast("long") * _SHARD_STEP).bitwiseAND((1 << MAP_BITS) - 1))
-            both = F.array(F.struct(F.lit(0).alias("kind"), cell.alias("cell")), F.struct(F.lit(1).alias("kind"), own.alias("cell")))
-            everywhere, by_shard = _bit_map(local.where(F.col("n") >= bound).select(F.inline(both)), 2)
-            union |= everywhere
-            if bits is not None:
-                bits.destroy()
-            bits = sc.broadcast(by_shard)
-        bits.destroy()
+            mined = rows.mapInArrow(_mine(n, maps, buckets), MINED)
+            if n == 1:  # the shards' shares must be known before anything is left out
+                mined = stored(mined, "words")
+                total = {r["shard"]: r["n"] for r in mined.groupBy("shard").agg(F.sum("words").alias("n")).collect()}  # one row per shard
+                # The smallest count that a shard's share of the support allows, in whole numbers.
+                least = {s: -(-support * k // sum(total.values())) for s, k in total.items()}
+            slices = stored(mined.groupBy("bucket").applyInArrow(_frequent(least, support, buckets), "kind int, at bigint, bits binary"), f"level-{n}")
+            found = _maps(slices, [-1, *least] if n < longest else [-1])
+            union |= found.pop(-1)
+            if maps is not None:
+                maps.destroy()
+            maps = sc.broadcast(found) if n < longest else None
         bits = sc.broadcast(union)
         counted = rows.mapInArrow(_count(longest, bits), "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
         out = stored(counted.where((F.col("words") == 0) | (F.col("n") >= support)), "phrases")
