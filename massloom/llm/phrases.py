@@ -27,6 +27,7 @@ of any length.
 from __future__ import annotations
 
 from contextlib import contextmanager
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -212,7 +213,7 @@ def _frequent(least: dict[int, int], support: int, buckets: int):
             bits = np.zeros(size, bool)
             bits[_cells(h) - first] = True
             if len(h):
-                out.append((kind, first >> 3, np.packbits(bits, bitorder="little").tobytes()))
+                out.append((kind, first >> 3, compress(np.packbits(bits, bitorder="little").tobytes(), 1)))
         return pa.Table.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return run
@@ -221,8 +222,8 @@ def _frequent(least: dict[int, int], support: int, buckets: int):
 def _maps(slices: DataFrame, kinds: list[int]) -> dict[int, np.ndarray]:
     """Bit maps by kind. At most 2**MAP_BITS bits of each reach the driver, whatever the corpus."""
     out = {k: np.zeros(1 << (MAP_BITS - 3), np.uint8) for k in kinds}
-    for r in slices.where(F.col("kind").isin(kinds)).toLocalIterator():
-        part = np.frombuffer(r["bits"], np.uint8)
+    for r in slices.where(F.col("kind").isin(kinds)).coalesce(16).toLocalIterator():
+        part = np.frombuffer(decompress(r["bits"]), np.uint8)
         out[r["kind"]][r["at"]:r["at"] + len(part)] |= part
     return out
 
@@ -297,6 +298,7 @@ def frequent_phrases(docs: DataFrame, support: int = 10, longest: int = 3, shard
             if maps is not None:
                 maps.destroy()
             maps = sc.broadcast(found) if n < longest else None
+            del found
         bits = sc.broadcast(union)
         counted = rows.mapInArrow(_count(longest, bits), "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
         out = stored(counted.where((F.col("words") == 0) | (F.col("n") >= support)), "phrases")
