@@ -2,15 +2,20 @@
 
 The text view sees character trigrams (hashed) and character statistics; the
 metadata view sees language, source and length. Both start from a bounded
-sample of labelled documents. In every round each view scores a bounded pool of
-unlabelled documents and hands those it is sure of, by its calibrated
-probability, to the other view with its label. At the end both are calibrated
-on held-out labelled documents, and their evidence is added, so a view that
-knows nothing changes nothing. All documents are scored over their whole texts.
-
-Bounds: ``per_class`` labelled documents of each class, ``pool`` unlabelled
-ones, ``rounds`` exchanges. Without labels of both classes nothing is rejected
-and the score is 1.
+sample of labelled documents. In every round each view scores all other
+documents and hands those it is sure of, by its calibrated probability, to the
+other view with its label. They arrive as sums over all tasks: the gradient and
+the curvature of their loss at the receiving view's weights, per class. So
+every sure document counts, whatever their number, and what reaches the driver
+has the size of the parameters. Handed documents weigh as much as the labelled
+ones (``trust``). At the end both views are calibrated on held-out labelled
+documents, and their evidence is added, so a view that knows nothing changes
+nothing. All documents are scored over their whole texts.
+
+Bounds: ``per_class`` labelled documents of each class, ``rounds`` exchanges.
+Labels beyond the sample are not looked at; their documents count as others.
+Without labels of both classes nothing is rejected and the score is 1. A
+labelled id that several rows share gives one example for each of them.
 
 Null and empty texts, sources and languages are values of their own. Repeated
 rows score alike. Columns other than those five are handed through by ``keep``.
@@ -22,15 +27,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massloom.llm.arrays import small_batches, text_buffer
 from massloom.llm.fit import calibrate, labelled_sample, logistic, sigmoid
-from massloom.llm.storage import BLOCK_BYTES, bounded_batches
+from massloom.llm.storage import BLOCK_BYTES, bounded_batches, stored
 from massloom.llm.textstats import Stats, shares
 
-PER_CLASS, POOL, ROUNDS, SURE = 1000, 2000, 3, 0.97
+PER_CLASS, ROUNDS, SURE, TRUST = 1000, 2, 0.97, 0.5
+#: Partial sums that reach the driver, at most.
+SLOTS = 32
 GRAMS, STATS = 1 << 11, 8
 META = 64
 
@@ -84,30 +92,56 @@ class CoModel:
         return sigmoid(a), sigmoid(b), sigmoid(a + b - self.prior)
 
 
-def _fit(x, y, held_x, held_y) -> View:
+@dataclass
+class Handed:
+    """Loss of the handed documents of one view around ``at``: per class their number, gradient and curvature."""
+
+    at: np.ndarray
+    number: np.ndarray
+    slope: np.ndarray
+    curve: np.ndarray
+
+    def pull(self, weights: np.ndarray, trust: float) -> np.ndarray:
+        share = np.where(self.number > 0, 0.5 * trust / np.maximum(self.number, 1), 0.0)
+        return share @ (self.slope + self.curve * (weights - self.at))
+
+
+def _fit(x, y, held_x, held_y, handed: Handed | None = None, trust: float = TRUST) -> View:
     balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    view = View(*logistic(x, y, balance, l2=1e-4, steps=250, rate=0.05))
+    more = {} if handed is None else {"start": handed.at, "pull": lambda w: handed.pull(w, trust)}
+    view = View(*logistic(x, y, balance, l2=1e-4, steps=250, rate=0.05, **more))
     view.slope, view.offset = calibrate(held_x @ view.weights + view.bias, held_y)
     return view
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, base_rate: float,
-             rounds: int = ROUNDS, sure: float = SURE) -> CoModel:
-    """The exchange itself; ``base_rate`` is the share of good rows among all labelled ones."""
+def hand_over(text: np.ndarray, meta: np.ndarray, views: dict[str, View], sure: float):
+    """What each view hands the other of some documents: (receiver, class, number, slope, curve)."""
+    x = {"text": text, "meta": meta}
+    for giver, taker in (("text", "meta"), ("meta", "text")):
+        p = sigmoid(views[giver].logit(x[giver]))
+        for y, mask in ((0, p <= 1 - sure), (1, p >= sure)):
+            if mask.any():
+                rows = x[taker][mask].astype(np.float64)
+                q = sigmoid(rows @ views[taker].weights + views[taker].bias)
+                h = q * (1 - q)
+                yield taker, y, int(mask.sum()), np.append((q - y) @ rows, (q - y).sum()), np.append(h @ (rows * rows), h.sum())
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, others, base_rate: float, rounds: int = ROUNDS, sure: float = SURE) -> CoModel:
+    """The exchange itself. ``others(views, sure)`` gives the sums of what all other documents hand over;
+    ``base_rate`` is the share of good rows among all labelled ones."""
     held = np.arange(len(y)) % 4 == 0
-    views = {"text": (text, pool_text), "meta": (meta, pool_meta)}
-    given = {k: (np.zeros(0, int), np.zeros(0)) for k in views}
-    fitted = {}
-    for r in range(rounds + 1):
-        for k, (x, pool) in views.items():
-            at, label = given[k]
-            fitted[k] = _fit(np.concatenate([x[~held], pool[at]]), np.concatenate([y[~held], label]), x[held], y[held])
-        if r == rounds or not len(pool_text):
+    x = {"text": text, "meta": meta}
+    fitted = {k: _fit(v[~held], y[~held], v[held], y[held]) for k, v in x.items()}
+    for _ in range(rounds):
+        handed = {k: Handed(np.append(fitted[k].weights, fitted[k].bias), np.zeros(2), np.zeros((2, v.shape[1] + 1)), np.zeros((2, v.shape[1] + 1))) for k, v in x.items()}
+        for k, c, n, slope, curve in others(fitted, sure):
+            handed[k].number[c] += n
+            handed[k].slope[c] += slope
+            handed[k].curve[c] += curve
+        if not any(h.number.any() for h in handed.values()):
             break
-        for k, other in (("text", "meta"), ("meta", "text")):
-            p = sigmoid(fitted[k].logit(views[k][1]))
-            at = np.flatnonzero((p >= sure) | (p <= 1 - sure))
-            given[other] = (at, (p[at] >= 0.5).astype(float))
+        fitted = {k: _fit(v[~held], y[~held], v[held], y[held], handed[k]) if handed[k].number.any() else fitted[k] for k, v in x.items()}
     # The sample is balanced by class; evidence is moved to the share among all labelled rows.
     shown = np.log((y[held].sum() + 1) / ((1 - y[held]).sum() + 1))
     real = np.log(base_rate / (1 - base_rate))
@@ -126,16 +160,44 @@ def _views_of(b) -> tuple[np.ndarray, np.ndarray]:
     return text_view(b.column("text")), metadata_view(b.column("lang").to_pylist(), b.column("source").to_pylist(), np.diff(off))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pool: int = POOL, rounds: int = ROUNDS, id_col: str = "doc_id",
+_SUMS = pa.schema([("slot", pa.int32()), ("view", pa.string()), ("y", pa.int32()), ("n", pa.int64()), ("slope", pa.binary()), ("curve", pa.binary())])
+_SUMS_SQL = "slot int, view string, y int, n bigint, slope binary, curve binary"
+
+
+def _sums_of(slot: int, parts) -> pa.RecordBatch:
+    total: dict = {}
+    for view, y, n, slope, curve in parts:
+        old = total.get((view, y), (0, 0.0, 0.0))
+        total[view, y] = (old[0] + n, old[1] + slope, old[2] + curve)
+    return pa.RecordBatch.from_pylist([{"slot": slot, "view": v, "y": y, "n": n, "slope": s.tobytes(), "curve": c.tobytes()} for (v, y), (n, s, c) in total.items()], _SUMS)
+
+
+def _rows_of(table):
+    for r in table.to_pylist():
+        yield r["view"], r["y"], r["n"], np.frombuffer(r["slope"]), np.frombuffer(r["curve"])
+
+
+def _others(rows: DataFrame):
+    """Sums over documents, in Spark: one row per task, view and class, then per slot."""
+    def sums(views: dict[str, View], sure: float):
+        def run(batches):
+            parts = (x for b in small_batches(batches, BLOCK_BYTES, "text") for x in hand_over(*_views_of(b), views, sure))
+            yield _sums_of(TaskContext.get().partitionId() % SLOTS, parts)
+
+        def add(key, table):
+            return pa.Table.from_batches([_sums_of(key[0].as_py(), _rows_of(table))])
+
+        return _rows_of(rows.mapInArrow(run, _SUMS_SQL).groupBy("slot").applyInArrow(add, _SUMS_SQL).toArrow())
+
+    return sums
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds: int = ROUNDS, id_col: str = "doc_id",
           text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> CoModel | None:
     bounded_batches(docs.sparkSession)
     rows = docs.select(*_inputs(docs, id_col, text_col, lang_col, source_col))
     rates = labels.where("quality in (0, 1)").agg(F.avg(F.col("quality").cast("double")).alias("r"), F.count("*").alias("n")).first()
-    marked = labelled_sample(labels, "quality", per_class)
-    # The pool: ids without a label, lowest hashes first.
-    free = rows.select("doc_id").where("doc_id is not null").join(labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    pooled = free.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).withColumn("y", F.lit(-1))
-    sample = marked.unionByName(pooled)
+    marked = stored(labelled_sample(labels, "quality", per_class), "labelled")  # at most two classes' worth of ids
 
     def run(batches):
         for b in small_batches(batches, BLOCK_BYTES, "text"):
@@ -143,18 +205,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pool:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([r.tobytes() for r in t], pa.binary()),
                                               pa.array([r.tobytes() for r in m], pa.binary())], ["doc_id", "y", "t", "m"])
 
-    got = rows.join(F.broadcast(sample), "doc_id").mapInArrow(run, "doc_id long, y int, t binary, m binary").toArrow()
+    got = rows.join(F.broadcast(marked), "doc_id").mapInArrow(run, "doc_id long, y int, t binary, m binary").toArrow()
     order = np.lexsort((got["t"].to_pandas().map(zlib.crc32).to_numpy(), got["doc_id"].to_numpy())) if got.num_rows else np.zeros(0, int)
     y = got["y"].to_numpy()[order]
     if not {0, 1} <= set(y.tolist()):
         return None
     stack = lambda name: np.stack([np.frombuffer(got[name][int(i)].as_py(), np.float32) for i in order])
-    text, meta = stack("t"), stack("m")
-    known = y >= 0
-    shuffle = np.random.default_rng(5).permutation(int(known.sum()))
+    shuffle = np.random.default_rng(5).permutation(len(y))
     n = rates["n"]
     rate = min(max(rates["r"], 1 / (n + 2)), 1 - 1 / (n + 2))
-    return co_train(text[known][shuffle], meta[known][shuffle], y[known][shuffle].astype(float), text[~known], meta[~known], rate, rounds)
+    others = rows.join(F.broadcast(marked.select("doc_id")), "doc_id", "left_anti")
+    return co_train(stack("t")[shuffle], stack("m")[shuffle], y[shuffle].astype(float), _others(others), rate, rounds)
 
 
 def score(docs: DataFrame, model: CoModel | None, threshold: float = 0.5, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text",

@@ -18,15 +18,18 @@ def labelled_sample(labels: DataFrame, label: str, per_class: int, id_col: str =
     return picked[0].unionByName(picked[1])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, steps: int = 300, rate: float = 0.1):
-    """(weights, bias) by full-batch Adam."""
-    w, b = np.zeros(x.shape[1]), 0.0
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, steps: int = 300, rate: float = 0.1,
+             start: np.ndarray | None = None, pull=None):
+    """(weights, bias) by full-batch Adam, from ``start``; ``pull`` adds a gradient of its own at weights with the bias behind them."""
+    w, b = (np.zeros(x.shape[1]), 0.0) if start is None else (start[:-1].copy(), float(start[-1]))
     g = np.ones(len(y)) if weight is None else weight
     g = g / g.sum()
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
         r = (sigmoid(x @ w + b) - y) * g
         grad = np.append(r @ x + l2 * w, r.sum())
+        if pull is not None:
+            grad = grad + pull(np.append(w, b))
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)

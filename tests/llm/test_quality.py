@@ -102,7 +102,7 @@ def test_gradient_equals_differences():
 
 def test_co_training(corpus):
     docs, labels, rows = corpus
-    model = cotraining.train(docs, labels, per_class=100, pool=100)
+    model = cotraining.train(docs, labels, per_class=100)
     got = cotraining.score(docs, model, keep=["doc_id", "kept", "source"].copy()[:1]).collect()
     assert len(got) == len(rows)
     kept = {r.doc_id: r.kept for r in got}
@@ -110,6 +110,44 @@ def test_co_training(corpus):
     assert all(0 <= r.text_score <= 1 and 0 <= r.meta_score <= 1 and 0 <= r.score <= 1 for r in got)
 
 
+def test_every_other_document_hands_over(spark, corpus):
+    """Sums over tasks equal those of all documents at once, repeated rows and null ids included."""
+    import numpy as np
+
+    docs, _, rows = corpus
+    rng = np.random.default_rng(1)
+    views = {"text": cotraining.View(rng.standard_normal(cotraining.GRAMS + cotraining.STATS), 0.1), "meta": cotraining.View(rng.standard_normal(cotraining.META), -0.2, 2.0, 0.1)}
+    got: dict = {}
+    picked = docs.select(*cotraining._inputs(docs, "doc_id", "text", "lang", "source"))
+    for view, y, n, slope, curve in cotraining._others(picked)(views, 0.6):
+        old = got.get((view, y), (0, 0, 0))
+        got[view, y] = (old[0] + n, old[1] + slope, old[2] + curve)
+    import pyarrow as pa
+
+    texts = pa.array([r[1] for r in rows])
+    text, meta = cotraining.text_view(texts), cotraining.metadata_view([r[2] for r in rows], [r[3] for r in rows], np.array([len((r[1] or "").encode()) for r in rows]))
+    want = {(v, y): (n, s, c) for v, y, n, s, c in cotraining.hand_over(text, meta, views, 0.6)}
+    assert want.keys() == got.keys() and len(want) == 4
+    for k, (n, slope, curve) in want.items():
+        assert got[k][0] == n
+        np.testing.assert_allclose(got[k][1], slope, rtol=1e-6, atol=1e-6)
+        np.testing.assert_allclose(got[k][2], curve, rtol=1e-6, atol=1e-6)
+
+
+def test_curvature_is_the_derivative_of_the_gradient():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    text, meta = rng.standard_normal((30, 6)).astype(np.float32), rng.standard_normal((30, 5)).astype(np.float32)
+    views = {"text": cotraining.View(rng.standard_normal(6), 0.0), "meta": cotraining.View(rng.standard_normal(5), 0.3)}
+    for name, y, _, slope, curve in cotraining.hand_over(text, meta, views, 0.7):
+        for i in range(len(slope) - 1):
+            moved = cotraining.View(views[name].weights + 1e-5 * (np.arange(len(slope) - 1) == i), views[name].bias)
+            # Only the receiving view moves: what is handed over stays the same.
+            other = [s for v, c, _, s, _ in cotraining.hand_over(text, meta, {**views, name: moved}, 0.7) if (v, c) == (name, y)]
+            assert abs((other[0][i] - slope[i]) / 1e-5 - curve[i]) < 1e-3
+
+
 def test_without_labels_nothing_is_rejected(spark, corpus):
     docs, labels, _ = corpus
     none = labels.where("false")
