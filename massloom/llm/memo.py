@@ -26,5 +26,12 @@ class Memo(dict):
             self.clear()
         self[key] = value
 
+    def keep_all(self, items) -> None:
+        """Keeps computed values at once; what is over the limit by them goes with the next ones."""
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self.update(items)
+
     def unknown(self, keys: set) -> list:
         return [k for k in keys - self.keys() if k not in self.old]

@@ -22,18 +22,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from massloom.llm.arrays import small_batches, text_buffer, word_spans
 from massloom.llm.memo import Memo
-from massloom.llm.storage import bounded_batches, stored
+from massloom.llm.storage import BLOCK_BYTES, bounded_batches, stored
 
 MEMO = 600_000
 MEMO_CHARS = 64
 
 
+#: Marks that splitting takes off a word. A word of Latin-1 letters before them is plain: normalising only lower-cases it, splitting keeps it whole.
+MARKS = ".,;:!?"
+
+
+def _plain(core: str) -> bool:
+    return core.isalpha() and (core.isascii() or max(core) < "Ā")
+
+
 class WordTokenizer:
-    """Ids of texts as little-endian unsigned 32-bit numbers, through a bounded memory of words.
+    """Ids of texts as little-endian unsigned 32-bit numbers, through bounded memories of words and of their letters.
 
     The tokenizer drops white space and never joins what it separates, so the
-    ids of a text are those of its words. New words are handed over in batches.
+    ids of a text are those of its words. New words are handed over in batches;
+    of plain ones only the letters, all in one text, whose ids are told apart by
+    the pieces that end a word.
     """
 
     def __init__(self, path: str):
@@ -45,20 +56,82 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
+        self.plain = bool(suffix) and self._splits_marks()
         self.memo = Memo(lambda w: self._ids([w])[0] if w else b"", MEMO, MEMO_CHARS)
+        self.letters = Memo(lambda w: self._ids([w])[0], MEMO, MEMO_CHARS)
+        self.marks = Memo(lambda w: self._ids([w])[0] if w else b"", 1000, 8)
+
+    def _splits_marks(self) -> bool:
+        """Whether this tokenizer does with plain words and marks what is taken for granted here."""
+        parts, norm = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        if parts is None or norm is None:
+            return False
+        every = "".join(chr(c) for c in range(256) if _plain(chr(c)))
+        if norm.normalize_str(every) != every.lower():
+            return False
+        whole = [x for x, _ in parts.pre_tokenize_str(every.lower())]
+        apart = [len(parts.pre_tokenize_str(f"a{m}{n}")) for m in MARKS for n in MARKS]
+        return len(whole) == 1 and set(apart) == {2}
 
     def _ids(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)  # ids only, no offsets
         return [array("I", e.ids).tobytes() for e in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = [w for w in self.memo.unknown(set().union(*words)) if w and len(w) <= MEMO_CHARS]
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for w, ids in zip(part, self._ids(part)):
-                self.memo.keep(w, ids)
-        return [b"".join(map(self.memo.__getitem__, w)) for w in words]
+    def _letters_of(self, cores: list[str]) -> None:
+        for at in range(0, len(cores), 20_000):
+            part = cores[at:at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+            if len(cut) == len(part) + 1 and cut[-1] == len(ids):
+                raw, cut = ids.tobytes(), (cut * 4).tolist()
+                made = [raw[a:b] for a, b in zip(cut, cut[1:])]
+            else:  # some piece is not what it seems
+                made = self._ids(part)
+            self.letters.keep_all(zip(part, made))
+
+    def _learn(self, new: list[str]) -> None:
+        odd = new
+        if self.plain:
+            words, cores, odd = [], [], []
+            for w in new:
+                core = w.rstrip(MARKS)
+                if _plain(core):
+                    words.append(w)
+                    cores.append(core.lower())
+                else:
+                    odd.append(w)
+            self._letters_of([c for c in set(cores) if c not in self.letters and c not in self.letters.old])
+            ids = map(self.letters.__getitem__, cores)
+            self.memo.keep_all([(w, x + self.marks[w[len(c):]] if len(c) < len(w) else x) for w, c, x in zip(words, cores, ids)])
+        for at in range(0, len(odd), 20_000):
+            part = odd[at:at + 20_000]
+            self.memo.keep_all(zip(part, self._ids(part)))
+
+    def encode(self, column, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of an Arrow column behind each other, and where each text's begin; ``end_id`` closes every text."""
+        buf, off = text_buffer(column)
+        starts, ends, first = word_spans(buf, off)
+        at = np.append(0, np.cumsum(ends - starts))
+        edge = np.zeros(len(buf) + 1, np.int8)  # a text's last word may touch the next text's first
+        edge[starts] += 1
+        edge[ends] -= 1
+        data = buf[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+        words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        known = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([w for w in known if w not in self.memo and w not in self.memo.old and len(w) <= MEMO_CHARS])
+        ids = [*map(self.memo.__getitem__, known), b"" if end_id is None else np.array([end_id], "<u4").tobytes()]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        # Every text is its words and the closing entry.
+        order = np.insert(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), first[1:], len(known))
+        n = size[order]
+        stop = np.cumsum(n)
+        out = flat[np.repeat((np.cumsum(size) - size)[order] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+        return out, np.append(0, stop[first[1:] + np.arange(len(off) - 1)])
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -66,19 +139,18 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 def _tokenize(path: str, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         if path not in _tokenizers:
             _tokenizers[path] = WordTokenizer(path)
         words, part, at = _tokenizers[path], TaskContext.get().partitionId(), 0
-        for b in batches:
-            ids = [x + end for x in words.encode([t or "" for t in b.column("text").to_pylist()])]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            before = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(before), pa.array(n),
-                                              pa.array(ids, pa.binary())], schema=schema)
+        for b in small_batches(batches, BLOCK_BYTES, "text"):
+            ids, edge = words.encode(b.column("text"), end_id)
+            n = np.diff(edge)
+            before = at + edge[:-1]
+            at += len(ids)
+            packed = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edge * 4), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(before), pa.array(n), packed], schema=schema)
 
     return run
 
