@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept.
 All but the last return the columns of ``documents``; ``n_chars`` follows the
-text.
+text. Further columns of any name are handed through as they are.
 """
 from __future__ import annotations
 
@@ -20,36 +20,51 @@ from massloom.llm.suffix_dedup import suffix_dedup
 from massloom.session import shared_dir
 
 
-def _columns_of(docs: DataFrame, made: DataFrame) -> DataFrame:
-    """``made`` with the columns of ``docs``, lengths counted anew."""
-    made = made.select(*docs.columns)
-    return made.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else made
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _apart(docs: DataFrame):
+    """``docs`` with its further columns under names that no operator uses, and the way back from a stage's rows."""
+    names = [c if c in OWN else f"other_{i}" for i, c in enumerate(docs.columns)]
+    renamed = docs.toDF(*names)
+
+    def back(made: DataFrame) -> DataFrame:
+        made = made.select(*names)
+        if "n_chars" in names:  # lengths follow the text
+            made = made.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+        return made.toDF(*docs.columns)
+
+    return renamed, back
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
-    model = cotraining.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return cotraining.score(docs, model, keep=docs.columns).where("kept").select(*docs.columns)
+    rows, _ = _apart(docs)
+    model = cotraining.train(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return cotraining.score(rows, model, keep=rows.columns).where("kept").select(*rows.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group stays, that with the smallest id; null ids come last. Repeated rows are copies."""
     # Ids may repeat or be null, so rows get keys of their own, written down for every later read.
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed-rows")
-    groups = ngram_jaccard_join(rows, "__row").select(F.col("doc_id").alias("__row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
-    stays = groups.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(order)["row"].alias("__row"))
-    return rows.join(stays, "__row", "left_semi").select(*docs.columns)
+    named, _ = _apart(docs)
+    rows = stored(named.withColumn("row", F.monotonically_increasing_id()), "keyed-rows")
+    groups = ngram_jaccard_join(rows, "row").select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), "row")
+    stays = groups.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(order)["row"].alias("row"))
+    return rows.join(stays, "row", "left_semi").select(*named.columns).toDF(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes under strings of 100 bytes seen earlier are cut out; every document stays."""
-    return _columns_of(docs, suffix_dedup(docs, keep=docs.columns))
+    rows, back = _apart(docs)
+    return back(suffix_dedup(rows, keep=rows.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values become pseudonyms; every document stays."""
-    return _columns_of(docs, pseudonymise(docs, EXAMPLE_KEY))
+    rows, back = _apart(docs)
+    return back(pseudonymise(rows, EXAMPLE_KEY))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
