@@ -235,8 +235,8 @@ def _wanted_filter(ids: DataFrame) -> np.ndarray:
     words = ids.select((bit / 32).cast("int").alias("w"), (bit % 32).cast("int").alias("b")).groupBy("w").agg(
         F.bit_or(F.pow(F.lit(2.0), F.col("b")).cast("long")).alias("v"))
     out = np.zeros(FILTER_BITS // 32, np.uint32)
-    for r in words.collect():  # at most 2**19 rows of two numbers
-        out[r["w"]] = r["v"]
+    table = words.toArrow()  # at most 2**19 rows of two numbers
+    out[table["w"].to_numpy()] = table["v"].to_numpy()
     return out
 
 
@@ -278,7 +278,7 @@ def _cell_bounds(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _overlaps(docs: DataFrame, owners: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(x, nx, p, np, o, added): exact intersection sizes of the pairs (x, p), and where three quarters of x or more lie in p, the rest of x.
+    """Written table (x, nx, p, np, o, added): exact intersection sizes of the pairs (x, p), and where three quarters of x or more lie in p, the rest of x.
 
     A set is made from its text where it is needed, sent once to its pairs, and
     meets p's set in a sorted stream: p first, then its partners. A p with many
@@ -322,7 +322,9 @@ def _overlaps(docs: DataFrame, owners: DataFrame, pairs: DataFrame, width: int)
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, out)], schema=out)
 
-    return sent.mapInArrow(count, "x long, nx int, p long, np int, o int, added array<long>")
+    made = stored(sent.mapInArrow(count, "x long, nx int, p long, np int, o int, added array<long>"), "overlaps")
+    bits.destroy()
+    return made
 
 
 def _links(overlaps: DataFrame, percent: int) -> DataFrame:
@@ -339,8 +341,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signatures = stored(docs.mapInArrow(run, schema), "signatures")
     sets = signatures.where("slice is null").select("doc_id", "n", "k1", "k2", "cells")
     total = sets.where("n > 0").agg(F.sum("n")).first()[0] or 0
-    counts = _sketch(signatures)
-    sketch = spark.sparkContext.broadcast(counts)
+    sketch = spark.sparkContext.broadcast(_sketch(signatures))
     heavy = max(1000, 16 * total // CELLS)
 
     buckets = bucket_count(spark, total * (100 - percent) / 100 * 16)
@@ -348,6 +349,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists, out_schema = _lists(buckets)
     lists = docs.mapInArrow(run, schema).groupBy("bucket").applyInArrow(lists, out_schema).dropDuplicates(["l", "s"])
     index = stored(lists.select(F.col("l").alias("token"), F.inline(F.arrays_zip("x", "n", "pos", "typ"))), "index")
+    sketch.destroy()
     index = index.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
 
     # The set whose rarest shingles are the most common is the most typical one, the same in all lists of a group.
@@ -361,7 +363,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bounded = stored(_cell_bounds(star.select("x", "n", "p", "np").distinct(), sets), "bounds")
     pairs = bounded.where(f"100 * m >= {least} * n").select("x", "p")
     owners = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).select(F.col("k1").alias("x"), "doc_id")
-    exact = stored(_overlaps(docs, owners, pairs, width), "overlaps")
+    exact = _overlaps(docs, owners, pairs, width)
     links = _links(exact, percent)
     answered = exact.withColumn("most", F.lit(False)).unionByName(
         bounded.where(f"100 * m < {least} * n").select("x", F.col("n").alias("nx"), "p", "np", F.col("m").alias("o"), F.lit(True).alias("most")), allowMissingColumns=True)

@@ -1,5 +1,6 @@
 """Stages of the corpus pipeline at the smallest scale."""
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -19,15 +20,31 @@ def test_stages_keep_the_columns(spark, sf):
     assert docs.select("doc_id").distinct().count() == before
 
 
+def test_further_columns_of_any_name_come_through(spark, sf):
+    """Names that operators use inside or give to their results, on every stage, with null texts and an empty table."""
+    base = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(900001, None, None, None, None), (None, "", "en", "s", 0)], base.schema)
+    names = ["kept", "score", "text_score", "n_bytes", "n_removed", "kept_sha256", "row", "__row", "pseudonyms", "__made", "component_id", "loss", "other_5", "a b"]
+    docs = base.unionByName(odd).select("*", *[F.concat(F.lit(f"{n}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names]).persist()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, sf)
+        assert made.columns == docs.columns
+        rows = made.collect()
+        assert rows and all(r[n] == f"{n}-{'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for n in names)
+        assert stage(spark, docs.limit(0), sf).collect() == []
+    assert "length" in corpus_pipeline.packing(spark, docs, sf).columns
+    docs.unpersist()
+
+
 def test_run_and_registration(spark, sf):
-    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in QUERIES}
+    assert {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
     assert corpus_pipeline.run(spark, sf).columns[:3] == ["doc_id", "start", "length"]
 
 
 def test_twins(spark, sf):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, sql in ORACLES.items():
         df = QUERIES[name](spark, sf)
