@@ -2,8 +2,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massloom import fixed
@@ -57,6 +59,67 @@ def certified_rerank(df: DataFrame, query: list[str], base: str, pos: str, weigh
             .withColumn("evaluated", F.coalesce("evaluated", F.lit(False))))
 
 
+def certified_search(df: DataFrame, query: list[str], base: str, pos: str, weight: float, evidence: Callable[[DataFrame], Column],
+                     k: int = fixed.TOP_K, max_evaluations: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Threshold rounds: (the k best rows with lower, evaluated and rank; one certificate per query).
+
+    Candidates stand by descending bound. Round by round the next ones are
+    evaluated, k, then as many again, then twice as many, until the bound of the
+    next candidate is below the k-th score so far, nothing is left, or
+    ``max_evaluations`` of a query are spent. ``evidence`` is applied inside the
+    round, to the rows of queries still open; a round's rows are written once,
+    so a lost executor repeats no other round. Between rounds only the k best
+    rows of a query are kept.
+
+    The certificate: rows, evaluations, missing_evidence (null evidence gives no
+    bonus), certified, pruned (where certified) and largest_open_bound of what
+    was never evaluated. A spent budget certifies only what the bounds prove.
+    """
+    if max_evaluations is not None and (isinstance(max_evaluations, bool) or max_evaluations < 0):
+        raise ValueError("max_evaluations must be a number of evaluations, or None")
+    w = F.lit(float(weight))
+    order = [F.col(base).desc(), F.col(pos)]
+    numbered = durable(df.withColumn("__at", F.row_number().over(W.partitionBy(*query).orderBy(*order))).withColumn("__upper", next_up(F.col(base) + w)))
+    sizes = numbered.groupBy(*query).agg(F.max("__at").alias("rows"))
+    if weight == 0 or k == 0:
+        ranked = numbered.where(F.col("__at") <= k).select(*df.columns, F.col(base).alias("lower"), F.lit(False).alias("evaluated"), F.col("__at").alias("rank"))
+        return ranked, sizes.select(*query, "rows", F.lit(0).cast("bigint").alias("evaluations"), F.lit(0).cast("bigint").alias("missing_evidence"),
+                                    F.lit(True).alias("certified"), F.col("rows").cast("bigint").alias("pruned"), F.lit(None).cast("double").alias("largest_open_bound"))
+    budget = max_evaluations
+    open_queries, low, high = sizes, 0, k if budget is None else min(k, budget)
+    # Rows that stand among the first k count with their base until they are evaluated.
+    best = numbered.where(F.col("__at") <= k).select(*query, pos, "__at", F.col(base).alias("lower"), F.lit(False).alias("evaluated"))
+    closed, counts = [], []
+    while True:
+        fresh = numbered.join(open_queries.select(*query), query).where((F.col("__at") > low) & (F.col("__at") <= high))
+        fresh = durable(fresh.withColumn("__e", evidence(fresh)).withColumn("__none", F.col("__e").isNull())
+                        .withColumn("lower", F.col(base) + w * bounded_evidence("__e"))
+                        .select(*query, pos, "__at", "lower", F.lit(True).alias("evaluated"), "__none"))
+        counts.append(fresh.groupBy(*query).agg(F.count(F.lit(1)).alias("evaluations"), F.count_if("__none").alias("missing_evidence")))
+        mine = best.join(open_queries.select(*query), query)
+        met = mine.where((F.col("__at") <= low) | (F.col("__at") > high)).unionByName(fresh.drop("__none"))
+        best = durable(top_k(met, query, [F.col("lower").desc(), F.col(pos)], k).drop("rank"))
+        cut = best.groupBy(*query).agg(F.min("lower").alias("__cut"))
+        following = numbered.where(F.col("__at") == high + 1).select(*query, "__upper")
+        state = open_queries.join(cut, query).join(following, query, "left")
+        proven = F.col("__upper").isNull() | (F.col("__upper") < F.col("__cut"))
+        spent = F.lit(budget is not None and high >= budget)
+        state = durable(state.select(*query, "rows", F.col("__upper").alias("largest_open_bound"), proven.alias("certified"), (proven | spent).alias("__done")))
+        closed.append((best.join(state.where("__done").select(*query), query), state.where("__done").drop("__done")))
+        open_queries = state.where("not __done").select(*query, "rows")
+        if open_queries.isEmpty():
+            break
+        low, high = high, 2 * high if budget is None else min(2 * high, budget)
+    every = lambda frames: reduce(DataFrame.unionByName, frames)
+    spent = every(counts).groupBy(*query).agg(F.sum("evaluations").alias("evaluations"), F.sum("missing_evidence").alias("missing_evidence"))
+    state = every([c for _, c in closed]).join(spent, query, "left").withColumn("evaluations", F.coalesce("evaluations", F.lit(0)))
+    certificate = state.select(*query, "rows", "evaluations", F.coalesce("missing_evidence", F.lit(0)).alias("missing_evidence"), "certified",
+                               F.when(F.col("certified"), F.col("rows") - F.col("evaluations")).alias("pruned"), "largest_open_bound")
+    found = every([b for b, _ in closed])
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy(*query).orderBy(F.col("lower").desc(), F.col(pos)))).drop("__at")
+    return df.join(ranked, [*query, pos]), certificate
+
+
 def certificate_summary(df: DataFrame, query: list[str]) -> DataFrame:
     """Rows, evaluations and pruned rows per query."""
     done = F.count_if("evaluated")

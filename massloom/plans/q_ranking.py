@@ -132,6 +132,45 @@ def certificate_summary(t):
     return certified.certificate_summary(_certified(t), ["query_id"])
 
 
+def _search_sql(budget: str) -> str:
+    """Certificates of threshold rounds of 3, 6, 12 ... rows: the first size whose next bound is below the third score, or that is all."""
+    return f"""
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, structure_id) AS rn, count(*) OVER (PARTITION BY query_id) AS n,
+                 CASE WHEN NOT external THEN least(sim, 1.0) END AS ev, nextafter(score + 0.05::DOUBLE, 'infinity'::DOUBLE) AS upper FROM vec_scores_v),
+    lv AS (SELECT query_id, n, least(3 * power(2, l)::BIGINT, {budget}) AS s FROM (SELECT DISTINCT query_id, n FROM r), range(0, 20) x(l)
+           WHERE 3 * power(2, l)::BIGINT < 2 * greatest(n, 3) GROUP BY ALL),
+    p AS (SELECT lv.query_id, lv.s, r.structure_id, r.rn, r.upper, r.score + CASE WHEN rn <= lv.s THEN 0.05 * coalesce(r.ev, 0.0) ELSE 0.0 END AS lower FROM lv JOIN r ON r.query_id = lv.query_id),
+    t AS (SELECT *, row_number() OVER (PARTITION BY query_id, s ORDER BY lower DESC, structure_id) AS rank FROM p),
+    c AS (SELECT query_id, s, min(lower) FILTER (rank <= 3) AS cut, max(upper) FILTER (rn = s + 1) AS bound FROM t GROUP BY 1, 2),
+    o AS (SELECT query_id, s, bound, bound IS NULL OR bound < cut AS certified FROM c WHERE bound IS NULL OR bound < cut OR s >= {budget} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s) = 1)"""
+
+
+_CERTIFICATES = """ SELECT r.query_id, max(n)::INTEGER AS rows, count(*) FILTER (rn <= s) AS evaluations, count(*) FILTER (rn <= s AND ev IS NULL) AS missing_evidence, any_value(certified) AS certified,
+        CASE WHEN any_value(certified) THEN count(*) FILTER (rn > s) END AS pruned, max(round(bound, 9)) AS largest_open_bound FROM r JOIN o ON o.query_id = r.query_id GROUP BY 1"""
+
+
+def _search(t, budget=None):
+    return certified.certified_search(t.vec_scores, ["query_id"], "score", "structure_id", _WEIGHT,
+                                      lambda df: F.when(~F.col("external"), F.least(F.col("sim"), F.lit(1.0))), 3, budget)
+
+
+@query("R9_certified_search", f"WITH {_search_sql('1000000000')}" + _CERTIFICATES)
+def certified_search(t):
+    """Certificates of a search in rounds that goes on until every list is proven."""
+    return _search(t)[1].withColumn("largest_open_bound", F.round("largest_open_bound", 9))
+
+
+@query("R9_budgeted_search", f"WITH {_search_sql('5')}" + _CERTIFICATES)
+def budgeted_search(t):
+    """With five evaluations a query, some lists stay unproven and say so."""
+    return _search(t, 5)[1].withColumn("largest_open_bound", F.round("largest_open_bound", 9))
+
+
+@query("R9_budgeted_lists", f"WITH {_search_sql('5')} SELECT t.query_id, t.structure_id, t.rank::INTEGER AS rank, t.rn <= t.s AS evaluated, round(t.lower, 6) AS score FROM t JOIN o ON o.query_id = t.query_id AND o.s = t.s WHERE rank <= 3")
+def budgeted_lists(t):
+    return _search(t, 5)[0].select("query_id", "structure_id", "rank", "evaluated", r6("lower").alias("score"))
+
+
 @query("R10_certificate_verification", """
     WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, structure_id) AS rn,
                       score + 0.05 * CASE WHEN external THEN 0.0 ELSE least(sim, 1.0) END AS final FROM vec_scores_v),

@@ -1,4 +1,5 @@
 """Ranked lists, gates, certificates and metrics."""
+import math
 import random
 
 import pytest
@@ -134,3 +135,61 @@ def test_missing_check_fails_the_gate(spark):
     r = spark.createDataFrame([(1.0, None)], "a double, b double")
     out = {x.check: x.passed for x in metrics.promotion_gate(r, {"a": F.col("a") > 0, "b": F.col("b") > 0}).collect()}
     assert out == {"a": True, "b": False}
+
+
+def sequential(base, evidence, weight, k, budget):
+    """One candidate after the other, in rounds that double: what the bounds prove at each round's end."""
+    n = len(base)
+    order = sorted(range(n), key=lambda i: (-base[i], i))
+    size = min(k, budget)
+    while True:
+        done = set(order[:size])
+        lower = [base[i] + (weight * (evidence[i] or 0.0) if i in done else 0.0) for i in range(n)]
+        top = sorted(range(n), key=lambda i: (-lower[i], i))[:k]
+        bound = math.nextafter(base[order[size]] + weight, math.inf) if size < n else None
+        proven = bound is None or bound < lower[top[-1]]
+        if proven or size >= budget:
+            size = min(size, n)
+            return top, size, sum(evidence[i] is None for i in order[:size]), proven, n - size if proven else None, bound
+        size = min(2 * size, budget)
+
+
+@pytest.mark.parametrize("budget", [None, 0, 1, 3, 7])
+def test_threshold_rounds_prove_what_they_say(spark, budget):
+    r = random.Random(6)
+    cases = {q: [(round(r.choice([r.random(), 0.5]), 3), r.choice([None, 0.0, 1.0, r.random()])) for _ in range(r.choice([1, 2, 5, 40]))] for q in range(25)}
+    cases[99] = [((100 - i) / 1000, 1.0 if i == 70 else 0.0) for i in range(100)]  # the best lies far down
+    df = spark.createDataFrame([(q, i, b, e) for q, rows in cases.items() for i, (b, e) in enumerate(rows)], "q int, i int, base double, e double")
+    ranked, certificate = certified.certified_search(df, ["q"], "base", "i", 0.25, lambda d: F.col("e"), 3, budget)
+    lists, proofs = {}, {x.q: x for x in certificate.collect()}
+    for x in ranked.orderBy("q", "rank").collect():
+        lists.setdefault(x.q, []).append(x.i)
+    for q, rows in cases.items():
+        top, size, none, proven, pruned, bound = sequential([b for b, _ in rows], [e for _, e in rows], 0.25, 3, 10**9 if budget is None else budget)
+        p = proofs[q]
+        assert lists[q] == top
+        assert (p.rows, p.evaluations, p.missing_evidence, p.certified, p.pruned, p.largest_open_bound) == (len(rows), size, none, proven, pruned, bound)
+        if p.certified:  # a proven list is that of full evaluation
+            full = sorted(range(len(rows)), key=lambda i: (-(rows[i][0] + 0.25 * (rows[i][1] or 0.0)), i))[:3]
+            assert lists[q] == full
+
+
+def test_evidence_is_asked_for_in_its_round_only(spark):
+    df = spark.createDataFrame([(1, i, float(-i)) for i in range(50)], "q int, i int, base double")
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def dear(i):
+        asked.add(1)
+        return 0.2
+
+    ranked, certificate = certified.certified_search(df, ["q"], "base", "i", 0.25, lambda d: dear.asNondeterministic()("i"), 2)
+    assert certificate.first().evaluations == 2 and ranked.count() == 2
+    assert asked.value == 2
+
+
+@pytest.mark.parametrize("bad", [1.5, -0.1, float("nan")])
+def test_evidence_outside_its_bound_fails(spark, bad):
+    df = spark.createDataFrame([(1, 0, 1.0, bad)], "q int, i int, base double, e double")
+    with pytest.raises(Exception, match="evidence"):
+        certified.certified_search(df, ["q"], "base", "i", 0.25, lambda d: F.col("e"), 1)
