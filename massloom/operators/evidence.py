@@ -60,22 +60,50 @@ def formula_evidence(peaks: DataFrame, masses: DataFrame, spectrum: list[str], f
     """
     shifts = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(v).alias("d"))
                        for i, v in enumerate((0.0, *fixed.FORMULA_CONTROL_SHIFTS))])
-    t = peaks.withColumn("x", F.explode(shifts)).withColumn("target", F.col("neutral") + F.col("x.d")) \
-        .withColumn("s", F.col("x.s")).drop("x")
+    t = peaks.withColumn("__x", F.explode(shifts)).withColumn("__target", F.col("neutral") + F.col("__x.d")) \
+        .withColumn("__s", F.col("__x.s")).drop("__x")
     ids = [*spectrum, *formula]
-    probe = t.filter(F.col("target") > 0).withColumn("__lo", F.col("target") - F.col("tol")) \
-        .withColumn("__hi", F.col("target") + F.col("tol"))
+    probe = t.filter(F.col("__target") > 0).withColumn("__lo", F.col("__target") - F.col("tol")) \
+        .withColumn("__hi", F.col("__target") + F.col("tol"))
     hit = range_join(probe, masses.withColumnRenamed("mass", "__mass"), "__lo", "__hi", "__mass", width, formula) \
-        .select(*ids, "s", "target", "weight").distinct()
-    share = hit.groupBy(*ids, "s").agg(F.sum("weight").alias("share"))
+        .select(*ids, "__s", "__target", "weight").distinct()
+    share = hit.groupBy(*ids, "__s").agg(F.sum("weight").alias("share"))
     base = peaks.select(*ids).distinct()
     per = share.groupBy(*ids).agg(
-        F.sum(F.when(F.col("s") == 0, F.col("share")).otherwise(0.0)).alias("explained"),
-        (F.sum(F.when(F.col("s") > 0, F.col("share")).otherwise(0.0)) / len(fixed.FORMULA_CONTROL_SHIFTS)).alias("chance"))
+        F.sum(F.when(F.col("__s") == 0, F.col("share")).otherwise(0.0)).alias("explained"),
+        (F.sum(F.when(F.col("__s") > 0, F.col("share")).otherwise(0.0)) / len(fixed.FORMULA_CONTROL_SHIFTS)).alias("chance"))
     return base.join(per, ids, "left").fillna(0.0, ["explained", "chance"]).withColumn(
         "excess", F.least(F.greatest(F.col("explained") - F.col("chance"), F.lit(0.0)), F.lit(1.0)))
 
 
+def group_formula_evidence(peaks: DataFrame, groups: DataFrame, formulas: DataFrame, group: str, spectrum: str, key: str, composition: str,
+                           max_states: float = 2e6, width: float = 1.0) -> DataFrame:
+    """Evidence for one formula per group, over all the group's spectra, whatever its outcome.
+
+    ``groups`` names every spectrum of a group with the group's formula (group,
+    spectrum, key), ``peaks`` the usable peaks (spectrum, neutral, tol, weight),
+    ``formulas`` the compositions. A group without a usable spectrum is
+    ``no_supported_spectra`` before its formula is looked at; then comes
+    ``formula_budget_exceeded``. Else explained and chance are means over the
+    supported spectra and the excess is that of the means.
+    """
+    known = formulas.select(key, composition).dropDuplicates([key]).withColumn("__fits", states(composition) <= max_states)
+    masses = subformula_masses(known.where("__fits"), key, composition, max_states)
+    size = masses.groupBy(key).agg(F.count(F.lit(1)).alias("subformula_states"))
+    usable = peaks.select(spectrum).distinct().withColumn("__usable", F.lit(True))
+    spectra = groups.select(group, spectrum, key).distinct().join(usable, spectrum, "left").join(known.select(key, "__fits"), key)
+    total = spectra.groupBy(group, key).agg(F.count(F.lit(1)).alias("total_spectra"), F.count("__usable").alias("supported_spectra"), F.first("__fits").alias("__fits"))
+    tested = peaks.join(spectra.where("__fits and __usable").select(group, spectrum, key), spectrum)
+    per = formula_evidence(tested, masses, [group, spectrum], [key], width).groupBy(group, key).agg(
+        F.avg("explained").alias("explained"), F.avg("chance").alias("chance"))
+    status = F.when(F.col("supported_spectra") == 0, "no_supported_spectra").when(~F.col("__fits"), "formula_budget_exceeded").otherwise("scored")
+    scored = F.col("status") == "scored"
+    return (total.join(per, [group, key], "left").join(size, key, "left").withColumn("status", status)
+            .select(group, key, "status", F.when(scored, F.col("supported_spectra")).otherwise(F.lit(0)).alias("supported_spectra"), "total_spectra",
+                    F.when(scored, F.col("subformula_states")).otherwise(F.lit(0)).alias("subformula_states"), "explained", "chance",
+                    F.when(scored, F.least(F.greatest(F.col("explained") - F.col("chance"), F.lit(0.0)), F.lit(1.0))).alias("excess")))
+
+
 def fragment_hypotheses(fragments: DataFrame, key: list[str], hydrogen_shift: int = 1) -> DataFrame:
     """(key, hyp_mass, hyp_value, cuts): fragment masses under bounded hydrogen transfer.
 

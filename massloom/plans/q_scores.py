@@ -171,8 +171,14 @@ def _forward_pairs(t):
     s = t.spectra.filter(F.col("adduct").isin(*fixed.FORWARD_ADDUCTS))
     q = t.queries.select(F.col("query_id").alias("spectrum_id"), F.col("truth_id").alias("structure_id"))
     obs = q.join(s, "spectrum_id").join(t.peak_lists, "spectrum_id")
-    return obs.join(predicted(t), ["structure_id", "adduct"]).withColumn(
-        "energies", F.when(F.col("instrument") == "P", F.array().cast("array<double>")).otherwise(F.array(F.col("energy").cast("double"))))
+    return obs.join(predicted(t), ["structure_id", "adduct"]).withColumn("energies", _energies())
+
+
+def _energies():
+    """None for one instrument; beside the energy, values that count for nothing for another."""
+    e = F.col("energy").cast("double")
+    odd = F.array(F.lit(-5.0), e, F.lit(float("nan")), F.lit(None).cast("double"))
+    return F.when(F.col("instrument") == "P", F.array().cast("array<double>")).when(F.col("instrument") == "F", odd).otherwise(F.array(e))
 
 
 @query("F14_forward_comparison", f"""
@@ -226,6 +232,20 @@ def nearest_only_cosine(t):
     return _forward_pairs(t).select(F.col("spectrum_id").alias("query_id"), r6(near).alias("cosine_nearest"))
 
 
+@query("F16_pooled_acquisitions", _GRID + """,
+    q AS (SELECT q.truth_id, q.query_id FROM queries_v q JOIN spectra_v s ON s.spectrum_id = q.query_id JOIN peak_lists_v p ON p.spectrum_id = q.query_id)
+    SELECT q.truth_id AS structure_id, count(near.query_id) AS supported_spectra, count(*) AS total_spectra,
+           round(avg(CASE WHEN near.query_id IS NOT NULL THEN least(near.s.c, 1) END), 6) AS cosine_nearest, round(avg(CASE WHEN near.query_id IS NOT NULL THEN least(near.s.e, 1) END), 6) AS entropy_nearest, round(avg(CASE WHEN near.query_id IS NOT NULL THEN least(near.s.v, 1) END), 6) AS coverage_nearest,
+           round(avg(top.c), 6) AS cosine_max, round(avg(top.e), 6) AS entropy_max, round(avg(top.v), 6) AS coverage_max
+    FROM q LEFT JOIN near ON near.query_id = q.query_id LEFT JOIN top ON top.query_id = q.query_id GROUP BY 1""")
+def pooled_acquisitions(t):
+    """A structure's evidence: means over its supported acquisitions, with both counts."""
+    q = t.queries.select(F.col("query_id").alias("spectrum_id"), F.col("truth_id").alias("structure_id"))
+    acquisitions = q.join(t.spectra, "spectrum_id").join(t.peak_lists, "spectrum_id").withColumn("energies", _energies())
+    pooled = sim.pool_acquisitions(acquisitions, predicted(t), ["structure_id"], "peaks", "precursor_mz", "adduct", "energies", "grid", 20.0, 20.0)
+    return pooled.select("structure_id", "supported_spectra", "total_spectra", *[r6(c).alias(c) for c in pooled.columns[3:]])
+
+
 @query("F18_forward_bonus", "SELECT query_id, structure_id, round(score + 0.5 * CASE WHEN external THEN 0.0 ELSE least(sim, 1.0) END, 7) AS final FROM vec_scores_v")
 def forward_bonus(t):
     e = F.when(~F.col("external"), F.least(F.col("sim"), F.lit(1.0)))
@@ -306,6 +326,33 @@ def formula_evidence(t):
         "query_id", "formula", status.alias("status"), r6("explained").alias("explained"), r6("chance").alias("chance"), r6("excess").alias("excess"))
 
 
+@query("F20_molecule_evidence", f"""
+    WITH {_FORMULA}, {_FPEAKS.replace('TOL', '0.2')},
+    fm AS (SELECT p_partkey, concat('C', c, 'H', h, 'N', n, 'O', o) AS formula, (c + 1)::BIGINT * (h + 1) * (n + 1) * (o + 1) <= 2000000 AS within FROM (
+        SELECT p_partkey, CASE WHEN p_partkey % 97 = 0 THEN 300 ELSE p_size % 7 + 2 END AS c, CASE WHEN p_partkey % 97 = 0 THEN 600 ELSE 2 * (p_size % 7) + 4 END AS h,
+               CASE WHEN p_partkey % 97 = 0 THEN 5 ELSE p_partkey % 3 END AS n, CASE WHEN p_partkey % 97 = 0 THEN 5 ELSE p_size % 3 + 1 END AS o FROM part)),
+    g AS (SELECT q.truth_id, any_value(formula) AS formula, any_value(within) AS within, count(*) AS total, count(*) FILTER (q.query_id IN (SELECT query_id FROM fw)) AS supported
+          FROM queries_v q JOIN spectra_v s ON s.spectrum_id = q.query_id JOIN fm ON fm.p_partkey = q.truth_id GROUP BY 1),
+    ok AS (SELECT g.truth_id, g.formula, w.neutral, w.tol, w.weight, w.query_id FROM fw w JOIN g ON g.truth_id = w.truth_id WHERE g.within),
+    sh AS (SELECT ok.*, x.d, ok.neutral + x.d AS target FROM ok, (VALUES (0.0::DOUBLE), (-0.2345678::DOUBLE), (0.1234567::DOUBLE), (0.3456789::DOUBLE)) x(d)),
+    ms AS (SELECT sh.truth_id, sh.d, sum(sh.weight) AS share FROM sh WHERE target > 0 AND EXISTS (SELECT 1 FROM sm WHERE sm.formula = sh.formula AND sm.mass BETWEEN sh.target - sh.tol AND sh.target + sh.tol) GROUP BY 1, 2),
+    a AS (SELECT truth_id, sum(share) FILTER (d = 0) AS e, sum(share) FILTER (d <> 0) / 3 AS c FROM ms GROUP BY 1),
+    n AS (SELECT formula, count(*) AS n FROM sm GROUP BY 1),
+    r AS (SELECT g.*, CASE WHEN supported = 0 THEN 'no_supported_spectra' WHEN NOT within THEN 'formula_budget_exceeded' ELSE 'scored' END AS status,
+                 coalesce(e, 0) / supported AS explained, coalesce(c, 0) / supported AS chance, n.n AS states FROM g LEFT JOIN a ON a.truth_id = g.truth_id LEFT JOIN n ON n.formula = g.formula)
+    SELECT truth_id AS structure_id, formula, status, CASE WHEN status = 'scored' THEN supported ELSE 0 END AS supported_spectra, total AS total_spectra,
+           CASE WHEN status = 'scored' THEN states ELSE 0 END AS subformula_states, CASE WHEN status = 'scored' THEN round(explained, 6) END AS explained,
+           CASE WHEN status = 'scored' THEN round(chance, 6) END AS chance, CASE WHEN status = 'scored' THEN round(least(greatest(explained - chance, 0), 1), 6) END AS excess FROM r""")
+def molecule_evidence(t):
+    """One row per structure that has spectra: evidence for its formula over all of them."""
+    f = _formulas(t)
+    spectra = t.queries.select("query_id", F.col("truth_id").alias("structure_id")).join(t.spectra.select(F.col("spectrum_id").alias("query_id")), "query_id")
+    groups = spectra.join(f.select("structure_id", "formula"), "structure_id")
+    peaks = _query_peaks(t, 0.2).drop("structure_id")
+    made = evidence.group_formula_evidence(peaks, groups, f, "structure_id", "query_id", "formula", "atoms", MAX_STATES)
+    return made.select("structure_id", "formula", "status", "supported_spectra", "total_spectra", "subformula_states", *[r6(c).alias(c) for c in ("explained", "chance", "excess")])
+
+
 # Fragments: the lineitems of a part, with a cut count and hydrogen inventories.
 _FRAG = """
     fr AS (SELECT l_partkey AS structure_id, l_extendedprice / 100 AS mass, l_linenumber % 2 + 1 AS cuts, l_quantity::INTEGER % 5 AS fh, l_quantity::INTEGER % 5 + l_linenumber % 2 AS ph FROM lineitem),
