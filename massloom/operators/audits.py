@@ -172,15 +172,18 @@ def trailing_budget(events: DataFrame, key: list[str], micros: str, tie: str, ho
 
 def reconcile(journal: DataFrame, history: DataFrame, on: str, attempted: str, happened: str, ref: str, hist_ref: str,
               before_s: int = 60, after_s: int = 900) -> DataFrame:
-    """(entry_id, matches, hist_ref, ambiguous): the retained reference, else the same text within the time window.
+    """(entry_id, matches, hist_ref, ambiguous, changed): the retained reference, else the same text within the time window.
 
-    More than one match is ambiguous, has no reference, and the caller fails on
-    it. Within cells of time, matches are counted and summed as differences of
+    More than one match is ambiguous and has no reference; a retained reference
+    that stands beside another text is changed. ``require_reconciled`` fails on
+    either. Within cells of time, matches are counted and summed as differences of
     running totals, so a busy text never pairs every entry with every row.
     """
+    same = F.col("__text").eqNullSafe(F.col(on))
     exact = journal.filter(F.col(ref).isNotNull()).join(
-        history.select(F.col(hist_ref).alias(ref), F.col(hist_ref), on), [ref, on], "left") \
-        .groupBy("entry_id").agg(F.count(hist_ref).alias("matches"), F.min(hist_ref).alias("__one"))
+        history.select(F.col(hist_ref).alias(ref), F.col(hist_ref), F.col(on).alias("__text")), ref, "left") \
+        .groupBy("entry_id").agg(F.count(F.when(same, F.col(hist_ref))).alias("matches"), F.min(F.when(same, F.col(hist_ref))).alias("__one"),
+                                 F.coalesce(F.bool_or(F.col(hist_ref).isNotNull() & ~same), F.lit(False)).alias("changed"))
     before, after = before_s * 1_000_000, after_s * 1_000_000
     width = before + after
     at = lambda c: F.floor(c / width)
@@ -194,6 +197,54 @@ def reconcile(journal: DataFrame, history: DataFrame, on: str, attempted: str, h
     n = F.count("__ref").over(late) - F.count("__ref").over(early)
     total = F.coalesce(F.sum("__ref").over(late), F.lit(0)) - F.coalesce(F.sum("__ref").over(early), F.lit(0))
     timed = entries.unionByName(rows).withColumn("matches", n).withColumn("__one", total) \
-        .filter(F.col("entry_id").isNotNull()).select("entry_id", "matches", "__one")
+        .filter(F.col("entry_id").isNotNull()).select("entry_id", "matches", "__one", F.lit(False).alias("changed"))
     return exact.unionByName(timed).select(
-        "entry_id", "matches", F.when(F.col("matches") == 1, F.col("__one")).alias(hist_ref), (F.col("matches") > 1).alias("ambiguous"))
+        "entry_id", "matches", F.when(F.col("matches") == 1, F.col("__one")).alias(hist_ref), (F.col("matches") > 1).alias("ambiguous"), "changed")
+
+
+def require_reconciled(made: DataFrame) -> DataFrame:
+    """The rows of ``reconcile``; an ambiguous entry, or one whose kept reference changed its text, fails the job."""
+    bad = F.when(F.col("changed"), F.concat(F.lit("a kept reference changed its text: entry "), F.col("entry_id").cast("string"))).when(
+        F.col("ambiguous"), F.concat(F.lit("more than one match: entry "), F.col("entry_id").cast("string")))
+    return made.where(F.when(bad.isNull(), True).otherwise(F.raise_error(bad).cast("boolean")))
+
+
+def require_disjoint(queries: DataFrame, references: DataFrame, keys: list[str]) -> DataFrame:
+    """``queries`` as they are; the job fails where a value of one of ``keys`` stands on both sides.
+
+    Values meet in joins on themselves, so nothing is gathered; nulls don't count.
+    """
+    out = queries
+    for k in keys:
+        both = references.select(F.col(k).alias("__k")).where("__k is not null").distinct().withColumn("__seen", F.lit(True))
+        out = out.join(both, out[k] == F.col("__k"), "left").where(
+            F.when(F.col("__seen").isNull(), True).otherwise(F.raise_error(F.concat(F.lit(f"{k} of a query is among the references: "), F.col("__k").cast("string"))).cast("boolean"))) \
+            .drop("__k", "__seen")
+    return out
+
+
+def budget_decision(events: DataFrame, limits: DataFrame, key: str, micros: str, ref: str, terminal: str, remaining: str, now: int,
+                    hours: int = 24, cap: int = 2, ahead_s: int = 300) -> DataFrame:
+    """(key, attempts, remaining, pending, may_submit, next_window): what a key may do at one instant.
+
+    ``attempts`` lie in (now - hours, now]; ``pending`` counts events without an
+    outcome, of any age. A key may act below ``cap`` attempts, with nothing
+    pending and an allowance left; ``next_window`` is when the cap next has room.
+    Events more than ``ahead_s`` seconds in the future, repeated references and
+    negative allowances fail the job. Keys without events have their allowance.
+    """
+    from massloom.operators.ranking import top_k
+
+    fail = lambda bad, text: F.when(bad, F.raise_error(F.lit(text)).cast("boolean")).otherwise(True)
+    span = hours * 3_600_000_000
+    known = events.where(fail(F.col(micros) > now + ahead_s * 1_000_000, "an event lies in the future"))
+    unique = known.groupBy(key, ref).agg(F.max(micros).alias(micros), F.bool_and(F.coalesce(terminal, F.lit(False))).alias("__over"), F.count(F.lit(1)).alias("__n"))
+    unique = unique.where(fail(F.col("__n") > 1, "a reference is repeated"))
+    recent = F.col(micros) > now - span
+    counts = unique.groupBy(key).agg(F.count_if(recent).alias("attempts"), F.count_if(~F.col("__over")).alias("pending"))
+    last = top_k(unique.where(recent).select(key, ref, micros), [key], [F.col(micros).desc(), F.col(ref).desc()], cap)
+    free = last.groupBy(key).agg(F.min(micros).alias("__at"), F.count(F.lit(1)).alias("__k"))
+    allowed = limits.where(fail(F.col(remaining) < 0, "a negative allowance")).select(key, F.coalesce(remaining, F.lit(0)).alias("remaining"))
+    d = allowed.join(counts, key, "left").join(free, key, "left").fillna(0, ["attempts", "pending", "__k"])
+    return d.select(key, "attempts", "remaining", "pending", ((F.col("attempts") < cap) & (F.col("pending") == 0) & (F.col("remaining") >= 1)).alias("may_submit"),
+                    F.when(F.col("__k") >= cap, F.col("__at") + span).otherwise(F.lit(now)).alias("next_window"))

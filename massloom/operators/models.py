@@ -5,7 +5,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import predict_batch_udf
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,12 +49,10 @@ def two_layer(w1: np.ndarray, b1: np.ndarray, w2: np.ndarray, b2: np.ndarray, ba
 
 
 def mean_array(df: DataFrame, by: list[str], column: str, weight: str | None = None) -> DataFrame:
-    """Element-wise (weighted) mean of an array column: one partially aggregated row per (group, position)."""
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    parts = df.select(*by, w.alias("__w"), F.posexplode(column).alias("i", "v")).groupBy(*by, "i").agg(
-        (F.sum(F.col("v") * F.col("__w")) / F.sum("__w")).alias("v"))
-    items = F.array_sort(F.collect_list(F.struct("i", "v")))
-    return parts.groupBy(*by).agg(F.transform(items, lambda x: x["v"]).alias(column))
+    """Element-wise (weighted) mean of an array column: vectors are summed where they lie, one partial row per group and task is exchanged."""
+    vector = array_to_vector(F.col(column))
+    mean = Summarizer.mean(vector, F.col(weight).cast("double")) if weight else Summarizer.mean(vector)
+    return df.groupBy(*by).agg(vector_to_array(mean).alias(column))
 
 
 def early_fusion(df: DataFrame, by: list[str], features: str, model: Callable[..., Column]) -> DataFrame:
@@ -67,14 +66,18 @@ def late_fusion(df: DataFrame, by: list[str], features: str, model: Callable[...
     return mean_array(p.select(*by, "p"), by, "p").withColumn("logits", F.transform("p", lambda v: logit(v)))
 
 
-def training_examples(features: DataFrame, spectra: DataFrame, key: str, neutral: str, n_keys: int,
+def training_examples(features: Callable[[DataFrame], DataFrame], spectra: DataFrame, key: str, neutral: str, n_keys: int,
                       spectrum: str = "spectrum_id") -> tuple[DataFrame, DataFrame]:
-    """Sampled keys (lowest digests) with mean features, and their counts and mean observed mass."""
+    """Sampled keys (lowest digests) with mean features, and their counts and mean observed mass.
+
+    ``features`` makes the feature rows of the spectra it is given, which are
+    those of the sampled keys only.
+    """
     from massloom.operators.features import corpus_totals
 
     picked = spectra.select(key).distinct().orderBy(salted(fixed.SALT_SAMPLE, key)).limit(n_keys)
     chosen = spectra.join(picked, key, "left_semi")
-    return corpus_totals(features, chosen, key, neutral, spectrum)
+    return corpus_totals(features(chosen.select(spectrum)), chosen, key, neutral, spectrum)
 
 
 def enrich_distinct(df: DataFrame, column: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -48,8 +48,12 @@ _BINS = """
                  mom / sqrt(sum(raw * raw) OVER (PARTITION BY spectrum_id, channel)) AS moment FROM b)"""
 
 
-def _hist(t):
-    s = t.spectra.select("spectrum_id", "precursor_mz").join(t.raw_lists, "spectrum_id")
+def _hist(t, only=None):
+    """Features of all spectra, or of those that ``only`` names: the others leave before any peak is binned."""
+    s, lists = t.spectra.select("spectrum_id", "precursor_mz"), t.raw_lists
+    if only is not None:
+        s, lists = s.join(only, "spectrum_id", "left_semi"), lists.join(only, "spectrum_id", "left_semi")
+    s = s.join(lists, "spectrum_id")
     return features.histogram(s, ["spectrum_id"])
 
 

@@ -233,7 +233,8 @@ def hard_negatives(t):
     m AS (SELECT j.entry_id, count(h.hist_ref) AS matches, min(h.hist_ref) AS hist_ref FROM j LEFT JOIN h
           ON h.note = j.note AND (h.hist_ref = j.ref OR (j.ref IS NULL AND h.happened - j.attempted BETWEEN -60000000 AND 900000000))
           GROUP BY j.entry_id)
-    SELECT entry_id, matches, CASE WHEN matches = 1 THEN hist_ref END AS hist_ref, matches > 1 AS ambiguous FROM m""")
+    SELECT m.entry_id, matches, CASE WHEN matches = 1 THEN m.hist_ref END AS hist_ref, matches > 1 AS ambiguous,
+           EXISTS (SELECT 1 FROM j JOIN h ON h.hist_ref = j.ref WHERE j.entry_id = m.entry_id AND h.note <> j.note) AS changed FROM m""")
 def journal_reconcile(t):
     from massloom.functions.text import epoch_micros
 
@@ -244,7 +245,7 @@ def journal_reconcile(t):
                                                F.when(F.col("k") >= 80, F.col("event_id") + 1).alias("ref"))
     h = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("hist_ref"), "note", F.col("us").alias("happened"))
     return audits.reconcile(j, h, "note", "attempted", "happened", "ref", "hist_ref").select(
-        "entry_id", "matches", "hist_ref", "ambiguous")
+        "entry_id", "matches", "hist_ref", "ambiguous", "changed")
 
 
 @query("J17_paired_rankings", """

@@ -75,7 +75,7 @@ def condition_weighted_mean(t):
 def training_examples(t):
     """Keys are sampled by digest before any spectrum is touched; the sample is the operator."""
     s = t.neutral.filter(F.col("neutral").isNotNull()).join(t.queries.select(F.col("query_id").alias("spectrum_id"), "truth_key"), "spectrum_id")
-    mean, stats = models.training_examples(_hist(t), s, "truth_key", "neutral", 300)
+    mean, stats = models.training_examples(lambda ids: _hist(t, ids), s, "truth_key", "neutral", 300)
     bins = mean.groupBy("truth_key").agg(F.count(F.lit(1)).alias("bins"))
     return stats.join(bins, "truth_key", "left").select(
         "truth_key", F.col("count").alias("spectra"), r6("observed").alias("observed"), F.coalesce("bins", F.lit(0)).alias("bins"))
@@ -92,7 +92,7 @@ def view_selection(t):
 
     s = signed(t).groupBy("molecule_id", "signature").agg(F.min("spectrum_id").alias("spectrum_id"))
     views = lowest_hash(s, ["molecule_id"], "signature", 3)
-    o = _hist(t).groupBy("spectrum_id").agg(F.count(F.lit(1)).alias("bins"), F.sum("value").alias("total"))
+    o = _hist(t, views.select("spectrum_id")).groupBy("spectrum_id").agg(F.count(F.lit(1)).alias("bins"), F.sum("value").alias("total"))
     return views.join(o, "spectrum_id", "left").select(
         "molecule_id", "spectrum_id", "rank", F.coalesce("bins", F.lit(0)).alias("bins"), r6(F.coalesce("total", F.lit(0.0))).alias("total"))
 

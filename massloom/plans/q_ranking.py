@@ -333,6 +333,23 @@ def trailing_budget(t):
     return audits.trailing_budget(e, ["user_id"], "us", "event_id").select("event_id", "recent", "allowed", "next_free")
 
 
+@query("R23_budget_decision", """
+    WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS us FROM events), n AS (SELECT max(us) AS now FROM e),
+    c AS (SELECT user_id, count(*) FILTER (us > now - 86400000000) AS attempts, count(*) FILTER (event_type = 'error' AND us > now - 7 * 86400000000) AS pending, any_value(now) AS now FROM e, n GROUP BY 1),
+    l AS (SELECT user_id, us, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS rn FROM e, n WHERE us > now - 86400000000)
+    SELECT c.user_id, attempts, (c.user_id % 3)::BIGINT AS remaining, pending, attempts < 2 AND pending = 0 AND c.user_id % 3 >= 1 AS may_submit,
+           coalesce(l.us + 86400000000, now) AS next_window FROM c LEFT JOIN l ON l.user_id = c.user_id AND l.rn = 2""")
+def budget_decision(t):
+    """What every user may do at the last instant of the table: errors of the last week have no outcome yet."""
+    from massloom.functions.text import epoch_micros
+
+    e = t.table("events").select("event_id", "user_id", "event_type", epoch_micros("ts").alias("us"))
+    now = e.agg(F.max("us")).first()[0]
+    e = e.withColumn("over", (F.col("event_type") != "error") | (F.col("us") <= now - 7 * 86_400_000_000))
+    limits = e.select("user_id").distinct().withColumn("left", F.col("user_id") % 3)
+    return audits.budget_decision(e, limits, "user_id", "us", "event_id", "over", "left", now)
+
+
 @query("R24_mass_only_rank", "SELECT query_id, rank::INTEGER AS rank FROM mass_ranks_v")
 def mass_only_rank(t):
     return mass_search_ranks(t).select("query_id", "rank")

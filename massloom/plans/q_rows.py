@@ -209,7 +209,7 @@ def strata_flags(t):
     SELECT (SELECT count(*) FROM q WHERE h IN (SELECT h FROM r)) AS shared_content,
            (SELECT count(*) FROM (SELECT DISTINCT item_id FROM benchmark) b WHERE b.item_id IN (SELECT doc_id FROM documents)) AS shared_ids""")
 def overlap_guard(t):
-    """Counts of overlapping content digests and ids; a caller refuses to run on anything but zero."""
+    """Counts of overlapping content digests and ids."""
     q, r = t.table("benchmark"), t.table("documents")
     shared = q.select(F.sha2("text", 256).alias("h")).intersect(r.select(F.sha2("text", 256).alias("h")))
     ids = q.select(F.col("item_id").alias("id")).intersect(r.select(F.col("doc_id").alias("id")))
@@ -217,6 +217,18 @@ def overlap_guard(t):
         "shared_content", ids.agg(F.count(F.lit(1))).scalar().alias("shared_ids"))
 
 
+@query("P15_overlap_refused", """
+    SELECT item_id, length(text)::INTEGER AS chars FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM documents) OR sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL)""")
+def overlap_refused(t):
+    """Queries pass where no content is among the references; overlapping references are taken out first, or the job would fail."""
+    q = t.table("benchmark").select("item_id", "text", F.sha2("text", 256).alias("digest"))
+    r = t.table("documents").select(F.col("doc_id").alias("item_id"), F.sha2("text", 256).alias("digest"))
+    seen = q.join(r, ["item_id", "digest"], "left_semi").select("item_id", "digest")
+    fresh = q.join(seen, ["item_id", "digest"], "left_anti")
+    others = r.join(fresh.select("digest"), "digest", "left_anti")
+    return audits.require_disjoint(fresh, others, ["digest"]).select("item_id", F.char_length("text").alias("chars"))
+
+
 @query("P16_blank_group_rejection", """
     SELECT conv_id, count(*) AS spectra FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1""")
 def blank_group_rejection(t):

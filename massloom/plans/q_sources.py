@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from massloom.functions import peaks as pk
 from massloom.functions.numeric import r6
-from massloom.operators import ranges
+from massloom.operators import ordering, ranges, ranking
 from massloom.plans.flagship import mass_search_ranks, ranked_by_mass
 from massloom.registry import query
 from massloom.session import shared_dir
@@ -187,6 +187,23 @@ def ranked_list_sink(t):
     return t.spark.read.option("header", True).schema("obs string, guesses string").csv(path)
 
 
+@query("S11_template_order", """
+    WITH r AS (SELECT query_id, structure_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, structure_id) AS rank FROM vec_scores_v),
+    g AS (SELECT query_id, string_agg(structure_id::VARCHAR, ';' ORDER BY rank) AS guesses FROM r WHERE rank <= 3 GROUP BY 1),
+    ids AS (SELECT vec_id AS id FROM embeddings UNION SELECT query_id FROM g)
+    SELECT ids.id::VARCHAR AS id, row_number() OVER (ORDER BY ids.id DESC) - 1 AS row, g.guesses FROM ids LEFT JOIN g ON g.query_id = ids.id""")
+def template_order(t):
+    """One line for every id of a template, in its order; ids without a list have an empty one."""
+    path = shared_dir(t.spark, "ranked")
+    lists = ranking.top_k(t.vec_scores, ["query_id"], [F.col("score").desc(), F.col("structure_id")], 3).select(
+        F.col("query_id").cast("string").alias("id"), "rank", F.col("structure_id").cast("string").alias("guess"))
+    ids = t.table("embeddings").select(F.col("vec_id").alias("id")).union(t.vec_scores.select("query_id")).distinct()
+    order = ordering.global_rank(ids, [F.col("id").desc()], "row").select(F.col("id").cast("string").alias("id"), "row")
+    sinks.write_ranked_lists(lists, "id", "guess", path, order)
+    back = t.spark.read.option("header", True).schema("id string, guesses string").csv(path)
+    return readers.read_template(t.spark, path, "id", "guesses").join(back, "id").select("id", "row", "guesses")
+
+
 @query("S12_report_sink", "SELECT s.adduct, count(*) AS queries, count(*) FILTER (m.rank > 0) AS hits FROM mass_ranks_v m JOIN spectra_v s ON s.spectrum_id = m.query_id GROUP BY 1")
 def report_sink(t):
     path = shared_dir(t.spark, "report")
