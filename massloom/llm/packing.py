@@ -39,7 +39,7 @@ def _plain(core: str) -> bool:
 
 
 class WordTokenizer:
-    """Ids of texts as little-endian unsigned 32-bit numbers, through bounded memories of words and of their letters.
+    """Ids of texts as little-endian unsigned 32-bit numbers, through a bounded memory of words.
 
     The tokenizer drops white space and never joins what it separates, so the
     ids of a text are those of its words. New words are handed over in batches;
@@ -62,7 +62,6 @@ class WordTokenizer:
             self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
         self.plain = bool(suffix) and self._splits_marks()
         self.memo = Memo(lambda w: self._ids([w])[0] if w else b"", MEMO, MEMO_CHARS)
-        self.letters = Memo(lambda w: self._ids([w])[0], MEMO, MEMO_CHARS)
         self.marks = Memo(lambda w: self._ids([w])[0] if w else b"", 1000, 8)
 
     def _splits_marks(self) -> bool:
@@ -91,7 +90,7 @@ class WordTokenizer:
                 made = [raw[a:b] for a, b in zip(cut, cut[1:])]
             else:  # some piece is not what it seems
                 made = self._ids(part)
-            self.letters.keep_all(zip(part, made))
+            self.memo.keep_all(zip(part, made))
 
     def _learn(self, new: list[str]) -> None:
         odd = new
@@ -101,12 +100,12 @@ class WordTokenizer:
                 core = w.rstrip(MARKS)
                 if _plain(core):
                     words.append(w)
-                    cores.append(core.lower())
+                    cores.append(core if core.islower() else core.lower())  # a word of its own, in the same memory
                 else:
                     odd.append(w)
-            self._letters_of([c for c in set(cores) if c not in self.letters and c not in self.letters.old])
-            ids = map(self.letters.__getitem__, cores)
-            self.memo.keep_all([(w, x + self.marks[w[len(c):]] if len(c) < len(w) else x) for w, c, x in zip(words, cores, ids)])
+            self._letters_of([c for c in set(cores) if c not in self.memo and c not in self.memo.old])
+            found = [(w, c, self.memo[c]) for w, c in zip(words, cores) if w is not c]
+            self.memo.keep_all([(w, x + self.marks[w[len(c):]] if len(c) < len(w) else x) for w, c, x in found])
         for at in range(0, len(odd), 20_000):
             part = odd[at:at + 20_000]
             self.memo.keep_all(zip(part, self._ids(part)))
