@@ -149,3 +149,33 @@ def test_prediction_audit_rows(spark):
     r = {x.id: x for x in audits.prediction_rows(d, "id", "g").collect()}
     assert (r["1"].tokens, r["1"].empty_tokens, r["1"].repeated_tokens, r["1"].non_ascii) == (4, 1, 1, 1)
     assert r["2"].empty_cell and r["3"].too_many and r["3"].repeated_tokens == 0
+
+
+def test_reconciling_tells_changed_references(spark):
+    j = spark.createDataFrame([(1, "a", 0, 10), (2, "a", 0, 11), (3, "a", 0, 99), (4, "b", 0, None), (5, None, 0, 12)], "entry_id long, note string, t long, ref long")
+    h = spark.createDataFrame([(10, "a", 5), (11, "other", 5), (12, None, 5), (13, "b", 1_000_000)], "hist_ref long, note string, u long")
+    made = audits.reconcile(j, h, "note", "t", "u", "ref", "hist_ref")
+    got = {r.entry_id: (r.matches, r.hist_ref, r.changed) for r in made.collect()}
+    assert got == {1: (1, 10, False), 2: (0, None, True), 3: (0, None, False), 4: (1, 13, False), 5: (1, 12, False)}
+    assert audits.require_reconciled(made.where("entry_id <> 2")).count() == 4
+    with pytest.raises(Exception, match="changed its text: entry 2"):
+        audits.require_reconciled(made).collect()
+
+
+def test_overlaps_are_refused(spark):
+    q = spark.createDataFrame([(1, "x"), (2, None)], "id int, d string")
+    assert audits.require_disjoint(q, spark.createDataFrame([(3, "y"), (4, None)], "id int, d string"), ["id", "d"]).count() == 2
+    with pytest.raises(Exception, match="d of a query is among the references: x"):
+        audits.require_disjoint(q, spark.createDataFrame([(9, "x"), (9, "x")], "id int, d string"), ["id", "d"]).collect()
+
+
+def test_budget_decisions(spark):
+    day, now = 86_400_000_000, 10 * 86_400_000_000
+    events = [("a", 1, now, True), ("a", 2, now - day + 1, True), ("a", 3, now - day, True), ("b", 1, now - 5, False), ("c", 1, now - 3 * day, None), ("d", 1, now - 1, True)]
+    limits = [("a", 5), ("b", 5), ("c", 5), ("d", 0), ("e", 1), ("f", None)]
+    ask = lambda e, lim: audits.budget_decision(spark.createDataFrame(e, "k string, ref int, us long, over boolean"), spark.createDataFrame(lim, "k string, n int"), "k", "us", "ref", "over", "n", now)
+    got = {r.k: (r.attempts, r.pending, r.may_submit, r.next_window) for r in ask(events, limits).collect()}
+    assert got == {"a": (2, 0, False, now + 1), "b": (1, 1, False, now), "c": (0, 1, False, now), "d": (1, 0, False, now), "e": (0, 0, True, now), "f": (0, 0, False, now)}
+    for bad, lim in (([("a", 1, now + 301_000_000, True)], limits), ([("a", 1, 5, True), ("a", 1, 6, True)], limits), (events, [("a", -1)])):
+        with pytest.raises(Exception, match="future|repeated|negative"):
+            ask(bad, lim).collect()
