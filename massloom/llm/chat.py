@@ -158,7 +158,10 @@ def _unescape_role(role: Column) -> Column:
 
 
 def format_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
-    """Adds ``formatted`` and ``loss``: spans (start, length) of assistant texts in code points."""
+    """Adds ``formatted`` and ``loss``: spans (start, length) of assistant texts in code points.
+
+    Further columns come through; ones named ``formatted``, ``loss`` or ``__bits`` give way.
+    """
     bits = F.transform(turns, lambda t: F.struct(
         F.concat(F.lit(START), _escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"),
         (t["role"] == "assistant").alias("learn")))

@@ -286,7 +286,10 @@ def _replaced(m: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``text_col`` rewritten, and ``pseudonyms``: (kind, old, new) of every value found, in order."""
+    """``docs`` with ``text_col`` rewritten, and ``pseudonyms``: (kind, old, new) of every value found, in order.
+
+    Further columns come through; ones named ``pseudonyms`` or ``__made`` give way.
+    """
     text = F.col(f"`{text_col}`")
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     made = F.transform(found, lambda m: F.struct(m.alias("match"), _replaced(m, key).alias("r")))
