@@ -181,12 +181,17 @@ def promotion_gate(t):
 @query("M10_recompute_audit", f"""
     SELECT count(*) AS rows, count(*) AS matching, 0::BIGINT AS unpaired, 0.0::DOUBLE AS max_diff FROM mass_ranks_v""")
 def recompute_audit(t):
-    """Ranks from the compacted search against ranks from plain per-query candidate lists."""
+    """Ranks from the pruned search against ranks from whole candidate lists, one list for each distinct observation.
+
+    Of rows that share a mass and a key only the smallest id can be listed, so
+    copies of queries and of structures meet once.
+    """
     stored = mass_search_ranks(t).select("query_id", reciprocal("rank").alias("rr"))
-    pairs = ranges.mass_candidates(t.queries.select("query_id", "obs", "truth_key"), t.catalog, ppm=PPM, da=DA, width=0.6).withColumn(
+    one = t.catalog.groupBy("mass", "structure_key").agg(F.min("structure_id").alias("structure_id"))
+    pairs = ranges.mass_candidates(t.queries.select("obs").distinct(), one, ppm=PPM, da=DA, width=0.6).withColumn(
         "closeness", -F.round(F.abs(F.col("mass") - F.col("obs")), 6))
-    top = distinct_top_k(pairs, ["query_id"], "structure_key", "closeness", ["structure_id"])
-    again = truth_ranks(t.queries, top, ["query_id"], "truth_key", "structure_key").select("query_id", reciprocal("rank").alias("rr"))
+    top = distinct_top_k(pairs, ["obs"], "structure_key", "closeness", ["structure_id"])
+    again = truth_ranks(t.queries, top, ["obs"], "truth_key", "structure_key").select("query_id", reciprocal("rank").alias("rr"))
     return metrics.recompute_audit(stored, again, ["query_id"], ["rr"])
 
 

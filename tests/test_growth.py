@@ -14,3 +14,9 @@ def test_pairs_of_spectra_never_fetch_their_lists(spark, sf, name):
     joins = [line for line in text.splitlines() if " Join " in line or line.strip().startswith("Join")]
     assert any("__bin" in j for j in joins)
     assert not any("q_id" in j or "r_id" in j for j in joins)
+
+
+def test_recompute_audit_lists_observations_not_queries(spark, sf):
+    text = plan(e.queries()["M10_recompute_audit"](spark, sf))
+    binned = [line for line in text.splitlines() if "__bin" in line]
+    assert binned and not any("query_id" in line for line in binned)
