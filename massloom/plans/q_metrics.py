@@ -1,12 +1,16 @@
 """Rank metrics, bootstraps, selection and promotion."""
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from massloom import fixed
 from massloom.functions.hashing import is_holdout
 from massloom.functions.numeric import r6, reciprocal, student_mass_prior
 from massloom.operators import certified, metrics, ranges
+from massloom.operators.blocks import reach_of
 from massloom.operators.ranking import distinct_top_k, truth_ranks
 from massloom.plans import sqlparts as sp
 from massloom.plans.flagship import DA, PPM, mass_search_ranks
@@ -122,8 +126,14 @@ _GRID = f"""
 
 
 def _grid_metrics(t):
-    """MRR of every configuration in two label regimes."""
-    g = metrics.grid(t.vec_scores, CONFIGS)
+    """MRR of every configuration in two label regimes. Only rows that are some configuration's best of their label leave the scoring."""
+    from massloom.operators.blocks import rounded
+
+    def kept(block, score, sim):
+        bonus = {"sim": sim, "mass": block.prior() / 100}
+        return reduce(np.logical_or, [block.first_of_labels(rounded(score + c["weight"] * bonus[c["feature"]], 8)) for c in CONFIGS])
+
+    g = metrics.grid(t.scored_blocks(kept), CONFIGS)
     bonus = F.when(F.col("config.feature") == "sim", F.col("sim")).otherwise(student_mass_prior("mass", "obs") / 100)
     d = g.withColumn("s", F.round(F.col("score") + F.col("config.weight") * bonus, 8)).withColumn("id", F.col("config.id"))
     top = distinct_top_k(d, ["id", "query_id"], "label", "s", ["structure_id"])
@@ -234,4 +244,9 @@ def evaluation_replay(t):
     SELECT label, min(structure_key) AS smiles, string_agg(DISTINCT adduct, ',' ORDER BY adduct) AS modes FROM env JOIN md ON md.query_id = env.query_id GROUP BY 1""")
 def simulation_requests(t):
     s = t.spectra.select(F.col("spectrum_id").alias("query_id"), "adduct")
-    return certified.simulation_requests(_regimes(t), s, "query_id", "regime", "label", "structure_key", "score", "structure_id", 0.05, 2)
+
+    def kept(block, score, sim):
+        e = block.c["external"].astype(bool)[None, :]
+        return reduce(np.logical_or, [reach_of(block, score, 0.05, 2, of) for of in (None, e, ~e)])
+
+    return certified.simulation_requests(_regimes(t, t.scored_blocks(kept)), s, "query_id", "regime", "label", "structure_key", "score", "structure_id", 0.05, 2)

@@ -142,7 +142,7 @@ def _evidence(sim: pd.Series, external: pd.Series) -> pd.Series:
 def evidence_callback(t):
     """The Python callback sees only rows that survive the bound."""
     udf = hooks.evidence_udf(_evidence)
-    d = certified.certified_rerank(t.vec_scores, ["query_id"], "score", "structure_id", 0.05, lambda df: udf("sim", "external"), 3)
+    d = certified.certified_rerank(t.vec_reach(0.05, 3), ["query_id"], "score", "structure_id", 0.05, lambda df: udf("sim", "external"), 3)
     return d.filter("rank IS NOT NULL").select("query_id", "structure_id", "rank")
 
 

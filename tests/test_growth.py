@@ -1,4 +1,6 @@
 """Steps whose cost must follow their input rather than the number of pairs."""
+import re
+
 import pytest
 
 import __spark_entry__ as e
@@ -18,5 +20,52 @@ def test_pairs_of_spectra_never_fetch_their_lists(spark, sf, name):
 
 def test_recompute_audit_lists_observations_not_queries(spark, sf):
     text = plan(e.queries()["M10_recompute_audit"](spark, sf))
-    binned = [line for line in text.splitlines() if "__bin" in line]
-    assert binned and not any("query_id" in line for line in binned)
+    assert "Aggregate [obs#" in text and not re.search(r"Aggregate \[query_id#\d+L?, structure_key", text)
+
+
+@pytest.mark.parametrize("name", [
+    "R10_certificate_verification", "M8_guarded_selection", "F12_multi_head_score", "M7_max_min_selection", "M6_grid_evaluation", "M14_simulation_requests",
+    "R11_rerank_inside_top_n", "F13_linear_blends", "F18_forward_bonus", "F8_per_query_zscore", "F11_head_evidence", "D17_regimes", "R8_candidate_envelope",
+    "R13_top1_transitions"])
+def test_vectors_are_scored_where_a_whole_list_meets(spark, sf, name):
+    """Exchanges carry vectors to their bins and what is left of a list, never scored pairs joined by bin."""
+    df = e.queries()[name](spark, sf)
+    text = plan(df)
+    if not name.startswith("R10"):  # its plan begins at a checkpoint of what is left
+        assert "FlatMapGroupsInArrow" in text
+    assert not any("__bin" in line and "Join" in line for line in text.splitlines())
+
+
+def test_rounding_is_sparks(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from massloom.operators.blocks import rounded
+
+    values = [0.1234565, 0.0000005, 2.5e-6, 1.0000015, 0.3333335, -0.1234565, 0.49999949999, 123.4567895] + [i / 3e5 for i in range(500)]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 6)).collect()]
+    assert rounded(np.array(values)).tolist() == want
+
+
+def test_reach_and_depth_against_sorting():
+    import numpy as np
+    import pyarrow as pa
+
+    from massloom.operators.blocks import Block, Side, depth_of, reach_of
+
+    rng = np.random.default_rng(5)
+    vectors = lambda n: [None if i == 3 else [float(v) for v in rng.normal(size=4)] for i in range(n)]
+    q = pa.array([{"query_id": i, "x": x, "lo": 0.0, "hi": 9.0 + i} for i, x in enumerate(vectors(6))])
+    c = pa.array([{"structure_id": i, "x": x, "mass": float(i), "label": i % 3} for i, x in enumerate(vectors(12))])
+    block = Block(Side(q, 4), Side(c, 4), slice(1, 6))
+    score = np.round(block.tanimoto(), 1)
+    reach, first = reach_of(block, score, 0.05, 3), block.first_of_labels(score)
+    depth = depth_of(block, score, reach)
+    for i in range(5):
+        able = [j for j in range(12) if block.inside[i, j]]
+        known = sorted((j for j in able if not block.missing[i, j]), key=lambda j: (-score[i, j], j))
+        gone = [j for j in able if block.missing[i, j]]
+        want = {j for j in known if len(known) < 3 or score[i, j] + 0.05 >= score[i, known[2]] - 1e-15} | set(gone)
+        assert set(np.flatnonzero(reach[i])) == want
+        assert set(np.flatnonzero(first[i])) == {min((j for j in known + gone if j % 3 == k), key=lambda j: (known + gone).index(j)) for k in range(3)}
+        assert set(np.flatnonzero(depth[i])) == set((known + gone)[:2 * len(want) + 1])
