@@ -1,6 +1,8 @@
 """Row validation, ion arithmetic and text rows."""
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from massloom import fixed
@@ -275,16 +277,42 @@ def submission_status(t):
         status, F.when(k < 5, "failed: timeout").otherwise(""), score).alias("state"))
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _names_sql() -> str:
+    """Tables of the HTML standard: names with a semicolon, old names without, and 128 to 159 in Windows-1252."""
+    high = {k: bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(128, 160)}
+    table = lambda d, key: f"MAP([{', '.join(key(k) for k in d)}], [{', '.join(_quoted(v) for v in d.values())}])"
+    new = {k: v for k, v in html5.items() if k.endswith(";")}
+    old = {k: v for k, v in html5.items() if not k.endswith(";")}
+    return f"SELECT {table(new, _quoted)} AS new, {table(old, _quoted)} AS old, {table(high, str)} AS high"
+
+
+def _decoded_sql(x: str) -> str:
+    """References as browsers read them; the longest old name at the start counts where a name is unknown."""
+    old = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
+    pattern = f"&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{old}))"
+    digits = "ltrim(regexp_extract(m, '^&#[xX]?([0-9a-fA-F]+)', 1), '0')"
+    code = (f"CASE WHEN {digits} = '' THEN 0 WHEN length({digits}) > 8 THEN 2147483648 WHEN regexp_matches(m, '^&#[xX]') THEN try_cast(concat('0x', {digits}) AS BIGINT) "
+            f"ELSE try_cast({digits} AS BIGINT) END")
+    number = (f"CASE WHEN {code} = 0 OR {code} > 1114111 OR {code} BETWEEN 55296 AND 57343 THEN '\ufffd' "
+              f"WHEN {code} BETWEEN 128 AND 159 THEN names.high[({code})::INTEGER] ELSE chr(({code})::INTEGER) END")
+    prefix = f"regexp_extract(m, '^&({old})', 1)"
+    named = f"coalesce(names.new[substr(m, 2)], CASE WHEN {prefix} <> '' THEN concat(names.old[{prefix}], substr(m, length({prefix}) + 2)) END, m)"
+    found = f"list_transform(regexp_extract_all({x}, '{pattern}'), lambda m: CASE WHEN m[2] = '#' THEN {number} ELSE {named} END)"
+    return f"array_to_string(list_transform(list_zip(string_split_regex({x}, '{pattern}'), {found}), lambda z: concat(z[1], z[2])), '')"
+
+
 def _visible_sql(c: str) -> str:
     x = c
     for tag in text.HIDDEN:
         x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?(?:</{tag}\\s*>|\\z)', chr(1), 'g')"
     x = f"regexp_replace({x}, '(?s)<!--.*?-->', chr(1), 'g')"
     x = f"regexp_replace({x}, '<[!/?A-Za-z][^>]*>', chr(1), 'g')"
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\'\'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        x = f"replace({x}, '{name}', '{char}')"
     return (f"array_to_string(list_filter(list_transform(string_split({x}, chr(1)), lambda s: "
-            "regexp_replace(s, '^[\\s\\x{a0}]+|[\\s\\x{a0}]+$', '', 'g')), lambda s: s <> ''), chr(10))")
+            f"regexp_replace({_decoded_sql('s')}, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')), lambda s: s <> ''), chr(10))")
 
 
 # References and what a browser shows for them; the twin knows only the second column.
@@ -293,7 +321,7 @@ SHOWN = "’’é😀…€© ¬it; Ä&unknown;\ufffd&lt;"
 
 
 @query("P19_visible_text", f"""
-    SELECT page_id, length(v)::INTEGER AS chars, md5(v) AS digest FROM (SELECT page_id, concat({_visible_sql('html')}, chr(10), '{SHOWN}') AS v FROM pages)""")
+    WITH names AS ({_names_sql()}) SELECT page_id, length(v)::INTEGER AS chars, md5(v) AS digest FROM (SELECT page_id, concat({_visible_sql('html')}, chr(10), '{SHOWN}') AS v FROM pages, names)""")
 def visible_text(t):
     """Every page, with references of all kinds added at its end."""
     html = F.concat("html", F.lit(f"<p>{REFERENCES}</p>"))
