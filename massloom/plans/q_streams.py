@@ -99,7 +99,7 @@ def online_features(t):
     rows = signed(t).select("molecule_id", "spectrum_id", "signature").join(sparse, "spectrum_id", "left")
     s, _, state = _stream(t, rows, "features")
     key = ["molecule_id"]
-    stateful.sketch_stream(s, key, F.col("signature"), F.col("spectrum_id"), F.col("f.place"), F.col("f.value"), state)
+    stateful.sketch_stream(s, key, F.col("signature"), F.col("spectrum_id"), F.col("f.place"), F.col("f.value"), state, salts=1)  # a molecule has few spectra
     counts, sums = stateful.sketch_sums(t.spark, state, key)
     low = stateful.sketch_kept(t.spark, state, key)
     of = low.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))

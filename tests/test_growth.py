@@ -69,3 +69,33 @@ def test_reach_and_depth_against_sorting():
         assert set(np.flatnonzero(reach[i])) == want
         assert set(np.flatnonzero(first[i])) == {min((j for j in known + gone if j % 3 == k), key=lambda j: (known + gone).index(j)) for k in range(3)}
         assert set(np.flatnonzero(depth[i])) == set((known + gone)[:2 * len(want) + 1])
+
+
+def test_a_sketch_calls_its_store_twice_a_key():
+    import numpy as np
+    import pandas as pd
+
+    from massloom.streaming.stateful import _Sketch
+
+    class Store:
+        value, calls = None, 0
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    store, sketch = Store(), _Sketch(2)
+    sketch.init(store)
+    rows = pd.DataFrame({"digest": ["c", None, "a", "b", "a"], "tie": [1, 2, 3, 4, 0], "places": [np.array([i % 2]) for i in range(5)],
+                         "amounts": [np.array([float(i)]) for i in range(5)]})
+    for half in (rows[:2], rows[2:]):
+        list(sketch.handleInputRows(("k",), iter([half]), None))
+    assert store.calls == 4
+    assert store.value == (5, [0, 1], [6.0, 4.0], [("a", 0, [0], [4.0]), ("b", 4, [1], [3.0])])
