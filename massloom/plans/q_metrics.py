@@ -1,17 +1,18 @@
 """Rank metrics, bootstraps, selection and promotion."""
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massloom import fixed
 from massloom.functions.hashing import is_holdout
 from massloom.functions.numeric import r6, reciprocal, student_mass_prior
 from massloom.operators import certified, metrics, ranges
-from massloom.operators.blocks import reach_of
-from massloom.operators.ranking import distinct_top_k, truth_ranks
+from massloom.operators.blocks import best_of_labels, envelope_rows, first_in_order, rounded
+from massloom.operators.ranking import distinct_top_k, top_k, truth_ranks
 from massloom.plans import sqlparts as sp
 from massloom.plans.flagship import DA, PPM, mass_search_ranks
 from massloom.plans.q_ranking import _REGIMES, _regimes, _two_ranks
@@ -126,24 +127,29 @@ _GRID = f"""
 
 
 def _grid_metrics(t):
-    """MRR of every configuration in two label regimes. Only rows that are some configuration's best of their label leave the scoring."""
-    from massloom.operators.blocks import rounded
-
-    def kept(block, score, sim):
-        bonus = {"sim": sim, "mass": block.prior() / 100}
-        return reduce(np.logical_or, [block.first_of_labels(rounded(score + c["weight"] * bonus[c["feature"]], 8)) for c in CONFIGS])
-
-    g = metrics.grid(t.scored_blocks(kept), CONFIGS)
-    bonus = F.when(F.col("config.feature") == "sim", F.col("sim")).otherwise(student_mass_prior("mass", "obs") / 100)
-    d = g.withColumn("s", F.round(F.col("score") + F.col("config.weight") * bonus, 8)).withColumn("id", F.col("config.id"))
-    top = distinct_top_k(d, ["id", "query_id"], "label", "s", ["structure_id"])
-    truth = t.vector_catalog.select(
-        F.col("vec_id").alias("query_id"), F.concat(F.lit("L"), "label").alias("truth"),
-        F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("regime"))
-    truth = metrics.grid(truth, CONFIGS).select("query_id", "truth", "regime", F.col("config.id").alias("id"),
-                                                F.col("config.feature").alias("feature"), F.col("config.weight").alias("weight"))
-    r = truth_ranks(truth, top, ["id", "query_id"], "truth", "label")
-    return r.groupBy("id", "feature", "weight", "regime").agg(F.avg(reciprocal("rank")).alias("mrr"))
+    """MRR of every configuration in two label regimes. Only a configuration's best rows of each label leave the scoring."""
+    label = dict(t.table("embeddings").dtypes)["label"]
+
+    def best(block):
+        score, sim, prior = block.tanimoto(), block.similarity(), block.prior() / 100
+        exact = {"sim": lambda i, j: rounded(sim[i, j]), "mass": lambda i, j: prior[i, j]}
+        found = []
+        for c in CONFIGS:
+            w, bonus = c["weight"], {"sim": sim, "mass": prior}[c["feature"]]
+            of = lambda i, j: rounded(rounded(score[i, j]) + w * exact[c["feature"]](i, j), 8)  # noqa: B023, E731
+            found.append(best_of_labels(block, score + w * bonus if w else score, of))
+        i, j, s = (np.concatenate(x) for x in zip(*found))
+        return {**block.rows((i, j), {"s": s}, ["query_id", "truth_label"], ["label", "structure_id"]),
+                "id": pa.array(np.repeat(np.arange(len(CONFIGS), dtype=np.int32), [len(f[0]) for f in found]))}
+
+    d = t.pair_blocks(f"query_id bigint, truth_label {label}, label {label}, structure_id bigint, s double, id int", best)
+    regime = lambda of: F.when(F.col(of) % 2 == 0, "even").otherwise("odd").alias("regime")
+    top = top_k(d, ["id", "query_id"], [F.col("s").desc(), F.col("structure_id")], fixed.TOP_K).filter(F.col("label") == F.col("truth_label"))
+    hits = top.groupBy("id", regime("truth_label")).agg(F.sum(reciprocal("rank")).alias("hits"))
+    sizes = metrics.grid(t.vector_catalog.groupBy(regime("label")).agg(F.count(F.lit(1)).alias("n")), CONFIGS).select(
+        "regime", "n", F.col("config.id").alias("id"), F.col("config.feature").alias("feature"), F.col("config.weight").alias("weight"))
+    r = sizes.join(hits, ["id", "regime"], "left")
+    return r.select("id", "feature", "weight", "regime", (F.coalesce("hits", F.lit(0.0)) / F.col("n")).alias("mrr"))
 
 
 @query("M6_grid_evaluation", f"WITH {_GRID} SELECT id, feature, weight, regime, round(mrr, 6) AS mrr FROM gm")
@@ -157,8 +163,8 @@ def grid_evaluation(t):
 def max_min_selection(t):
     """Weight 0 is the no-change option."""
     m = _grid_metrics(t)
-    base = m.filter("id = 0").select("regime", F.col("mrr").alias("base"))
-    gains = m.join(base, "regime").withColumn("gain", F.round(F.col("mrr") - F.col("base"), 9))
+    base = F.max(F.when(F.col("id") == 0, F.col("mrr"))).over(W.partitionBy("regime"))  # one row per configuration: the lists are scored once
+    gains = m.withColumn("gain", F.round(F.col("mrr") - base, 9))
     return metrics.max_min_choice(gains, "id", "regime", "gain", "weight").select(
         "id", "weight", r6("min_gain").alias("min_gain"), r6("mean_gain").alias("mean_gain"))
 
@@ -170,8 +176,8 @@ def guarded_selection(t):
     wide = _grid_metrics(t).groupBy("id").agg(
         F.round(F.max(F.when(F.col("regime") == "even", F.col("mrr"))), 9).alias("even"),
         F.round(F.max(F.when(F.col("regime") == "odd", F.col("mrr"))), 9).alias("odd"))
-    base = wide.filter("id = 0").select("odd").scalar()
-    return metrics.guarded_choice(wide, "id", "odd", base, 0.005, (F.col("even") + F.col("odd")) / 2).select("id", r6("objective").alias("objective"))
+    wide = wide.withColumn("base", F.max(F.when(F.col("id") == 0, F.col("odd"))).over(W.partitionBy(F.lit(0))))
+    return metrics.guarded_choice(wide, "id", "odd", F.col("base"), 0.005, (F.col("even") + F.col("odd")) / 2).select("id", r6("objective").alias("objective"))
 
 
 @query("M9_promotion_gate", f"""
@@ -243,10 +249,20 @@ def evaluation_replay(t):
     md AS (SELECT DISTINCT spectrum_id AS query_id, adduct FROM spectra_v WHERE adduct IN ('[M+H]+', '[M-H]-'))
     SELECT label, min(structure_key) AS smiles, string_agg(DISTINCT adduct, ',' ORDER BY adduct) AS modes FROM env JOIN md ON md.query_id = env.query_id GROUP BY 1""")
 def simulation_requests(t):
+    """A request needs a key's smallest representation only, so each list hands on one row of a label."""
     s = t.spectra.select(F.col("spectrum_id").alias("query_id"), "adduct")
+    label = dict(t.table("embeddings").dtypes)["label"]
 
-    def kept(block, score, sim):
+    def requested(block):
         e = block.c["external"].astype(bool)[None, :]
-        return reduce(np.logical_or, [reach_of(block, score, 0.05, 2, of) for of in (None, e, ~e)])
-
-    return certified.simulation_requests(_regimes(t, t.scored_blocks(kept)), s, "query_id", "regime", "label", "structure_key", "score", "structure_id", 0.05, 2)
+        score, inside = block.tanimoto(), np.zeros(block.inside.shape, bool)
+        for of in (None, e, ~e):
+            inside[envelope_rows(block, score, 0.05, 2, of)] = True
+        smallest = pc.rank(block.c.columns["structure_key"], sort_keys="ascending", null_placement="at_end", tiebreaker="first").to_numpy()
+        order, starts = block.label_order(smallest)
+        first = first_in_order(inside, order, starts)
+        i, at = np.nonzero(first < len(order))
+        return block.rows((i, order[first[i, at]]), {}, ["query_id"], ["label", "structure_key"])
+
+    inside = t.pair_blocks(f"query_id bigint, label {label}, structure_key string", requested)
+    return certified.requests_of(inside.withColumn("label", F.concat(F.lit("L"), "label")), s, "query_id", "label", "structure_key")

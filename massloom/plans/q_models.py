@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from massloom import fixed
 from massloom.functions import peaks as pk
 from massloom.functions.numeric import r6
-from massloom.operators import certified, hooks, models, ordering
+from massloom.operators import hooks, models, ordering
 from massloom.plans.q_aggregates import _BINS, _SIGNED, _hist, signed
 from massloom.registry import query
 
@@ -140,10 +140,9 @@ def _evidence(sim: pd.Series, external: pd.Series) -> pd.Series:
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, structure_id) AS rank FROM f)
     SELECT query_id, structure_id, rank::INTEGER AS rank FROM r WHERE rank <= 3""")
 def evidence_callback(t):
-    """The Python callback sees only rows that survive the bound."""
-    udf = hooks.evidence_udf(_evidence)
-    d = certified.certified_rerank(t.vec_reach(0.05, 3), ["query_id"], "score", "structure_id", 0.05, lambda df: udf("sim", "external"), 3)
-    return d.filter("rank IS NOT NULL").select("query_id", "structure_id", "rank")
+    """The Python callback sees only rows that survive the bound, in the block that holds their list."""
+    d = t.vec_certified(0.05, 3, lambda sim, external: _evidence(pd.Series(sim), pd.Series(external)).to_numpy())
+    return d.select("query_id", "structure_id", "rank")
 
 
 def _strong(peaks: pd.Series, precursor: pd.Series) -> pd.Series:

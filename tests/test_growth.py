@@ -71,6 +71,76 @@ def test_reach_and_depth_against_sorting():
         assert set(np.flatnonzero(depth[i])) == set((known + gone)[:2 * len(want) + 1])
 
 
+def _lists(seed, n=30):
+    """A block with ties and missing vectors, its values, and each list as sorted places."""
+    import numpy as np
+    import pyarrow as pa
+
+    from massloom.operators.blocks import Block, Side, rounded
+
+    rng = np.random.default_rng(seed)
+    vectors = lambda n: [None if i == 3 else [float(v) for v in rng.integers(-2, 3, 4)] for i in range(n)]
+    q = pa.array([{"query_id": i, "x": x, "lo": 0.0, "hi": 2.0 + 4 * i} for i, x in enumerate(vectors(7))])
+    c = pa.array([{"structure_id": i, "x": x, "mass": float(i), "label": i % 3, "external": i % 5 == 0} for i, x in enumerate(vectors(n))])
+    block = Block(Side(q, 4), Side(c, 4), slice(1, 7))
+    raw = block.tanimoto()
+    score = rounded(raw)
+    able = [[j for j in range(n) if block.inside[i, j]] for i in range(6)]
+    order = [sorted(a, key=lambda j, i=i: (block.missing[i, j], 0 if block.missing[i, j] else -score[i, j], j)) for i, a in enumerate(able)]
+    return block, raw, score, order
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_lists_are_cut_where_they_are_scored(seed):
+    import numpy as np
+
+    from massloom.operators.blocks import best_of_labels, best_rows, certified_rows, envelope_rows, rounded
+
+    block, raw, score, order = _lists(seed)
+    pairs = lambda i, j: set(zip(i.tolist(), j.tolist()))
+    assert pairs(*best_rows(block, raw, 4)) == {(i, j) for i, o in enumerate(order) for j in o[:4]}
+    known = [[j for j in o if not block.missing[i, j]] for i, o in enumerate(order)]
+    want = {(i, j) for i, o in enumerate(known) for j in o if len(o) < 3 or np.nextafter(score[i, j] + 0.05, 9) >= score[i, o[2]]}
+    assert pairs(*envelope_rows(block, raw, 0.05, 3)) == want
+    i, j, v = best_of_labels(block, raw, lambda i, j: rounded(raw[i, j]))
+    assert pairs(i, j) == {(i, min((x for x in o if x % 3 == k), key=o.index)) for i, o in enumerate(order) for k in {x % 3 for x in o}}
+
+    asked = []
+
+    def evidence(i, j):
+        asked.extend(zip(i.tolist(), j.tolist()))
+        return np.where(j % 5 == 0, np.nan, (j % 4) / 4)
+
+    i, j, lower, evaluations = certified_rows(block, raw, evidence, 0.1, 3)
+    final = lambda i, j: score[i, j] + 0.1 * (0.0 if j % 5 == 0 else (j % 4) / 4)
+    best = {(a, b) for a, o in enumerate(order) for b in sorted(o, key=lambda b, a=a: (block.missing[a, b], 0 if block.missing[a, b] else -final(a, b), b))[:3]}
+    assert pairs(i, j) == best
+    for a, o in enumerate(order):
+        cut = min((final(a, b) for b in o[:3] if not block.missing[a, b]), default=np.inf)
+        reach = {b for b in o if b in o[:3] or (not block.missing[a, b] and np.nextafter(score[a, b] + 0.1, 9) >= cut)}
+        assert evaluations[a] == len(reach)
+        assert {y for x, y in asked if x == a} <= reach
+
+
+def test_products_start_no_threads(monkeypatch):
+    """Every task of a worker starting one thread for each core made a product a hundred times slower."""
+    import numpy as np
+
+    from massloom.operators import blocks
+
+    a, b, sizes, real = np.ones((100, 64)), np.arange(64.0 * 900).reshape(900, 64), [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda x, y, out: (sizes.append(x.shape[0] * x.shape[1] * y.shape[1]), real(x, y, out=out)))
+    assert blocks.product(a, b).tolist() == (a @ b.T).tolist()
+    assert max(sizes) <= 1 << 18
+
+
+@pytest.mark.parametrize("name", ["M7_max_min_selection", "M8_guarded_selection", "R8_candidate_envelope", "R9_certificate_summary", "M14_simulation_requests",
+                                  "U2_evidence_callback", "D17_regimes"])
+def test_lists_are_scored_once(spark, sf, name):
+    text = e.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert text.split("== Initial Plan ==")[-1].count("FlatMapGroupsInArrow") == 1
+
+
 def test_a_sketch_calls_its_store_twice_a_key():
     import numpy as np
     import pandas as pd
