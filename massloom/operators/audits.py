@@ -124,6 +124,33 @@ def prediction_rows(df: DataFrame, query: str, cell: str) -> DataFrame:
         F.size(F.filter(filled, lambda t: t.rlike(r"[^\x00-\x7F]"))).alias("non_ascii"))
 
 
+def token_masses(tokens: DataFrame, mass: str, token: str) -> DataFrame:
+    """What a list over any window of masses takes from each mass, without its tokens.
+
+    tokens, empty_tokens, non_ascii, and ``repeats_at``: the smallest upper end
+    at which a window that holds this mass repeats one of its filled tokens.
+    """
+    own = tokens.groupBy(mass, F.trim(F.col(token)).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+    filled = F.col("__g").isNotNull() & (F.col("__g") != "")
+    again = F.lead(mass).over(W.partitionBy("__g").orderBy(mass))
+    own = own.withColumn("__at", F.when(filled, F.when(F.col("__n") > 1, F.col(mass)).otherwise(again)))
+    none = F.lit(0).cast("bigint")
+    return own.groupBy(mass).agg(
+        F.sum("__n").alias("tokens"), F.sum(F.when(filled, none).otherwise(F.col("__n"))).alias("empty_tokens"),
+        F.sum(F.when(filled & F.col("__g").rlike(r"[^\x00-\x7F]"), F.col("__n")).otherwise(none)).alias("non_ascii"), F.min("__at").alias("repeats_at"))
+
+
+def window_rows(met: DataFrame, query: str, upper: Column) -> DataFrame:
+    """``prediction_rows`` of lists given as the masses (``token_masses``) that their windows hold."""
+    d = met.groupBy(query).agg(
+        F.sum("tokens").alias("tokens"), F.sum("empty_tokens").alias("empty_tokens"), F.sum("non_ascii").alias("non_ascii"),
+        F.max(F.when(F.col("repeats_at") <= upper, 1).otherwise(0)).alias("repeated_tokens"))
+    blank = (F.col("tokens") == 1) & (F.col("empty_tokens") == 1)
+    return d.select(query, blank.alias("empty_cell"), F.when(blank, 0).otherwise(F.col("tokens")).alias("tokens"),
+                    F.when(blank, 0).otherwise(F.col("empty_tokens")).alias("empty_tokens"), (~blank & (F.col("tokens") > fixed.TOP_K)).alias("too_many"),
+                    "repeated_tokens", "non_ascii")
+
+
 def prediction_summary(rows: DataFrame, query: str) -> DataFrame:
     """Whole-file counts from ``prediction_rows`` plus ids that occur more than once."""
     per_id = rows.groupBy(query).agg(

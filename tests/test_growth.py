@@ -141,6 +141,45 @@ def test_lists_are_scored_once(spark, sf, name):
     assert text.split("== Initial Plan ==")[-1].count("FlatMapGroupsInArrow") == 1
 
 
+def test_audit_of_windows_is_the_audit_of_their_lists(spark):
+    from pyspark.sql import functions as F
+
+    from massloom.operators import audits, ranges
+
+    rows = [(float(m), g) for m, g in [(0, "a"), (1, "b"), (2, "a"), (2, " "), (5, ""), (9, "é"), (9, "é"), (12, "c"), (13, "d"), (14, "e"), (15, "c")]]
+    tokens = spark.createDataFrame(rows, "mass double, g string")
+    points = spark.createDataFrame([(x / 2,) for x in range(-1, 34)], "obs double")
+    for da in (0.5, 1.0, 3.0, 40.0):
+        met = ranges.mass_candidates(points, audits.token_masses(tokens, "mass", "g"), ppm=0.0, da=da)
+        got = audits.window_rows(met, "obs", F.col("obs") + da)
+        cells = ranges.mass_candidates(points, tokens, ppm=0.0, da=da).groupBy("obs").agg(F.array_join(F.collect_list("g"), ";").alias("g"))
+        want = audits.prediction_rows(cells, "obs", "g")
+        flat = lambda df: sorted(tuple(r) for r in df.withColumn("repeated_tokens", F.col("repeated_tokens") > 0).collect())
+        assert flat(got.select(want.columns)) == flat(want)
+
+
+def test_prediction_audit_meets_masses_not_structures(spark, sf):
+    text = plan(e.queries()["M11_prediction_audit"](spark, sf))
+    assert "collect_list" not in text and "split(" not in text
+    assert not any("Join" in line and "structure_id" in line for line in text.splitlines() if "__bin" in line)
+
+
+def test_mass_range_join_unfolds_lists_of_ids(spark, sf):
+    from pyspark.sql import functions as F
+
+    from massloom.operators import ranges
+
+    q = spark.range(300).select(F.col("id").alias("query_id"), (F.col("id") % 3).cast("double").alias("obs"))
+    c = spark.range(500).select(F.col("id").alias("structure_id"), (F.col("id") % 2 * 0.4 + F.col("id") % 5).alias("mass"))
+    lists = ranges.member_lists(q, "obs", "query_id", "ids", 20).collect()
+    assert sorted(i for r in lists for i in r.ids) == list(range(300)) and len(lists) > 6 and max(len(r.ids) for r in lists) < 100
+    got = ranges.mass_members(q, c, (F.col("mass") - F.col("obs")).alias("delta"), ppm=0.0, da=0.45)
+    want = ranges.mass_candidates(q, c, ppm=0.0, da=0.45).select("query_id", "structure_id", (F.col("mass") - F.col("obs")).alias("delta"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    text = plan(e.queries()["J1_mass_range_join"](spark, sf))
+    assert not any("Join" in line and "__bin" in line and "query_id" in line for line in text.splitlines())
+
+
 def test_a_sketch_calls_its_store_twice_a_key():
     import numpy as np
     import pandas as pd
