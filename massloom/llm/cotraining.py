@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from massloom.llm.arrays import small_batches, text_buffer
 from massloom.llm.fit import calibrate, labelled_sample, logistic, sigmoid
-from massloom.llm.storage import BLOCK_BYTES, bounded_batches, stored
+from massloom.llm.storage import BLOCK_BYTES, bounded_batches, stored, modest
 from massloom.llm.textstats import Stats, shares
 
 PER_CLASS, ROUNDS, SURE, TRUST = 1000, 2, 0.97, 0.5
@@ -187,7 +187,7 @@ def _others(rows: DataFrame):
         def add(key, table):
             return pa.Table.from_batches([_sums_of(key[0].as_py(), _rows_of(table))])
 
-        return _rows_of(rows.mapInArrow(run, _SUMS_SQL).groupBy("slot").applyInArrow(add, _SUMS_SQL).toArrow())
+        return _rows_of(rows.mapInArrow(modest(run), _SUMS_SQL).groupBy("slot").applyInArrow(add, _SUMS_SQL).toArrow())
 
     return sums
 
@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([r.tobytes() for r in t], pa.binary()),
                                               pa.array([r.tobytes() for r in m], pa.binary())], ["doc_id", "y", "t", "m"])
 
-    got = rows.join(F.broadcast(marked), "doc_id").mapInArrow(run, "doc_id long, y int, t binary, m binary").toArrow()
+    got = rows.join(F.broadcast(marked), "doc_id").mapInArrow(modest(run), "doc_id long, y int, t binary, m binary").toArrow()
     order = np.lexsort((got["t"].to_pandas().map(zlib.crc32).to_numpy(), got["doc_id"].to_numpy())) if got.num_rows else np.zeros(0, int)
     y = got["y"].to_numpy()[order]
     if not {0, 1} <= set(y.tolist()):
@@ -234,5 +234,5 @@ def score(docs: DataFrame, model: CoModel | None, threshold: float = 0.5, keep:
                                               pa.array(parts[2] >= threshold)], [*named, *made])
 
     fields = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in named] + ["text_score double", "meta_score double", "score double", "kept boolean"]
-    out = rows.mapInArrow(run, ", ".join(fields))
+    out = rows.mapInArrow(modest(run), ", ".join(fields))
     return out.select(*[F.col(n).alias(c) for n, c in zip(named, keep)], *made)

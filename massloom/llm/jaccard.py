@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from massloom.llm.arrays import mix, shingle_sets, small_batches, text_buffer
 from massloom.llm.buckets import bucket_edges, pack, pack_ids, unpack, unpack_ids
 from massloom.llm.components import components
-from massloom.llm.storage import BLOCK_BYTES, block_ids, bounded_batches, bucket_count, stored
+from massloom.llm.storage import BLOCK_BYTES, block_ids, bounded_batches, bucket_count, hand_back, modest, stored
 
 CELLS = 1 << 19
 SLICES = 64
@@ -207,7 +207,10 @@ def _lists(buckets: int):
                     seen.add((l, s))
                     for column, v in zip(out, (l, s, x[e].astype(np.int64), n[e], pos[e], typ[e])):
                         column.append(v)
-        return pa.Table.from_arrays([_signed(out[0]), _signed(out[1]), *[pa.array(c, f.type) for c, f in zip(out[2:], list(schema)[2:])]], schema=schema)
+        made = pa.Table.from_arrays([_signed(out[0]), _signed(out[1]), *[pa.array(c, f.type) for c, f in zip(out[2:], list(schema)[2:])]], schema=schema)
+        del out, token, x, n, pos, typ, sure, h1, h2
+        hand_back()
+        return made
 
     return run, "l long, s long, x array<long>, n array<int>, pos array<int>, typ array<long>"
 
@@ -274,7 +277,7 @@ def _cell_bounds(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     m[i] = np.minimum(np.frombuffer(u.as_py(), np.uint8), np.frombuffer(v.as_py(), np.uint8)).sum()
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("n"), b.column("p"), b.column("np"), pa.array(m)], schema=schema)
 
-    return pairs.join(cells, "x").join(other, "p").select("x", "n", "p", "np", "cells", "pcells").mapInArrow(run, "x long, n int, p long, np int, m int")
+    return pairs.join(cells, "x").join(other, "p").select("x", "n", "p", "np", "cells", "pcells").mapInArrow(modest(run), "x long, n int, p long, np int, m int")
 
 
 def _overlaps(docs: DataFrame, owners: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
@@ -297,7 +300,7 @@ def _overlaps(docs: DataFrame, owners: DataFrame, pairs: DataFrame, width: int)
         return pd.Series((bits.value[bit // 32] >> (bit % 32).astype(np.uint32)) & 1 == 1)
 
     run, schema = _token_pass(width)
-    sets = docs.where(hit(F.xxhash64("doc_id"))).mapInArrow(run, schema).join(wanted, F.col("x") == F.col("s"))
+    sets = docs.where(hit(F.xxhash64("doc_id"))).mapInArrow(modest(run), schema).join(wanted, F.col("x") == F.col("s"))
     sent = sets.select(F.explode("to").alias("to"), "s", "n", "tokens").select("to.t", "to.part", "to.role", "s", "n", "tokens")
     sent = sent.repartition("t", "part").sortWithinPartitions("t", "part", "role", "s")
     out = pa.schema([("x", pa.int64()), ("nx", pa.int32()), ("p", pa.int64()), ("np", pa.int32()), ("o", pa.int32()), ("added", pa.list_(pa.int64()))])
@@ -322,7 +325,7 @@ def _overlaps(docs: DataFrame, owners: DataFrame, pairs: DataFrame, width: int)
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, out)], schema=out)
 
-    made = stored(sent.mapInArrow(count, "x long, nx int, p long, np int, o int, added array<long>"), "overlaps")
+    made = stored(sent.mapInArrow(modest(count), "x long, nx int, p long, np int, o int, added array<long>"), "overlaps")
     bits.destroy()
     return made
 
@@ -338,7 +341,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     run, schema = _signature_pass(width)
-    signatures = stored(docs.mapInArrow(run, schema), "signatures")
+    signatures = stored(docs.mapInArrow(modest(run), schema), "signatures")
     sets = signatures.where("slice is null").select("doc_id", "n", "k1", "k2", "cells")
     total = sets.where("n > 0").agg(F.sum("n")).first()[0] or 0
     sketch = spark.sparkContext.broadcast(_sketch(signatures))
@@ -347,7 +350,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = bucket_count(spark, total * (100 - percent) / 100 * 16)
     run, schema = _index_pass(sketch, heavy, buckets, width, percent)
     lists, out_schema = _lists(buckets)
-    lists = docs.mapInArrow(run, schema).groupBy("bucket").applyInArrow(lists, out_schema).dropDuplicates(["l", "s"])
+    lists = docs.mapInArrow(modest(run), schema).groupBy("bucket").applyInArrow(lists, out_schema).dropDuplicates(["l", "s"])
     index = stored(lists.select(F.col("l").alias("token"), F.inline(F.arrays_zip("x", "n", "pos", "typ"))), "index")
     sketch.destroy()
     index = index.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
