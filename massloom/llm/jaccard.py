@@ -20,6 +20,9 @@ implied by found ones, so components are exact.
    inherits them, differing only by its shingles beyond P. Only pairs that this
    can't settle are counted.
 
+Before a pair is counted its bit maps of hash cells meet, some bits a shingle:
+chance pairs, which grow faster than the corpus, end there and send no set.
+
 Null or empty texts and texts without words have no set and link with nothing.
 Repeated rows are copies. Rows with a null id keep their sets but give no id to
 the component; a component without ids has a null one. Other columns are not
@@ -45,7 +48,7 @@ FILTER_BITS = 1 << 24
 TOKEN_BITS = 48
 CHUNK = 2048
 STREAM = 4000
-MOST_IN_CELLS = 40_000  # beyond, a cell may exceed a byte and no bound is taken
+MOST_IN_CELLS = 40_000  # beyond, a map would pass 16 KB and no bound is taken
 
 
 def _keys(s: np.ndarray) -> tuple[int, int]:
@@ -57,10 +60,21 @@ def _signed(values) -> pa.Array:
 
 
 def _cells(s: np.ndarray) -> bytes | None:
-    """How many items fall into each of 512 hash cells: min sums bound an overlap from above."""
+    """Which hash cells hold items, as bits: two to four cells an item, so that the map tells sets of every size apart."""
     if not len(s) or len(s) > MOST_IN_CELLS:
         return None
-    return np.bincount(((s >> np.uint64(20)) & np.uint64(511)).astype(np.int64), minlength=512).clip(0, 255).astype(np.uint8).tobytes()
+    cells = max(64, 1 << (2 * len(s) - 1).bit_length())
+    held = np.zeros(cells, bool)
+    held[((s >> np.uint64(20)) & np.uint64(cells - 1)).astype(np.int64)] = True
+    return np.packbits(held, bitorder="little").tobytes()
+
+
+def _most_shared(u: bytes, n: int, v: bytes, size: int) -> int:
+    """Upper bound of the overlap of sets of n and ``size`` items: a cell that the other set lacks holds an item that it lacks."""
+    a, b = np.frombuffer(u, np.uint8), np.frombuffer(v, np.uint8)
+    width = min(len(a), len(b))  # the finer map is folded: its cells are numbered by the same low bits
+    a, b = (np.bitwise_or.reduce(m.reshape(-1, width), axis=0) for m in (a, b))
+    return min(n - int(np.bitwise_count(a & ~b).sum()), size - int(np.bitwise_count(b & ~a).sum()))
 
 
 def _signature_pass(width: int):
@@ -262,10 +276,12 @@ def _token_pass(width: int):
 
 
 def _cell_bounds(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds ``m``, an upper bound of the overlap of each pair (x, n, p, np)."""
+    """(x, n, p, np, m) of distinct pairs (x, p): sizes and ``m``, an upper bound of the overlap."""
+    pairs = pairs.select("x", "p")
     named = pairs.select("x").unionByName(pairs.select(F.col("p").alias("x"))).distinct()
-    cells = stored(sets.where("n > 0").select(F.col("k1").alias("x"), "cells").join(named, "x", "left_semi").dropDuplicates(["x"]), "cells")
-    other = cells.select(F.col("x").alias("p"), F.col("cells").alias("pcells"))
+    cells = stored(sets.where("n > 0").select(F.col("k1").alias("x"), F.col("n").cast("int").alias("n"), "cells").join(
+        named, "x", "left_semi").dropDuplicates(["x"]), "cells")
+    other = cells.select(F.col("x").alias("p"), F.col("n").alias("np"), F.col("cells").alias("pcells"))
     schema = pa.schema([("x", pa.int64()), ("n", pa.int32()), ("p", pa.int64()), ("np", pa.int32()), ("m", pa.int32())])
 
     def run(batches):
@@ -274,7 +290,7 @@ def _cell_bounds(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             m = np.minimum(n, size).astype(np.int32)
             for i, (u, v) in enumerate(zip(b.column("cells"), b.column("pcells"))):
                 if u.is_valid and v.is_valid:
-                    m[i] = np.minimum(np.frombuffer(u.as_py(), np.uint8), np.frombuffer(v.as_py(), np.uint8)).sum()
+                    m[i] = _most_shared(u.as_py(), int(n[i]), v.as_py(), int(size[i]))
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("n"), b.column("p"), b.column("np"), pa.array(m)], schema=schema)
 
     return pairs.join(cells, "x").join(other, "p").select("x", "n", "p", "np", "cells", "pcells").mapInArrow(modest(run), "x long, n int, p long, np int, m int")
@@ -363,7 +379,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # counts leave less than three quarters of it to share (less where less may link): such a set is far from the pivot.
     least = min(75, percent)
     star = index.join(near, ["token", "c"]).where(F.col("x") != F.col("p")).where(100 * _room("n", "pos", "np", "pp") >= least * F.col("n"))
-    bounded = stored(_cell_bounds(star.select("x", "n", "p", "np").distinct(), sets), "bounds")
+    bounded = stored(_cell_bounds(star.select("x", "p").distinct(), sets), "bounds")
     pairs = bounded.where(f"100 * m >= {least} * n").select("x", "p")
     owners = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).select(F.col("k1").alias("x"), "doc_id")
     exact = _overlaps(docs, owners, pairs, width)
@@ -372,7 +388,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         bounded.where(f"100 * m < {least} * n").select("x", F.col("n").alias("nx"), "p", "np", F.col("m").alias("o"), F.lit(True).alias("most")), allowMissingColumns=True)
     labels = stored(components(links), "labels")
 
-    rest = stored(_unsettled(index, pivots, answered, labels, percent), "rest")
+    rest = stored(_unsettled(index, pivots, answered, labels, percent), "unsettled")
+    rest = stored(_cell_bounds(rest, sets).where(F.col("m") >= _needed(F.col("n"), F.col("np"), percent)).select("x", "p"), "rest")
     final = labels
     if not rest.isEmpty():
         final = components(links.unionByName(_links(_overlaps(docs, owners, rest, width), percent)))

@@ -1,9 +1,10 @@
 """Groups of copies whose members don't all link: chains, bases, sub-bases, insertions and cuts."""
 import random
 
+import numpy as np
 import pytest
 
-from massloom.llm.jaccard import ngram_jaccard_join
+from massloom.llm.jaccard import _cell_bounds, _cells, ngram_jaccard_join
 
 WORDS = [f"{a}{b}" for a in "bcdfghjklm" for b in ("a", "e", "io", "ou")]
 
@@ -77,3 +78,20 @@ def test_low_percents_equal_brute_force(spark, percent):
     want = {i: min(j for j in range(len(sets)) if linked(sets[i], sets[j])) for i in range(len(sets))}
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in ngram_jaccard_join(docs, percent=percent).collect()} == want
+
+
+def test_long_chance_pairs_end_at_their_bit_maps(spark):
+    """Unrelated long sets have a bound below three quarters, as short ones have; no bound is below the overlap."""
+    r = np.random.default_rng(3)
+    made, truth = {}, {}
+    for i, (n, shared) in enumerate([(30, 9), (700, 100), (5000, 0), (5000, 4500), (30_000, 600), (41_000, 0)]):
+        common = r.integers(0, 2**64, shared, np.uint64)
+        for side in (0, 1):
+            own = r.integers(0, 2**64, n - shared + side * (n // 4), np.uint64)
+            made[2 * i + side] = np.unique(np.concatenate([common, own]))
+        truth[2 * i] = shared
+    sets = spark.createDataFrame([(i, len(s), i, 0, _cells(s)) for i, s in made.items()], "doc_id long, n long, k1 long, k2 long, cells binary")
+    pairs = spark.createDataFrame([(i, len(made[i]), i + 1, len(made[i + 1])) for i in truth], "x long, n int, p long, np int")
+    got = {row["x"]: (row["n"], row["m"]) for row in _cell_bounds(pairs, sets).collect()}
+    assert all(got[i][1] >= o for i, o in truth.items())
+    assert [100 * m < 75 * n for n, m in (got[i] for i in sorted(truth))] == [True, True, True, False, True, False]
