@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from massloom.llm.storage import hand_back
+
 SLICE_SCHEMA = "block long, bucket int, hashes binary, twice binary"
 MASK_SCHEMA = "block long, bucket int, mask binary"
 _ARROW_MASK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("mask", pa.binary())])
@@ -89,9 +91,12 @@ def _answer(later: bool):
                 m = m | np.unpackbits(np.frombuffer(table["twice"][i].as_py(), np.uint8), count=n).astype(bool)
             out.append(np.packbits(m).tobytes())
             at += n
-        return pa.Table.from_arrays([pa.array([blocks[i] for i in order], pa.int64()),
+        made = pa.Table.from_arrays([pa.array([blocks[i] for i in order], pa.int64()),
                                      pa.array([key[0].as_py()] * len(order), pa.int32()), pa.array(out, pa.binary())],
                                     schema=_ARROW_MASK)
+        del out, rank, s, same, mask, merged
+        hand_back()
+        return made
 
     return run
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from massloom.llm.arrays import small_batches, text_buffer, word_spans
 from massloom.llm.memo import Memo
-from massloom.llm.storage import BLOCK_BYTES, bounded_batches, stored
+from massloom.llm.storage import BLOCK_BYTES, bounded_batches, modest, stored
 
 MEMO = 600_000
 MEMO_CHARS = 64
@@ -158,7 +158,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id
     """Written table (doc_id, part, before, n, ids): ids and the offset inside the partition."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stored(rows.mapInArrow(_tokenize(path, end_id), "doc_id long, part int, before long, n long, ids binary"), "tokens")
+    return stored(rows.mapInArrow(modest(_tokenize(path, end_id)), "doc_id long, part int, before long, n long, ids binary"), "tokens")
 
 
 def concatenate_and_cut(tokens: DataFrame, length: int = 4096) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from massloom.llm.arrays import Prefix, small_batches, text_buffer
 from massloom.llm.buckets import SLICE_SCHEMA, answer, masks_by_block, read_masks, slices
-from massloom.llm.storage import BLOCK_BYTES, block_ids, bounded_batches, bucket_count, stored
+from massloom.llm.storage import BLOCK_BYTES, block_ids, bounded_batches, bucket_count, modest, stored
 from massloom.session import shared_dir
 
 LENGTH = 100
@@ -229,21 +229,21 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = bucket_count(spark, total)
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // (32 << 20)) + 1)
     name = f"massloom_blocks_{uuid.uuid4().hex}"
-    (rows.mapInArrow(_write_blocks, "block long, data binary").write.bucketBy(files, "block").option("compression", "none")
+    (rows.mapInArrow(modest(_write_blocks), "block long, data binary").write.bucketBy(files, "block").option("compression", "none")
      .option("path", shared_dir(spark, "blocks")).saveAsTable(name))
     blocks = spark.table(name)
 
     masks = None
     schema = f"{SLICE_SCHEMA}, ids binary"
     for kind in (SEGMENTS, SAMPLES, SUFFIXES):
-        sent = _with_masks(blocks, masks).mapInArrow(_slices(kind, buckets), schema)
+        sent = _with_masks(blocks, masks).mapInArrow(modest(_slices(kind, buckets)), schema)
         told = stored(answer(sent, later=kind != SAMPLES).withColumn("kind", F.lit(kind)), "masks")
         masks = told if masks is None else masks.unionByName(told)
     arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                        ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *_arrow_fields(rows, named)])
     out = ", ".join(["doc_id long", "text string", "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string",
                      *[f"{n} {rows.schema[n].dataType.simpleString()}" for n in named]])
-    done = _with_masks(blocks, masks).mapInArrow(_finish(named, buckets, arrow), out)
+    done = _with_masks(blocks, masks).mapInArrow(modest(_finish(named, buckets, arrow)), out)
     return done.select("doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", *[F.col(n).alias(c) for n, c in zip(named, keep)])
 
 
