@@ -20,17 +20,22 @@ FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_powers: dict[str, np.ndarray] = {}
+def _step(base: int) -> tuple[np.ndarray, np.ndarray]:
+    low = np.full((1 << 11) + 1, base, np.uint64)
+    low[0] = 1
+    low = np.multiply.accumulate(low)
+    return low[:-1], low[-1]
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            t = np.full(size, base, np.uint64)
-            t[0] = 1
-            _powers[name] = np.multiply.accumulate(t)
-    return _powers["up"], _powers["down"]
+_STEPS = {base: _step(base) for base in (_BASE, _BASE_INVERSE)}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers, made for each buffer: a worker that keeps them holds 16 bytes for each byte of its largest one."""
+    low, step = _STEPS[base]
+    high = np.full(n // len(low) + 1, step, np.uint64)
+    high[0] = 1
+    return np.multiply.outer(np.multiply.accumulate(high), low).ravel()[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -47,11 +52,12 @@ class Prefix:
     """Prefix sums of one buffer; ``span`` hashes any set of substrings."""
 
     def __init__(self, buf: np.ndarray, values: np.ndarray = BYTE_VALUES):
-        up, self.down = _power_table(len(buf) + 1)
         self.sums = np.zeros(len(buf) + 1, np.uint64)
-        v = values[buf]
-        v *= up[: len(buf)]
+        v = _powers(_BASE, len(buf))
+        v *= values[buf]
         np.cumsum(v, out=self.sums[1:])
+        del v
+        self.down = _powers(_BASE_INVERSE, len(buf) + 1)
 
     def windows(self, length: int) -> np.ndarray:
         """Hash of every window of ``length`` bytes, by its start."""

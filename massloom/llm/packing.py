@@ -186,16 +186,11 @@ class WordTokenizer:
         return out, np.append(0, stop[1:][first[1:] + np.arange(len(off) - 1)])
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def _tokenize(path: str, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        if path not in _tokenizers:
-            _tokenizers[path] = WordTokenizer(path)
-        words, part, at = _tokenizers[path], TaskContext.get().partitionId(), 0
+        words, part, at = WordTokenizer(path), TaskContext.get().partitionId(), 0  # of this task: goes before memory is handed back
         for b in small_batches(batches, BLOCK_BYTES, "text"):
             ids, edge = words.encode(b.column("text"), end_id)
             n = np.diff(edge)

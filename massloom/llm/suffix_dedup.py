@@ -70,10 +70,11 @@ def _write_blocks(batches):
 
 def _reach(flags: np.ndarray, back: int, ahead: int) -> np.ndarray:
     """Positions with a set flag at a distance of -back ... +ahead."""
-    c = np.zeros(len(flags) + 1, np.int32)
-    np.cumsum(flags, out=c[1:])
-    i = np.arange(len(flags))
-    return c[np.minimum(i + ahead + 1, len(flags))] > c[np.maximum(i - back, 0)]
+    n = len(flags)
+    c = np.zeros(back + 1 + n + ahead, np.int32)  # flags before each place, carried on at both ends
+    np.cumsum(flags, dtype=np.int32, out=c[back + 1:back + 1 + n])
+    c[back + 1 + n:] = c[back + n]
+    return c[back + 1 + ahead:] > c[:n]
 
 
 class Block:

@@ -29,3 +29,35 @@ def test_answers_hand_memory_back(monkeypatch):
     made = buckets._answer(True)((pa.scalar(0),), table)
     assert [np.unpackbits(np.frombuffer(m, np.uint8), count=3).tolist() for m in made["mask"].to_pylist()] == [[0, 0, 0], [1, 1, 1]]
     assert called == [1]
+
+
+def test_buffers_leave_nothing_behind():
+    """A worker that waits for its next task holds no tables of the size of the buffers it saw."""
+    import gc
+    import tracemalloc
+
+    import numpy as np
+
+    from massloom.llm import arrays
+
+    gc.collect()
+    tracemalloc.start()
+    arrays.Prefix(np.zeros(300_000, np.uint8)).windows(32)
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 100_000
+
+
+def test_reach_needs_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    flags = np.zeros(1_000_000, bool)
+    flags[500] = True
+    tracemalloc.start()
+    got = suffix_dedup._reach(flags, 72, 9)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.flatnonzero(got).tolist() == list(range(491, 573)) and most < 8_000_000
