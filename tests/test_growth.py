@@ -208,3 +208,25 @@ def test_a_sketch_calls_its_store_twice_a_key():
         list(sketch.handleInputRows(("k",), iter([half]), None))
     assert store.calls == 4
     assert store.value == (5, [0, 1], [6.0, 4.0], [("a", 0, [0], [4.0]), ("b", 4, [1], [3.0])])
+
+
+@pytest.mark.parametrize("name", ["F6_bernoulli_log_odds"])
+def test_pairs_of_vectors_are_scored_where_they_meet(spark, sf, tmp_path, name):
+    """No list of pairs is joined, and gaps in vectors count as in SQL."""
+    import duckdb
+
+    text = plan(e.queries()[name](spark, sf))
+    assert "FlatMapGroupsInArrow" in text
+    assert not any("__bin" in line and "Join" in line for line in text.splitlines())
+    nan, none = float("nan"), None
+    vectors = [[0.1, -0.2, 0.3], [0.1, none, -0.3], [none, none, none], none, [0.0, -1.0, -2.0], [1.0, 9.0, -3.0], [nan, 0.5, -0.5], [0.1, -0.2, 0.3]]
+    tables = {"embeddings": spark.createDataFrame([(i, x, i % 2) for i, x in enumerate(vectors)], "vec_id bigint, embedding array<float>, label int"),
+              "part": spark.createDataFrame([(i, "b", i, 900.0 + i * 0.3) for i in range(9)], "p_partkey bigint, p_brand string, p_size int, p_retailprice double")}
+    con = duckdb.connect()
+    for table, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+        con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    got = e.queries()[name](spark, str(tmp_path)).collect()
+    assert all((r[2] is None) == (3 in r[:2]) for r in got)
+    rows = lambda rs: sorted(repr(tuple(r)) for r in rs if r[2] is not None)
+    assert rows(got) == rows(con.execute(e.oracle_sql()[name]).fetchall())
