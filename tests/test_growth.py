@@ -210,7 +210,7 @@ def test_a_sketch_calls_its_store_twice_a_key():
     assert store.value == (5, [0, 1], [6.0, 4.0], [("a", 0, [0], [4.0]), ("b", 4, [1], [3.0])])
 
 
-@pytest.mark.parametrize("name", ["F6_bernoulli_log_odds", "F5_bit_cosine"])
+@pytest.mark.parametrize("name", ["F6_bernoulli_log_odds", "F5_bit_cosine", "F4_tanimoto"])
 def test_pairs_of_vectors_are_scored_where_they_meet(spark, sf, tmp_path, name):
     """No list of pairs is joined, and gaps in vectors count as in SQL."""
     import duckdb
