@@ -230,3 +230,60 @@ def test_pairs_of_vectors_are_scored_where_they_meet(spark, sf, tmp_path, name):
     assert all((r[2] is None) == (3 in r[:2]) for r in got)
     rows = lambda rs: sorted(repr(tuple(r)) for r in rs if r[2] is not None)
     assert rows(got) == rows(con.execute(e.oracle_sql()[name]).fetchall())
+
+
+@pytest.fixture(scope="module")
+def copies(spark, sf, tmp_path_factory):
+    """Three copies of the smallest tables with shifted keys and odd rows, and DuckDB on the same files."""
+    import duckdb
+
+    out, con = tmp_path_factory.mktemp("copies"), duckdb.connect()
+    shift = {"orders": "o_orderkey + k * 100000 AS o_orderkey, CASE WHEN o_orderkey % 97 = 5 THEN NULL ELSE o_custkey + k * 100000 END AS o_custkey",
+             "lineitem": "l_orderkey + k * 100000 AS l_orderkey, CASE WHEN l_linenumber = 3 AND l_orderkey % 11 = 0 THEN -l_quantity ELSE l_quantity END AS l_quantity"}
+    for t, c in shift.items():
+        con.execute(f"create table {t} as select s.* replace ({c}) from (select unnest(range(3)) as k), '{sf}/{t}.parquet' s")
+    con.execute("insert into orders select * replace ('P' as o_orderstatus) from orders where o_orderkey % 50 = 7")  # one key, two rows
+    con.execute("insert into lineitem select * from lineitem where l_orderkey % 13 = 1")  # equal masses
+    con.execute("insert into orders select * replace (o_orderkey + 1000000 as o_orderkey) from orders where o_orderkey < 40")  # no peaks
+    for t in shift:
+        con.execute(f"copy {t} to '{out}/{t}.parquet' (format parquet)")
+    return str(out), con
+
+
+@pytest.mark.parametrize("name", ["J11_greedy_assignment", "F2_library_score", "F1_spectral_cosine", "A9_max_refs_mean_queries"])
+def test_lists_of_copies_are_put_together_in_scans(spark, copies, name):
+    """No aggregate per peak or of lists, spectra cut by Arrow batches are whole, and results are those of SQL."""
+    path, con = copies
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = e.queries()[name](spark, path)
+        text = plan(df)
+        assert "MapInArrow" in text and not re.search(r"Aggregate \[[^\]]*(mz|peaks)#", text)
+        assert "Generate explode" in text[:text.index("round(")]  # rounded once, then listed
+        got = df.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = con.execute(e.oracle_sql()[name]).fetchall()
+    rows = lambda rs: sorted((repr(tuple(r[:2])), *r[2:]) for r in rs)
+    assert len(got) == len(want) > 50
+    for a, b in zip(rows(got), rows(want)):
+        assert a[0] == b[0] and a[1:] == pytest.approx(b[1:], abs=1.1e-6)
+
+
+def test_pairs_of_molecules_are_not_shuffled(spark, sf):
+    text = plan(e.queries()["A9_max_refs_mean_queries"](spark, sf))
+    last = text[:text.index("Aggregate")]
+    assert last.count("Generate explode") == 2 and "Repartition" not in last
+    assert not re.search(r"Aggregate \[q_mol", text)
+
+
+def test_packed_lists_keep_gaps():
+    import numpy as np
+    import pyarrow as pa
+
+    from massloom.operators.lists import _packed, _unpacked
+
+    mz, i = pa.array([1.0, None, float("nan"), 3.0]), np.array([1.0, 2.0, 3.0, 4.0])
+    back = _unpacked(_packed(mz, i, np.array([1, 1, 4]))).to_pylist()
+    assert [[(str(p["mz"]), p["i"]) for p in x] for x in back] == [[("1.0", 1.0)], [], [("None", 2.0), ("nan", 3.0), ("3.0", 4.0)]]
