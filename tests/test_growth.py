@@ -287,3 +287,14 @@ def test_packed_lists_keep_gaps():
     mz, i = pa.array([1.0, None, float("nan"), 3.0]), np.array([1.0, 2.0, 3.0, 4.0])
     back = _unpacked(_packed(mz, i, np.array([1, 1, 4]))).to_pylist()
     assert [[(str(p["mz"]), p["i"]) for p in x] for x in back] == [[("1.0", 1.0)], [], [("None", 2.0), ("nan", 3.0), ("3.0", 4.0)]]
+
+
+def test_equal_peaks_meet_once_and_unfold(spark, copies):
+    path, con = copies
+    df = e.queries()["J10_peak_matching_join"](spark, path)
+    text = plan(df)
+    joins = [line for line in text.splitlines() if "Join" in line and "__bin" in line]
+    assert joins and "Generate explode" in text[:text.index("round(")] and "MapInArrow" in text
+    want = con.execute(e.oracle_sql()["J10_peak_matching_join"]).fetchall()
+    rows = lambda rs: sorted((*tuple(r)[:4], round(r[4], 5)) for r in rs)
+    assert rows(df.collect()) == rows(want) and len(want) > 300
