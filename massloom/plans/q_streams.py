@@ -98,10 +98,9 @@ def online_features(t):
     sparse = _hist(t).select("spectrum_id", F.struct(place, "value").alias("f")).groupBy("spectrum_id").agg(F.array_sort(F.collect_list("f")).alias("f"))
     rows = signed(t).select("molecule_id", "spectrum_id", "signature").join(sparse, "spectrum_id", "left")
     s, _, state = _stream(t, rows, "features")
-    key = ["molecule_id"]
-    stateful.sketch_stream(s, key, F.col("signature"), F.col("spectrum_id"), F.col("f.place"), F.col("f.value"), state, salts=1)  # a molecule has few spectra
-    counts, sums = stateful.sketch_sums(t.spark, state, key)
-    low = stateful.sketch_kept(t.spark, state, key)
+    key, kind = ["molecule_id"], dict(rows.dtypes)["molecule_id"]
+    stateful.sketches_stream(s, *key, F.col("signature"), F.col("spectrum_id"), F.col("f.place"), F.col("f.value"), state)
+    counts, sums, low = (stateful.sketches_part(t.spark, state, part, *key, kind) for part in ("counts", "sums", "low"))
     of = low.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     kept = low.select(*key, F.explode(F.arrays_zip("places", "amounts")).alias("f")).groupBy(*key, F.col("f.places").alias("place")).agg(F.sum("f.amounts").alias("kept"))
     both = sums.join(counts, key).join(kept.join(of, key), [*key, "place"], "left")

@@ -350,3 +350,33 @@ def test_budgets_of_many_keys_share_their_calls_to_the_store():
         recent = sum(us - 10_000 < u <= us for u in same)
         assert (r.recent, r.allowed) == (recent, recent < 2)
         assert r.next_free == (us if recent < 2 else same[same.index(us) - 1] + 10_000)
+
+
+def test_sketches_of_a_bucket_are_the_sketches_of_its_keys():
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    from massloom.streaming.stateful import _Sketch, _Sketches
+
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame([(None if k == 5 else str(k), None if i % 6 == 4 else "cabdef"[rng.integers(6)], i, rng.integers(0, 4, 3), rng.integers(1, 9, 3).astype(float))
+                         for i in range(90) for k in range(6)], columns=["owner", "digest", "tie", "places", "amounts"])
+    rows.at[7, "places"], rows.at[7, "amounts"] = np.array([], int), np.array([])
+    rows.at[8, "amounts"] = np.array([float("nan"), 1.0, 2.0])
+    store, sketches = _Store(), _Sketches(2)
+    sketches.init(store)
+    for half in (rows[:200], rows[200:]):
+        list(sketches.handleInputRows((0,), iter([half[:50], half[50:]]), None))
+    assert store.calls == 4
+    counts, sums, low = (pa.ipc.open_stream(v).read_pandas() for v in store.value)
+    of = lambda t, k: t[t["owner"].isna() if k is None else t["owner"] == k]
+    for k in (None, "0", "1", "2", "3", "4"):
+        one, single = _Store(), _Sketch(2)
+        single.init(one)
+        list(single.handleInputRows((k,), iter([of(rows, k)]), None))
+        count, places, total, kept = one.value
+        assert of(counts, k)["count"].tolist() == [count]
+        assert of(sums, k).sort_values("place")["place"].tolist() == places
+        assert repr(of(sums, k).sort_values("place")["total"].tolist()) == repr([float(x) for x in total])
+        assert [(r.digest, r.tie, r.places.tolist(), repr(r.amounts.tolist())) for r in of(low, k).itertuples()] == [(d, t, p, repr(a)) for d, t, p, a in kept]
